@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import decontaminate, language, quality, sharding, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_quality": quality.op9}
+    return {"op3_urls": urls.op3, "op6_sharding": sharding.op6, "op7_language": language.op7, "op8_decontaminate": decontaminate.op8, "op9_quality": quality.op9}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_urls": urls.SQL, "op8_decontaminate": decontaminate.SQL}
