@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, language, quality, sharding, urls
+from . import decontaminate, jaccard, language, neighbours, quality, sharding, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_urls": urls.op3, "op6_sharding": sharding.op6, "op7_language": language.op7, "op8_decontaminate": decontaminate.op8, "op9_quality": quality.op9, "op10_jaccard": jaccard.op10}
+    return {"op2_neighbours": neighbours.op2, "op3_urls": urls.op3, "op6_sharding": sharding.op6, "op7_language": language.op7, "op8_decontaminate": decontaminate.op8, "op9_quality": quality.op9, "op10_jaccard": jaccard.op10}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_urls": urls.SQL, "op8_decontaminate": decontaminate.SQL}
+    return {"op2_neighbours": neighbours.op2, "op3_urls": urls.SQL, "op8_decontaminate": decontaminate.SQL}
