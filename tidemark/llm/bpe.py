@@ -230,13 +230,18 @@ def doc_ids(doc: list, words: Table) -> np.ndarray:
     return np.concatenate(parts) if len(parts) > 1 else parts[0]
 
 
+def travels(words: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether the word table is small enough to go to every task."""
+    size = words.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("b")).first()
+    return 12 * size.n + size.b // 2 <= broadcast_bytes
+
+
 def encode_with(docs: DataFrame, words: DataFrame, path: str, made: Callable, schema: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """made(keys arrow array, iterator of id arrays) -> arrow batch, over docs (a key column and text)."""
     spark = docs.sparkSession
     key = docs.columns[0]
-    size = words.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("b")).first()
-    if 12 * size.n + size.b // 2 <= broadcast_bytes:
-        h, ids = np.zeros(size.n, np.int64), []
+    if travels(words, broadcast_bytes):
+        h, ids = np.zeros(words.count(), np.int64), []
         for i, r in enumerate(words.toArrow().to_batches()):
             h[len(ids) : len(ids) + r.num_rows] = r.column(0).to_numpy()
             ids += r.column(1).to_pylist()

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, language, neighbours, quality, sharding, urls
+from . import bpe, decontaminate, jaccard, language, neighbours, quality, sharding, tokenfile, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_neighbours": neighbours.op2, "op3_urls": urls.op3, "op5_bpe": bpe.op5, "op6_sharding": sharding.op6, "op7_language": language.op7, "op8_decontaminate": decontaminate.op8, "op9_quality": quality.op9, "op10_jaccard": jaccard.op10}
+    return {"op2_neighbours": neighbours.op2, "op3_urls": urls.op3, "op4_tokenfile": tokenfile.op4, "op5_bpe": bpe.op5, "op6_sharding": sharding.op6, "op7_language": language.op7, "op8_decontaminate": decontaminate.op8, "op9_quality": quality.op9, "op10_jaccard": jaccard.op10}
 
 
 def oracle_sql() -> dict[str, str]:
