@@ -9,8 +9,8 @@ never meet. The nodes are joined like this:
     which reading the posting lists of a prefix plus verifying the candidates left by l matches is estimated
     cheapest: common prefixes are lengthened, and demand more matches.
 3.  Prefix shingles held by one node only go. Star: in each posting list the smallest node is verified against the
-    others; the components of the links found so far are computed. Rest: only members of a list outside its largest
-    component can still add anything; they meet the members of other components, in cells of bounded size,
+    others; the components of the links found so far are computed. Rest: among the others, only members outside the list's
+    largest component can still add anything; they meet the members of other components, in cells of bounded size,
     where pairs of too different lengths or fewer than min(l, l') common prefix shingles go, and a pair counts
     only at its first common shingle. What is left is verified on the whole sets.
 
@@ -132,12 +132,27 @@ def _prefixes(sketch) -> callable:
     return made
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed: smaller by far than their sets."""
+    pack = zstandard.ZstdCompressor(level=3).compress
     for b in batches:
-        all_ = [shingles(t) for t in texts(b.column(1))]
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in all_]))).astype(np.int32)
-        values = np.concatenate(all_) if all_ else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, _signed(values))], ["doc_id", "set"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(t.tobytes()) for t in texts(b.column(1))], pa.binary())], ["doc_id", "packed"])
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Those pairs (a, b, x, y) whose whole sets are similar enough; x and y are the packed texts."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    get = lambda z: shingles(np.frombuffer(unpack(z), np.uint8))
+    last, x = None, None
+    for b in batches:
+        keep = []
+        for i, y in enumerate(b.column(3).to_pylist()):
+            if (z := b.column(2)[i].as_py()) != last:
+                last, x = z, get(z)
+            y = get(y)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,11 +194,12 @@ def _pairs(cell: pa.Table) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) that link."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
-    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
-    return both.where(f"100L * i >= {PERCENT}L * (s - i)").select("a", "b")
+def _verified(pairs: DataFrame, packed: DataFrame, broadcast_ids: int) -> DataFrame:
+    """Those of the pairs (a, b), a written table, that link."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    packed = packed.join(F.broadcast(ids) if 2 * pairs.count() <= broadcast_ids else ids, "doc_id", "left_semi")
+    both = pairs.join(packed.select(F.col("doc_id").alias("b"), F.col("packed").alias("y")), "b").join(packed.select(F.col("doc_id").alias("a"), F.col("packed").alias("x")), "a")
+    return both.select("a", "b", "x", "y").mapInArrow(_compared, "a long, b long")
 
 
 def linked(docs: DataFrame, cell: int = CELL, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
@@ -205,23 +221,25 @@ def linked(docs: DataFrame, cell: int = CELL, broadcast_ids: int = BROADCAST_IDS
     lists = materialise(shared(lists.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")))
     ids = lists.select("doc_id").distinct()
     few = ids.count() <= broadcast_ids
-    sets = materialise(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set array<long>"))
+    packed = materialise(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(_packed, "doc_id long, packed binary"))
 
     first = lists.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("p"))
+    others = materialise(lists.join(first, "token").where("doc_id != p.doc_id").select("token", "doc_id", "n", "matches", "p"))
     near = "100 * least(n, p.n) >= %d * greatest(n, p.n)" % PERCENT
-    star = lists.join(first, "token").where(f"doc_id != p.doc_id and {near}").select(F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = materialise(_verified(star, sets))
+    star = materialise(others.where(near).select(F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct())
+    links = materialise(_verified(star, packed, broadcast_ids))
     known = materialise(components(links))
 
-    lists = lists.join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    sizes = lists.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("size"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = materialise(lists.join(sizes.select("token", F.col("most.component").alias("main"), F.ceil(F.col("size") / cell).cast("int").alias("cells")), "token").withColumn("rest", F.col("component") != F.col("main")))
+    # the smallest node of each list is done; of the others, what is outside the largest component remains
+    others = others.drop("p").join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    sizes = others.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    open_ = materialise(others.join(sizes.select("token", F.col("most.component").alias("main"), F.ceil(F.col("size") / cell).cast("int").alias("cells")), "token").withColumn("rest", F.col("component") != F.col("main")))
     tokens = open_.groupBy("doc_id").agg(F.collect_list("token").alias("tokens"))
     member = open_.select("token", F.pmod(F.xxhash64("doc_id"), F.col("cells")).cast("int").alias("cell"), F.lit(False).alias("query"), "doc_id", "n", "matches", "component", "rest")
     asks = open_.where("rest").select("token", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(True).alias("query"), "doc_id", "n", "matches", "component", "rest")
     cells = member.unionByName(asks).join(tokens, "doc_id").select("token", "cell", "query", "doc_id", "n", "matches", "component", "rest", "tokens")
-    rest = cells.repartition("token", "cell").sortWithinPartitions("token", "cell").mapInArrow(_rest, "a long, b long").distinct()
-    more = materialise(_verified(rest, sets))
+    rest = materialise(cells.repartition("token", "cell").sortWithinPartitions("token", "cell").mapInArrow(_rest, "a long, b long").distinct())
+    more = materialise(_verified(rest, packed, broadcast_ids))
     final = materialise(components(links.unionByName(more)))
 
     out = rows.join(nodes.select("k1", "k2", F.col("n_shingles").alias("n2"), "node"), (rows.k1 == nodes.k1) & (rows.k2 == nodes.k2) & (rows.n_shingles == F.col("n2")), "left").select("doc_id", "n_shingles", "node")
