@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .shared import Prefixes, materialise, mixed, table
 
-#: Of the word table in the tasks' memory: 12 bytes a word and two or four an id.
+#: Of the word table in the tasks' memory: 12 bytes a word and two or four an id; fewer than 2**32 ids.
 BROADCAST_BYTES = 192 << 20
 #: Documents of a chunk where the table is too large for that, about.
 CHUNK_DOCS = 4000
@@ -73,6 +73,8 @@ class Splitter:
             spec = json.load(f)
         self.spaced = spec["pre_tokenizer"]["type"] == "ByteLevel"
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        #: Of ids in word tables.
+        self.kind = np.dtype("<u2" if max(max(spec["model"]["vocab"].values()), *self.added.values()) < 1 << 16 else "<u4")
 
     def pieces(self, text: str) -> Iterator[str | int]:
         """The text between added tokens, and those tokens' ids."""
@@ -180,13 +182,13 @@ def _encoder(path: str) -> Callable:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
+        t, kind = Tokenizer.from_file(path), Splitter(path).kind
         t.no_truncation()
         t.no_padding()
         for b in batches:
             if any(x != y for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 raise ValueError("two words have one hash")
-            ids = [np.array(e.ids, np.uint32).tobytes() for e in t.encode_batch(b.column(1).to_pylist(), add_special_tokens=False)]
+            ids = [np.array(e.ids, kind).tobytes() for e in t.encode_batch(b.column(1).to_pylist(), add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["h", "ids"])
 
     return encoded
@@ -200,17 +202,36 @@ def word_table(docs: DataFrame, path: str) -> DataFrame:
 
 
 class Table:
-    """Word hashes in order, with the ids of all words end to end."""
-
-    def __init__(self, h: np.ndarray, ids: list[bytes] | pa.Array):
-        order = np.argsort(h.view(np.uint64))
-        self.h = h.view(np.uint64)[order]
-        sizes = np.array([len(x) for x in ids], np.int64)[order] // 4
-        self.offsets = np.concatenate(([0], np.cumsum(sizes)))
-        self.ids = np.concatenate([np.frombuffer(ids[i], np.uint32) for i in order.tolist()]) if len(order) else np.zeros(0, np.uint32)
-        if len(self.ids) and self.ids.max() < 1 << 16:
-            self.ids = self.ids.astype(np.uint16)
-        self.offsets = self.offsets.astype(np.uint32 if self.offsets[-1] < 1 << 32 else np.int64)
+    """Word hashes in order, with the ids of all words end to end; from the columns of a word table."""
+
+    #: Words whose ids are moved at a time.
+    PART = 500_000
+
+    def __init__(self, h: pa.ChunkedArray, ids: pa.ChunkedArray, kind: np.dtype):
+        h = np.concatenate([c.to_numpy() for c in h.chunks] or [np.zeros(0, np.int64)]).view(np.uint64)
+        data, starts, sizes, at = [], [], [], 0
+        for c in ids.chunks:
+            wide = np.int64 if pa.types.is_large_binary(c.type) else np.int32
+            offsets = np.frombuffer(c.buffers()[1], wide)[c.offset : c.offset + len(c) + 1].astype(np.int64)
+            if len(c):
+                data.append(np.frombuffer(c.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(kind))
+                starts.append(((offsets[:-1] - offsets[0]) // kind.itemsize + at).astype(np.uint32))
+                sizes.append((np.diff(offsets) // kind.itemsize).astype(np.uint32))
+                at += len(data[-1])
+        order = np.argsort(h).astype(np.uint32)
+        self.h = h[order]
+        if not len(h):
+            self.offsets, self.ids = np.zeros(1, np.uint32), np.zeros(0, kind)
+            return
+        data = np.concatenate(data) if len(data) > 1 else data[0]
+        starts, sizes = np.concatenate(starts)[order], np.concatenate(sizes)[order]
+        self.offsets = np.zeros(len(h) + 1, np.uint32)
+        np.cumsum(sizes, out=self.offsets[1:])
+        self.ids = np.empty(at, kind)
+        for a in range(0, len(h), self.PART):
+            n, first = sizes[a : a + self.PART].astype(np.int64), self.offsets[a]
+            ends = np.cumsum(n)
+            self.ids[first : first + ends[-1]] = data[np.repeat(starts[a : a + self.PART] - (ends - n), n) + np.arange(ends[-1])]
 
     def of(self, h: np.ndarray) -> np.ndarray:
         """The ids of words given by their hashes, end to end."""
@@ -233,7 +254,7 @@ def doc_ids(doc: list, words: Table) -> np.ndarray:
 def travels(words: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether the word table is small enough to go to every task."""
     size = words.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("b")).first()
-    return 12 * size.n + size.b // 2 <= broadcast_bytes
+    return 12 * size.n + size.b <= broadcast_bytes
 
 
 def encode_with(docs: DataFrame, words: DataFrame, path: str, made: Callable, schema: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -241,12 +262,9 @@ def encode_with(docs: DataFrame, words: DataFrame, path: str, made: Callable, sc
     spark = docs.sparkSession
     key = docs.columns[0]
     if travels(words, broadcast_bytes):
-        h, ids = np.zeros(words.count(), np.int64), []
-        for i, r in enumerate(words.toArrow().to_batches()):
-            h[len(ids) : len(ids) + r.num_rows] = r.column(0).to_numpy()
-            ids += r.column(1).to_pylist()
-        held = spark.sparkContext.broadcast(Table(h, ids))
-        del h, ids
+        rows = words.toArrow()
+        held = spark.sparkContext.broadcast(Table(rows.column(0), rows.column(1), Splitter(path).kind))
+        del rows
 
         def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             split = Splitter(path)
@@ -271,7 +289,8 @@ def encode_with(docs: DataFrame, words: DataFrame, path: str, made: Callable, sc
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in np.ascontiguousarray(both)], ["chunk", "h"])
 
     def met(left: pa.Table, right: pa.Table) -> pa.Table:
-        words, split = Table(right.column("h").to_numpy(), right.column("ids").to_pylist()), Splitter(path)
+        split = Splitter(path)
+        words = Table(right.column("h"), right.column("ids"), split.kind)
         return pa.Table.from_batches([made(left.column(key).combine_chunks(), (doc_ids(d, words) for d in _docs((x.as_py() for x in left.column("text")), split)))])
 
     wanted = cut.select("chunk", "text").mapInArrow(asked, "chunk long, h long").distinct().join(words, "h")
