@@ -1,6 +1,7 @@
 """Registered queries of the market-analytics engine and their DuckDB SQL.
 
-Doubles are rounded alike on both sides, since sums run in different orders; 0.0 is added so that no -0.0 is left.
+Doubles are rounded alike on both sides, since sums run in different orders: a thousandth of the last place is added first,
+so that exact halves don't hang on the last bit, and 0.0 after, so that no -0.0 is left.
 """
 
 from __future__ import annotations
@@ -29,16 +30,16 @@ _SQL: dict[str, str] = {}
 
 
 def add(name: str, made: Callable[[SparkSession, str], DataFrame], sql: str = "", doubles: str = "", digits: int = 6) -> None:
-    columns = doubles.split()
+    columns, tie = doubles.split(), float(f"1e-{digits + 3}")
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = made(spark, sf_dir)
-        return df.withColumns({c: F.round(F.col(c), digits) + 0.0 for c in columns}) if columns else df
+        return df.withColumns({c: F.round(F.col(c) + tie, digits) + 0.0 for c in columns}) if columns else df
 
     _QUERIES[name] = query
     if sql:
         with_ = f"WITH RECURSIVE {sql}" if not sql.lstrip().startswith("SELECT") else sql
-        replaced = ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}" for c in columns)
+        replaced = ", ".join(f"round(CAST({c} AS DOUBLE) + {tie!r}, {digits}) + 0.0 AS {c}" for c in columns)
         _SQL[name] = f"SELECT *{f' REPLACE ({replaced})' if columns else ''} FROM ({with_})"
 
 
@@ -262,7 +263,7 @@ add("portfolio_summary", lambda s, d: X.portfolio_summary(ledger(s, d), clean(s,
 _DAILY_PNL = f"{O.LEDGER}, dp AS (SELECT date, sum((price - expected_price) * quantity) AS pnl FROM ledger GROUP BY 1), de AS (SELECT date, pnl, 1000000 + sum(pnl) OVER (ORDER BY date) AS equity FROM dp)"
 add("daily_pnl", lambda s, d: X.daily_pnl(ledger(s, d)), f"{_DAILY_PNL} SELECT * FROM de", "pnl equity", 4)
 add("portfolio_risk", lambda s, d: X.portfolio_risk(cov(s, d), X.daily_pnl(ledger(s, d)), K.breaker(X.daily_pnl(ledger(s, d)).select("date", F.col("equity").alias("nav"), F.lit(False).alias("reset")))), f"{O.COVARIANCE}, {_DAILY_PNL}, pk AS (SELECT *, equity / max(equity) OVER (ORDER BY date) - 1 < -0.05 AS t FROM de) SELECT (SELECT round(1.645 * sqrt(greatest(avg(cov), 0)) * 100, 2) FROM cov) AS var_95_1d, round((max_by(equity, date) / max(equity) - 1) * 100, 2) AS current_drawdown, max_by(t, date) AS circuit_breaker_triggered, 5.0::DOUBLE AS drawdown_limit FROM pk", "var_95_1d current_drawdown drawdown_limit", 2)
-add("order_gate_summary", lambda s, d: K.var_gate(orders(s, d), cov(s, d), held(s, d)).groupBy("reason").agg(F.count("*").alias("n")), "")
+add("order_gate_summary", lambda s, d: K.var_gate(orders(s, d), cov(s, d), held(s, d)).groupBy("reason").agg(F.count("*").alias("n")), f"SELECT reason, count(*) AS n FROM ({_SQL['var_gate']}) GROUP BY 1")
 
 # streaming
 def stored(stream: DataFrame) -> DataFrame:

@@ -107,7 +107,7 @@ def random_signals(rows: DataFrame, seed: int = 42) -> DataFrame:
     return rows.select("date", "ticker", (F.rand(seed) * 2 - 1).alias("signal"))
 
 
-def _forest(rows: pd.DataFrame, features: list[str], draws: int, seed: int) -> Iterator[pd.DataFrame]:
+def _centroids(rows: pd.DataFrame, features: list[str], draws: int, seed: int) -> Iterator[pd.DataFrame]:
     """Nearest class centroids over bagged feature subsets: class frequencies smoothed into probabilities."""
     import numpy as np
 
@@ -143,8 +143,8 @@ def walk_forward_ml(matrix: DataFrame, clean_bars: DataFrame, purge: int = confi
     features = indicators.MATRIX
 
     def fit(key, part: pd.DataFrame) -> pd.DataFrame:
-        columns = ["date", "ticker", "split", "p_sell", "p_neutral", "p_buy"]
-        return next(_forest(part, features, draws, 7), pd.DataFrame({c: [] for c in columns}))
+        none = part.iloc[:0][["date", "ticker", "split"]].assign(p_sell=0.0, p_neutral=0.0, p_buy=0.0)
+        return next(_centroids(part, features, draws, 7), none)
 
     out = both.groupBy("ticker", "split").applyInPandas(fit, "date date, ticker string, split int, p_sell double, p_neutral double, p_buy double")
     p = F.col("p_neutral")
