@@ -9,10 +9,11 @@ never meet. The nodes are joined like this:
     which reading the posting lists of a prefix plus verifying the candidates left by l matches is estimated
     cheapest: common prefixes are lengthened, and demand more matches.
 3.  Prefix shingles held by one node only go. Star: in each posting list the smallest node is verified against the
-    others; the components of the links found so far are computed. Rest: among the others, only members outside the list's
+    others; the components of the links found so far are computed. What is still outside a list's largest component is
+    verified against one more member of that component, drawn by hash for each list. Rest: among the others, only members outside the list's
     largest component can still add anything; they meet the members of other components, in cells of bounded size,
-    where pairs of too different lengths or fewer than min(l, l') common prefix shingles go, and a pair counts
-    only at its first common shingle. What is left is verified on the whole sets.
+    where pairs of too different lengths go, and those with fewer common prefix shingles than min(l, l') or than the
+    overlap they need leaves to the prefix that ends first; a pair counts only at its first common shingle. What is left is verified on the whole sets.
 
 No list is ever turned into all its pairs: pairs within a component found by the star are skipped, so that large
 groups of near copies cost about a pair per member. The result has the components, which these links span.
@@ -181,12 +182,16 @@ def _pairs(cell: pa.Table) -> Iterator[pa.RecordBatch]:
     vocabulary, where = np.unique(lists.flatten().to_numpy(), return_inverse=True)
     holds = np.zeros((len(ids), len(vocabulary)), np.float32)
     holds[np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy())), where] = 1
+    spare = n.astype(np.int64) - (n + n.astype(np.int64) * PERCENT // -100 + demand)  # shingles beyond the prefix
     before = np.searchsorted(vocabulary, cell.column("token")[0].as_py())
     others = np.flatnonzero(~query)
     for some in np.array_split(q := np.flatnonzero(query), -(-len(q) // 512)):
         x, y = some[:, None], others[None, :]
         fits = (component[x] != component[y]) & (~rest[y] | (ids[x] < ids[y])) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y]))
-        fits &= holds[some] @ holds[others].T >= np.minimum(demand[x], demand[y])
+        # of two prefixes, all that the one ending first shares with the other set lies in the other's prefix
+        overlap = -(-PERCENT * (n[x].astype(np.int64) + n[y]) // (100 + PERCENT))
+        least = np.maximum(np.minimum(demand[x], demand[y]), overlap - np.maximum(spare[x], spare[y]))
+        fits &= holds[some] @ holds[others].T >= least
         fits &= holds[some, :before] @ holds[others, :before].T == 0
         i, j = np.nonzero(fits)
         if len(i):
@@ -202,6 +207,13 @@ def _verified(pairs: DataFrame, packed: DataFrame, broadcast_ids: int) -> DataFr
     return both.select("a", "b", "x", "y").mapInArrow(_compared, "a long, b long")
 
 
+def _placed(lists: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lists with their members' components, and (token, most, size, parts) of those with several components."""
+    placed = lists.join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    sizes = placed.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("size"), F.count("*").alias("parts"))
+    return placed, sizes.where("parts > 1")
+
+
 def linked(docs: DataFrame, cell: int = CELL, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
@@ -231,9 +243,14 @@ def linked(docs: DataFrame, cell: int = CELL, broadcast_ids: int = BROADCAST_IDS
     known = materialise(components(links))
 
     # the smallest node of each list is done; of the others, what is outside the largest component remains
-    others = others.drop("p").join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    sizes = others.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("size"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = materialise(others.join(sizes.select("token", F.col("most.component").alias("main"), F.ceil(F.col("size") / cell).cast("int").alias("cells")), "token").withColumn("rest", F.col("component") != F.col("main")))
+    others = others.drop("p")
+    placed, sizes = _placed(others, known)
+    hub = placed.join(sizes, "token").where("component = most.component").groupBy("token").agg(F.min(F.struct(F.xxhash64("doc_id", "token").alias("h"), "doc_id", "n")).alias("p"))
+    second = placed.join(sizes.select("token", "most"), "token").where("component != most.component").join(hub, "token").where(near)
+    second = materialise(second.select(F.least("p.doc_id", "doc_id").alias("a"), F.greatest("p.doc_id", "doc_id").alias("b")).distinct())
+    links = links.unionByName(materialise(_verified(second, packed, broadcast_ids)))
+    placed, sizes = _placed(others, materialise(components(links)))
+    open_ = materialise(placed.join(sizes.select("token", F.col("most.component").alias("main"), F.ceil(F.col("size") / cell).cast("int").alias("cells")), "token").withColumn("rest", F.col("component") != F.col("main")))
     tokens = open_.groupBy("doc_id").agg(F.collect_list("token").alias("tokens"))
     member = open_.select("token", F.pmod(F.xxhash64("doc_id"), F.col("cells")).cast("int").alias("cell"), F.lit(False).alias("query"), "doc_id", "n", "matches", "component", "rest")
     asks = open_.where("rest").select("token", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(True).alias("query"), "doc_id", "n", "matches", "component", "rest")
