@@ -64,7 +64,7 @@ def breaker(nav: DataFrame, limit: float = config.DRAWDOWN_LIMIT) -> DataFrame:
     """nav (date, nav, reset boolean) with drawdown, tripped and halted: halted from the first drawdown beyond the limit
     until a reset; a reset keeps the peak, so the next update may trip again."""
     w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    rows = nav.withColumn("peak", F.max("nav").over(w)).withColumn("drawdown", F.col("nav") / F.col("peak") - 1)
+    rows = nav.withColumn("peak", F.max("nav").over(w)).withColumn("drawdown", (F.col("nav") - F.col("peak")) / F.col("peak"))
     rows = rows.withColumn("tripped", F.col("drawdown") < -limit).withColumn("era", F.sum(F.col("reset").cast("int")).over(w))
     return rows.withColumn("halted", F.bool_or(F.col("tripped") & ~F.col("reset")).over(Window.partitionBy("era").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))).drop("era")
 

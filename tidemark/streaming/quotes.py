@@ -61,7 +61,7 @@ def latch(nav: DataFrame, limit: float = config.DRAWDOWN_LIMIT) -> DataFrame:
             down, out = [], []
             for value, reset in zip(part.nav, part.reset, strict=True):
                 peak = max(peak, value)
-                drawdown = value / peak - 1 if peak > 0 else 0.0
+                drawdown = (value - peak) / peak if peak > 0 else 0.0
                 halted = False if reset else halted or drawdown < -limit
                 down.append(drawdown)
                 out.append(halted)
