@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe, decontaminate, jaccard, quality, suffixes
 from tidemark.llm.shared import materialise, table
 
+#: Text bytes of a chunk in which repeats are removed; whole rows travel here, so chunks are smaller than the operator's own.
+REPEAT_CHUNK = 6 << 20
 #: Ids to drop that are broadcast at most (some 50 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -46,7 +48,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings that also start earlier; those of which nothing is left go."""
-    out = suffixes.deduplicated(docs).where("n_removed = 0 or n_removed < n_bytes")
+    out = suffixes.deduplicated(docs, chunk_bytes=REPEAT_CHUNK).where("n_removed = 0 or n_removed < n_bytes")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

@@ -252,7 +252,8 @@ def _removed(copies, bits: int, fields: pa.Schema, whole: bool) -> Callable:
         skip = _is_copy(rows.column(0).combine_chunks(), copies.value).tolist()
         all_ = list(_column(rows))
         found = [candidates(t, kept, np.uint64(32 - bits)) if not c else (None, np.zeros(0, np.uint64)) for t, c in zip(all_, skip, strict=True)]
-        names = np.concatenate([f[1] for f in found])
+        names = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.uint64)
+        found = [(f[0], len(f[1])) for f in found]
         repeated = np.ones(len(names), bool)
         repeated[np.unique(names, return_index=True)[1]] = False
         if len(known) and len(names):
@@ -262,8 +263,8 @@ def _removed(copies, bits: int, fields: pa.Schema, whole: bool) -> Callable:
             if copy:
                 cut = np.array([[0, len(text)]])
             else:
-                cut = spans(text, starts[repeated[at : at + len(own)]])
-                at += len(own)
+                cut = spans(text, starts[repeated[at : at + own]])
+                at += own
             raw, last, parts = text.tobytes(), 0, []
             for a, z in cut.tolist():
                 parts.append(raw[last:a])
