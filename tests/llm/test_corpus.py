@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, jaccard, language, neighbours, quality, sharding, suffixes, tokenfile, urls
+from tidemark.llm import bpe, decontaminate, jaccard, language, neighbours, quality, registry, sharding, suffixes, tokenfile, urls
 from tidemark.llm.shared import components
 
 SF = "/root/testdata/sf0.001"
@@ -220,6 +220,11 @@ def test_language_and_quality_hold_out(spark):
     assert quality.score(frame(spark, [(1, "abc"), (2, None)]), quality.train(docs.limit(0).select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet"))).where("quality_score != 0.5").count() == 0
 
 
+def test_sql_is_text_of_registered_queries():
+    sql = registry.oracle_sql()
+    assert sql.keys() <= registry.queries().keys() and all(isinstance(x, str) for x in sql.values())
+
+
 def test_empty_tables(spark):
     none = frame(spark, [(1, "x")]).limit(0)
     path = bpe.tokenizer_path("byte_bpe_50k.json")
