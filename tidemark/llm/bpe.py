@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Prefixes, materialise, mixed, table
+from .shared import Prefixes, lean, materialise, mixed, table
 
 #: Of the word table in the tasks' memory: 12 bytes a word and two or four an id; fewer than 2**32 ids.
 BROADCAST_BYTES = 192 << 20
@@ -196,9 +196,9 @@ def _encoder(path: str) -> Callable:
 
 def word_table(docs: DataFrame, path: str) -> DataFrame:
     """(h, ids binary) of every distinct word of docs' texts, written."""
-    words = docs.select("text").mapInArrow(_distinct(path), "h long, word string")
+    words = docs.select("text").mapInArrow(lean(_distinct(path)), "h long, word string")
     once = words.groupBy("h").agg(F.min("word").alias("word"), F.max("word").alias("last"))
-    return materialise(once.mapInArrow(_encoder(path), "h long, ids binary"))
+    return materialise(once.mapInArrow(lean(_encoder(path)), "h long, ids binary"))
 
 
 class Table:
@@ -273,7 +273,7 @@ def encode_with(docs: DataFrame, words: DataFrame, path: str, made: Callable, sc
                     part = b.slice(a, 1000)
                     yield made(part.column(0), (doc_ids(d, held.value) for d in _docs((x.as_py() for x in part.column(1)), split)))
 
-        return docs.mapInArrow(joined, schema)
+        return docs.mapInArrow(lean(joined), schema)
 
     chunks = max(1, -(-docs.count() // CHUNK_DOCS))
     cut = docs.withColumn("chunk", F.pmod(F.xxhash64(key, F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))), F.lit(chunks)))

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Prefixes, components, materialise, mixed, table, texts
+from .shared import Prefixes, components, lean, materialise, mixed, table, texts
 
 SHINGLE = 5
 #: Jaccard similarity of at least PERCENT per cent.
@@ -204,7 +204,7 @@ def _verified(pairs: DataFrame, packed: DataFrame, broadcast_ids: int) -> DataFr
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     packed = packed.join(F.broadcast(ids) if 2 * pairs.count() <= broadcast_ids else ids, "doc_id", "left_semi")
     both = pairs.join(packed.select(F.col("doc_id").alias("b"), F.col("packed").alias("y")), "b").join(packed.select(F.col("doc_id").alias("a"), F.col("packed").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(_compared, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(lean(_compared), "a long, b long")
 
 
 def _placed(lists: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -217,7 +217,7 @@ def _placed(lists: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
 def linked(docs: DataFrame, cell: int = CELL, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
-    summaries = materialise(docs.mapInArrow(_summaries, "doc_id long, n long, k1 long, k2 long, part int, counts binary"))
+    summaries = materialise(docs.mapInArrow(lean(_summaries), "doc_id long, n long, k1 long, k2 long, part int, counts binary"))
     sums = summaries.where("part is not null").groupBy("part").applyInArrow(_added, "part int, counts binary").collect()
     sketch = bytearray(4 << SKETCH_BITS)
     width = len(sketch) // SKETCH_PARTS
@@ -228,12 +228,12 @@ def linked(docs: DataFrame, cell: int = CELL, broadcast_ids: int = BROADCAST_IDS
     nodes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("node"))
 
     shared = lambda x: x.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").drop("df")
-    own = docs.mapInArrow(_prefixes(held), "token long, doc_id long, n int, matches byte")
+    own = docs.mapInArrow(lean(_prefixes(held)), "token long, doc_id long, n int, matches byte")
     lists = materialise(shared(own))
     lists = materialise(shared(lists.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")))
     ids = lists.select("doc_id").distinct()
     few = ids.count() <= broadcast_ids
-    packed = materialise(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(_packed, "doc_id long, packed binary"))
+    packed = materialise(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(lean(_packed), "doc_id long, packed binary"))
 
     first = lists.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("p"))
     others = materialise(lists.join(first, "token").where("doc_id != p.doc_id").select("token", "doc_id", "n", "matches", "p"))
@@ -255,7 +255,7 @@ def linked(docs: DataFrame, cell: int = CELL, broadcast_ids: int = BROADCAST_IDS
     member = open_.select("token", F.pmod(F.xxhash64("doc_id"), F.col("cells")).cast("int").alias("cell"), F.lit(False).alias("query"), "doc_id", "n", "matches", "component", "rest")
     asks = open_.where("rest").select("token", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(True).alias("query"), "doc_id", "n", "matches", "component", "rest")
     cells = member.unionByName(asks).join(tokens, "doc_id").select("token", "cell", "query", "doc_id", "n", "matches", "component", "rest", "tokens")
-    rest = materialise(cells.repartition("token", "cell").sortWithinPartitions("token", "cell").mapInArrow(_rest, "a long, b long").distinct())
+    rest = materialise(cells.repartition("token", "cell").sortWithinPartitions("token", "cell").mapInArrow(lean(_rest), "a long, b long").distinct())
     more = materialise(_verified(rest, packed, broadcast_ids))
     final = materialise(components(links.unionByName(more)))
 

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Prefixes, materialise, table, texts
+from .shared import Prefixes, give_back, lean, materialise, table, texts
 
 LENGTH = 100
 PERIOD = 57
@@ -175,6 +175,7 @@ def _sets(answers: pa.Table, kind: str, bits: int) -> np.ndarray:
 def _name_sets(copies, bits: int) -> Callable:
     def made(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("names", pa.binary())])
+        give_back()  # of the chunk before
         kept = _sets(right, "samples", bits)
         if not left.num_rows or not len(kept):
             return schema.empty_table()
@@ -247,6 +248,7 @@ def _removed(copies, bits: int, fields: pa.Schema, whole: bool) -> Callable:
         schema = pa.schema([f for f in fields if whole or f.name == "doc_id"] + extra)
         if not left.num_rows:
             return schema.empty_table()
+        give_back()  # of the chunk before
         rows = _unbundled(left)
         kept, known = _sets(right, "samples", bits), _sets(right, "names", bits)
         skip = _is_copy(rows.column(0).combine_chunks(), copies.value).tolist()
@@ -299,11 +301,11 @@ def deduplicated(docs: DataFrame, whole: bool = True, chunk_bytes: int = CHUNK_B
     known = copied.count() <= known_copies
     copies = spark.sparkContext.broadcast(np.sort(np.array([r.doc_id for r in copied.collect()] if known else [], np.int64)))
 
-    samples = docs.select("doc_id", "text").mapInArrow(_sample_sets(bounds, copies, bits), "bucket long, chunk long, many boolean, names binary")
+    samples = docs.select("doc_id", "text").mapInArrow(lean(_sample_sets(bounds, copies, bits)), "bucket long, chunk long, many boolean, names binary")
     answer = "chunk long, kind string, bucket long, names binary"
     about = materialise(samples.groupBy("bucket").applyInArrow(_answers("samples"), answer))
-    bundles = docs.mapInArrow(_bundled(bounds), "chunk long, rows binary")
-    texts_only = docs.select("doc_id", "text").mapInArrow(_bundled(bounds), "chunk long, rows binary")
+    bundles = docs.mapInArrow(lean(_bundled(bounds)), "chunk long, rows binary")
+    texts_only = docs.select("doc_id", "text").mapInArrow(lean(_bundled(bounds)), "chunk long, rows binary")
     names = texts_only.groupBy("chunk").cogroup(about.groupBy("chunk")).applyInArrow(_name_sets(copies, bits), "bucket long, chunk long, names binary")
     about_names = materialise(names.groupBy("bucket").applyInArrow(_answers("names"), answer))
     fields = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in docs.schema])
