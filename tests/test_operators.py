@@ -102,6 +102,29 @@ def test_quotes_with_crossed_or_missing_sides_go(spark):
     assert [r.event_id for r in Q.valid(rows).collect()] == [1]
 
 
+@pytest.mark.parametrize("bound", [{}, {"run_rows": 7000}])
+def test_stream_latch_orders_the_whole_batch(spark, tmp_path, bound):
+    """Over 10,000 shuffled rows a portfolio (more than Spark hands over at once), in several files, against the batch breaker."""
+    at = F.col("id")
+    nav = spark.range(50_000).select(F.element_at(F.array(F.lit("A"), F.lit("B")), (at % 2 + 1).cast("int")).alias("portfolio"), at.alias("at"), (1000 + at / 100 + F.sin(at / 300) * (at % 4000) / 40).alias("nav"), (at % 971 == 0).alias("reset"))
+    nav.orderBy(F.xxhash64("at")).repartition(7).write.parquet(f"{tmp_path}/nav")
+    name = f"latch{len(bound)}"
+    got = Q.drained(Q.latch(spark.readStream.schema(nav.schema).parquet(f"{tmp_path}/nav"), **bound), name)
+    for p in "AB":
+        want = K.breaker(nav.where(F.col("portfolio") == p).withColumnRenamed("at", "date")).select("date", "nav", "drawdown", "halted")
+        mine = got.where(F.col("portfolio") == p).select("at", "nav", "drawdown", "halted")
+        assert want.where("halted").count() > 100 and mine.count() == 25_000
+        assert mine.exceptAll(want).count() == 0
+
+
+def test_stream_latch_keeps_nulls_and_orders_ties(spark, tmp_path):
+    rows = [(None, 1, 1000.0, False), (None, 2, None, None), ("A", 5, 900.0, True), ("A", 5, 900.0, False), ("A", 4, 1000.0, False), ("A", None, 2000.0, None)]
+    df = spark.createDataFrame(rows, "portfolio string, at long, nav double, reset boolean")
+    df.write.parquet(f"{tmp_path}/nav")
+    got = {(r.portfolio, r.at, r.nav, r.halted) for r in Q.drained(Q.latch(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/nav"), run_rows=2), "latch_ties").collect()}
+    assert got == {(None, 1, 1000.0, False), (None, 2, None, False), ("A", 4, 1000.0, False), ("A", 5, 900.0, True), ("A", 5, 900.0, False), ("A", None, 2000.0, False)}
+
+
 def test_empty_bars_give_empty_results(spark):
     none = series(spark, [])
     for df in (P.clean(none), P.validate(none), P.missing_bars(none), P.price_gaps(none), I.matrix(P.clean(none))):

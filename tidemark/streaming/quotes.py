@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +15,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import config
 
+#: Rows of one portfolio's batch that latch() sorts in memory (18 bytes each and their index); what is beyond goes to sorted files of the task.
+RUN_ROWS = 1 << 22
+#: Rows of a sorted file that are read at once, and of a piece of the result.
+BLOCK = 10_000
+_UPDATE = np.dtype([("no_at", "?"), ("at", "i8"), ("nav", "f8"), ("reset", "?")])
+
 
 def valid(quotes: DataFrame) -> DataFrame:
     """Quotes with positive sides and ask at least bid, with mid and spread."""
@@ -51,21 +61,52 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.table(name)
 
 
-def latch(nav: DataFrame, limit: float = config.DRAWDOWN_LIMIT) -> DataFrame:
-    """A stream of (portfolio, at long, nav, reset boolean) with drawdown and halted, by state per portfolio."""
+def _ordered(parts: Iterator[pd.DataFrame], folder: str, run_rows: int) -> Iterator[tuple]:
+    """Every row of a group's chunks as (no_at, at, nav, reset), by at, then nav and reset, nulls last."""
+    runs, held = [], []
+
+    def run() -> np.ndarray:
+        rows = np.concatenate(held)
+        held.clear()
+        return rows[np.lexsort((rows["reset"], rows["nav"], rows["at"], rows["no_at"]))]
+
+    def read(rows: np.ndarray) -> Iterator[tuple]:
+        return itertools.chain.from_iterable(rows[i : i + BLOCK].tolist() for i in range(0, len(rows), BLOCK))
+
+    for part in parts:
+        rows = np.zeros(len(part), _UPDATE)
+        rows["no_at"], rows["at"], rows["nav"], rows["reset"] = part["at"].isna(), part["at"].fillna(0), part["nav"], part["reset"].eq(True)
+        held.append(rows)
+        if sum(map(len, held)) >= run_rows:
+            np.save(f"{folder}/{len(runs)}.npy", run())
+            runs.append(np.load(f"{folder}/{len(runs)}.npy", mmap_mode="r"))
+    if held:
+        runs.append(run())
+    return heapq.merge(*map(read, runs), key=lambda r: (r[0], r[1], r[2] != r[2], r[2] if r[2] == r[2] else 0.0, r[3]))
+
+
+def latch(nav: DataFrame, limit: float = config.DRAWDOWN_LIMIT, run_rows: int = RUN_ROWS) -> DataFrame:
+    """A stream of (portfolio, at long, nav, reset boolean) with drawdown and halted, by state per portfolio.
+
+    Each batch of a portfolio is folded in the order of `at` as a whole (of equal ones by nav, then reset), however Spark
+    cuts and orders it; rows of a later batch come after those of earlier ones. A task holds run_rows rows of a portfolio
+    and a block of each sorted file, not the batch.
+    """
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         peak, halted = state.get if state.exists else (0.0, False)
-        for part in parts:
-            part = part.sort_values("at")
-            down, out = [], []
-            for value, reset in zip(part.nav, part.reset, strict=True):
-                peak = max(peak, value)
-                drawdown = (value - peak) / peak if peak > 0 else 0.0
-                halted = False if reset else halted or drawdown < -limit
-                down.append(drawdown)
-                out.append(halted)
-            yield part.assign(drawdown=down, halted=out)[["portfolio", "at", "nav", "drawdown", "halted"]]
+        with tempfile.TemporaryDirectory() as folder:
+            rows = _ordered(parts, folder, run_rows)
+            while block := list(itertools.islice(rows, BLOCK)):
+                down, out = [], []
+                for _, _, value, reset in block:
+                    peak = max(peak, value)
+                    drawdown = (value - peak) / peak if peak > 0 else 0.0
+                    halted = False if reset else halted or drawdown < -limit
+                    down.append(drawdown)
+                    out.append(halted)
+                at = pd.array([None if r[0] else r[1] for r in block], "Int64")
+                yield pd.DataFrame({"portfolio": [key[0]] * len(block), "at": at, "nav": [r[2] for r in block], "drawdown": down, "halted": out})
         state.update((peak, halted))
 
     return nav.groupBy("portfolio").applyInPandasWithState(step, "portfolio string, at long, nav double, drawdown double, halted boolean", "peak double, halted boolean", "append", GroupStateTimeout.NoTimeout)
