@@ -207,6 +207,21 @@ def test_shards(spark):
     assert (one.size, one.text_crc32) == (7, zlib.crc32(b"text 8"))
 
 
+@pytest.mark.parametrize("n", [1, 7, 8, 15, 23])
+def test_a_further_shard_takes_rows_only_into_itself(spark, n):
+    got = sharding.sharded(frame(spark, [(i, f"text {i % 50}") for i in range(3000)]), n).collect()
+    assert len(got) == 3000 and all(r.grown_shard in (r.shard, n) for r in got)
+    for column, k in (("shard", n), ("grown_shard", n + 1)):
+        sizes = [sum(r[column] == s for r in got) for s in range(k)]
+        assert sum(sizes) == 3000 and 0.6 * 3000 / k < min(sizes) and max(sizes) < 1.5 * 3000 / k
+
+
+def test_weights_hold_below_the_base_tree(spark):
+    ids = spark.range(20_000)
+    counts = {r.s: r["count"] for r in ids.groupBy(sharding.shard_of(F.col("id"), 5, {2: 4.0}).alias("s")).count().collect()}
+    assert counts[2] == pytest.approx(10_000, rel=0.05) and all(counts[s] == pytest.approx(2500, rel=0.1) for s in (0, 1, 3, 4))
+
+
 def test_language_and_quality_hold_out(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

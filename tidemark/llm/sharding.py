@@ -20,15 +20,16 @@ from .shared import table
 
 N_SHARDS = 16
 RACKS, SHARDS = 2, 4
+#: Shards of the base tree. Fixed: another size would move rows among old shards.
+BASE = 16
 #: Rows of a slot-numbering cell, about.
 CELL_ROWS = 20_000
 
 
 def tree(n: int) -> list[list[list[int]]]:
-    """Regions of racks of shard numbers: whole regions first, then a branch for each shard left over."""
-    whole = n // (RACKS * SHARDS) * (RACKS * SHARDS)
-    regions = [[[r + k * SHARDS + s for s in range(SHARDS)] for k in range(RACKS)] for r in range(0, whole, RACKS * SHARDS)]
-    return regions + [[[s]] for s in range(whole, n)]
+    """Regions of racks of shard numbers: the base tree, then a branch for each further shard."""
+    regions = [[[r + k * SHARDS + s for s in range(SHARDS)] for k in range(RACKS)] for r in range(0, BASE, RACKS * SHARDS)]
+    return regions + [[[s]] for s in range(BASE, n)]
 
 
 def _draw(key: Column, name: str, weight: float) -> Column:
@@ -51,7 +52,10 @@ def shard_of(key: Column, n: int, weights: dict[int, float] | None = None) -> Co
         first = region[0][0]
         racks = [(f"rack {rack[0]}", sum(map(w, rack)), _descend(key, [(f"shard {s}", w(s), F.lit(s)) for s in rack])) for rack in region]
         regions.append((f"region {first}", sum(x[1] for x in racks), _descend(key, racks)))
-    return _descend(key, regions).cast("int")
+    leaf = _descend(key, regions)
+    if n < BASE:
+        leaf = F.when(leaf < n, leaf).otherwise(_descend(key, [(f"instead {s}", w(s), F.lit(s)) for s in range(n)]))
+    return leaf.cast("int")
 
 
 def sharded(docs: DataFrame, n: int = N_SHARDS, cell_rows: int = CELL_ROWS) -> DataFrame:
