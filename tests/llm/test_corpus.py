@@ -151,6 +151,35 @@ def test_urls(spark):
     assert two[2] == two[3] == "block"
 
 
+def test_links_are_resolved_like_a_browser(spark):
+    from urllib.parse import urljoin
+
+    to = "b.html ../x ../../../x ./ .. . ?p=2 ?u=http://q.test/ /h /g/../h?a#b d/./e/../f/ //o.test/1 http://o.test/a/../b?x=1&amp;y=2 ?a=1&amp;b=2 c?d=../e #top c#d /?x".split()
+    bases = ["http://A.net/d/e/page?q=1#f", "https://b.test", "http://c.test/", "http://d.test/x/"]
+    plain = lambda u: re.sub(r"^[^/?#]*", lambda m: m[0].lower(), u.split("://", 1)[1].split("#")[0])
+    rows, want = [], set()
+    for base in bases:
+        for k, x in enumerate(to):
+            tag = f'<link rel="canonical" href="{x}">' if k % 2 else f'<meta http-equiv="refresh" content="0; url={x}">'
+            rows.append((len(rows), base, tag))
+            absolute = x.replace("&amp;", "&")
+            # urls in full keep their path here
+            end = absolute if "://" in absolute.split("?")[0] else urljoin(base, absolute)
+            if plain(end) != plain(base):
+                want.add((plain(base), plain(end)))
+    based = '<base href="../z/"><link rel=canonical href=b>'
+    rows += [(900, "http://e.test/a/b/c", based), (901, "http://f.test/", '<link rel="canonical" href="mailto:x@y.test">')]
+    want.add(("e.test/a/b/c", "e.test/a/z/b"))
+    got = {tuple(r) for r in urls.links(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_a_block_reaches_aliases_by_relative_links(spark):
+    rows = [(1, "http://g.test/d/a", '<link rel="canonical" href="b.html">'), (2, "http://g.test/d/b.html", '<meta http-equiv="refresh" content="0; url=../x?p=1&amp;q=2">'), (3, "http://g.test/x?p=1&q=2", '<link rel="canonical" href="http://A.net/y">'), (4, "http://g.test/d/c", "")]
+    got = {r.page_id: r.verdict for r in urls.verdicts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow"}
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 

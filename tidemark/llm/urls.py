@@ -7,7 +7,9 @@ a block decides the other members. Pages that no class decides are allowed.
 
 Nodes of the graph are urls without scheme and fragment, numbered in a written table; only urls with links enter it.
 Nulls: a null url, and one without `://`, has empty host and path and no rule; a null html has no links. Repeated pages
-are each judged. Links relative to a host are resolved, other relative links are not followed.
+are each judged. Relative targets are resolved against the page's url, or its base element, and `&amp;` in them is read
+as `&`; urls that are written in full, pages' own and targets', keep their path as it is. Targets of another kind of
+scheme (`mailto:x`) lead to no page.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ URL = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
 CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
 
+BASE = r"""(?is)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
+SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
+
 
 def _lowered(host: Column) -> Column:
     return F.translate(host, string.ascii_uppercase, string.ascii_lowercase)
@@ -53,12 +58,31 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> D
     return out.withColumns({"rule": rule, "own": own})
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that starts with / without its . and .. segments."""
+    parts = F.split(F.substr(path, F.lit(2)), "/")
+    step = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.array_append(done, x))
+    end = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.lit("/"), F.array_join(F.concat(F.aggregate(parts, F.array().cast("array<string>"), step), end), "/"))
+
+
+def _resolved(to: Column, base: Column) -> Column:
+    """The url that a link leads to from base, with any scheme; null if it isn't one of a page."""
+    to = F.regexp_replace(to, "(?i)&(amp|#38|#x26);", "&")
+    path, rest = F.regexp_extract(to, "^[^?#]*", 0), F.regexp_extract(to, "(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(_path(base), "(?s)^.*/", 0)
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    here = F.when(rest.startswith("?"), F.concat(F.lit("x://"), _host(base), _path(base), rest)).otherwise(F.concat(F.lit("x://"), _node(base)))
+    out = F.when(to.rlike(f"{SCHEME}//"), to).when(to.rlike(SCHEME), F.lit(None)).when(to.startswith("//"), F.concat(F.lit("x:"), to))
+    return out.when(path == "", here).otherwise(F.concat(F.lit("x://"), _host(base), _without_dots(whole), rest))
+
+
 def links(pages: DataFrame) -> DataFrame:
     """(source, target) nodes that a page's canonical link and redirect join."""
     linked = pages.where(F.col("html").rlike("(?i)canonical|http-equiv") & F.col("url").contains("://"))
-    found = linked.select("url", F.explode(F.concat(F.regexp_extract_all("html", F.lit(CANONICAL), 1), F.regexp_extract_all("html", F.lit(REFRESH), 1))).alias("to"))
-    whole = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(F.lit("x:"), "to")).when(F.col("to").startswith("/"), F.concat(F.lit("x://"), _host(F.col("url")), "to"))
-    return found.select(_node(F.col("url")).alias("source"), _node(whole).alias("target")).where("target is not null and source != target").distinct()
+    found = linked.select("url", F.regexp_extract("html", BASE, 1).alias("base"), F.explode(F.concat(F.regexp_extract_all("html", F.lit(CANONICAL), 1), F.regexp_extract_all("html", F.lit(REFRESH), 1))).alias("to"))
+    found = found.withColumn("base", F.when(F.col("base") == "", F.col("url")).otherwise(F.coalesce(_resolved(F.col("base"), F.col("url")), F.col("url"))))
+    return found.select(_node(F.col("url")).alias("source"), _node(_resolved(F.col("to"), F.col("base"))).alias("target")).where("target is not null and target != '' and source != target").distinct()
 
 
 def verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
