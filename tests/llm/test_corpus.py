@@ -264,6 +264,21 @@ def test_language_and_quality_hold_out(spark):
     assert quality.score(frame(spark, [(1, "abc"), (2, None)]), quality.train(docs.limit(0).select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet"))).where("quality_score != 0.5").count() == 0
 
 
+def test_quality_learns_from_all_chosen_rows_and_whole_texts(spark):
+    ids = [i for i in range(3000) if zlib.crc32(str(i).encode()) % quality.FOLDS]
+    rows = [(i, f"<{i:05d}>" * 60 + " ".join(WORDS[: i % 20]) * (i % 2)) for i in range(3000)]
+    rows = [(i, x if i % 7 else x + " " * (9000 - len(x)) + "".join(random.Random(i).choices(string.ascii_letters, k=3000))) for i, x in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    model = quality.train(docs, labels)
+    for q, text in ((1, model.good), (0, model.bad)):
+        n = sum(i % 2 == q for i in ids)
+        seen = {m for m in re.findall(rb"<(\d{5})>", text)}
+        assert len(text) <= quality.DICTIONARY_BYTES and len(seen) > 0.8 * (n - n // 3) > 448
+    cut = quality.train(docs.withColumn("text", F.expr("left(text, 8192)")), labels)
+    assert model.weights != pytest.approx(cut.weights, rel=1e-6)
+
+
 def test_sql_is_text_of_registered_queries():
     sql = registry.oracle_sql()
     assert sql.keys() <= registry.queries().keys() and all(isinstance(x, str) for x in sql.values())

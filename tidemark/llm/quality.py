@@ -4,7 +4,8 @@ A text is compressed with both; the difference of the two compressed sizes over
 compresses at all, becomes a probability by logistic calibration on labelled rows that went into neither dictionary.
 
 Only labelled rows outside the held-out fold are learnt from, at most MAX_TRAIN of them by the order of a hash of the
-document id; of those, two thirds feed the dictionaries and one third the calibration. Everything is scored.
+document id; of those, two thirds feed the dictionaries, each with a slice, and one third, whole, the calibration.
+Tasks cut the slices and compress; only slices and features reach the driver. Everything is scored.
 Nulls: a null text scores as an empty one. Empty texts get the score of the calibration at zero difference. Rows of
 labels with a null doc_id or quality, and repeated labels that contradict one another, teach nothing. Empty tables
 of labels give the constant score 0.5. Extra columns are carried by score() and ignored otherwise.
@@ -21,11 +22,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import materialise, table
 
-#: Labelled rows that training may use, and bytes of each of them.
+#: Labelled rows that training may use.
 MAX_TRAIN = 6000
-TRAIN_BYTES = 8192
 DICTIONARY_BYTES = 112 << 10
 LEVEL = 3
 FOLDS = 5
@@ -60,12 +60,14 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def _interleaved(rows: list[bytes], size: int) -> bytes:
-    """Up to size bytes, a slice of each text."""
-    if not rows:
-        return b""
-    share = max(256, size // len(rows))
-    return b"".join(x[:share] for x in rows)[:size]
+def _slices(lengths: list[int], size: int) -> list[tuple[int, int]]:
+    """(start, bytes) of a slice of each text, size bytes in all at most, from all parts of the texts; what short texts leave goes to longer ones."""
+    n, left, out = len(lengths), size, [(0, 0)] * len(lengths)
+    for k, i in enumerate(sorted(range(n), key=lengths.__getitem__)):
+        share = min(lengths[i], left // (n - k))
+        out[i] = ((lengths[i] - share) * i // max(1, n - 1), share)
+        left -= share
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
@@ -89,14 +91,33 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     for q in (0, 1):
         best = clean.where(F.col("q") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train // 2)
         chosen = best if chosen is None else chosen.unionByName(best)
-    rows = docs.select("doc_id", F.expr(f"left(text, {TRAIN_BYTES})").alias("text")).join(F.broadcast(chosen.select("doc_id", "q")), "doc_id").where("text is not null and text != ''").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("q").alias("q")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    parts = {(q, part): [r.text.encode() for i, r in enumerate(x for x in rows if x.q == q) if (i % 3 == 2) == part] for q in (0, 1) for part in (False, True)}
-    model = Model(_interleaved(parts[1, False], DICTIONARY_BYTES), _interleaved(parts[0, False], DICTIONARY_BYTES), [0.0] * 4)
-    if not (parts[0, True] and parts[1, True] and model.good and model.bad):
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "q")), "doc_id").where("text is not null and text != ''").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("q").alias("q"))
+    texts = materialise(texts.select("doc_id", "q", F.col("text").cast("binary").alias("raw")))
+    rows = texts.select("doc_id", "q", F.octet_length("raw").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    parts = {(q, part): [r for i, r in enumerate(x for x in rows if x.q == q) if (i % 3 == 2) == part] for q in (0, 1) for part in (False, True)}
+    if not all(parts.values()):
         return Model(b"", b"", [0.0] * 4)
-    x = np.array([model.features(t) for q in (0, 1) for t in parts[q, True]])
-    y = np.array([q for q in (0, 1) for _ in parts[q, True]], float)
-    model.weights = _logistic(x, y)
+    key = docs.schema["doc_id"].dataType.simpleString()
+    cuts = {r.doc_id: cut for q in (0, 1) for r, cut in zip(parts[q, False], _slices([r.n for r in parts[q, False]], DICTIONARY_BYTES), strict=True)}
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(d, x[cuts[d][0] : sum(cuts[d])]) for d, x in zip(b.column("doc_id").to_pylist(), b.column("raw").to_pylist(), strict=True) if d in cuts]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], b.schema.field("doc_id").type), pa.array([x for _, x in got], pa.binary())], ["doc_id", "piece"])
+
+    pieces = {r.doc_id: bytes(r.piece) for r in texts.select("doc_id", "raw").mapInArrow(cut_out, f"doc_id {key}, piece binary").collect()}
+    good, bad = (b"".join(pieces[r.doc_id] for r in parts[q, False]) for q in (1, 0))
+    model = Model(good, bad, [0.0] * 4)
+    held = docs.sparkSession.sparkContext.broadcast((model, {r.doc_id for q in (0, 1) for r in parts[q, True]}))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, wanted = held.value
+        for b in batches:
+            got = [(d, q, model.features(x)) for d, q, x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "q", "raw")), strict=True) if d in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in got], b.schema.field("doc_id").type), pa.array([q for _, q, _ in got], pa.int32()), pa.array([x for _, _, x in got], pa.list_(pa.float64()))], ["doc_id", "q", "x"])
+
+    found = sorted(texts.select("doc_id", "q", "raw").mapInArrow(measured, f"doc_id {key}, q int, x array<double>").collect(), key=lambda r: r.doc_id)
+    model.weights = _logistic(np.array([list(r.x) for r in found]), np.array([r.q for r in found], float))
     return model
 
 
