@@ -97,6 +97,17 @@ def test_impact_falls_back_without_volume(spark):
     assert got == pytest.approx([0.002, -0.002, 0.002])
 
 
+def test_routed_orders_move_weights_by_the_execution_price_and_halt(spark):
+    rows = [("P", DAY, 1, "X", "BUY", 400, False), ("P", DAY, 2, "X", "BUY", 50, False), ("P", DAY, 3, "X", "SELL", 1, True), ("P", DAY, 4, "X", "SELL", 1, None)]
+    orders = spark.createDataFrame(rows, "portfolio string, date date, l_orderkey long, symbol string, side string, quantity long, halted boolean")
+    orders = orders.selectExpr("*", "1 AS l_linenumber", "1L AS l_partkey", "1L AS l_suppkey", "100D AS price", "400D AS adv", "0.2D AS sigma")
+    got = X.route(orders, [("X", "X", 1e-8)], {}).orderBy("l_orderkey").collect()
+    # the first fill costs 120 a share: a weight of 0.048, so that 0.005 more is beyond the limit
+    assert [r.status for r in got] == ["FILLED", "STOCK_LIMIT", "CIRCUIT_BREAKER", "FILLED"]
+    assert (got[0].fill_price, got[0].commission, got[0].slippage_bps) == pytest.approx((120, 2, 200))
+    assert got[3].slippage_bps == pytest.approx(-10) and got[1].commission is None and got[2].fill_price is None
+
+
 def test_quotes_with_crossed_or_missing_sides_go(spark):
     rows = spark.createDataFrame([(1, 1.0, 1.5), (2, 2.0, 1.5), (3, None, 1.0), (4, 0.0, 1.0)], "event_id long, bid double, ask double")
     assert [r.event_id for r in Q.valid(rows).collect()] == [1]

@@ -251,7 +251,8 @@ add("exec_price", lambda s, d: priced(s, d).select(*_KEYS, "execution_price"), f
 def order_routing(s: SparkSession, d: str) -> DataFrame:
     c = clean(s, d)
     matrix = [(r.t1, r.t2, r.cov) for r in P.covariance(c).collect()]  # of the universe's few tickers
-    rows = X.with_liquidity(ledger(s, d), c).select("portfolio", "date", *_KEYS, F.col("expected_price").alias("price"), "adv", "sigma")
+    # as in the reference's wiring, no NAV reaches the router's breaker, so it never halts here
+    rows = X.with_liquidity(ledger(s, d), c).select("portfolio", "date", *_KEYS, F.col("expected_price").alias("price"), "adv", "sigma", F.lit(False).alias("halted"))
     return X.route(rows, matrix, dict(config.SECTORS))
 
 

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import rolling as R
 
+#: Slippage of a fill as a part of its impact.
+SLIPPAGE = 0.1
+
 
 def impact(side: Column, quantity: Column, adv: Column, sigma: Column) -> Column:
     """Signed square-root impact; without volume an unsigned 10 bp per 10,000 shares, without volatility 2 %."""
@@ -72,9 +75,10 @@ def portfolio_risk(cov: DataFrame, equity: DataFrame, latched: DataFrame) -> Dat
 
 
 def route(orders: DataFrame, cov: list[tuple[str, str, float]], sectors: dict[str, str], value: float = config.INITIAL_CAPITAL) -> DataFrame:
-    """Each portfolio's orders one after the other: VaR gate, position limits, impact, fill, and new weights for the next.
+    """Each portfolio's orders one after the other: VaR gate, breaker, position limits, impact, commission, fill with slippage, and new weights for the next.
 
-    orders: (portfolio, date, symbol, side, quantity, price, adv, sigma, order keys). An order's fate depends on the fills
+    orders: (portfolio, date, symbol, side, quantity, price, adv, sigma, halted, order keys); halted: the breaker stops the
+    order. Weights move by the execution price; slippage is a tenth of the impact and isn't part of the price. An order's fate depends on the fills
     before it, so a portfolio is one group; portfolios run in parallel. cov is the covariance of a few symbols.
     """
     s = {(a, b): c for a, b, c in cov}
@@ -97,6 +101,8 @@ def route(orders: DataFrame, cov: list[tuple[str, str, float]], sectors: dict[st
             form = sum(new.get(a, 0.0) * new.get(b, 0.0) * s.get((a, b), 0.0) for a in names for b in names)
             if z * math.sqrt(max(form, 0.0)) / total > var_limit:
                 return "VAR_LIMIT"
+        if r.halted:
+            return "CIRCUIT_BREAKER"
         if weights.get(r.symbol, 0.0) + d > stock:
             return "STOCK_LIMIT"
         mine = sectors.get(r.symbol, "Other")
@@ -106,13 +112,14 @@ def route(orders: DataFrame, cov: list[tuple[str, str, float]], sectors: dict[st
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         weights: dict[str, float] = {}
-        part = part.sort_values(["date", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
-        status, prices = [], []
+        part = part.assign(halted=part["halted"].eq(True)).sort_values(["date", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+        status, prices, costs, slips = [], [], [], []
         for r in part.itertuples():
             what = decided(weights, r)
             status.append(what)
             if what != "FILLED":
-                prices.append(None)
+                for x in (prices, costs, slips):
+                    x.append(None)
                 continue
             if not r.adv or math.isnan(r.adv) or r.adv <= 0:
                 move = 0.001 * r.quantity / 10000
@@ -120,8 +127,11 @@ def route(orders: DataFrame, cov: list[tuple[str, str, float]], sectors: dict[st
                 sigma = r.sigma if r.sigma and not math.isnan(r.sigma) and r.sigma > 0 else 0.02
                 move = sigma * math.sqrt(abs(r.quantity) / r.adv) * (1 if r.side == "BUY" else -1)
             prices.append(r.price * (1 + move))
-            d = r.quantity * r.price / value
+            costs.append(config.COMMISSION * r.quantity)
+            slips.append(move * 10000 * SLIPPAGE)
+            d = r.quantity * prices[-1] / value
             weights[r.symbol] = weights.get(r.symbol, 0.0) + (d if r.side == "BUY" else -d)
-        return part.assign(status=status, fill_price=pd.Series(prices, index=part.index, dtype=float))[["portfolio", "l_orderkey", "l_linenumber", "symbol", "side", "quantity", "status", "fill_price"]]
+        doubles = {k: pd.Series(x, index=part.index, dtype=float) for k, x in (("fill_price", prices), ("commission", costs), ("slippage_bps", slips))}
+        return part.assign(status=status, **doubles)[["portfolio", "l_orderkey", "l_linenumber", "symbol", "side", "quantity", "status", *doubles]]
 
-    return orders.groupBy("portfolio").applyInPandas(fold, "portfolio string, l_orderkey long, l_linenumber int, symbol string, side string, quantity long, status string, fill_price double")
+    return orders.groupBy("portfolio").applyInPandas(fold, "portfolio string, l_orderkey long, l_linenumber int, symbol string, side string, quantity long, status string, fill_price double, commission double, slippage_bps double")
