@@ -7,6 +7,8 @@ import string
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,8 +64,8 @@ def test_components(spark, one_task):
     assert got == want
 
 
-def test_suffixes(spark):
-    rows = corpus() + [(5, corpus()[5][1] + "!")]  # two rows of one id
+def removed(rows):
+    """By brute force: of each doc_id its (bytes, removed bytes, removed runs, sha256 of the rest), a tuple a row."""
     seen, want = set(), {}
     for doc, text in sorted(rows, key=lambda r: (r[0], r[1] or "")):
         raw = (text or "").encode()
@@ -76,17 +78,55 @@ def test_suffixes(spark):
         rest = bytes(b for b, h in zip(raw, hit, strict=True) if not h)
         runs = len([x for x in "".join("x" if h else " " for h in hit).split() if x])
         want.setdefault(doc, []).append((len(raw), sum(hit), runs, hashlib.sha256(rest).hexdigest()))
-    for chunk in (2000, 1 << 24):
-        for known in (0, 1000):
-            got = {}
-            for r in suffixes.deduplicated(frame(spark, rows), False, chunk, known).collect():
-                got.setdefault(r[0], []).append(tuple(r)[1:])
-            assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    return want
+
+
+@pytest.mark.parametrize(("alphabet", "depth"), [(1, 5), (2, 3), (2, 40), (3, 100)])
+def test_suffix_ranks(alphabet, depth):
+    draw = random.Random(alphabet * depth)
+    for n in (0, 1, 2, 3, 4, 50, 301):
+        s = [draw.randrange(alphabet) for _ in range(n)]
+        rank = suffixes.suffix_ranks(np.array(s, np.int64), depth)
+        order = sorted(range(n), key=lambda i: rank[i])
+        assert sorted(rank.tolist()) == list(range(n))
+        assert [s[i : i + depth] for i in order] == sorted(s[i : i + depth] for i in range(n))
+
+
+def test_suffixes(spark):
+    rows = corpus() + [(5, corpus()[5][1] + "!"), (None, corpus()[7][1])]  # two rows of one id, one without
+    want = removed([(-(2**63) if d is None else d, t) for d, t in rows])
+    want[None] = want.pop(-(2**63))
+    for chunk, hot in ((2000, 4 << 20), (2000, 300), (1 << 24, 4 << 20)):
+        got = {}
+        for r in suffixes.deduplicated(frame(spark, rows), False, chunk, hot).collect():
+            got.setdefault(r[0], []).append(tuple(r)[1:])
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
     whole = suffixes.deduplicated(frame(spark, rows))
     assert whole.columns == ["doc_id", "text", "n", "token", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     assert whole.where("doc_id = 900").first().text is None
 
 
+def test_suffixes_compare_bytes_not_fingerprints(spark, monkeypatch):
+    """With fingerprints of a few bits nearly everything collides, and nothing is removed wrongly."""
+    draw = random.Random(3)
+    rows = [(i, "".join(draw.choice("ab ") for _ in range(300))) for i in range(30)]
+    rows[7] = (7, rows[2][1][50:200] + rows[7][1])
+    plain = suffixes.Prefixes.slices
+    monkeypatch.setattr(suffixes.Prefixes, "slices", lambda self, a, z: (plain(self, a, z) & np.uint64(7)) << np.uint64(30))
+    data, cut = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8), np.arange(31) * 300
+    hashes = suffixes.Prefixes.of_bytes(data)
+    at, _ = suffixes.sampled(cut)
+    names = hashes.slices(at, at + suffixes.WINDOW)
+    assert len(np.unique(names)) <= 8
+    bundle = next(suffixes._bundled(type("B", (), {"value": np.zeros(0, np.int64)}))(iter([pa.RecordBatch.from_pylist([{"doc_id": d, "text": t} for d, t in rows])])))
+    kept = pa.table({"chunk": [0], "bucket": pa.array([0], pa.int64()), "names": [suffixes.squeezed(np.unique(names.astype(np.uint32)))]})
+    split = suffixes._split(0, 2)(pa.Table.from_batches([bundle]), kept)
+    rest = split.filter(pc.greater_equal(split.column("bucket"), 0))
+    found = [suffixes._decided(rest.filter(pc.equal(rest.column("bucket"), b))) for b in sorted(set(rest.column("bucket").to_pylist()))]
+    starts = [s for f in found for x in f.column("data") for s in zip(*(c.tolist() for c in suffixes.parted(x.as_py(), 3)[0]), strict=True)]
+    assert {(d, s + k) for d, s, n in starts for k in range(n)} == {(7, s) for s in range(51)}
+
+
 def test_jaccard(spark):
     rows = corpus()
     sets = {}

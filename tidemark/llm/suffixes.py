@@ -1,24 +1,25 @@
-"""Exact removal of repeated byte strings, by difference-cover sampling of suffixes.
+"""Exact removal of repeated byte strings by a distributed difference-cover suffix sort.
 
 Every byte covered by a string of LENGTH bytes that also starts earlier (in a smaller doc_id, or before in the same
-document) goes. Only prefixes of LENGTH bytes matter, so suffixes need not be ordered beyond that, and names are 64-bit
-fingerprints of prefixes instead of ranks of triples: equal prefixes get equal names at once, without recursion.
-
-1.  Sample: positions whose residue modulo PERIOD lies in COVER. Any two positions have a common shift below PERIOD
-    that takes both into the sample; so whatever starts two equal strings of LENGTH bytes has, at that shift, two sampled
-    suffixes sharing LENGTH - PERIOD + 1 = WINDOW bytes. Names of sampled windows are sorted in buckets, and those
-    next to an equal one are kept.
-2.  Merge: the remaining suffixes that can repeat are those with a kept sample at most PERIOD - 1 bytes on. Their
-    names of LENGTH bytes are sorted in buckets and adjacent equals compared.
-3.  Chunks are ranges of doc_id, so the first owner of a name is the smallest chunk that has it: only names travel,
-    as sorted, difference-coded sets, one per chunk and bucket, which no repeated passage can make large. Within a
-    chunk the order of documents decides.
-
-Documents equal to an earlier one as a whole are found by digest; up to KNOWN_COPIES of them stay out of the sets (the
-earlier one stands for them), more go the common way, with the same result.
+document) goes. Suffixes are ordered by their first LENGTH bytes, which is all that this needs.
+
+1.  Sample: positions of a document whose residue modulo PERIOD lies in COVER. Any two positions have a common shift
+    below PERIOD that takes both into the sample; so whatever starts two equal strings of LENGTH bytes has, at that shift,
+    two sampled suffixes sharing LENGTH - PERIOD + 1 = WINDOW bytes. Fingerprints of sampled windows are sorted in
+    buckets; suffixes whose fingerprint has no equal are settled and discarded. A collision only keeps one too many.
+2.  Split: starts with a kept sample at most PERIOD - 1 bytes on may repeat. Equal strings have equal minimizers (the
+    GRAM bytes in them with the least hash), so each run of starts with one minimizer goes, as one piece of text, to
+    that minimizer's bucket. A chunk sends each distinct piece once: what it holds again is decided at once.
+3.  Sort: each bucket orders the suffixes of its distinct pieces by difference cover modulo 3: triples at sampled
+    positions are sorted and named, the names sorted by recursion, the remaining suffixes merged in. Then the first
+    LENGTH bytes of neighbours are compared as bytes, and of equal ones the earliest start stays.
+
+Chunks are ranges of doc_id of about equal size. A very common passage meets different text around it in every document,
+which would make its minimizers' buckets large: pieces of buckets above HOT_BYTES are cut anew by the grams outside such
+buckets, as often as that helps.
 
 Nulls: a null text is empty; texts under LENGTH bytes lose nothing. A null doc_id sorts first. Rows that share a doc_id are
-ordered by their text. Other columns are carried along; an empty table gives an empty result.
+ordered by their text, in one chunk. Other columns are carried along; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,19 +34,27 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import Prefixes, give_back, lean, materialise, table, texts
+from .shared import Prefixes, give_back, lean, materialise, mixed, table, utf8
 
 LENGTH = 100
 PERIOD = 57
 #: A perfect difference cover modulo 57.
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 WINDOW = LENGTH - PERIOD + 1
-#: Text bytes of a chunk, about.
+GRAM = 16
+#: Text bytes of a chunk, about; buckets of pieces for each chunk.
 CHUNK_BYTES = 16 << 20
-KNOWN_COPIES = 1_000_000
-_SAMPLED = np.isin(np.arange(PERIOD), COVER)
+BUCKETS = 4
+#: Bytes of pieces above which a bucket is cut anew, at most ROUNDS times.
+HOT_BYTES = 4 << 20
+ROUNDS = 3
+#: Text bytes that a task works on at a time.
+PART = 1 << 20
+MEASURES = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 _FIRST = -(1 << 63)
+_TOP = np.uint64(1 << 63)
 
 
 def squeezed(values: np.ndarray) -> bytes:
@@ -59,65 +68,171 @@ def expanded(data: bytes, kind: type) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(kind), dtype=kind)
 
 
-def sampled(text: np.ndarray, hashes: Prefixes) -> tuple[np.ndarray, np.ndarray]:
-    """Sampled positions of a text and the names of their windows."""
-    n = len(text) - WINDOW + 1
-    at = np.flatnonzero(np.resize(_SAMPLED, n))
-    return at, hashes.slices(at, at + WINDOW)
-
-
-def candidates(text: np.ndarray, kept: np.ndarray, drop: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """Starts that may repeat and the names of their LENGTH bytes; kept: names of repeated samples, shifted by drop."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    if len(text) < LENGTH or not len(kept):
-        return none
-    hashes = Prefixes.of_bytes(text)
-    at, names = sampled(text, hashes)
-    names >>= drop
-    found = at[kept[np.minimum(np.searchsorted(kept, names), len(kept) - 1)] == names]
-    if not len(found):
-        return none
-    cover = np.zeros(len(text) + 1, np.int32)
-    np.add.at(cover, np.maximum(found - PERIOD + 1, 0), 1)
-    np.add.at(cover, found + 1, -1)
-    starts = np.flatnonzero(np.cumsum(cover)[: len(text) - LENGTH + 1])
-    return starts, hashes.slices(starts, starts + LENGTH)
+def joined(columns: list[np.ndarray], blob: bytes = b"") -> bytes:
+    """Columns of 32-bit numbers of one length, and bytes after them."""
+    return zstandard.ZstdCompressor(level=3).compress(np.uint32(len(columns[0])).tobytes() + b"".join(c.astype(np.uint32).tobytes() for c in columns) + blob)
+
+
+def parted(data: bytes, columns: int) -> tuple[list[np.ndarray], bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    at = 4 + 4 * n * columns
+    return [c.astype(np.int64) for c in np.frombuffer(raw, np.uint32, n * columns, 4).reshape(columns, n)], raw[at:]
+
+
+def steps(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each start, so many as its size, end to end."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def parts(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of about PART bytes."""
+    a, n = 0, len(offsets) - 1
+    while a < n:
+        z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PART, "right")) - 1)
+        yield a, z
+        a = z
+
+
+def sampled(cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sampled positions in documents end to end at the cuts, and how many each has."""
+    room = np.maximum(np.diff(cut) - WINDOW + 1, 0)
+    cover = np.array(COVER)
+    n = room // PERIOD * len(cover) + np.searchsorted(cover, room % PERIOD)
+    k = steps(np.zeros(len(n), np.int64), n)
+    return k // len(cover) * PERIOD + cover[k % len(cover)] + np.repeat(cut[:-1], n), n
+
+
+def candidates(cut: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (first start, past the last, document) of starts with a kept sample (found, in order) at most PERIOD - 1 bytes on."""
+    doc = np.searchsorted(cut, found, "right") - 1
+    new = np.flatnonzero(np.concatenate(([True], (np.diff(found) > PERIOD) | (np.diff(doc) > 0)))) if len(found) else np.zeros(0, np.int64)
+    doc = doc[new]
+    last = found[np.append(new[1:] - 1, len(found) - 1)] if len(new) else new
+    first, past = np.maximum(found[new] - PERIOD + 1, cut[doc]), np.minimum(last + 1, cut[doc + 1] - LENGTH + 1)
+    some = past > first
+    return first[some], past[some], doc[some]
+
+
+def pieces(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of starts with one minimizer, given the hashes of all grams of runs of so many starts each.
+
+    A run of n starts has n + LENGTH - GRAM grams. Returns (run, first start in the run, minimizer) of each piece, in order.
+    """
+    wide = LENGTH - GRAM + 1
+    low, span = hashes, 1
+    while 2 * span <= wide:
+        low, span = np.minimum(low[:-span], low[span:]), 2 * span
+    low = np.minimum(low[: len(low) - (wide - span)], low[wide - span :])
+    at = np.cumsum(sizes + wide - 1) - (sizes + wide - 1)
+    low, run, first = low[steps(at, sizes)], np.repeat(np.arange(len(sizes)), sizes), steps(np.zeros(len(sizes), np.int64), sizes)
+    new = np.flatnonzero((first == 0) | np.concatenate(([True], low[1:] != low[:-1])))
+    return run[new], first[new], low[new]
+
+
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each hash, of 2**buckets; the top bit doesn't count."""
+    return ((hashes << np.uint64(1)) >> np.uint64(64 - buckets)).astype(np.int64)
+
+
+def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of the suffixes of s (numbers from 0) in the order of their first depth numbers at least.
+
+    Suffixes that agree so far have neighbouring ranks in any order. Beyond its end s counts as smaller than any number.
+    """
+    n = len(s)
+    t = np.zeros(n + 3, np.int64)
+    t[:n] = s
+    t[:n] += 1
+    if n < 3:
+        rank = np.empty(n, np.int64)
+        rank[np.lexsort((t[1 : n + 1], t[:n]))] = np.arange(n)
+        return rank
+    bits = int(t.max()).bit_length()
+    one, two = np.arange(1, n, 3), np.arange(2, n, 3)
+    at = np.concatenate((one, two))
+
+    def triple(x: np.ndarray, y: np.ndarray, z: np.ndarray, wide: int) -> np.ndarray:
+        if 2 * bits + wide > 63:
+            return np.unique(x << bits | y, return_inverse=True)[1] << wide | z
+        return (x << bits | y) << wide | z
+
+    key = triple(t[at], t[at + 1], t[at + 2], bits)
+    order = np.argsort(key)
+    names = np.empty(len(at), np.int64)
+    names[order] = np.cumsum(np.concatenate(([0], key[order[1:]] != key[order[:-1]])))
+    if depth > 3 and names[order[-1]] + 1 < len(at):
+        inner = suffix_ranks(np.concatenate((names[: len(one)] + 1, [0], names[len(one) :] + 1)), -(-depth // 3))
+        names = np.concatenate((inner[: len(one)], inner[len(one) + 1 :]))
+        order = np.argsort(names)
+    rank = np.zeros(n + 3, np.int64)
+    rank[at] = names + 1
+    high = int(rank.max()).bit_length()
+    zero = np.arange(0, n, 3)
+    zero = zero[np.argsort(t[zero] << high | rank[zero + 1])]
+    rest = at[order]
+    first, second = rest[rest % 3 == 1], rest[rest % 3 == 2]
+    below = np.searchsorted(t[first] << high | rank[first + 1], t[zero] << high | rank[zero + 1])
+    both = np.concatenate((second, zero))
+    both = triple(t[both], t[both + 1], rank[both + 2], high)
+    below += np.searchsorted(both[: len(second)], both[len(second) :])
+    below = np.maximum.accumulate(below)
+    out = np.empty(n, np.int64)
+    out[zero] = below + np.arange(len(zero))
+    out[rest] = np.arange(len(rest)) + np.searchsorted(below, np.arange(len(rest)), "right")
+    return out
+
+
+def equal_starts(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The starts in suffix order, and where in it a new string of LENGTH bytes begins."""
+    rank = suffix_ranks(text, LENGTH)
+    starts = starts[np.argsort(rank[starts])]
+    words = np.zeros(max(0, len(text) - 7), np.uint64)
+    for k in range(8):
+        words |= text[k : len(text) - 7 + k].astype(np.uint64) << np.uint64(8 * k)
+    same = np.ones(max(0, len(starts) - 1), bool)
+    for k in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
+        w = words[starts + k]
+        same &= w[1:] == w[:-1]
+    return starts, np.flatnonzero(np.concatenate(([True], ~same))) if len(starts) else np.zeros(0, np.int64)
 
 
 def _chunk_of(ids: pa.Array, bounds: np.ndarray) -> np.ndarray:
     return np.searchsorted(bounds, ids.fill_null(_FIRST).to_numpy(), "left")
 
 
-def _is_copy(ids: pa.Array, copies: np.ndarray) -> np.ndarray:
-    return np.isin(ids.fill_null(_FIRST).to_numpy(), copies)
+def _sample_sets(bounds, bits: int) -> Callable:
+    """(bucket, chunk, many, names): fingerprints of sampled windows as sorted sets, those that a task met again apart."""
 
-
-def _sample_sets(bounds, copies, bits: int) -> Callable:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
         n = 0
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            for chunk, parts in sorted(held.items()):
-                names, times = np.unique(np.concatenate(parts), return_counts=True)
+            for chunk, own in sorted(held.items()):
+                names, times = np.unique(np.concatenate(own), return_counts=True)
                 cut = np.searchsorted(names >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64))
                 rows = []
                 for bucket, (a, z) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
-                    for many in (False, True):
-                        own = names[a:z][(times[a:z] > 1) == many].astype(np.uint32)
-                        if len(own):
-                            rows.append((bucket, chunk, many, squeezed(own)))
+                    for many in (False, True) if z > a else ():
+                        some = names[a:z][(times[a:z] > 1) == many].astype(np.uint32)
+                        if len(some):
+                            rows.append((bucket, chunk, many, squeezed(some)))
                 if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "chunk", "many", "names"), r, strict=True)) for r in rows], pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("many", pa.bool_()), ("names", pa.binary())]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["bucket", "chunk", "many", "names"])
             held.clear()
 
         for b in batches:
-            chunks, skip = _chunk_of(b.column(0), bounds.value), _is_copy(b.column(0), copies.value)
-            for text, chunk, copy in zip(texts(b.column(1)), chunks.tolist(), skip.tolist(), strict=True):
-                if len(text) >= LENGTH and not copy:
-                    names = sampled(text, Prefixes.of_bytes(text))[1] >> np.uint64(32 - bits)
-                    held.setdefault(chunk, []).append(names)
-                    n += len(names)
+            chunks = _chunk_of(b.column(0), bounds.value)
+            data, offsets = utf8(b.column(1))
+            for a, z in parts(offsets):
+                at, count = sampled(offsets[a : z + 1] - offsets[a])
+                names = Prefixes.of_bytes(data[offsets[a] : offsets[z]]).slices(at, at + WINDOW) >> np.uint64(32 - bits)
+                of = np.repeat(chunks[a:z], count)
+                for chunk in np.unique(chunks[a:z]).tolist():
+                    held.setdefault(chunk, []).append(names[of == chunk])
+                n += len(names)
                 if n > 4_000_000:
                     yield from flushed()
                     n = 0
@@ -126,6 +241,24 @@ def _sample_sets(bounds, copies, bits: int) -> Callable:
     return made
 
 
+def _kept_samples(sets: pa.Table) -> pa.Table:
+    """Of each chunk the fingerprints of its samples that any chunk has again."""
+    lists = [expanded(x.as_py(), np.uint32) for x in sets.column("names")]
+    sizes = [len(p) for p in lists]
+    names, chunk, many = np.concatenate(lists), np.repeat(sets.column("chunk").to_numpy(), sizes), np.repeat(sets.column("many").to_numpy(), sizes)
+    order = np.lexsort((chunk, names))
+    names, chunk, many = names[order], chunk[order], many[order]
+    again = np.concatenate(([False], names[1:] == names[:-1]))
+    again |= np.append(again[1:], False) | many
+    names, chunk = names[again], chunk[again]
+    order = np.argsort(chunk, kind="stable")
+    names, chunk = names[order], chunk[order]
+    own, at = np.unique(chunk, return_index=True)
+    bucket = sets.column("bucket")[0].as_py()
+    packed = [squeezed(np.unique(x)) for x in np.split(names, at[1:])] if len(own) else []
+    return pa.table({"chunk": pa.array(own, pa.int64()), "bucket": pa.array([bucket] * len(own), pa.int64()), "names": pa.array(packed, pa.binary())})
+
+
 def _bundled(bounds) -> Callable:
     """Rows as compressed bundles, each of one chunk."""
 
@@ -134,10 +267,10 @@ def _bundled(bounds) -> Callable:
         n = 0
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            for chunk, parts in sorted(held.items()):
+            for chunk, own in sorted(held.items()):
                 sink = io.BytesIO()
-                with pa.ipc.new_stream(sink, parts[0].schema) as out:
-                    out.write_table(pa.Table.from_batches(parts).combine_chunks())
+                with pa.ipc.new_stream(sink, own[0].schema) as out:
+                    out.write_table(pa.Table.from_batches(own).combine_chunks())
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([zstandard.ZstdCompressor(level=3).compress(sink.getvalue())], pa.binary())], ["chunk", "rows"])
             held.clear()
 
@@ -146,7 +279,7 @@ def _bundled(bounds) -> Callable:
             for chunk in np.unique(chunks).tolist():
                 held.setdefault(chunk, []).append(b.take(pa.array(np.flatnonzero(chunks == chunk))))
             n += b.nbytes
-            if n > 48 << 20:
+            if n > 32 << 20:
                 yield from flushed()
                 n = 0
         yield from flushed()
@@ -161,162 +294,239 @@ def _unbundled(bundles: pa.Table) -> pa.Table:
     order = np.argsort(ids, kind="stable")
     if len(np.unique(ids)) < len(ids):
         order = pc.sort_indices(pa.table({"i": ids, "t": got.column("text").fill_null("")}), [("i", "ascending"), ("t", "ascending")]).to_numpy()
+    elif (order == np.arange(len(order))).all():
+        return got.combine_chunks()
     return got.take(pa.array(order)).combine_chunks()
 
 
-def _sets(answers: pa.Table, kind: str, bits: int) -> np.ndarray:
-    """All names that answers of a kind hold, in order; the bucket gives the upper bits."""
-    width, type_ = (32, np.uint32) if kind == "samples" else (64 - bits, np.uint64)
-    parts = sorted((r["bucket"], r["names"]) for r in answers.to_pylist() if r["kind"] == kind)
-    out = [(np.uint64(b) << np.uint64(width) if width < 64 else np.uint64(0)) | expanded(x, type_).astype(np.uint64) for b, x in parts]
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+def _column(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    column = rows.column("text")
+    return utf8(column.chunk(0) if column.num_chunks == 1 else column.combine_chunks())
+
+
+def _rows(found: list[tuple]) -> pa.Table:
+    bucket, chunk, size, data = zip(*found, strict=True) if found else ((), (), (), ())
+    return pa.table({"bucket": pa.array(bucket, pa.int64()), "chunk": pa.array(chunk, pa.int64()), "size": pa.array(size, pa.int64()), "data": pa.array(data, pa.binary())})
+
+
+def _bucketed(chunk: int, bucket: np.ndarray, doc: np.ndarray, start: np.ndarray, texts: list[bytes]) -> list[tuple]:
+    """A row (bucket, chunk, size, data) for the pieces of each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, doc, start = bucket[order], doc[order], start[order]
+    sizes = np.array([len(x) for x in texts], np.int64)[order]
+    edges = [*np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist(), len(order)] if len(order) else [0]
+    order = order.tolist()
+    return [(int(bucket[a]), chunk, int(sizes[a:z].sum()), joined([doc[a:z], start[a:z], sizes[a:z]], b"".join([texts[i] for i in order[a:z]]))) for a, z in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _name_sets(copies, bits: int) -> Callable:
+def _split(bits: int, buckets: int) -> Callable:
+    """A chunk's distinct pieces by bucket; under bucket -1 the starts of those that it had before."""
+
     def made(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("names", pa.binary())])
         give_back()  # of the chunk before
-        kept = _sets(right, "samples", bits)
-        if not left.num_rows or not len(kept):
-            return schema.empty_table()
-        rows = _unbundled(left)
-        skip = _is_copy(rows.column(0).combine_chunks(), copies.value)
-        names = [candidates(t, kept, np.uint64(32 - bits))[1] for t, c in zip(_column(rows), skip.tolist(), strict=True) if not c]
-        names = np.unique(np.concatenate(names)) if names else np.zeros(0, np.uint64)
-        return pa.Table.from_pylist([{"bucket": b, "chunk": left.column("chunk")[0].as_py(), "names": squeezed(x)} for b, x in _cut(names, bits)], schema)
+        if not left.num_rows or not right.num_rows:
+            return _rows([])
+        kept = np.concatenate([np.uint64(r["bucket"]) << np.uint64(32) | expanded(r["names"], np.uint32).astype(np.uint64) for r in sorted(right.to_pylist(), key=lambda r: r["bucket"])])
+        chunk = left.column("chunk")[0].as_py()
+        data, offsets = _column(_unbundled(left))
+        seen: set[bytes] = set()
+        new, again = [], []
+        for a, z in parts(offsets):
+            text, cut = data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a]
+            at, _ = sampled(cut)
+            if not len(at):
+                continue
+            hashes = Prefixes.of_bytes(text)
+            names = hashes.slices(at, at + WINDOW) >> np.uint64(32 - bits)
+            first, past, doc = candidates(cut, at[kept[np.minimum(np.searchsorted(kept, names), len(kept) - 1)] == names])
+            if not len(first):
+                continue
+            grams = steps(first, past - first + LENGTH - GRAM)
+            run, start, low = pieces(hashes.slices(grams, grams + GRAM), past - first)
+            ends = np.append(start[1:], 0)
+            ends[np.append(run[1:] != run[:-1], True)] = past - first  # the last piece of a run ends with it
+            begin, count = first[run] + start, ends - start
+            raw, fresh = text.tobytes(), np.zeros(len(run), bool)
+            texts = []
+            for i, (s, n) in enumerate(zip(begin.tolist(), count.tolist(), strict=True)):
+                piece = raw[s : s + n + LENGTH - 1]
+                if piece not in seen:
+                    seen.add(piece)
+                    fresh[i] = True
+                    texts.append(piece)
+            place, where = doc[run] + a, begin - cut[doc[run]]
+            new.append((bucket_of(low, buckets)[fresh], place[fresh], where[fresh], texts))
+            again.append(np.stack((place, where, count))[:, ~fresh])
+        if not new:
+            return _rows([])
+        out = _bucketed(chunk, *(np.concatenate([x[k] for x in new]) for k in range(3)), [t for x in new for t in x[3]])
+        return _rows([*out, (-1, chunk, 0, joined(list(np.concatenate(again, 1))))])
 
     return made
 
 
-def _column(rows: pa.Table) -> Iterator[np.ndarray]:
-    column = rows.column("text")
-    return texts(column.combine_chunks() if isinstance(column, pa.ChunkedArray) and column.num_chunks != 1 else column.chunk(0)) if rows.num_rows else iter(())
-
-
-def _cut(names: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Sorted names by their upper bits, without them."""
-    if not bits:
-        if len(names):
-            yield 0, names
-        return
-    width = np.uint64(64 - bits)
-    at = np.searchsorted(names >> width, np.arange((1 << bits) + 1, dtype=np.uint64))
-    for b, (a, z) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-        if z > a:
-            yield b, names[a:z] & ((np.uint64(1) << width) - np.uint64(1))
-
-
-def _answers(kind: str) -> Callable:
-    """Of each chunk the names it must know of: of samples all that repeat, of names those that a smaller chunk has."""
-
-    def made(sets: pa.Table) -> pa.Table:
-        type_ = np.uint32 if kind == "samples" else np.uint64
-        parts = [expanded(x.as_py(), type_) for x in sets.column("names")]
-        sizes = [len(p) for p in parts]
-        names, chunk = np.concatenate(parts), np.repeat(sets.column("chunk").to_numpy(), sizes)
-        order = np.lexsort((chunk, names))
-        names, chunk = names[order], chunk[order]
-        again = np.concatenate(([False], names[1:] == names[:-1]))
-        if kind == "samples":
-            many = np.repeat(sets.column("many").to_numpy(), sizes)[order]
-            again = again | np.append(again[1:], False) | many
-        else:  # the same chunk may not answer itself
-            starts = np.maximum.accumulate(np.where(again, 0, np.arange(len(names))))
-            again &= chunk != chunk[starts]
-        names, chunk = names[again], chunk[again]
-        order = np.argsort(chunk, kind="stable")
-        names, chunk = names[order], chunk[order]
-        own, at = np.unique(chunk, return_index=True)
-        bucket = sets.column("bucket")[0].as_py()
-        rows = [{"chunk": c, "kind": kind, "bucket": bucket, "names": squeezed(np.unique(x))} for c, x in zip(own.tolist(), np.split(names, at[1:]), strict=True)] if len(own) else []
-        return pa.Table.from_pylist(rows, pa.schema([("chunk", pa.int64()), ("kind", pa.string()), ("bucket", pa.int64()), ("names", pa.binary())]))
-
-    return made
+def _cut_anew(hot, buckets: int) -> Callable:
+    """Pieces of hot buckets by the minimizers among their grams outside such buckets, if there are any."""
 
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                (doc, start, sizes), raw = parted(r["data"], 3)
+                at = np.cumsum(sizes) - sizes
+                grams = steps(at, sizes - GRAM + 1)
+                h = Prefixes.of_bytes(np.frombuffer(raw, np.uint8)).slices(grams, grams + GRAM)
+                lifted = np.zeros(len(h), bool)
+                for known in hot:  # each round's buckets are of another hash
+                    lifted |= np.isin(bucket_of(h, buckets), known)
+                    h = mixed(h + np.uint64(1))
+                run, first, low = pieces(np.where(lifted, h | _TOP, h & ~_TOP), sizes - LENGTH + 1)
+                ends = np.append(first[1:], 0)
+                ends[np.append(run[1:] != run[:-1], True)] = sizes - LENGTH + 1
+                begin = (at[run] + first).tolist()
+                texts = [raw[s : s + n + LENGTH - 1] for s, n in zip(begin, (ends - first).tolist(), strict=True)]
+                yield from _rows(_bucketed(r["chunk"], bucket_of(low, buckets), doc[run], start[run] + first, texts)).to_batches()
 
-def spans(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Maximal runs [first, past) that strings of LENGTH bytes at the starts (in order) cover."""
-    if not len(starts):
-        return np.zeros((0, 2), np.int64)
-    new = np.flatnonzero(np.diff(starts, prepend=starts[0] - LENGTH - 1) > LENGTH)
-    return np.stack((starts[new], np.append(starts[new[1:] - 1], starts[-1]) + LENGTH), 1)
+    return made
 
 
-def _removed(copies, bits: int, fields: pa.Schema, whole: bool) -> Callable:
+def _decided(rows: pa.Table) -> pa.Table:
+    """(chunk, data) of a bucket: the starts (document, start, count) whose strings start earlier elsewhere."""
+    give_back()  # of the bucket before
+    place: dict[bytes, int] = {}
+    best, gone = [], []
+    for chunk, data in sorted(zip(rows.column("chunk").to_pylist(), rows.column("data").to_pylist(), strict=True)):
+        (doc, start, sizes), raw = parted(data, 3)
+        at = 0
+        for d, s, n in zip(doc.tolist(), start.tolist(), sizes.tolist(), strict=True):
+            piece = raw[at : at + n]
+            at += n
+            own = place.setdefault(piece, len(place))
+            if own == len(best):
+                best.append((chunk, d, s))
+            elif best[own] > (chunk, d, s):
+                gone.append((*best[own], n - LENGTH + 1))
+                best[own] = (chunk, d, s)
+            else:
+                gone.append((chunk, d, s, n - LENGTH + 1))
+    text = np.frombuffer(b"".join(place), np.uint8)
+    sizes = np.fromiter(map(len, place), np.int64, len(place))
+    counts, at = sizes - LENGTH + 1, np.cumsum(sizes) - sizes
+    starts, new = equal_starts(text, steps(at, counts))
+    chunk, doc, start = np.array(best, np.int64).T
+    docs, doc_rank = np.unique(np.stack((chunk, doc)), axis=1, return_inverse=True)
+    key = np.zeros(len(text), np.int64)
+    key[steps(at, counts)] = np.repeat(doc_rank.reshape(-1) << 32, counts) + steps(start, counts)
+    key = key[starts]
+    least = np.repeat(np.minimum.reduceat(key, new), np.diff(np.append(new, len(key))))
+    again = np.zeros(len(text) + 1, bool)
+    again[starts[key > least]] = True
+    again = np.flatnonzero(again)
+    piece = np.searchsorted(at, again, "right") - 1
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(again) > 1) | (np.diff(piece) > 0)))) if len(again) else np.zeros(0, np.int64)
+    n, piece, begin = np.diff(np.append(first, len(again))), piece[first], again[first]
+    found = np.concatenate((np.stack((chunk[piece], doc[piece], start[piece] + begin - at[piece], n), 1), np.array(gone, np.int64).reshape(-1, 4)))
+    found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+    own, first = np.unique(found[:, 0], return_index=True)
+    return pa.table({"chunk": pa.array(own, pa.int64()), "data": pa.array([joined(list(x[:, 1:].T)) for x in np.split(found, first[1:])] if len(own) else [], pa.binary())})
+
+
+def spans(offsets: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs (document, first, past) that strings of LENGTH bytes at so many starts each cover."""
+    begin = offsets[doc] + start
+    order = np.argsort(begin, kind="stable")
+    begin, doc, past = begin[order], doc[order], (begin + count + LENGTH - 1)[order]
+    reach = np.maximum.accumulate(past) if len(past) else past
+    new = np.flatnonzero(np.concatenate(([True], (begin[1:] > reach[:-1]) | (doc[1:] != doc[:-1])))) if len(past) else np.zeros(0, np.int64)
+    return doc[new], begin[new] - offsets[doc[new]], (reach[np.append(new[1:] - 1, len(reach) - 1)] if len(new) else reach) - offsets[doc[new]]
+
+
+def _removed(fields: pa.Schema, whole: bool, measures: tuple[str, ...]) -> Callable:
     def made(left: pa.Table, right: pa.Table) -> pa.Table:
-        extra = [pa.field("n_bytes", pa.int64()), pa.field("n_removed", pa.int64()), pa.field("n_spans", pa.int64()), pa.field("kept_sha256", pa.string())]
+        give_back()  # of the chunk before
+        extra = [pa.field(n, t) for n, t in zip(measures, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
         schema = pa.schema([f for f in fields if whole or f.name == "doc_id"] + extra)
         if not left.num_rows:
             return schema.empty_table()
-        give_back()  # of the chunk before
         rows = _unbundled(left)
-        kept, known = _sets(right, "samples", bits), _sets(right, "names", bits)
-        skip = _is_copy(rows.column(0).combine_chunks(), copies.value).tolist()
-        all_ = list(_column(rows))
-        found = [candidates(t, kept, np.uint64(32 - bits)) if not c else (None, np.zeros(0, np.uint64)) for t, c in zip(all_, skip, strict=True)]
-        names = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.uint64)
-        found = [(f[0], len(f[1])) for f in found]
-        repeated = np.ones(len(names), bool)
-        repeated[np.unique(names, return_index=True)[1]] = False
-        if len(known) and len(names):
-            repeated |= known[np.minimum(np.searchsorted(known, names), len(known) - 1)] == names
-        at, out, new = 0, [], []
-        for text, copy, (starts, own) in zip(all_, skip, found, strict=True):
-            if copy:
-                cut = np.array([[0, len(text)]])
-            else:
-                cut = spans(text, starts[repeated[at : at + own]])
-                at += own
-            raw, last, parts = text.tobytes(), 0, []
-            for a, z in cut.tolist():
-                parts.append(raw[last:a])
-                last = z
-            rest = b"".join([*parts, raw[last:]])
-            out.append((len(raw), len(raw) - len(rest), len(cut), hashlib.sha256(rest).hexdigest()))
-            new.append(rest)
+        data, offsets = _column(rows)
+        found = [parted(x.as_py(), 3)[0] for x in right.column("data")]
+        doc, first, past = spans(offsets, *(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3)))
+        cuts: dict[int, list[tuple[int, int]]] = {}
+        for d, a, z in zip(doc.tolist(), first.tolist(), past.tolist(), strict=True):
+            cuts.setdefault(d, []).append((a, z))
+        out, new = [], {}
+        for i, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            raw = data[a:z].tobytes()
+            if i in cuts:
+                last, kept = 0, []
+                for x, y in cuts[i]:
+                    kept.append(raw[last:x])
+                    last = y
+                new[i] = b"".join([*kept, raw[last:]])
+            rest = new.get(i, raw)
+            out.append((len(raw), len(raw) - len(rest), len(cuts.get(i, ())), hashlib.sha256(rest).hexdigest()))
         columns = {f.name: rows.column(f.name) for f in fields if whole or f.name == "doc_id"}
-        if whole and "text" in columns:
+        if whole and new:
             # a cut may fall within a character: its stray bytes go as well
-            columns["text"] = pa.array([None if not t.is_valid else n.decode("utf-8", "ignore") for t, n in zip(rows.column("text"), new, strict=True)], pa.string())
+            columns["text"] = pa.array([new[i].decode("utf-8", "ignore") if i in new else t.as_py() for i, t in enumerate(rows.column("text"))], pa.string())
         return pa.table(columns | {f.name: pa.array([o[i] for o in out], f.type) for i, f in enumerate(extra)}, schema=schema)
 
     return made
 
 
-def deduplicated(docs: DataFrame, whole: bool = True, chunk_bytes: int = CHUNK_BYTES, known_copies: int = KNOWN_COPIES) -> DataFrame:
-    """docs (doc_id, text, ...) with the remaining text and (n_bytes, n_removed, n_spans, kept_sha256); or doc_id and those."""
+def chunk_bounds(docs: DataFrame, chunks: int) -> np.ndarray:
+    """Fewer than chunks + 1 doc_ids that cut docs into ranges of about equal bytes: coarse parts first, then each part by itself."""
+    if chunks == 1:
+        return np.zeros(0, np.int64)
+    units = F.sequence(F.lit(0), F.coalesce((F.octet_length("text") / 4096).cast("int"), F.lit(0)))
+    weighted = materialise(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(units).alias("unit")).select("doc_id"))
+    coarse = int(np.ceil(chunks**0.5))
+    fine = -(-chunks // coarse)
+    quantiles = lambda n: F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("q")
+    outer = np.unique(np.array(weighted.agg(quantiles(coarse)).first().q or [], np.int64)) if coarse > 1 else np.zeros(0, np.int64)
+    if fine == 1:
+        return outer
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_chunk_of(b.column(0), outer)), b.column(0)], ["part", "doc_id"])
+
+    inner = weighted.mapInArrow(part, "part long, doc_id long").groupBy("part").agg(quantiles(fine)).collect()
+    return np.unique(np.concatenate([outer, *(np.array(r.q, np.int64) for r in inner)]))
+
+
+def deduplicated(docs: DataFrame, whole: bool = True, chunk_bytes: int = CHUNK_BYTES, hot_bytes: int = HOT_BYTES, measures: tuple[str, ...] = MEASURES) -> DataFrame:
+    """docs (doc_id, text, ...) with the remaining text and the measures (bytes, removed bytes, removed runs, sha256 of the rest); or doc_id and those."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256")))
-    sizes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
-    chunks = max(1, -(-sizes.b // chunk_bytes))
-    bits = max(0, min(31, (chunks - 1).bit_length()))
-    cuts = sorted({*docs.where("doc_id is not null").approxQuantile("doc_id", [i / chunks for i in range(1, chunks)], 0.1 / chunks)} if chunks > 1 else ())
-    bounds = spark.sparkContext.broadcast(np.array([int(c) for c in cuts], np.int64))
-
-    keyed = docs.where(f"octet_length(text) >= {LENGTH} and doc_id is not null").select("doc_id", F.sha2("text", 256).alias("key"))
-    first = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    # a doc_id with rows of several texts is no plain copy
-    single = keyed.groupBy("doc_id").agg(F.count("*").alias("rows"), F.first("key").alias("key")).where("rows = 1")
-    copied = materialise(single.join(first, "key").where("doc_id > first").select("doc_id"))
-    known = copied.count() <= known_copies
-    copies = spark.sparkContext.broadcast(np.sort(np.array([r.doc_id for r in copied.collect()] if known else [], np.int64)))
-
-    samples = docs.select("doc_id", "text").mapInArrow(lean(_sample_sets(bounds, copies, bits)), "bucket long, chunk long, many boolean, names binary")
-    answer = "chunk long, kind string, bucket long, names binary"
-    about = materialise(samples.groupBy("bucket").applyInArrow(_answers("samples"), answer))
-    bundles = docs.mapInArrow(lean(_bundled(bounds)), "chunk long, rows binary")
-    texts_only = docs.select("doc_id", "text").mapInArrow(lean(_bundled(bounds)), "chunk long, rows binary")
-    names = texts_only.groupBy("chunk").cogroup(about.groupBy("chunk")).applyInArrow(_name_sets(copies, bits), "bucket long, chunk long, names binary")
-    about_names = materialise(names.groupBy("bucket").applyInArrow(_answers("names"), answer))
-    fields = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in docs.schema])
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if whole or f.name == "doc_id"] + ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"])
-    return (bundles if whole else texts_only).groupBy("chunk").cogroup(about.unionByName(about_names).groupBy("chunk")).applyInArrow(_removed(copies, bits, fields, whole), schema)
-
-
-def _arrow(kind):
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
+    docs = docs.select("doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text", *measures)))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
+    chunks = max(1, -(-size // chunk_bytes))
+    bits = min(31, (chunks - 1).bit_length())
+    buckets = min(40, (BUCKETS * chunks - 1).bit_length())
+    bounds = spark.sparkContext.broadcast(chunk_bounds(docs, chunks))
+
+    only = docs.select("doc_id", "text")
+    sets = only.mapInArrow(lean(_sample_sets(bounds, bits)), "bucket long, chunk long, many boolean, names binary")
+    kept = sets.groupBy("bucket").applyInArrow(_kept_samples, "chunk long, bucket long, names binary")
+    bundled = only.mapInArrow(lean(_bundled(bounds)), "chunk long, rows binary")
+    schema = "bucket long, chunk long, size long, data binary"
+    split = materialise(bundled.groupBy("chunk").cogroup(kept.groupBy("chunk")).applyInArrow(_split(bits, buckets), schema))
+    before, settled, open_, hot = split.where("bucket = -1").select("chunk", "data"), [], split.where("bucket >= 0"), []
+    for _ in range(ROUNDS):
+        found = [r.bucket for r in open_.groupBy("bucket").agg(F.sum("size").alias("size")).where(F.col("size") > hot_bytes).select("bucket").collect()]
+        if not found:
+            break
+        hot.append(np.array(found, np.int64))
+        known = spark.createDataFrame([(x,) for x in found], "bucket long")
+        settled.append(open_.join(F.broadcast(known), "bucket", "left_anti"))
+        open_ = materialise(open_.join(F.broadcast(known), "bucket", "left_semi").select("bucket", "chunk", "size", "data").mapInArrow(lean(_cut_anew(hot[:], buckets)), schema))
+    decided = before
+    for each in [*settled, open_]:
+        decided = decided.unionByName(each.groupBy("bucket").applyInArrow(_decided, "chunk long, data binary"))
+    fields = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in docs.schema])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if whole or f.name == "doc_id"] + [f"`{n}` {t}" for n, t in zip(measures, ("long", "long", "long", "string"), strict=True)])
+    bundles = docs.mapInArrow(lean(_bundled(bounds)), "chunk long, rows binary") if whole else bundled
+    return bundles.groupBy("chunk").cogroup(decided.groupBy("chunk")).applyInArrow(_removed(fields, whole, measures), schema)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
