@@ -12,7 +12,8 @@ document) goes. Suffixes are ordered by their first LENGTH bytes, which is all t
     that minimizer's bucket. A chunk sends each distinct piece once: what it holds again is decided at once.
 3.  Sort: each bucket orders the suffixes of its distinct pieces by difference cover modulo 3: triples at sampled
     positions are sorted and named, the names sorted by recursion, the remaining suffixes merged in. Then the first
-    LENGTH bytes of neighbours are compared as bytes, and of equal ones the earliest start stays.
+    LENGTH bytes of neighbours are compared as bytes, and of equal ones the earliest start stays. Before that, suffixes
+    whose fingerprint of LENGTH bytes has no equal in the bucket are discarded as in the first step.
 
 Chunks are ranges of doc_id of about equal size. A very common passage meets different text around it in every document,
 which would make its minimizers' buckets large: pieces of buckets above HOT_BYTES are cut anew by the grams outside such
@@ -132,8 +133,8 @@ def pieces(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of each hash, of 2**buckets; the top bit doesn't count."""
-    return ((hashes << np.uint64(1)) >> np.uint64(64 - buckets)).astype(np.int64)
+    """The bucket of each minimizer, of 2**buckets; minimizers are small, so they are spread first; the top bit doesn't count."""
+    return (mixed(hashes << np.uint64(1)) >> np.uint64(64 - buckets)).astype(np.int64)
 
 
 def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
@@ -185,9 +186,9 @@ def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
 
 
 def equal_starts(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The starts in suffix order, and where in it a new string of LENGTH bytes begins."""
-    rank = suffix_ranks(text, LENGTH)
-    starts = starts[np.argsort(rank[starts])]
+    """The order of the starts' suffixes, and where in it a new string of LENGTH bytes begins."""
+    order = np.argsort(suffix_ranks(text, LENGTH)[starts])
+    starts = starts[order]
     words = np.zeros(max(0, len(text) - 7), np.uint64)
     for k in range(8):
         words |= text[k : len(text) - 7 + k].astype(np.uint64) << np.uint64(8 * k)
@@ -195,7 +196,7 @@ def equal_starts(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     for k in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
         w = words[starts + k]
         same &= w[1:] == w[:-1]
-    return starts, np.flatnonzero(np.concatenate(([True], ~same))) if len(starts) else np.zeros(0, np.int64)
+    return order, np.flatnonzero(np.concatenate(([True], ~same))) if len(starts) else np.zeros(0, np.int64)
 
 
 def _chunk_of(ids: pa.Array, bounds: np.ndarray) -> np.ndarray:
@@ -370,8 +371,8 @@ def _cut_anew(hot, buckets: int) -> Callable:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                (doc, start, sizes), raw = parted(r["data"], 3)
+            for chunk, packed in zip(b.column("chunk").to_pylist(), b.column("data"), strict=True):
+                (doc, start, sizes), raw = parted(packed.as_py(), 3)
                 at = np.cumsum(sizes) - sizes
                 grams = steps(at, sizes - GRAM + 1)
                 h = Prefixes.of_bytes(np.frombuffer(raw, np.uint8)).slices(grams, grams + GRAM)
@@ -384,7 +385,7 @@ def _cut_anew(hot, buckets: int) -> Callable:
                 ends[np.append(run[1:] != run[:-1], True)] = sizes - LENGTH + 1
                 begin = (at[run] + first).tolist()
                 texts = [raw[s : s + n + LENGTH - 1] for s, n in zip(begin, (ends - first).tolist(), strict=True)]
-                yield from _rows(_bucketed(r["chunk"], bucket_of(low, buckets), doc[run], start[run] + first, texts)).to_batches()
+                yield from _rows(_bucketed(chunk, bucket_of(low, buckets), doc[run], start[run] + first, texts)).to_batches()
 
     return made
 
@@ -411,13 +412,22 @@ def _decided(rows: pa.Table) -> pa.Table:
     text = np.frombuffer(b"".join(place), np.uint8)
     sizes = np.fromiter(map(len, place), np.int64, len(place))
     counts, at = sizes - LENGTH + 1, np.cumsum(sizes) - sizes
-    starts, new = equal_starts(text, steps(at, counts))
+    starts = steps(at, counts)
+    names = Prefixes.of_bytes(text).slices(starts, starts + LENGTH)
+    order = np.argsort(names)
+    equal = names[order[1:]] == names[order[:-1]]
+    repeated = np.zeros(len(starts), bool)
+    repeated[order] = np.append(equal, False) | np.append(False, equal)
     chunk, doc, start = np.array(best, np.int64).T
-    docs, doc_rank = np.unique(np.stack((chunk, doc)), axis=1, return_inverse=True)
-    key = np.zeros(len(text), np.int64)
-    key[steps(at, counts)] = np.repeat(doc_rank.reshape(-1) << 32, counts) + steps(start, counts)
-    key = key[starts]
-    least = np.repeat(np.minimum.reduceat(key, new), np.diff(np.append(new, len(key))))
+    doc_rank = np.unique(np.stack((chunk, doc)), axis=1, return_inverse=True)[1].reshape(-1)
+    key = (np.repeat(doc_rank << 32, counts) + steps(start, counts))[repeated]
+    starts = starts[repeated]  # the others' strings have no equal: discarded
+    first = np.flatnonzero(np.diff(starts, prepend=-2) > 1)
+    runs = np.diff(np.append(first, len(starts)))
+    wide = runs + LENGTH - 1
+    order, new = equal_starts(text[steps(starts[first], wide)], steps(np.cumsum(wide) - wide, runs))
+    starts, key = starts[order], key[order]
+    least = np.repeat(np.minimum.reduceat(key, new), np.diff(np.append(new, len(key)))) if len(key) else key
     again = np.zeros(len(text) + 1, bool)
     again[starts[key > least]] = True
     again = np.flatnonzero(again)
