@@ -141,6 +141,36 @@ def test_jaccard(spark):
     assert want[902] == want[903] == 902
 
 
+def thue_morse():
+    """Two different words that meet under every polynomial hash modulo 2**64."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_words_do_not_meet(spark):
+    a, b = thue_morse()
+    assert not set(jaccard.shingles(np.frombuffer(a.encode(), np.uint8))) & set(jaccard.shingles(np.frombuffer(b.encode(), np.uint8)))
+    got = jaccard.linked(frame(spark, [(1, a), (2, b), (3, a.upper())])).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1}
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = bpe.tokenizer_path(name)
+        got = {r.doc_id: r.ids for r in bpe.encoded(frame(spark, [(1, a), (2, b)]), path).collect()}
+        assert got == {1: bpe.library(path).encode(a, add_special_tokens=False).ids, 2: bpe.library(path).encode(b, add_special_tokens=False).ids}
+
+
+def test_common_shingles_in_blocks(monkeypatch):
+    monkeypatch.setattr(jaccard, "WIDE", 3)
+    draw = random.Random(2)
+    sets = [sorted(draw.sample(range(-20, 20), draw.randint(0, 15))) for _ in range(12)]
+    lists = pa.array(sets, pa.list_(pa.int64()))
+    some, others = np.array([1, 4, 7]), np.array([0, 2, 3, 11])
+    both, before = jaccard._common(jaccard._flat(lists, some), jaccard._flat(lists, others), (3, 4), 2)
+    assert both.tolist() == [[len({*sets[i]} & {*sets[j]}) for j in others] for i in some]
+    assert before.tolist() == [[len({x for x in {*sets[i]} & {*sets[j]} if x < 2}) for j in others] for i in some]
+
+
 def test_decontaminate(spark):
     rows = corpus()
     items = [(1, " ".join(rows[0][1].split()[:12])), (2, "One"), (3, None), (4, ""), (5, " ".join(rows[7][1].upper().split()[:25])), (5, "zzz qqq"), (None, rows[1][1])]
@@ -262,6 +292,23 @@ def test_bpe_equals_the_library(spark, name, most):
         assert trip == {d: hashlib.sha256(t.decode(got[d], skip_special_tokens=False).encode()).hexdigest() for d in got}
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_of_one_hash_and_new_characters(name):
+    path = bpe.tokenizer_path(name)
+    split, library = bpe.Splitter(path), bpe.library(path)
+    # characters that Python's tables don't have but the library's may, and a sample of all others
+    points = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and (bpe.unknown()[i] and bpe.classes()[i] != 3 or i % 211 == 0 or i < 0x600)]
+    texts = [" ".join(f"a{chr(c)}b 1{chr(c)}2 {chr(c)}'s{chr(c)}" for c in points[a : a + 16]) for a in range(0, len(points), 16)]
+    docs = list(bpe._docs(iter(texts), split))
+    words = {h: p[0][a:z] for d in docs for p in d if isinstance(p, tuple) for a, z, h in zip(*(x.tolist() for x in p[1:]), strict=True)}
+    h = pa.array(np.array(list(words), np.uint64).view(np.int64))
+    last = [w if i % 5 else w + "?" for i, w in enumerate(words.values())]  # every fifth word shares its hash with another
+    batch = next(bpe._encoder(path)(iter([pa.RecordBatch.from_arrays([h, pa.array(words.values()), pa.array(last)], ["h", "word", "last"])])))
+    table = bpe.Table(pa.chunked_array([batch.column(0)]), pa.chunked_array([batch.column(1)]), split.kind)
+    assert len(table.shared) == -(-len(words) // 5)
+    assert [bpe.doc_ids(d, table, path).tolist() for d in docs] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_shards(spark):
     rows = [(i, f"text {i % 50}") for i in range(3000)] + [(7, "text 7"), (None, None)]
     got = sharding.sharded(frame(spark, rows), cell_rows=40).collect()

@@ -8,7 +8,8 @@
 4.  Decode: a join of the ids with the vocabulary's id-to-piece table, pieces put together in order.
 
 Words may be encoded by themselves because the pre-tokenizer never lets a merge cross them. The strings of added tokens
-are cut out first, as the library does. Two words of one hash stop the job rather than pass unseen.
+are cut out first, as the library does. Where two words have one hash the table has no ids, and each task encodes those
+words itself. Which characters are letters, numbers or white space is read off the library.
 
 Nulls: a null text encodes as an empty one, to no ids. Repeated rows are each encoded; extra columns of docs are ignored
 by encoded(); an empty table gives an empty result.
@@ -33,8 +34,8 @@ from .shared import Prefixes, lean, materialise, mixed, table
 
 #: Of the word table in the tasks' memory: 12 bytes a word and two or four an id; fewer than 2**32 ids.
 BROADCAST_BYTES = 192 << 20
-#: Documents of a chunk where the table is too large for that, about.
-CHUNK_DOCS = 4000
+#: Text bytes of a chunk of documents where the table is too large for that, about.
+CHUNK_BYTES = 8 << 20
 #: Distinct words that a task remembers having passed on.
 REMEMBERED = 1 << 19
 
@@ -47,19 +48,34 @@ def tokenizer_path(name: str) -> str:
 
 @functools.cache
 def classes() -> np.ndarray:
-    """Of each code point: 0 white space, 1 letter, 2 number, 3 other."""
+    """Of each code point: 0 white space, 1 letter, 2 number, 3 other, as the library sees it."""
+    from tokenizers import Regex, normalizers
+
+    every = "".join(chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000)
     out = np.full(sys.maxunicode + 1, 3, np.uint8)
-    for i in range(sys.maxunicode + 1):
-        c = unicodedata.category(chr(i))[0]
-        if c == "L":
-            out[i] = 1
-        elif c == "N":
-            out[i] = 2
-    # fixed values: the white space of Unicode
-    out[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = 0
+    for kind, pattern in enumerate((r"[^\s]+", r"[^\p{L}]+", r"[^\p{N}]+")):
+        out[np.frombuffer(normalizers.Replace(Regex(pattern), "").normalize_str(every).encode("utf-32-le"), np.uint32)] = kind
     return out
 
 
+@functools.cache
+def unknown() -> np.ndarray:
+    """Of each code point, whether Python's tables don't have it."""
+    return np.fromiter((unicodedata.category(chr(i)) == "Cn" for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+@functools.cache
+def library(path: str):
+    """The library's tokenizer without truncation and padding, one a process."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
 #: What may follow an apostrophe to make a word of its own.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -72,6 +88,7 @@ class Splitter:
         with open(path) as f:
             spec = json.load(f)
         self.spaced = spec["pre_tokenizer"]["type"] == "ByteLevel"
+        self.path = path
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         #: Of ids in word tables.
         self.kind = np.dtype("<u2" if max(max(spec["model"]["vocab"].values()), *self.added.values()) < 1 << 16 else "<u4")
@@ -92,6 +109,8 @@ class Splitter:
             return text
         if text.isascii():
             return text.lower()
+        if unknown()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any():
+            return library(self.path).normalizer.normalize_str(text)
         text = unicodedata.normalize("NFC", text)
         return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
@@ -126,7 +145,8 @@ class Splitter:
         if not self.spaced:
             kept = ~space[starts]
             starts, ends = starts[kept], ends[kept]
-        return starts, ends, Prefixes(mixed(cp.astype(np.uint64) + np.uint64(0x9E37))).slices(starts, ends)
+        hashes = Prefixes(mixed(cp.astype(np.uint64) + np.uint64(0x9E37)))
+        return starts, ends, hashes.words(starts, ends, lambda a, z: cp[a:z].tobytes())
 
 
 def _docs(texts: Iterator[str | None], split: Splitter) -> Iterator[list]:
@@ -179,23 +199,17 @@ def _distinct(path: str) -> Callable:
 
 def _encoder(path: str) -> Callable:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t, kind = Tokenizer.from_file(path), Splitter(path).kind
-        t.no_truncation()
-        t.no_padding()
+        t, kind = library(path), Splitter(path).kind
         for b in batches:
-            if any(x != y for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                raise ValueError("two words have one hash")
             ids = [np.array(e.ids, kind).tobytes() for e in t.encode_batch(b.column(1).to_pylist(), add_special_tokens=False)]
+            ids = [None if x != y else i for i, x, y in zip(ids, b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["h", "ids"])
 
     return encoded
 
 
 def word_table(docs: DataFrame, path: str) -> DataFrame:
-    """(h, ids binary) of every distinct word of docs' texts, written."""
+    """(h, ids binary) of every distinct word of docs' texts, written; ids is null where several words have one hash."""
     words = docs.select("text").mapInArrow(lean(_distinct(path)), "h long, word string")
     once = words.groupBy("h").agg(F.min("word").alias("word"), F.max("word").alias("last"))
     return materialise(once.mapInArrow(lean(_encoder(path)), "h long, ids binary"))
@@ -220,6 +234,8 @@ class Table:
                 at += len(data[-1])
         order = np.argsort(h).astype(np.uint32)
         self.h = h[order]
+        #: Hashes of several words.
+        self.shared = np.sort(h[np.concatenate([np.asarray(c.is_null()) for c in ids.chunks])]) if ids.null_count else h[:0]
         if not len(h):
             self.offsets, self.ids = np.zeros(1, np.uint32), np.zeros(0, kind)
             return
@@ -246,9 +262,17 @@ class Table:
         return self.ids[np.repeat(a - ends + n, n) + np.arange(ends[-1])]
 
 
-def doc_ids(doc: list, words: Table) -> np.ndarray:
-    parts = [np.array([p], np.uint32) if isinstance(p, int) else words.of(p[3]) for p in doc]
-    return np.concatenate(parts) if len(parts) > 1 else parts[0]
+def doc_ids(doc: list, words: Table, path: str) -> np.ndarray:
+    parts = []
+    for p in doc:
+        if isinstance(p, int):
+            parts.append(np.array([p], np.uint32))
+        elif len(words.shared) and (odd := np.isin(p[3], words.shared)).any():
+            for i, (a, z) in enumerate(zip(p[1].tolist(), p[2].tolist(), strict=True)):
+                parts.append(np.array(library(path).encode(p[0][a:z], add_special_tokens=False).ids, np.uint32) if odd[i] else words.of(p[3][i : i + 1]))
+        else:
+            parts.append(words.of(p[3]))
+    return np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.zeros(0, np.uint32)
 
 
 def travels(words: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> bool:
@@ -271,11 +295,11 @@ def encode_with(docs: DataFrame, words: DataFrame, path: str, made: Callable, sc
             for b in batches:
                 for a in range(0, b.num_rows, 1000):
                     part = b.slice(a, 1000)
-                    yield made(part.column(0), (doc_ids(d, held.value) for d in _docs((x.as_py() for x in part.column(1)), split)))
+                    yield made(part.column(0), (doc_ids(d, held.value, path) for d in _docs((x.as_py() for x in part.column(1)), split)))
 
         return docs.mapInArrow(lean(joined), schema)
 
-    chunks = max(1, -(-docs.count() // CHUNK_DOCS))
+    chunks = max(1, -(-docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b // CHUNK_BYTES))
     cut = docs.withColumn("chunk", F.pmod(F.xxhash64(key, F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))), F.lit(chunks)))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +315,7 @@ def encode_with(docs: DataFrame, words: DataFrame, path: str, made: Callable, sc
     def met(left: pa.Table, right: pa.Table) -> pa.Table:
         split = Splitter(path)
         words = Table(right.column("h"), right.column("ids"), split.kind)
-        return pa.Table.from_batches([made(left.column(key).combine_chunks(), (doc_ids(d, words) for d in _docs((x.as_py() for x in left.column("text")), split)))])
+        return pa.Table.from_batches([made(left.column(key).combine_chunks(), (doc_ids(d, words, path) for d in _docs((x.as_py() for x in left.column("text")), split)))])
 
     wanted = cut.select("chunk", "text").mapInArrow(asked, "chunk long, h long").distinct().join(words, "h")
     return cut.groupBy("chunk").cogroup(wanted.select("chunk", "h", "ids").groupBy("chunk")).applyInArrow(met, schema)

@@ -44,7 +44,9 @@ VERIFY_COST = 8.0
 #: Counters of the sketch, as a power of two, and the parts in which it is added up.
 SKETCH_BITS, SKETCH_PARTS = 22, 64
 #: Members of a posting list that one task compares with those outside its largest component.
-CELL = 4096
+CELL = 1024
+#: Members and common shingles that are counted at a time.
+BLOCK, WIDE = 512, 4096
 #: Ids that are broadcast at most (some 50 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -62,7 +64,7 @@ def shingles(text: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     if not len(starts):
         return np.zeros(0, np.uint64)
-    words = Prefixes(_LOWERED[text]).slices(starts, ends)
+    words = Prefixes(_LOWERED[text]).words(starts, ends, lambda a, z: _LOWER[text[a:z]].tobytes())
     n = min(k, len(words))
     h = np.full(len(words) - n + 1, n, np.uint64)
     for i in range(n):
@@ -179,24 +181,55 @@ def _pairs(cell: pa.Table) -> Iterator[pa.RecordBatch]:
     ids, n, demand, component, rest = (cell.column(c).to_numpy() for c in ("doc_id", "n", "matches", "component", "rest"))
     lists = cell.column("tokens").combine_chunks()
     lists = lists if isinstance(lists, pa.ListArray) else lists.chunk(0)
-    vocabulary, where = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    holds = np.zeros((len(ids), len(vocabulary)), np.float32)
-    holds[np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy())), where] = 1
+    token = cell.column("token")[0].as_py()
     spare = n.astype(np.int64) - (n + n.astype(np.int64) * PERCENT // -100 + demand)  # shingles beyond the prefix
-    before = np.searchsorted(vocabulary, cell.column("token")[0].as_py())
-    others = np.flatnonzero(~query)
-    for some in np.array_split(q := np.flatnonzero(query), -(-len(q) // 512)):
-        x, y = some[:, None], others[None, :]
-        fits = (component[x] != component[y]) & (~rest[y] | (ids[x] < ids[y])) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y]))
-        # of two prefixes, all that the one ending first shares with the other set lies in the other's prefix
-        overlap = -(-PERCENT * (n[x].astype(np.int64) + n[y]) // (100 + PERCENT))
-        least = np.maximum(np.minimum(demand[x], demand[y]), overlap - np.maximum(spare[x], spare[y]))
-        fits &= holds[some] @ holds[others].T >= least
-        fits &= holds[some, :before] @ holds[others, :before].T == 0
-        i, j = np.nonzero(fits)
-        if len(i):
-            a, b = ids[some[i]], ids[others[j]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    blocks = lambda x: [(some, _flat(lists, some)) for some in np.array_split(x, -(-len(x) // BLOCK))]
+    asked = blocks(np.flatnonzero(query))
+    for others, theirs in blocks(np.flatnonzero(~query)):
+        for some, own in asked:
+            x, y = some[:, None], others[None, :]
+            fits = (component[x] != component[y]) & (~rest[y] | (ids[x] < ids[y])) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y]))
+            if not fits.any():
+                continue
+            # of two prefixes, all that the one ending first shares with the other set lies in the other's prefix
+            overlap = -(-PERCENT * (n[x].astype(np.int64) + n[y]) // (100 + PERCENT))
+            both, before = _common(own, theirs, (len(some), len(others)), token)
+            fits &= (both >= np.maximum(np.minimum(demand[x], demand[y]), overlap - np.maximum(spare[x], spare[y]))) & (before == 0)
+            i, j = np.nonzero(fits)
+            if len(i):
+                a, b = ids[some[i]], ids[others[j]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _flat(lists: pa.ListArray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of some lists in order, and which of those lists has each."""
+    taken = lists.take(pa.array(some))
+    values, where = taken.flatten().to_numpy(), np.repeat(np.arange(len(some)), np.diff(taken.offsets.to_numpy()))
+    order = np.argsort(values)
+    return values[order], where[order]
+
+
+def _common(own: tuple[np.ndarray, np.ndarray], theirs: tuple[np.ndarray, np.ndarray], shape: tuple[int, int], token: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of lists the number of common shingles, and of those below token."""
+    both, before = np.zeros(shape, np.float32), np.zeros(shape, np.float32)
+    shingles_ = np.intersect1d(own[0], theirs[0])
+    for a in range(0, len(shingles_), WIDE):
+        part = shingles_[a : a + WIDE]
+        x, y = (_marks(side, part, rows) for side, rows in zip((own, theirs), shape, strict=True))
+        both += x @ y.T
+        if (cut := np.searchsorted(part, token)) > 0:
+            before += x[:, :cut] @ y[:, :cut].T
+    return both, before
+
+
+def _marks(side: tuple[np.ndarray, np.ndarray], part: np.ndarray, rows: int) -> np.ndarray:
+    a, z = np.searchsorted(side[0], part[0], "left"), np.searchsorted(side[0], part[-1], "right")
+    values, where = side[0][a:z], side[1][a:z]
+    at = np.searchsorted(part, values)
+    there = part[at] == values
+    out = np.zeros((rows, len(part)), np.float32)
+    out[where[there], at[there]] = 1
+    return out
 
 
 def _verified(pairs: DataFrame, packed: DataFrame, broadcast_ids: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 import os
 import tempfile
 import uuid
@@ -84,7 +85,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Prefixes:
-    """Hashes of any slices of a sequence, from prefix sums of value times power, all modulo 2**64."""
+    """Hashes of any slices of a sequence, from prefix sums of value times power, all modulo 2**64.
+
+    Slices above SHORT values need hashes of another kind (see words()): with a power of two as modulus there are different
+    sequences of some hundred values that meet whatever the base is.
+    """
+
+    SHORT = 32
 
     BASE = 0x9E3779B97F4A7C15
     VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -113,6 +120,13 @@ class Prefixes:
     def slices(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self.sums[ends] - self.sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
 
+    def words(self, starts: np.ndarray, ends: np.ndarray, raw: Callable[[int, int], bytes]) -> np.ndarray:
+        """Hashes of slices of any length, the long ones by a digest of their raw bytes."""
+        out = self.slices(starts, ends)
+        for i in np.flatnonzero(ends - starts > self.SHORT).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(raw(int(starts[i]), int(ends[i])), digest_size=8).digest(), "little")
+        return out
+
 
 def forest(links: list[tuple[np.ndarray, np.ndarray]]) -> dict[int, int]:
     """Each node of the links with the smallest node of its component."""
