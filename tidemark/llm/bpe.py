@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Prefixes, lean, materialise, mixed, table
+from .shared import Prefixes, lean, materialise, mixed, small_batches, table
 
 #: Of the word table in the tasks' memory: 12 bytes a word and two or four an id; fewer than 2**32 ids.
 BROADCAST_BYTES = 192 << 20
@@ -210,6 +210,7 @@ def _encoder(path: str) -> Callable:
 
 def word_table(docs: DataFrame, path: str) -> DataFrame:
     """(h, ids binary) of every distinct word of docs' texts, written; ids is null where several words have one hash."""
+    small_batches(docs.sparkSession)
     words = docs.select("text").mapInArrow(lean(_distinct(path)), "h long, word string")
     once = words.groupBy("h").agg(F.min("word").alias("word"), F.max("word").alias("last"))
     return materialise(once.mapInArrow(lean(_encoder(path)), "h long, ids binary"))

@@ -30,10 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Prefixes, components, lean, materialise, mixed, table, texts
+from .shared import Prefixes, components, lean, materialise, mixed, small_batches, table, texts
 
 SHINGLE = 5
 #: Jaccard similarity of at least PERCENT per cent.
@@ -250,6 +250,7 @@ def _placed(lists: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
 def linked(docs: DataFrame, cell: int = CELL, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
+    small_batches(spark)
     summaries = materialise(docs.mapInArrow(lean(_summaries), "doc_id long, n long, k1 long, k2 long, part int, counts binary"))
     sums = summaries.where("part is not null").groupBy("part").applyInArrow(_added, "part int, counts binary").collect()
     sketch = bytearray(4 << SKETCH_BITS)
@@ -260,10 +261,9 @@ def linked(docs: DataFrame, cell: int = CELL, broadcast_ids: int = BROADCAST_IDS
     rows = summaries.where("part is null").select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2")
     nodes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("node"))
 
-    shared = lambda x: x.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").drop("df")
-    own = docs.mapInArrow(lean(_prefixes(held)), "token long, doc_id long, n int, matches byte")
-    lists = materialise(shared(own))
-    lists = materialise(shared(lists.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")))
+    own = materialise(docs.mapInArrow(lean(_prefixes(held)), "token long, doc_id long, n int, matches byte"))
+    own = own.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    lists = materialise(own.join(own.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"), "token", "left_semi"))
     ids = lists.select("doc_id").distinct()
     few = ids.count() <= broadcast_ids
     packed = materialise(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(lean(_packed), "doc_id long, packed binary"))

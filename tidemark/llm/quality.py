@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialise, table
+from .shared import materialise, small_batches, table
 
 #: Labelled rows that training may use.
 MAX_TRAIN = 6000
@@ -121,16 +121,17 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column quality_score (replacing one of that name)."""
+def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
+    """docs with a column of the given name (replacing one of that name)."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("quality_score")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, quality_score double"
+    kept = docs.drop(name)
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, `{name}` double"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [held.value.score(t.encode()) for t in (x or "" for x in b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], [*b.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], [*b.schema.names, name])
 
     return kept.mapInArrow(scored, schema)
 

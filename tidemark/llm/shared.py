@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 #: Graphs of at most this many links are finished by one bounded task (16 bytes a link).
 ONE_TASK_LINKS = 200_000
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows: whole texts travel in them, and both sides of a worker's pipe hold several."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def give_back() -> None:
     """Returns to the system what the Arrow pool and the C heap keep: workers serve many tasks, and kept peaks add up."""
     pa.default_memory_pool().release_unused()

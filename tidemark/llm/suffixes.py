@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import Prefixes, give_back, lean, materialise, mixed, table, utf8
+from .shared import Prefixes, give_back, lean, materialise, mixed, small_batches, table, utf8
 
 LENGTH = 100
 PERIOD = 57
@@ -508,6 +508,7 @@ def chunk_bounds(docs: DataFrame, chunks: int) -> np.ndarray:
 def deduplicated(docs: DataFrame, whole: bool = True, chunk_bytes: int = CHUNK_BYTES, hot_bytes: int = HOT_BYTES, measures: tuple[str, ...] = MEASURES) -> DataFrame:
     """docs (doc_id, text, ...) with the remaining text and the measures (bytes, removed bytes, removed runs, sha256 of the rest); or doc_id and those."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text", *measures)))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
     chunks = max(1, -(-size // chunk_bytes))
