@@ -5,7 +5,8 @@ and rereads it as the next stage's docs. All stages but the last keep the column
 
 Nulls: a null text is scored as an empty one, is its own group, loses nothing, holds no benchmark words and encodes to no
 ids. A null doc_id is never dropped as a near duplicate or as contaminated. Repeated rows of one doc_id are one document to
-the near-duplicate stage, which keeps one of them. Extra columns pass through to the last stage, which drops them.
+the near-duplicate stage, which keeps the one with the least text. Extra columns of any name and type pass through to the
+last stage, which drops them.
 """
 
 from __future__ import annotations
@@ -28,10 +29,19 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
 
 
+def unused(names: tuple[str, ...], docs: DataFrame) -> tuple[str, ...]:
+    """Names that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while taken & {n.lower() for n in names}:
+        names = tuple(f"_{n}" for n in names)
+    return names
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("quality_score") >= quality.THRESHOLD).select(docs.columns)
+    (score,) = unused(("quality_score",), docs)
+    return quality.score(docs, model, score).where(F.col(score) >= quality.THRESHOLD).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,15 +52,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     if again.isEmpty():
         return kept
     rest = [c for c in docs.columns if c != "doc_id"]
-    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", *(F.col("row").getField(c).alias(c) for c in rest))
+    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.coalesce("text", F.lit(""))).alias("row")).select("doc_id", *(F.col("row").getField(c).alias(c) for c in rest))
     return without(kept, again).select(docs.columns).unionByName(one.select(docs.columns))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings that also start earlier; those of which nothing is left go."""
-    out = suffixes.deduplicated(docs, chunk_bytes=REPEAT_CHUNK).where("n_removed = 0 or n_removed < n_bytes")
+    measures = unused(suffixes.MEASURES, docs)
+    n_bytes, n_removed = measures[:2]
+    out = suffixes.deduplicated(docs, chunk_bytes=REPEAT_CHUNK, measures=measures).where((F.col(n_removed) == 0) | (F.col(n_removed) < F.col(n_bytes)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(n_removed) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
 
 
