@@ -13,6 +13,7 @@ from tidemark.operators import indicators as I
 from tidemark.operators import prices as P
 from tidemark.operators import risk as K
 from tidemark.operators import signals as S
+from tidemark.sources import market as M
 from tidemark.streaming import quotes as Q
 
 DAY = dt.date(2024, 1, 1)
@@ -140,3 +141,81 @@ def test_empty_bars_give_empty_results(spark):
     none = series(spark, [])
     for df in (P.clean(none), P.validate(none), P.missing_bars(none), P.price_gaps(none), I.matrix(P.clean(none))):
         assert df.count() == 0
+
+
+def test_spread_rank_equals_the_window(spark):
+    rows = spark.range(500).select((F.col("id") % 3).alias("g"), F.pmod(F.xxhash64("id"), F.lit(37)).cast("double").alias("x"))
+    got = R.spread_rank(rows, "x", "g", "r", 8).withColumn("w", R.average_rank("x", "g")).where("r != w")
+    assert got.count() == 0
+
+
+def test_boosted_trees_learn_and_name_the_feature():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 5))
+    y = np.digitize(x[:, 3] * x[:, 3], [0.3, 1.2])
+    p, gains = S.boosted(x[:400], y[:400], x[400:])
+    assert np.allclose(p.sum(1), 1) and (p.argmax(1) == y[400:]).mean() > 0.85
+    assert gains.argmax() == 3 and gains[3] > 0.7
+
+
+def test_walk_forward_takes_a_generator_and_costs(spark):
+    days = [dt.date(2020, 1, 1) + dt.timedelta(i) for i in range(400)]
+    rows = spark.createDataFrame([(d, t, (-1.0) ** i, 100.0, 0.01) for i, d in enumerate(days) for t in "AB"], "date date, ticker string, signal double, close double, `return` double")
+    plain, costly = B.walk_forward(rows, rows), B.walk_forward(rows, rows, bps=10.0)
+    mine = B.walk_forward(rows, rows, lambda parts: parts.where("part = 'test'").withColumn("signal", F.lit(1.0)))
+    total = lambda df: df.agg(F.sum("ret")).first()[0]
+    assert total(costly) < total(plain)
+    assert total(mine) == pytest.approx(0.01 * (mine.count() - mine.select("split").distinct().count()))
+    assert B.split_sharpes(plain).first().splits == plain.select("split").distinct().count()
+
+
+def test_reports(spark):
+    days = [(dt.date(2020, 1, 1) + dt.timedelta(i), 0.01 * (-1) ** i + 0.001) for i in range(100)]
+    metrics = B.all_metrics(spark.createDataFrame(days, "date date, ret double"))
+    lines = [r.line for r in B.text_lines(metrics).orderBy("n").collect()]
+    assert lines[0] == "days 100" and "hit_rate 50.00%" in lines
+    page = B.html_report(metrics).first().html
+    assert all(f"<li>{x}</li>" in page for x in lines)
+
+
+def test_source_rows_are_normalised(spark, tmp_path):
+    raw = spark.createDataFrame([("2020-01-02 00:00:00-05:00", 1.0, 5), ("2020-01-03 00:00:00-05:00", None, None), ("2020-01-06 00:00:00-05:00", 2.0, None)], "Date string, `Adj Close` double, Volume long")
+    got = M.normalised(raw)
+    assert got.columns == ["date", "adj_close", "volume"]
+    assert [tuple(r) for r in got.collect()] == [(dt.date(2020, 1, 2), 1.0, 5), (dt.date(2020, 1, 6), 2.0, 0)]
+    raw.write.option("header", True).csv(str(tmp_path / "AAA"))
+    rows, report = M.universe(spark, {"AAA": str(tmp_path / "AAA"), "BBB": str(tmp_path / "BBB")}, "Date string, `Adj Close` double, Volume long")
+    assert rows.count() == 2 and {tuple(r) for r in report.collect()} == {("AAA", False), ("BBB", True)}
+
+
+def test_sinks_caches_and_events(spark, tmp_path):
+    path, calls = str(tmp_path / "cache"), []
+    make = lambda: calls.append(1) or spark.range(3)
+    assert M.cached(spark, path, make).count() == M.cached(spark, path, make).count() == 3 and len(calls) == 1
+    assert M.cached(spark, path, make, force=True).count() == 3 and len(calls) == 2
+    for _ in range(2):
+        M.append_csv(spark.createDataFrame([(1, "a")], "i int, s string"), str(tmp_path / "csv"))
+    assert M.read_csv(spark, str(tmp_path / "csv"), "i int, s string").count() == 2
+    nav = spark.createDataFrame([(dt.date(2020, 1, i), v, False) for i, v in ((1, 100.0), (2, 90.0), (3, 99.0))], "date date, nav double, reset boolean")
+    events = K.risk_events(K.breaker(nav))
+    assert [r.details["nav"] for r in K.filtered(events, "CIRCUIT_BREAKER_TRIGGERED").collect()] == ["90.0"]
+    assert K.filtered(events, since="2020-01-03").count() == 0
+    signals = spark.createDataFrame([(dt.date(2020, 1, 1), "A"), (dt.date(2020, 1, 2), "B")], "date date, ticker string")
+    assert S.read_signals(signals, ticker="A").count() == S.read_signals(signals, first="2020-01-02").count() == 1
+
+
+def test_quote_upsert_stream(spark, tmp_path):
+    t = dt.datetime(2020, 1, 1)
+    quotes = lambda *bids: spark.createDataFrame([(t + dt.timedelta(seconds=i), "A", b) for i, b in bids], "time timestamp, symbol string, bid double")
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for state, rows in ((1, [(0, 1.0), (1, 2.0)]), (1, [(1, 9.0), (2, 3.0)]), (2, [])):  # the second state replays everything
+        if rows:
+            quotes(*rows).write.mode("append").parquet(source)
+        Q.upserted(spark.readStream.schema("time timestamp, symbol string, bid double").parquet(source), out, str(tmp_path / f"state{state}"), every=None).awaitTermination()
+    assert sorted(r.bid for r in spark.read.parquet(out).collect()) == [1.0, 2.0, 3.0]
+    query = Q.upserted(spark.readStream.schema("time timestamp, symbol string, bid double").parquet(source), out, str(tmp_path / "state3"))
+    query.processAllAvailable()
+    query.stop()
+    assert spark.read.parquet(out).count() == 3

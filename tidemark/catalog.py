@@ -6,8 +6,6 @@ so that exact halves don't hang on the last bit, and 0.0 after, so that no -0.0
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,15 +49,22 @@ bars, ledger = M.bars, M.ledger
 
 
 def clean(s: SparkSession, d: str) -> DataFrame:
-    return P.clean(M.bars(s, d))
+    """Clean bars, written once: most queries use them in several places."""
+    return M.written(P.clean(M.bars(s, d)))
+
+
+def traded(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The composite signal and the clean bars that it is of."""
+    c = clean(s, d)
+    return M.written(S.composite(I.matrix(c))), c
 
 
 def signal(s: SparkSession, d: str) -> DataFrame:
-    return S.composite(I.matrix(clean(s, d)))
+    return traded(s, d)[0]
 
 
 def daily(s: SparkSession, d: str) -> DataFrame:
-    return B.daily(signal(s, d), clean(s, d))
+    return M.written(B.daily(*traded(s, d)))
 
 
 def quotes(s: SparkSession, d: str) -> DataFrame:
@@ -89,7 +94,7 @@ def status_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 add("status_counts", status_counts, f"{O.BARS}, {O.QUOTES} SELECT (SELECT count(*) FROM bars WHERE ticker <> 'TEST') AS ohlcv_rows, count(*) FILTER (symbol NOT IN ('view', 'click') OR time > (SELECT max(time) FROM valid) - INTERVAL 1 HOUR) AS quote_ticks, max_by(symbol, row(time, event_id)) AS last_tick_symbol, max(epoch_us(time)) AS last_tick_us FROM valid")
-add("clean_bars", lambda s, d: clean(s, d).select("date", "ticker", "open", "high", "low", "close", "volume", ret(), "log_return", "dollar_volume"), f"{O.CLEAN} SELECT date, ticker, open, high, low, close, volume, ret, log_return, dollar_volume FROM clean", "open high low close ret log_return dollar_volume")
+add("clean_bars", lambda s, d: P.clean(M.bars(s, d)).select("date", "ticker", "open", "high", "low", "close", "volume", ret(), "log_return", "dollar_volume"), f"{O.CLEAN} SELECT date, ticker, open, high, low, close, volume, ret, log_return, dollar_volume FROM clean", "open high low close ret log_return dollar_volume")
 add("validate_ohlcv", lambda s, d: P.validate(bars(s, d)), f"""{O.BARS}, c AS (SELECT *, abs(close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1) AS change FROM bars),
  g AS (SELECT ticker, count(*) FILTER (high < low) AS a, count(*) FILTER (close > high * 1.001) AS b, count(*) FILTER (close < low * 0.999) AS c, count(*) FILTER (least(open, high, low, close) < 0) AS d, count(*) FILTER (change > 0.25) AS e, count(*) FILTER (volume = 0) AS f, count(*) FILTER (volume < 100000) AS g, count(*) AS have,
  (SELECT count(*) FROM (SELECT unnest(generate_series(min(c.date)::TIMESTAMP, max(c.date)::TIMESTAMP, INTERVAL 1 DAY)) AS x) WHERE dayofweek(x) BETWEEN 1 AND 5) AS expected FROM c GROUP BY 1),
@@ -102,7 +107,7 @@ add("zero_volume", lambda s, d: P.zero_volume(bars(s, d).withColumn("volume", F.
 add("ohlc_sanity", lambda s, d: P.ohlc_sanity(bars(s, d)), f"{O.BARS} SELECT ticker, a AS high_below_low, b AS close_outside, a + b AS errors, a + b = 0 AS passed FROM (SELECT ticker, count(*) FILTER (high < low) AS a, count(*) FILTER (close < low) + count(*) FILTER (close > high) AS b FROM bars GROUP BY 1)")
 _GAPS = "ab AS (SELECT d.date, t.ticker FROM days d, (SELECT DISTINCT ticker FROM bars) t WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.date = d.date AND b.ticker = t.ticker)), isl AS (SELECT *, date - CAST(row_number() OVER (PARTITION BY ticker ORDER BY date) AS INTEGER) AS island FROM ab), gaps AS (SELECT ticker, min(date) AS gap_start, max(date) AS gap_end, count(*) AS days FROM isl GROUP BY ticker, island HAVING count(*) > {0})"
 add("price_gaps", lambda s, d: P.price_gaps(bars(s, d), 1), f"{O.BARS}, {O.CALENDAR}, {_GAPS.format(1)} SELECT * FROM gaps")
-add("quality_report", lambda s, d: P.quality_report(bars(s, d)), f"""{O.CLEAN}, {O.CALENDAR}, {_MISSING}, {_GAPS.format(3)}, g AS (SELECT ticker, count(*) AS large_gaps, max(days) AS max_gap_days FROM gaps GROUP BY 1),
+add("quality_report", lambda s, d: P.quality_report(M.written(bars(s, d))), f"""{O.CLEAN}, {O.CALENDAR}, {_MISSING}, {_GAPS.format(3)}, g AS (SELECT ticker, count(*) AS large_gaps, max(days) AS max_gap_days FROM gaps GROUP BY 1),
  sp AS (SELECT ticker, count(*) FILTER (abs(ret) > 0.25) AS spike_count, coalesce(max(ret) FILTER (abs(ret) > 0.25), 0) AS max_return, coalesce(min(ret) FILTER (abs(ret) > 0.25), 0) AS min_return FROM clean GROUP BY 1),
  z AS (SELECT ticker, count(*) FILTER (volume = 0) AS zero_days, count(*) FILTER (volume = 0) / count(volume) AS zero_ratio, count(*) FILTER (high < low) + count(*) FILTER (close < low) + count(*) FILTER (close > high) AS ohlc_errors FROM bars GROUP BY 1),
  j AS (SELECT mb.ticker, (expected_days - actual_days) / expected_days AS missing_ratio, expected_days - actual_days AS missing_days, (expected_days - actual_days) / expected_days <= 0.05 AS missing_ratio_pass, coalesce(spike_count, 0) AS spike_count, coalesce(max_return, 0) AS max_return, coalesce(min_return, 0) AS min_return, zero_days, zero_ratio, ohlc_errors, ohlc_errors = 0 AS ohlc_passed, coalesce(large_gaps, 0) AS large_gaps, coalesce(max_gap_days, 0) AS max_gap_days, coalesce(large_gaps, 0) > 0 AS has_large_gap FROM mb JOIN z USING (ticker) LEFT JOIN sp USING (ticker) LEFT JOIN g USING (ticker))
@@ -179,18 +184,23 @@ _RANKED = f"{O.SIGNAL}, nt AS (SELECT count(DISTINCT ticker) AS n FROM sig), rs
 ranked = lambda s, d: S.rank_signals(signal(s, d).withColumn("signal", F.round("signal", 9)))
 add("ranked_signal", ranked, f"{_RANKED} SELECT date, ticker, ranked_signal FROM rs", "ranked_signal")
 add("long_short", lambda s, d: S.long_short(ranked(s, d)), f"{_RANKED} SELECT date, ticker, ranked_signal, 1 AS position FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY ranked_signal DESC, ticker) AS k FROM rs) WHERE k <= 2 UNION ALL SELECT date, ticker, ranked_signal, -1 FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY ranked_signal, ticker DESC) AS k FROM rs) WHERE k <= 2", "ranked_signal")
-add("ic_decay", lambda s, d: S.ic_decay(signal(s, d).withColumn("signal", F.round("signal", 9)), clean(s, d)), f"""{O.SIGNAL}, f AS (SELECT date, ticker, {", ".join(f"lead(close, {h}) OVER w / close - 1 AS f{h}" for h in S.HORIZONS)} FROM clean {_W}),
+def ic_decay(s: SparkSession, d: str) -> DataFrame:
+    signals, c = traded(s, d)
+    return S.ic_decay(signals.withColumn("signal", F.round("signal", 9)), c)
+
+
+add("ic_decay", ic_decay, f"""{O.SIGNAL}, f AS (SELECT date, ticker, {", ".join(f"lead(close, {h}) OVER w / close - 1 AS f{h}" for h in S.HORIZONS)} FROM clean {_W}),
  l AS ({" UNION ALL ".join(f"SELECT {h} AS horizon, round(signal, 9) AS signal, f{h} AS f FROM sig JOIN f USING (date, ticker) WHERE f{h} IS NOT NULL" for h in S.HORIZONS)}), r AS (SELECT horizon, {O.average_rank("signal", "horizon")} AS a, {O.average_rank("f", "horizon")} AS b FROM l) SELECT horizon, count(*) AS n, corr(a, b) AS ic FROM r GROUP BY 1""", "ic")
 
 # backtest and metrics
-strategy = lambda s, d: B.strategy(signal(s, d), clean(s, d))
+strategy = lambda s, d: B.strategy(*traded(s, d))
 add("positions_lag", lambda s, d: B.positions(signal(s, d)).select("date", "ticker", "position"), f"{O.STRATEGY} SELECT date, ticker, position FROM pos", "position")
 add("txn_costs", lambda s, d: B.costs(strategy(s, d)).select("date", "ticker", "gross", "cost"), f"{O.STRATEGY} SELECT date, ticker, gross, gross - ({O.net('10.0')}) AS cost FROM (SELECT * REPLACE (coalesce(gross, 0) AS gross) FROM strat) WHERE false UNION ALL SELECT date, ticker, gross, coalesce(change * (10.0 / 1e4 * close + 0.005) / nullif(abs(position) * close, 0), 0) FROM strat", "gross cost")
 add("backtest_daily", daily, f"{O.DAILY} SELECT date, ret FROM dr", "ret")
 add("equity_curve", lambda s, d: B.equity(daily(s, d)), f"{O.EQUITY} SELECT * FROM eq", "ret equity peak drawdown", 5)
-add("cost_sensitivity", lambda s, d: B.cost_sensitivity(signal(s, d), clean(s, d)), f"{O.STRATEGY}, b AS (SELECT bps, date, sum(coalesce(({O.net('bps')}) / n, 0)) AS ret FROM strat, nt, unnest([0.0::DOUBLE, 5, 10, 20]) AS u(bps) GROUP BY 1, 2) SELECT bps, (avg(ret) - 0.00015) / stddev_samp(ret) * sqrt(252) AS sharpe FROM b GROUP BY 1", "bps sharpe")
+add("cost_sensitivity", lambda s, d: B.cost_sensitivity(*traded(s, d)), f"{O.STRATEGY}, b AS (SELECT bps, date, sum(coalesce(({O.net('bps')}) / n, 0)) AS ret FROM strat, nt, unnest([0.0::DOUBLE, 5, 10, 20]) AS u(bps) GROUP BY 1, 2) SELECT bps, (avg(ret) - 0.00015) / stddev_samp(ret) * sqrt(252) AS sharpe FROM b GROUP BY 1", "bps sharpe")
 add("inverse_vol_weights", lambda s, d: B.weights_inverse_volatility(clean(s, d)), f"{O.CLEAN}, v AS (SELECT ticker, 1 / stddev_samp(ret) AS i FROM clean GROUP BY 1) SELECT ticker, i / sum(i) OVER () AS weight FROM v", "weight")
-add("walk_forward_oos", lambda s, d: B.walk_forward(signal(s, d), clean(s, d)), f"{O.SIGNAL}, {O.SPLITS.format(rows='sig', train=247)}, nt AS (SELECT count(DISTINCT ticker) AS n FROM sig), t AS (SELECT split, s.date, s.ticker, lag(signal) OVER (PARTITION BY split, s.ticker ORDER BY s.date) AS position FROM sig s JOIN ord USING (date) JOIN sp ON i >= test_start AND i < test_end) SELECT CAST(split AS INTEGER) AS split, date, sum(coalesce(position * ret / n, 0)) AS ret FROM t JOIN clean USING (date, ticker), nt GROUP BY 1, 2", "ret")
+add("walk_forward_oos", lambda s, d: B.walk_forward(*traded(s, d)), f"{O.SIGNAL}, {O.SPLITS.format(rows='sig', train=247)}, nt AS (SELECT count(DISTINCT ticker) AS n FROM sig), t AS (SELECT split, s.date, s.ticker, lag(signal) OVER (PARTITION BY split, s.ticker ORDER BY s.date) AS position FROM sig s JOIN ord USING (date) JOIN sp ON i >= test_start AND i < test_end) SELECT CAST(split AS INTEGER) AS split, date, sum(coalesce(position * ret / n, 0)) AS ret FROM t JOIN clean USING (date, ticker), nt GROUP BY 1, 2", "ret")
 _SHARPE = "CASE WHEN stddev_samp(ret) > 0 THEN (avg(ret) - 0.00015) / stddev_samp(ret) * sqrt(252) ELSE 0 END"
 _SORTINO = "CASE WHEN count(*) FILTER (ret < 0.00015) < 2 THEN NULL ELSE (avg(ret) - 0.00015) / (stddev_samp(ret - 0.00015) FILTER (ret < 0.00015)) * sqrt(252) END"
 _FACTOR = "sum(ret) FILTER (ret > 0) / -sum(ret) FILTER (ret < 0)"
@@ -211,13 +221,19 @@ add("monthly_table", lambda s, d: B.monthly_table(daily(s, d)), f"{O.DAILY}, {_M
 add("all_metrics", lambda s, d: B.all_metrics(daily(s, d)), f"{O.EQUITY}, {_DURATION}, {_ROLLING} SELECT {_SHARPE} AS sharpe, {_SORTINO} AS sortino, avg(ret) * 252 / abs(min(drawdown)) AS calmar, min(drawdown) AS max_drawdown, count(*) FILTER (ret > 0) / count(*) AS hit_rate, {_FACTOR} AS profit_factor, avg(ret) * 252 AS annual_return, stddev_samp(ret) * sqrt(252) AS annual_volatility, max_by(equity, date) / 1000000 - 1 AS total_return, max(ret) AS best_day, min(ret) AS worst_day, count(*) AS num_days, (SELECT duration FROM du) AS duration, (SELECT max_by(rolling_sharpe, date) FROM rsh) AS rolling_sharpe_last_60 FROM eq", "sharpe sortino calmar max_drawdown hit_rate profit_factor annual_return annual_volatility total_return best_day worst_day rolling_sharpe_last_60")
 
 # risk
-cov = lambda s, d: P.covariance(clean(s, d))
+cov = lambda s, d: M.written(P.covariance(clean(s, d)))
 add("covariance", cov, f"{O.COVARIANCE} SELECT * FROM cov", "cov", 9)
-add("parametric_var", lambda s, d: K.parametric_var(cov(s, d), K.holdings(clean(s, d))), f"{O.COVARIANCE}, k AS (SELECT count(DISTINCT ticker) AS n, (SELECT count(*) FROM ok) AS m FROM clean), q AS (SELECT sqrt(sum(cov) / any_value(n * n)) / any_value(m / n) AS sigma FROM cov, k) SELECT sigma, {config.Z95!r} * sigma * 1e6 AS var, -sigma * {config.PDF95!r} / 0.05 * 1e6 AS cvar, {config.Z95!r} * sigma AS var_percent FROM q", "sigma var cvar var_percent")
+def risked(s: SparkSession, d: str, each: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Covariance and holdings, both of the same bars and as small as the universe."""
+    c = clean(s, d)
+    return M.written(P.covariance(c)), M.written(K.holdings(c, each))
+
+
+add("parametric_var", lambda s, d: K.parametric_var(*risked(s, d)), f"{O.COVARIANCE}, k AS (SELECT count(DISTINCT ticker) AS n, (SELECT count(*) FROM ok) AS m FROM clean), q AS (SELECT sqrt(sum(cov) / any_value(n * n)) / any_value(m / n) AS sigma FROM cov, k) SELECT sigma, {config.Z95!r} * sigma * 1e6 AS var, -sigma * {config.PDF95!r} / 0.05 * 1e6 AS cvar, {config.Z95!r} * sigma AS var_percent FROM q", "sigma var cvar var_percent")
 add("hist_cvar", lambda s, d: K.historical_cvar(daily(s, d)), f"{O.DAILY}, q AS (SELECT quantile_cont(ret, 0.05) AS q, count(*) AS n FROM dr) SELECT CASE WHEN any_value(n) >= 10 THEN -avg(ret) FILTER (ret <= q) ELSE 0 END AS cvar FROM dr, q", "cvar")
 orders = lambda s, d: ledger(s, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "symbol", "side", "quantity", F.col("expected_price").alias("price"))
 held = lambda s, d: K.holdings(clean(s, d), 0.02)
-add("var_gate", lambda s, d: K.var_gate(orders(s, d), cov(s, d), held(s, d)), f"""{O.COVARIANCE}, {O.LEDGER}, o AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, symbol, side, quantity, expected_price AS price, row_number() OVER () AS k FROM ledger),
+add("var_gate", lambda s, d: K.var_gate(orders(s, d), *risked(s, d, 0.02)), f"""{O.COVARIANCE}, {O.LEDGER}, o AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, symbol, side, quantity, expected_price AS price, row_number() OVER () AS k FROM ledger),
  f AS (SELECT k, sum((0.02 + CASE WHEN t1 = symbol THEN d ELSE 0 END) * (0.02 + CASE WHEN t2 = symbol THEN d ELSE 0 END) * cov) AS q FROM (SELECT k, symbol, CASE WHEN side = 'BUY' THEN 1 ELSE -1 END * quantity * price / 1e6 AS d FROM o), cov GROUP BY 1),
  v AS (SELECT o.*, {config.Z95!r} * sqrt(greatest(q, 0)) / (0.02 * (SELECT count(*) FROM ok) + CASE WHEN side = 'BUY' THEN 1 ELSE -1 END * quantity * price / 1e6) AS v, symbol IN (FROM ok) AS known FROM o LEFT JOIN f USING (k)),
  r AS (SELECT *, CASE WHEN side = 'BUY' AND quantity * price > 5e5 THEN 'ORDER_VALUE' WHEN NOT known THEN 'NO_COVARIANCE' WHEN side <> 'BUY' AND 0.02 - quantity * price / 1e6 < 0 THEN 'SELL_EXCEEDS_HOLDING' WHEN abs(v) > 0.02 THEN 'VAR_LIMIT' ELSE 'OK' END AS reason FROM v)
@@ -264,12 +280,20 @@ add("portfolio_summary", lambda s, d: X.portfolio_summary(ledger(s, d), clean(s,
 _DAILY_PNL = f"{O.LEDGER}, dp AS (SELECT date, sum((price - expected_price) * quantity) AS pnl FROM ledger GROUP BY 1), de AS (SELECT date, pnl, 1000000 + sum(pnl) OVER (ORDER BY date) AS equity FROM dp)"
 add("daily_pnl", lambda s, d: X.daily_pnl(ledger(s, d)), f"{_DAILY_PNL} SELECT * FROM de", "pnl equity", 4)
 add("portfolio_risk", lambda s, d: X.portfolio_risk(cov(s, d), X.daily_pnl(ledger(s, d)), K.breaker(X.daily_pnl(ledger(s, d)).select("date", F.col("equity").alias("nav"), F.lit(False).alias("reset")))), f"{O.COVARIANCE}, {_DAILY_PNL}, pk AS (SELECT *, equity / max(equity) OVER (ORDER BY date) - 1 < -0.05 AS t FROM de) SELECT (SELECT round(1.645 * sqrt(greatest(avg(cov), 0)) * 100, 2) FROM cov) AS var_95_1d, round((max_by(equity, date) / max(equity) - 1) * 100, 2) AS current_drawdown, max_by(t, date) AS circuit_breaker_triggered, 5.0::DOUBLE AS drawdown_limit FROM pk", "var_95_1d current_drawdown drawdown_limit", 2)
-add("order_gate_summary", lambda s, d: K.var_gate(orders(s, d), cov(s, d), held(s, d)).groupBy("reason").agg(F.count("*").alias("n")), f"SELECT reason, count(*) AS n FROM ({_SQL['var_gate']}) GROUP BY 1")
+add("order_gate_summary", lambda s, d: K.var_gate(orders(s, d), *risked(s, d, 0.02)).groupBy("reason").agg(F.count("*").alias("n")), f"SELECT reason, count(*) AS n FROM ({_SQL['var_gate']}) GROUP BY 1")
+
+_SPLIT_SHARPE = f", c AS (SELECT split, date, n, position * ret AS gross, coalesce(abs(position - lag(position) OVER (PARTITION BY split, ticker ORDER BY date)) * ({config.SPREAD_BPS!r} / 1e4 * close + {config.COMMISSION!r}) / nullif(abs(position) * close, 0), 0) AS cost FROM t JOIN clean USING (date, ticker), nt), wd AS (SELECT split, date, sum(coalesce((gross - cost) / n, 0)) AS r FROM c GROUP BY 1, 2), ws AS (SELECT split, CASE WHEN stddev_samp(r) > 0 THEN (avg(r) - {config.RISK_FREE_DAILY!r}) / stddev_samp(r) * sqrt(252) ELSE 0 END AS s FROM wd GROUP BY 1) SELECT count(*) AS splits, avg(s) AS avg_split_sharpe FROM ws"
+add("walk_forward_sharpe", lambda s, d: B.split_sharpes(B.walk_forward(*traded(s, d), bps=config.SPREAD_BPS)), f"{O.SIGNAL}, {O.SPLITS.format(rows='sig', train=247)}, nt AS (SELECT count(DISTINCT ticker) AS n FROM sig), t AS (SELECT split, s.date, s.ticker, lag(signal) OVER (PARTITION BY split, s.ticker ORDER BY s.date) AS position FROM sig s JOIN ord USING (date) JOIN sp ON i >= test_start AND i < test_end) {_SPLIT_SHARPE}", "avg_split_sharpe")
+add("quality_stats", lambda s, d: P.quality_stats(P.quality_report(M.written(bars(s, d)))), f"SELECT count(*) AS tickers, avg(quality_score) AS mean_score, min(quality_score) AS min_score, max(quality_score) AS max_score, count(*) FILTER (missing_ratio_pass AND ohlc_passed) AS passed FROM ({_SQL['quality_report']})", "mean_score min_score max_score", 4)
+add("metrics_text", lambda s, d: B.text_lines(B.all_metrics(daily(s, d))))
+add("quote_liveness", lambda s, d: Q.liveness(quotes(s, d), "2024-01-01 00:00:00").select("symbol", F.unix_micros("time").alias("time_us"), "active"), f"{O.QUOTES} SELECT symbol, epoch_us(time) AS time_us, epoch(TIMESTAMP '2024-01-01') - epoch(time) < 60 AS active FROM valid ORDER BY time DESC, event_id DESC LIMIT 1")
+add("gate_rate", lambda s, d: K.approval(K.var_gate(orders(s, d), *risked(s, d, 0.02))), f"SELECT count(*) AS orders, count(*) FILTER (approved) AS approved, count(*) FILTER (approved) / count(*) AS approval_rate FROM ({_SQL['var_gate']})", "approval_rate")
+add("breaker_events", lambda s, d: K.filtered(K.risk_events(K.breaker(nav(s, d))), "CIRCUIT_BREAKER_TRIGGERED").select(F.to_date("timestamp").alias("date"), "event_type"), f"SELECT date, 'CIRCUIT_BREAKER_TRIGGERED' AS event_type FROM ({_SQL['breaker_latch']}) WHERE tripped")
 
 # streaming
 def stored(stream: DataFrame) -> DataFrame:
     """Runs a stream over all that is there and reads what it wrote."""
-    root = f"{(stream.sparkSession.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tidemark-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = M.scratch(stream.sparkSession)
     q = stream.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/rows").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/rows")
@@ -286,7 +310,13 @@ def nav_latch_stream(s: SparkSession, d: str) -> DataFrame:
 
 
 add("nav_latch_stream", nav_latch_stream)
-add("ml_walk_forward", lambda s, d: S.walk_forward_ml(I.matrix(clean(s, d)), clean(s, d)))
+def modelled(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c = clean(s, d)
+    return M.written(I.matrix(c)), c
+
+
+add("ml_walk_forward", lambda s, d: S.walk_forward_ml(*modelled(s, d)))
+add("top_features", lambda s, d: S.top_features(S.importances(*modelled(s, d))))
 add("random_signals", lambda s, d: S.random_signals(clean(s, d)))
 add("synthetic_bars", lambda s, d: M.synthetic_bars(s, TICKERS, "2018-01-01", "2024-12-31"))
 add("synthetic_factors", lambda s, d: M.synthetic_factors(s, "2018-01-01", "2024-12-31"))

@@ -66,6 +66,20 @@ def average_rank(x: str, *by: str) -> Column:
     return F.when(F.col(x).isNotNull(), F.rank().over(w.orderBy(F.col(x).asc_nulls_last())) + (F.count(x).over(Window.partitionBy(*by, x)) - 1) / 2)
 
 
+def spread_rank(df: DataFrame, x: str, by: str, out: str, parts: int = 64) -> DataFrame:
+    """df with out, the average rank of x (no nulls) in its group; each of a few large groups is ordered in parts.
+
+    Approximate quantiles cut a group into ranges of x; a row's rank is its rank in its range after the rows of those below.
+    """
+    cuts = df.groupBy(by).agg(F.percentile_approx(x, [i / parts for i in range(1, parts)], 100 * parts).alias("__cuts"))
+    df = df.join(F.broadcast(cuts), by).withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col(x)))).drop("__cuts")
+    sizes = df.groupBy(by, "__part").agg(F.count("*").alias("__n"))
+    below = Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(by, "__part", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__below"))
+    df = df.withColumn("__rank", average_rank(x, by, "__part")).join(F.broadcast(sizes), [by, "__part"])
+    return df.withColumn(out, F.col("__rank") + F.col("__below")).drop("__part", "__rank", "__below")
+
+
 def smoothed(df: DataFrame, x: str, out: str, alpha: float) -> DataFrame:
     """df with out: e of the first non-null x is x itself, later e is alpha x + (1 - alpha) e before; null where x is.
 

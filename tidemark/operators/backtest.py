@@ -75,16 +75,40 @@ def equity(returns: DataFrame, capital: float = config.INITIAL_CAPITAL) -> DataF
     return rows.withColumn("drawdown", (F.col("equity") - F.col("peak")) / F.col("peak"))
 
 
-def walk_forward(signals: DataFrame, clean_bars: DataFrame, generator: S.Generator | None = None) -> DataFrame:
+def walk_forward(signals: DataFrame, clean_bars: DataFrame, generator: S.Generator | None = None, bps: float | None = None, commission: float = config.COMMISSION) -> DataFrame:
     """(split, date, ret): each split's test window traded by itself, flat on its first day, all splits in one job.
 
+    With bps, spread and commission are taken off.
+
     generator: from rows (split, part, date, ticker, signal) to those of the test parts with its own signal.
     """
     parts = S.in_splits(signals, S.purged_splits(signals))
     test = (generator or (lambda rows: rows.where("part = 'test'")))(parts).select("split", "date", "ticker", "signal")
-    rows = positions(test, Window.partitionBy("split", "ticker").orderBy("date")).join(clean_bars.select("date", "ticker", "return"), ["date", "ticker"])
+    own = Window.partitionBy("split", "ticker").orderBy("date")
+    rows = positions(test, own).join(clean_bars.select("date", "ticker", "close", "return"), ["date", "ticker"])
+    rows = rows.withColumn("cost", F.lit(0.0)) if bps is None else costs(rows, bps, commission, own)
     n = signals.select("ticker").distinct().agg(F.count("*").alias("n"))
-    return rows.join(F.broadcast(n)).groupBy("split", "date").agg(F.sum(F.coalesce(F.col("position") * F.col("return") / F.col("n"), F.lit(0.0))).alias("ret"))
+    return rows.join(F.broadcast(n)).groupBy("split", "date").agg(F.sum(F.coalesce((F.col("position") * F.col("return") - F.col("cost")) / F.col("n"), F.lit(0.0))).alias("ret"))
+
+
+def split_sharpes(returns: DataFrame) -> DataFrame:
+    """(splits, avg_split_sharpe) of walk_forward()'s rows."""
+    by = returns.groupBy("split").agg(sharpe(F.col("ret")).alias("sharpe"))
+    return by.agg(F.count("*").alias("splits"), F.avg("sharpe").alias("avg_split_sharpe"))
+
+
+def text_lines(metrics: DataFrame) -> DataFrame:
+    """(n, line): one row of all_metrics() as a short text."""
+    shares = ("annual_return", "annual_volatility", "total_return", "max_drawdown", "hit_rate", "best_day", "worst_day")
+    ratios = ("sharpe", "sortino", "calmar", "profit_factor")
+    lines = [F.format_string("days %d", F.col("num_days").cast("long")), *(F.format_string(f"{c} %.2f%%", F.col(c) * 100) for c in shares), *(F.format_string(f"{c} %.3f", c) for c in ratios)]
+    return metrics.select(F.posexplode(F.array(*lines)).alias("n", "line"))
+
+
+def html_report(metrics: DataFrame) -> DataFrame:
+    """(html): the same as one page."""
+    rows = text_lines(metrics).select("n", F.concat(F.lit("<li>"), "line", F.lit("</li>")).alias("item"))
+    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "item"))), lambda x: x["item"]), "").alias("items")).select(F.concat(F.lit("<html><body><h1>Performance</h1><ul>"), "items", F.lit("</ul></body></html>")).alias("html"))
 
 
 def sharpe(r: Column, rf: float = config.RISK_FREE_DAILY) -> Column:

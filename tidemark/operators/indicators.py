@@ -87,9 +87,9 @@ def features(clean_bars: DataFrame) -> DataFrame:
     return df.withColumns({"price_to_sma_20": F.col("close") / F.col("sma_20") - 1, "volume_ratio_20": F.try_divide("volume", "__mv")}).drop("__mv")
 
 
-def cross_rank(df: DataFrame, x: str, out: str) -> DataFrame:
-    """2 (rank - 1) / (N - 1) - 1 among the date's tickers, N being all tickers there are; 0 for a lone ticker."""
-    n = df.select("ticker").distinct().agg(F.count("*").alias("__n"))
+def cross_rank(df: DataFrame, x: str, out: str, universe: DataFrame | None = None) -> DataFrame:
+    """2 (rank - 1) / (N - 1) - 1 among the date's tickers, N being all tickers of df or of the universe; 0 for a lone ticker."""
+    n = (df if universe is None else universe).select("ticker").distinct().agg(F.count("*").alias("__n"))
     df = df.withColumn("__r", R.average_rank(x, "date")).join(F.broadcast(n))
     return df.withColumn(out, F.when(F.col("__r").isNull(), None).when(F.col("__n") <= 1, 0.0).otherwise(2 * (F.col("__r") - 1) / (F.col("__n") - 1) - 1)).drop("__r", "__n")
 
@@ -108,7 +108,9 @@ def ranked(clean_bars: DataFrame) -> DataFrame:
     """Features with the three cross-sectional ranks and the rolling moments, rows with nulls included."""
     df = amihud(features(clean_bars)).withColumns({"zscore_returns": R.zscore("return", 60), "skewness_returns": R.skewness("return", 60), "kurtosis_returns": R.kurtosis("return", 60), "zscore_rsi": R.zscore("rsi_14", 60)})
     df = df.join(union_volatility(clean_bars), ["date", "ticker"], "left")
-    return cross_rank(cross_rank(cross_rank(df, "return", "cs_rank_returns"), "uvol", "cs_rank_volatility"), "rsi_14", "cs_rank_rsi")
+    for x, out in (("return", "cs_rank_returns"), ("uvol", "cs_rank_volatility"), ("rsi_14", "cs_rank_rsi")):
+        df = cross_rank(df, x, out, clean_bars)
+    return df
 
 
 def matrix(clean_bars: DataFrame) -> DataFrame:

@@ -96,6 +96,12 @@ def quality_report(bars: DataFrame) -> DataFrame:
     return out.withColumn("has_large_gap", F.col("large_gaps") > 0).withColumn("quality_score", score)
 
 
+def quality_stats(report: DataFrame) -> DataFrame:
+    """One row over all tickers of a quality report."""
+    score = F.col("quality_score")
+    return report.agg(F.count("*").alias("tickers"), F.avg(score).alias("mean_score"), F.min(score).alias("min_score"), F.max(score).alias("max_score"), F.count_if(F.col("missing_ratio_pass") & F.col("ohlc_passed")).alias("passed"))
+
+
 def symbol_summary(clean_bars: DataFrame) -> DataFrame:
     """Per symbol: days, range, annual return and volatility, last close; without TEST."""
     out = clean_bars.where("ticker != 'TEST'").groupBy(F.col("ticker").alias("symbol")).agg(F.count("*").alias("trading_days"), F.min("date").cast("string").alias("date_start"), F.max("date").cast("string").alias("date_end"), (F.exp(F.sum(F.ln(1 + F.col("return")))) - 1).alias("tr"), F.round(F.coalesce(F.stddev_samp("return") * F.sqrt(F.lit(252.0)), F.lit(0.0)), 4).alias("ann_volatility"), F.round(F.max_by("close", "date"), 2).alias("last_close"))

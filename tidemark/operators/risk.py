@@ -117,5 +117,15 @@ def risk_events(latched: DataFrame) -> DataFrame:
     return latched.where("tripped").select(F.col("date").cast("timestamp").alias("timestamp"), F.lit("CIRCUIT_BREAKER_TRIGGERED").alias("event_type"), F.create_map(F.lit("nav"), F.col("nav").cast("string"), F.lit("drawdown"), F.col("drawdown").cast("string")).alias("details"))
 
 
-def empty_weights(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "ticker string, weight double")
+def filtered(events: DataFrame, event_type: str | None = None, since: str | None = None) -> DataFrame:
+    """Risk events of a type, from a time on."""
+    for value, test in ((event_type, F.col("event_type") == event_type), (since, F.col("timestamp") >= since)):
+        if value is not None:
+            events = events.where(test)
+    return events
+
+
+def approval(gated: DataFrame) -> DataFrame:
+    """One row: orders, approved ones and their share."""
+    n = F.count_if("approved")
+    return gated.agg(F.count("*").alias("orders"), n.alias("approved"), (n / F.count("*")).alias("approval_rate"))

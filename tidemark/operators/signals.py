@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import rolling as R
+from ..sources.market import written
 from . import indicators
 
 HORIZONS = (1, 5, 10, 21)
@@ -74,7 +75,8 @@ def ic_decay(signals: DataFrame, clean_bars: DataFrame, horizons: tuple[int, ...
     """(horizon, n, ic): Spearman correlation pooled over all pairs; null under 10. One plan for all horizons."""
     moves = clean_bars.select("date", "ticker", *((F.lead("close", h).over(R.TICKER) / F.col("close") - 1).alias(f"f{h}") for h in horizons))
     rows = signals.join(moves, ["date", "ticker"]).select("signal", F.inline(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"f{h}").alias("f")) for h in horizons)))).where("signal is not null and f is not null")
-    rows = rows.withColumns({"rs": R.average_rank("signal", "horizon"), "rf": R.average_rank("f", "horizon")})
+    rows = written(R.spread_rank(written(rows), "signal", "horizon", "rs"))
+    rows = R.spread_rank(rows, "f", "horizon", "rf")
     out = rows.groupBy("horizon").agg(F.count("*").alias("n"), F.covar_pop("rs", "rf").alias("c"), (F.stddev_pop("rs") * F.stddev_pop("rf")).alias("s"))
     return out.select("horizon", "n", F.when((F.col("n") >= 10) & (F.col("s") > 0), F.col("c") / F.col("s")).alias("ic"))
 
@@ -107,50 +109,80 @@ def random_signals(rows: DataFrame, seed: int = 42) -> DataFrame:
     return rows.select("date", "ticker", (F.rand(seed) * 2 - 1).alias("signal"))
 
 
-def _centroids(rows: pd.DataFrame, features: list[str], draws: int, seed: int) -> Iterator[pd.DataFrame]:
-    """Nearest class centroids over bagged feature subsets: class frequencies smoothed into probabilities."""
-    import numpy as np
-
-    train, test = rows[rows.part == "train"], rows[rows.part == "test"]
-    if len(train) < 50 or not len(test):
-        return
-    x, y = train[features].to_numpy(float), train.label.to_numpy()
-    mean, spread = x.mean(0), x.std(0) + 1e-12
-    x, z = (x - mean) / spread, (test[features].to_numpy(float) - mean) / spread
-    rng, votes, seen = np.random.default_rng(seed), np.zeros((len(test), 3)), sorted(set(y))
-    for _ in range(draws):
-        some = rng.choice(len(features), max(2, len(features) // 3), replace=False)
-        bag = rng.integers(0, len(x), len(x))
-        d = np.full((len(test), 3), np.inf)
-        for c in seen:
-            own = x[bag][y[bag] == c][:, some]
-            if len(own):
-                d[:, c + 1] = ((z[:, some] - own.mean(0)) ** 2).mean(1)
-        votes += np.exp(-d + d.min(1, keepdims=True))
-    p = votes / votes.sum(1, keepdims=True)
-    out = test[["date", "ticker", "split"]].copy()
-    out["p_sell"], out["p_neutral"], out["p_buy"] = p.T
-    yield out
-
-
-def walk_forward_ml(matrix: DataFrame, clean_bars: DataFrame, purge: int = config.PURGE, draws: int = 20) -> DataFrame:
-    """Out-of-sample class probabilities for every ticker and split, trained in one job, a task per (ticker, split).
+def boosted(x, y, z, rounds: int = 20, depth: int = 3, rate: float = 0.1, bins: int = 16):
+    """Gradient-boosted trees on binned features for classes 0 to 2: probabilities of the rows of z, and each feature's share of the gain.
 
-    signal_probability is the second class's, as the classes sort (-1, 0, 1); p_buy is the buy class's.
+    Every round grows a tree a class on the gradients of the log loss, level by level from histograms of all nodes at once.
     """
-    rows = matrix.join(barrier_labels(clean_bars).select("date", "ticker", "label"), ["date", "ticker"])
-    both = in_splits(rows, purged_splits(rows, purge))
+    import numpy as np
+
+    n, k = x.shape
+    edges = [np.unique(np.quantile(x[:, j], np.arange(1, bins) / bins)) for j in range(k)]
+    binned = np.stack([np.searchsorted(e, x[:, j]) for j, e in enumerate(edges)], 1)
+    asked = np.stack([np.searchsorted(e, z[:, j]) for j, e in enumerate(edges)], 1)
+    scores, out, gains = np.zeros((n, 3)), np.zeros((len(z), 3)), np.zeros(k)
+    cell = binned + np.arange(k) * bins
+    for _ in range(rounds):
+        p = np.exp(scores - scores.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        for c in range(3):
+            g, h = (y == c) - p[:, c], p[:, c] * (1 - p[:, c])
+            node, there = np.zeros(n, int), np.zeros(len(z), int)
+            for level in range(depth):
+                at = (node[:, None] * (k * bins) + cell).ravel()
+                left = [np.bincount(at, np.repeat(v, k), 2**level * k * bins).reshape(-1, k, bins).cumsum(2) for v in (g, h)]
+                (gl, hl), (gt, ht) = left, (v[:, :, -1:] for v in left)
+                gain = gl**2 / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt**2 / (ht + 1)
+                best = gain.reshape(len(gain), -1).argmax(1)
+                np.add.at(gains, best // bins, gain.reshape(len(gain), -1)[np.arange(len(best)), best])
+                feature, cut = best // bins, best % bins
+                node = 2 * node + (binned[np.arange(n), feature[node]] > cut[node])
+                there = 2 * there + (asked[np.arange(len(z)), feature[there]] > cut[there])
+            leaf = rate * np.bincount(node, g, 2**depth) / (np.bincount(node, h, 2**depth) + 1)
+            scores[:, c] += leaf[node]
+            out[:, c] += leaf[there]
+    p = np.exp(out - out.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True), gains / max(gains.sum(), 1e-12)
+
+
+def _trained(matrix: DataFrame, clean_bars: DataFrame, purge: int, made: Callable, schema: str) -> DataFrame:
+    """made(test rows, probabilities, importances) of the model of every ticker and split: one job, a task a (ticker, split)."""
+    rows = written(matrix.join(barrier_labels(clean_bars).select("date", "ticker", "label"), ["date", "ticker"]))
     features = indicators.MATRIX
 
     def fit(key, part: pd.DataFrame) -> pd.DataFrame:
-        none = part.iloc[:0][["date", "ticker", "split"]].assign(p_sell=0.0, p_neutral=0.0, p_buy=0.0)
-        return next(_centroids(part, features, draws, 7), none)
+        part = part.sort_values("date")
+        train, test = part[part.part == "train"], part[part.part == "test"]
+        if len(train) < 50 or not len(test):
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        p, gains = boosted(train[features].to_numpy(float), train.label.to_numpy() + 1, test[features].to_numpy(float))
+        return made(test, p, gains)
+
+    return in_splits(rows, purged_splits(rows, purge)).groupBy("ticker", "split").applyInPandas(fit, schema)
+
 
-    out = both.groupBy("ticker", "split").applyInPandas(fit, "date date, ticker string, split int, p_sell double, p_neutral double, p_buy double")
+def walk_forward_ml(matrix: DataFrame, clean_bars: DataFrame, purge: int = config.PURGE) -> DataFrame:
+    """Out-of-sample class probabilities for every ticker and split.
+
+    signal_probability is the second class's, as the classes sort (-1, 0, 1); p_buy is the buy class's.
+    """
+    made = lambda test, p, _: test[["date", "ticker", "split"]].assign(p_sell=p[:, 0], p_neutral=p[:, 1], p_buy=p[:, 2])
+    out = _trained(matrix, clean_bars, purge, made, "date date, ticker string, split int, p_sell double, p_neutral double, p_buy double")
     p = F.col("p_neutral")
     return out.select("date", "ticker", "split", "p_buy", p.alias("signal_probability"), bucket(p).alias("signal"))
 
 
+def importances(matrix: DataFrame, clean_bars: DataFrame, purge: int = config.PURGE) -> DataFrame:
+    """(ticker, split, feature, importance): each feature's share of a model's gain."""
+    made = lambda test, _, gains: pd.DataFrame({"ticker": test.ticker.iloc[0], "split": test.split.iloc[0], "feature": indicators.MATRIX, "importance": gains})
+    return _trained(matrix, clean_bars, purge, made, "ticker string, split int, feature string, importance double")
+
+
+def top_features(importance: DataFrame, k: int = 10) -> DataFrame:
+    """The k features of the largest mean importance over all models."""
+    return importance.groupBy("feature").agg(F.avg("importance").alias("importance")).orderBy(F.desc("importance"), "feature").limit(k)
+
+
 def read_signals(signals: DataFrame, ticker: str | None = None, first: str | None = None, last: str | None = None) -> DataFrame:
     for value, test in ((ticker, F.col("ticker") == ticker), (first, F.col("date") >= first), (last, F.col("date") <= last)):
         if value is not None:

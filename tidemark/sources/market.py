@@ -2,12 +2,42 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config
 
 
+@functools.cache
+def _local_folder() -> str:
+    path = tempfile.mkdtemp(prefix="tidemark-")
+    atexit.register(shutil.rmtree, path, True)
+    return path
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir; in local mode, where it may be unset, a folder that goes with the process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _local_folder()
+    return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A scan of df, written once: what is used in several places isn't planned and computed for each."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -69,6 +99,29 @@ def synthetic_factors(spark: SparkSession, first: str, last: str, seed: int = 42
     return days.select("date", (F.randn(seed) * 0.01 + 0.0003).alias("mkt_rf"), (F.randn(seed + 1) * 0.005).alias("smb"), (F.randn(seed + 2) * 0.005).alias("hml"), F.lit(0.0001).alias("rf"))
 
 
+def normalised(raw: DataFrame) -> DataFrame:
+    """Downloaded bars: lower-case column names, the time of day and zone of the date dropped, rows without any value dropped, volume 0 where it is null."""
+    low = raw.toDF(*(c.strip().lower().replace(" ", "_") for c in raw.columns))
+    kept = low.withColumn("date", F.to_date(F.substring(F.col("date").cast("string"), 1, 10))).na.drop(how="all", subset=[c for c in low.columns if c not in ("date", "ticker", "__file")])
+    return kept.withColumn("volume", F.coalesce(F.col("volume").cast("long"), F.lit(0).cast("long")))
+
+
+def universe(spark: SparkSession, paths: dict[str, str], schema: str) -> tuple[DataFrame, DataFrame]:
+    """(bars of all tickers, (ticker, failed)): a CSV folder a ticker; tickers without a row are failures, not errors. One scan."""
+    wanted = spark.createDataFrame([*paths.items()], "ticker string, path string")
+    there = [p for p in paths.values() if _exists(spark, p)]
+    rows = spark.read.schema(schema).option("header", True).csv(there) if there else spark.createDataFrame([], schema)
+    at = F.input_file_name()
+    bars_ = normalised(rows.withColumn("__file", at)).join(F.broadcast(wanted), F.contains(F.col("__file"), F.col("path"))).drop("__file", "path") if there else normalised(rows.withColumn("ticker", F.lit("")))
+    found = bars_.groupBy("ticker").agg(F.count("*").alias("n"))
+    return bars_, wanted.join(found, "ticker", "left").select("ticker", F.coalesce(F.col("n") == 0, F.lit(True)).alias("failed"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def upsert(existing: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """What to append: rows whose key isn't there yet, once each (the smallest of equal keys)."""
     rest = [c for c in rows.columns if c not in key]
@@ -83,9 +136,7 @@ def write_parquet(df: DataFrame, path: str, by: str | None = "ticker") -> None:
 
 def cached(spark: SparkSession, path: str, make, force: bool = False) -> DataFrame:
     """Read-through Parquet cache."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    if force or not there:
+    if force or not _exists(spark, path):
         write_parquet(make(), path, None)
     return spark.read.parquet(path)
 
