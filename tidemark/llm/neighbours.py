@@ -8,6 +8,8 @@ nodes whose centres lie farther apart than the sum of their radii and that dista
 compared in double precision, all of it. Blocks report counts of links and a spanning forest of them, never the
 links of a dense cell.
 
+Equal vectors are one vector with a number of copies, so that a very common one costs no more than any other.
+
 In high dimensions most pairs of blocks survive (random unit vectors lie about as far apart as their cells are wide), so
 the work grows with the square of the vectors there; it is spread over pairs of blocks.
 
@@ -37,6 +39,11 @@ MOST_CELLS = 1024
 SLACK = 1e-4
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest components near 1: cosines stay the same, and squares neither overflow nor vanish."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1))[1][:, None])
+
+
 def net(x: np.ndarray, radius: float, first: list[int]) -> list[int]:
     """Indices of centres, first ones included, that cover the unit vectors x within radius."""
     near = np.full(len(x), np.inf)
@@ -64,7 +71,7 @@ def top(sample: np.ndarray, cells: int) -> np.ndarray:
 class Tree:
     """Nested levels over a block: of each level the centres, covering radii and parents; leaves own ranges of vectors."""
 
-    def __init__(self, ids: np.ndarray, raw: np.ndarray, least: float):
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, raw: np.ndarray, least: float):
         unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
         self.levels = []
         members, parents = [np.arange(len(ids))], [-1]
@@ -95,7 +102,7 @@ class Tree:
                     left = left[~inside]
             members = below
         order = np.concatenate(members)
-        self.ids, self.raw = ids[order], raw[order]
+        self.ids, self.copies, self.raw = ids[order], copies[order].astype(np.float64), raw[order]
         self.leaf = np.repeat(np.arange(len(members)), [len(m) for m in members])
 
 
@@ -135,8 +142,8 @@ def _dual(least: float, reach: float):
             link = c >= least
             if same:
                 link &= some[:, None] != j[None, :]
-            counts[0][some] += link.sum(1)
-            counts[1][j] += link.sum(0)
+            counts[0][some] += (link @ b.copies[j]).astype(np.int64)
+            counts[1][j] += (a.copies[some] @ link).astype(np.int64)
             x, y = np.nonzero(link)
             found.append((some[x], j[y]))
         out = {"vec_id": [], "n": [], "other": []}
@@ -174,49 +181,38 @@ def _dual(least: float, reach: float):
 def _built(reach: float):
     def built(part: pa.Table) -> pa.Table:
         raw = np.frombuffer(b"".join(part.column("raw").to_pylist()), np.float64).reshape(part.num_rows, -1)
-        t = Tree(part.column("vec_id").to_numpy(), raw, reach / 2)
+        t = Tree(part.column("vec_id").to_numpy(), part.column("copies").to_numpy(), raw, reach / 2)
         return pa.table({"cell": part.column("cell")[:1], "sub": part.column("sub")[:1], "centre": pa.array([t.levels[0][0][0].tobytes()], pa.binary()), "radius": pa.array([float(t.levels[0][1][0])]), "tree": pa.array([pickle.dumps(t, 5)], pa.binary())})
 
     return built
 
 
-def _valid(column: pa.Array) -> Iterator[np.ndarray | None]:
-    for x in column:
-        v = None if not x.is_valid else x.values.to_numpy(zero_copy_only=False).astype(np.float64)
-        yield v if v is not None and len(v) and np.isfinite(v).all() and v.any() else None
-
-
 def links(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
-    """Rows (vec_id, n, other): parts of link counts (other null), and a spanning forest of the links (n 0)."""
+    """Rows (vec_id, n, other) for distinct vectors (vec_id, embedding, copies): parts of their numbers of links to the copies of others
+    (other null), and a spanning forest of the links (n 0)."""
     spark = vectors.sparkSession
     reach = float(np.sqrt(2 - 2 * cosine))
-    vectors = vectors.where("vec_id is not null and embedding is not null and size(embedding) > 0")
     dims = [r.d for r in vectors.select(F.size("embedding").alias("d")).distinct().orderBy("d").collect()]
     out = None
     for dim in dims:
-        own = vectors.where(F.size("embedding") == dim).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+        own = vectors.where(F.size("embedding") == dim).select("vec_id", "embedding", "copies")
         n = own.count()
         sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-        units = np.array([v / np.linalg.norm(v) for v in (np.array([np.nan if x is None else x for x in r.embedding]) for r in sample) if np.isfinite(v).all() and v.any()])
-        if not len(units):
-            units = np.eye(1, dim)
+        units = scaled(np.array([r.embedding for r in sample]))
+        units /= np.linalg.norm(units, axis=1, keepdims=True)
         centres = spark.sparkContext.broadcast(top(units, max(1, min(MOST_CELLS, n // block))))
 
-        def celled(batches: Iterator[pa.RecordBatch], centres=centres) -> Iterator[pa.RecordBatch]:
+        def celled(batches: Iterator[pa.RecordBatch], centres=centres, dim=dim) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ids, cells, raw = [], [], []
-                for i, v in zip(b.column(0).to_pylist(), _valid(b.column(1)), strict=True):
-                    if v is not None:
-                        ids.append(i)
-                        raw.append(v.tobytes())
-                        cells.append(int(np.argmax(centres.value @ (v / np.linalg.norm(v)))))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cells, pa.int32()), pa.array(raw, pa.binary())], ["vec_id", "cell", "raw"])
-
-        placed = materialise(own.mapInArrow(celled, "vec_id long, cell int, raw binary"))
+                v = scaled(b.column(1).flatten().to_numpy().reshape(b.num_rows, dim)) if b.num_rows else np.zeros((0, dim))
+                cells = np.argmax(v / np.linalg.norm(v, axis=1, keepdims=True) @ centres.value.T, 1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cells.astype(np.int32)), pa.array([x.tobytes() for x in v], pa.binary())], ["vec_id", "copies", "cell", "raw"])
+
+        placed = materialise(own.mapInArrow(celled, "vec_id long, copies long, cell int, raw binary"))
         cells = placed.groupBy("cell").agg(F.count("*").alias("c"))
         cut = placed.join(F.broadcast(cells), "cell").withColumn("sub", F.pmod(F.xxhash64("vec_id", F.lit("sub")), F.ceil(F.col("c") / block)).cast("int"))
 
-        blocks = materialise(cut.select("cell", "sub", "vec_id", "raw").groupBy("cell", "sub").applyInArrow(_built(reach), "cell int, sub int, centre binary, radius double, tree binary"))
+        blocks = materialise(cut.select("cell", "sub", "vec_id", "copies", "raw").groupBy("cell", "sub").applyInArrow(_built(reach), "cell int, sub int, centre binary, radius double, tree binary"))
         # a few numbers a block; blocks grow with the square root of what they can't outnumber
         tops = blocks.select("cell", "sub", "centre", "radius").orderBy("cell", "sub").collect()
         held = spark.sparkContext.broadcast(({(t.cell, t.sub): k for k, t in enumerate(tops)}, np.array([np.frombuffer(t.centre, np.float32) for t in tops]), np.array([t.radius for t in tops])))
@@ -238,9 +234,18 @@ def links(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> Dat
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding)."""
-    found = links(vectors.select("vec_id", "embedding"), cosine, block)
-    counts = found.where("other is null").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    classes = components(found.where("other is not null").select("vec_id", "other"))
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and size(embedding) > 0")
+    rows = rows.where("forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x != 0)")
+    nodes = rows.groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()))
+    members = rows.join(nodes.where("copies > 1"), "embedding").select("vec_id", "node", "first", "copies")
+    members = materialise(members.unionByName(nodes.where("copies = 1").select(F.col("first").alias("vec_id"), "node", "first", "copies")))
+    found = materialise(links(nodes.select(F.col("node").alias("vec_id"), "embedding", "copies"), cosine, block))
+    counts = found.where("other is null").groupBy(F.col("vec_id").alias("node")).agg(F.sum("n").alias("n"))
+    counts = members.join(counts, "node", "left").groupBy("vec_id").agg(F.sum(F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    ends = nodes.select("node", "first")
+    forest = found.where("other is not null").join(ends.select(F.col("node").alias("vec_id"), F.col("first").alias("u")), "vec_id").join(ends.select(F.col("node").alias("other"), F.col("first").alias("v")), "other")
+    classes = components(forest.select("u", "v").unionByName(members.where("vec_id != first").select(F.col("vec_id").alias("u"), F.col("first").alias("v"))))
     out = vectors.select("vec_id").join(counts, "vec_id", "left").join(classes.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
