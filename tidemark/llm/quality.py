@@ -1,7 +1,8 @@
 """Quality classifier by compression: one zstandard dictionary of good text, one of bad text.
 
-A text is compressed with both; the difference of the two compressed sizes over its length, weighted by how well it
-compresses at all, becomes a probability by logistic calibration on labelled rows that went into neither dictionary.
+A text is compressed with both. The difference of the two compressed sizes over its length becomes a probability by logistic
+calibration on labelled rows that went into neither dictionary, together with the smaller of the two sizes over the
+length: by the difference alone text that repeats itself passes as good (README has the figures).
 
 Only labelled rows outside the held-out fold are learnt from, at most MAX_TRAIN of them by the order of a hash of the
 document id; of those, two thirds feed the dictionaries, each with a slice, and one third, whole, the calibration.
@@ -44,14 +45,14 @@ class Model:
         return {"good": self.good, "bad": self.bad, "weights": self.weights, "_pair": None}
 
     def features(self, text: bytes) -> list[float]:
-        """1, signed size difference per byte (in per cent), compressibility under the better dictionary, log length."""
+        """1, signed size difference per byte (in per cent), size per byte under the better dictionary."""
         if self._pair is None:
             self._pair = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=LEVEL, write_content_size=False, write_dict_id=False) for d in (self.good, self.bad)]
         n = len(text)
         if not n:
-            return [1.0, 0.0, 0.0, 0.0]
+            return [1.0, 0.0, 0.0]
         a, b = (sum(len(c.compress(text[i : i + PIECE])) for i in range(0, n, PIECE)) for c in self._pair)
-        return [1.0, 100.0 * (b - a) / (n + 64), min(a, b) / (n + 64), math.log1p(n) / 10]
+        return [1.0, 100.0 * (b - a) / (n + 64), min(a, b) / (n + 64)]
 
     def score(self, text: bytes) -> float:
         if not self.good or not self.bad:
@@ -71,7 +72,7 @@ def _slices(lengths: list[int], size: int) -> list[tuple[int, int]]:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
-    """Newton steps on class-balanced log loss with a small ridge."""
+    """Newton steps on the log loss with a small ridge."""
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
@@ -96,7 +97,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     rows = texts.select("doc_id", "q", F.octet_length("raw").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     parts = {(q, part): [r for i, r in enumerate(x for x in rows if x.q == q) if (i % 3 == 2) == part] for q in (0, 1) for part in (False, True)}
     if not all(parts.values()):
-        return Model(b"", b"", [0.0] * 4)
+        return Model(b"", b"", [0.0] * 3)
     key = docs.schema["doc_id"].dataType.simpleString()
     cuts = {r.doc_id: cut for q in (0, 1) for r, cut in zip(parts[q, False], _slices([r.n for r in parts[q, False]], DICTIONARY_BYTES), strict=True)}
 
@@ -107,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
 
     pieces = {r.doc_id: bytes(r.piece) for r in texts.select("doc_id", "raw").mapInArrow(cut_out, f"doc_id {key}, piece binary").collect()}
     good, bad = (b"".join(pieces[r.doc_id] for r in parts[q, False]) for q in (1, 0))
-    model = Model(good, bad, [0.0] * 4)
+    model = Model(good, bad, [0.0] * 3)
     held = docs.sparkSession.sparkContext.broadcast((model, {r.doc_id for q in (0, 1) for r in parts[q, True]}))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,4 +141,4 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
-    return score(docs, model).select("doc_id", (fold == 0).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return score(docs, model).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))
