@@ -196,11 +196,21 @@ def test_embeddings(spark):
     draw = np.random.default_rng(2)
     base = draw.normal(size=(30, 16))
     v = np.concatenate([base, base[0] + 0.05 * draw.normal(size=(40, 16)), base[1:2] * 3, base[2:5] + 0.12 * draw.normal(size=(3, 16))])
-    rows = [(i, x.tolist(), 0) for i, x in enumerate(v)] + [(500, None, 1), (501, [0.0] * 16, 1), (502, [float("nan")] * 16, 1), (503, [None] * 16, 1), (504, [1.0, 2.0], 1), (505, [2.0, 4.0], 2), (506, [], 1)]
+    rows = [(i, x.tolist(), 0) for i, x in enumerate(v)] + [(500, None, 1), (501, [0.0] * 16, 1), (502, [float("nan")] * 16, 1), (503, [None] * 16, 1), (504, [1e-200, 2e-200], 1), (505, [2e200, 4e200], 2), (506, [], 1)]
     cos = v @ v.T / np.sqrt((v * v).sum(1))[:, None] / np.sqrt((v * v).sum(1))
     links = [(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if cos[i, j] >= 0.95] + [(504, 505)]
     want = roots(links, [r[0] for r in rows])
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links int").repartition(4)
+    same = [(i, rows[3][1], 0) for i in range(900, 925)] + [(7, rows[9][1], 0), (None, rows[0][1], 0)]  # copies of one vector, a second row of 7, no id
+    again = spark.createDataFrame(rows + same, "vec_id long, embedding array<double>, n_links int").repartition(4)
+    valid = [(r[0], np.array(r[1])) for r in rows + same if r[0] is not None and r[1] and len(r[1]) == 16 and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])]
+    near = [[a @ b >= 0.95 * np.sqrt((a @ a) * (b @ b)) for _, b in valid] for _, a in valid]
+    n_links = {}
+    for k, (i, _) in enumerate(valid):
+        n_links[i] = n_links.get(i, 0) + sum(near[k]) - 1
+    both = roots([(valid[k][0], valid[m][0]) for k in range(len(valid)) for m in range(k) if near[k][m]] + [(504, 505)], [r[0] for r in rows + same if r[0] is not None])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(again, block=9).collect()}
+    assert got == {x: (n_links.get(x, 1 if x in (504, 505) else 0), both[x]) for x in both} | {None: (0, None)}
     for block in (7, 2500):
         got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neighbours.near_duplicates(df, block=block).collect()}
         assert got == {x: (sum(x in p for p in links), want[x], want[x] == x) for x in want}
@@ -351,6 +361,25 @@ def test_language_and_quality_hold_out(spark):
     assert quality.score(frame(spark, [(1, "abc"), (2, None)]), quality.train(docs.limit(0).select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet"))).where("quality_score != 0.5").count() == 0
 
 
+def test_language_of_many_one_and_late_words(spark):
+    draw = random.Random(6)
+    words = {f"l{k}": ["".join(draw.choice(string.ascii_lowercase[3 * k : 3 * k + 4]) for _ in range(6)) for _ in range(40)] for k in range(8)}
+    text = lambda lang, n=12: " ".join(draw.choice(words[lang]) for _ in range(n))
+    rows = [(i, text(lang), lang) for i, lang in enumerate([*words] * 30)] + [(None, "xyz", "l0"), (7, "xyz", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert model.langs == sorted(words) and model.codes.shape[1] > 8
+    fresh = [(i, text(lang), lang) for i, lang in enumerate([*words] * 5)]
+    got = {r.doc_id: r.lang_pred for r in language.identify(spark.createDataFrame(fresh, "doc_id long, text string, lang string"), model).collect()}
+    assert sum(got[i] == lang for i, _, lang in fresh) >= 38
+    assert {r.lang_pred for r in language.identify(docs, language.train(docs.where("lang = 'l3'"))).collect()} == {"l3"}
+    # what tells the languages apart comes after 20,000 common characters
+    late = [(i, "0 " * 10_000 + text(lang, 40), lang) for i, lang in enumerate(["l1", "l5"] * 40)]
+    late = spark.createDataFrame(late, "doc_id long, text string, lang string")
+    got = language.identify(late, language.train(late)).join(late, "doc_id").where("lang = lang_pred").count()
+    assert got >= 78
+
+
 def test_quality_learns_from_all_chosen_rows_and_whole_texts(spark):
     ids = [i for i in range(3000) if zlib.crc32(str(i).encode()) % quality.FOLDS]
     rows = [(i, f"<{i:05d}>" * 60 + " ".join(WORDS[: i % 20]) * (i % 2)) for i in range(3000)]
