@@ -5,7 +5,7 @@ of them. Every vector goes to the cell of its nearest centre; cells are cut into
 builds the lower levels from its own vectors, again nested and halving, down to half the distance that the threshold
 allows. Each node knows its true covering radius. A dual traversal starts from pairs of blocks and prunes every pair of
 nodes whose centres lie farther apart than the sum of their radii and that distance; what survives at the leaves is
-compared in double precision, all of it. Blocks report counts of links and a spanning forest of them, never the
+compared in double precision, all of it, tile of blocks by tile of blocks. Blocks report counts of links and a spanning forest of them, never the
 links of a dense cell.
 
 Equal vectors are one vector with a number of copies, so that a very common one costs no more than any other.
@@ -33,6 +33,8 @@ from .shared import components, materialise, table
 COSINE = 0.95
 SAMPLE = 2048
 BLOCK = 2500
+#: Blocks on each side of what a task compares, at most: a block's tree goes to a task of each pair of tiles, not of blocks.
+TILE = 8
 #: Of centres at the top, at most.
 MOST_CELLS = 1024
 #: What single precision may be off by when nodes are pruned.
@@ -128,11 +130,15 @@ def surviving(a: Tree, b: Tree, reach: float) -> tuple[np.ndarray, np.ndarray]:
     return at[a.leaf], bt[b.leaf]
 
 
-def _dual(least: float, reach: float):
-    def joined(pair: pa.Table) -> pa.Table:
-        trees = [pickle.loads(x.as_py()) for x in pair.column("tree")]
-        a, b = trees[0], trees[-1]
-        same = len(trees) == 1
+def _dual(least: float, reach: float, tile: int):
+    """Of a pair of tiles (i, j) of blocks, all pairs of their blocks, each once."""
+
+    def joined(rows: pa.Table) -> pa.Table:
+        trees = {k: pickle.loads(x.as_py()) for k, x in zip(rows.column("own").to_pylist(), rows.column("tree"), strict=True)}
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        return pa.concat_tables([compared(trees[a], trees[b], a == b) for a in sorted(trees) if a // tile == i for b in sorted(trees) if b // tile == j and a <= b])
+
+    def compared(a: Tree, b: Tree, same: bool) -> pa.Table:
         i, j = (np.flatnonzero(m) for m in surviving(a, b, reach))
         ids, found = np.zeros(0, np.int64), []
         counts = (np.zeros(len(a.ids), np.int64), np.zeros(len(b.ids), np.int64))
@@ -217,17 +223,19 @@ def links(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> Dat
         tops = blocks.select("cell", "sub", "centre", "radius").orderBy("cell", "sub").collect()
         held = spark.sparkContext.broadcast(({(t.cell, t.sub): k for k, t in enumerate(tops)}, np.array([np.frombuffer(t.centre, np.float32) for t in tops]), np.array([t.radius for t in tops])))
 
-        def dealt(batches: Iterator[pa.RecordBatch], held=held, reach=reach) -> Iterator[pa.RecordBatch]:
+        tile = max(1, min(TILE, len(tops) // TILE))
+
+        def dealt(batches: Iterator[pa.RecordBatch], held=held, reach=reach, tile=tile) -> Iterator[pa.RecordBatch]:
             number, points, radii = held.value
             for b in batches:
                 for r in range(b.num_rows):
                     k = number[b.column(0)[r].as_py(), b.column(1)[r].as_py()]
                     d = np.sqrt(np.maximum(0, 2 - 2 * (points @ points[k])))
-                    for other in np.flatnonzero(d <= reach + radii + radii[k] + SLACK).tolist():
-                        yield pa.RecordBatch.from_arrays([pa.array([min(k, other)]), pa.array([max(k, other)]), pa.array([k]), b.column(2).slice(r, 1)], ["i", "j", "own", "tree"])
+                    for other in np.unique(np.flatnonzero(d <= reach + radii + radii[k] + SLACK) // tile).tolist():
+                        yield pa.RecordBatch.from_arrays([pa.array([min(k // tile, other)]), pa.array([max(k // tile, other)]), pa.array([k]), b.column(2).slice(r, 1)], ["i", "j", "own", "tree"])
 
         pairs = blocks.select("cell", "sub", "tree").mapInArrow(dealt, "i long, j long, own long, tree binary")
-        found = materialise(pairs.repartition(max(len(tops), 6), "i", "j").groupBy("i", "j").applyInArrow(_dual(cosine, reach), "vec_id long, n long, other long"))
+        found = materialise(pairs.repartition(max(len(tops), 6), "i", "j").groupBy("i", "j").applyInArrow(_dual(cosine, reach, tile), "vec_id long, n long, other long"))
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], "vec_id long, n long, other long")
 
