@@ -6,6 +6,7 @@ import re
 import string
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -231,6 +232,21 @@ def test_urls(spark):
     assert two[2] == two[3] == "block"
 
 
+def test_urls_equal_their_sql_with_links(spark, tmp_path):
+    """Chains, a class with an explicit allow, ends that are no pages, repeated pages and an extra column, in Spark and in SQL."""
+    to = lambda u, k=0: f'<meta http-equiv="refresh" content="0; url={u}">' if k else f'<link rel="canonical" href="{u}">'
+    rows = [(i, f"http://h{i}.test/p?x={i}", to(f"https://H{i + 1}.test/p?x={i + 1}#f", i % 2)) for i in range(12)] + [(12, "http://h12.test/p?x=12", to("http://gone.net/x"))]
+    rows += [(20, "http://k.test/", to("http://s.example.net/en/a") + to("http://b.net/x", 1)), (21, "http://b.net/x", None), (22, "http://l.test/", to("http://k.test/")), (23, "http://m.test/", to("http://www.example.com/de/")), (24, None, to("http://b.net/x")), (25, "http://b.net/x", "")]
+    pages = spark.createDataFrame([(*r, "clash") for r in [*rows, rows[3]]], "page_id long, url string, html string, verdict string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = sorted(map(str, (tuple(r) for r in urls.verdicts(pages).select("page_id", "host", "path", "rule", "verdict").collect())))
+    assert got == sorted(map(str, con.execute(urls.SQL).fetchall()))
+    verdict = {r.page_id: r.verdict for r in urls.verdicts(pages).collect()}
+    assert all(verdict[i] == "block" for i in (0, 5, 12, 21, 23)) and verdict[20] == verdict[22] == "allow"
+
+
 def test_links_are_resolved_like_a_browser(spark):
     from urllib.parse import urljoin
 
@@ -407,16 +423,78 @@ def test_empty_tables(spark):
         assert df.count() == 0
 
 
-def test_pipeline_stages(spark):
+def near_groups(texts):
+    """By brute force: of each doc_id the smallest one that Jaccard links of five-word shingles reach."""
+    sets = {}
+    for d, t in texts.items():
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        sets[d] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    ids = sorted(sets)
+    return roots([(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])], ids)
+
+
+def without_repeats(texts):
+    seen, out = set(), {}
+    for d in sorted(texts):
+        raw = (texts[d] or "").encode()
+        hit = bytearray(len(raw))
+        for i in range(len(raw) - 99):
+            if raw[i : i + 100] in seen:
+                hit[i : i + 100] = b"\1" * 100
+            seen.add(raw[i : i + 100])
+        if not any(hit):
+            out[d] = texts[d]
+        elif not all(hit):
+            out[d] = bytes(b for b, h in zip(raw, hit, strict=True) if not h).decode("utf-8", "ignore")
+    return out
+
+
+def clean_of(texts, items):
+    words = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
+    windows = {tuple(w[i : i + 10]) for w in map(words, items) if w for i in range(max(1, len(w) - 9))}
+    sizes = {len(w) for w in windows}
+    return {d: t for d, t in texts.items() if not any(tuple(w[i : i + n]) in windows for w in [words(t)] for n in sizes for i in range(len(w) - n + 1))}
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """run() and each stage on planted copies, passages and benchmark windows, with extra columns whose names clash."""
     import corpus_pipeline as pipeline
 
     rows = corpus()
-    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    one = pipeline.drop_near_copies(spark, docs.unionByName(docs.where("doc_id = 5")), SF)
-    groups = {r.doc_id: r.component_id for r in jaccard.linked(docs).collect()}
-    assert sorted(r.doc_id for r in one.collect()) == sorted(d for d, c in groups.items() if d == c) and one.columns == docs.columns
-    cut = pipeline.drop_repeats(spark, docs, SF)
-    assert cut.columns == docs.columns and cut.where("n_chars != length(text)").count() == 0
-    assert pipeline.drop_contaminated(spark, docs, SF).count() == len(rows)
-    assert pipeline.keep_good(spark, docs, SF).columns == docs.columns
-    assert pipeline.to_tokens(spark, docs, SF).count() == len(rows)
+    item = rows[4][1].split() if len(rows[4][1].split()) > 14 else rows[1][1].split()
+    draw = random.Random(9)
+    rows += [(i, " ".join([*(draw.choice(WORDS) for _ in range(30)), *item[2:13], *(draw.choice(WORDS) for _ in range(30))])) for i in range(300, 306)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, quality_score string, n_bytes map<string,int>"
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), "mine", {"a": 1}) for d, t in rows], schema)
+    docs = docs.unionByName(docs.where("doc_id = 5"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("i1", " ".join(item)), ("i2", "two words"), ("i3", None)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    sf, texts = str(tmp_path), dict(rows)
+    groups = near_groups(texts)
+    one = {d: t for d, t in texts.items() if groups[d] == d}
+    cut = without_repeats(one)
+    kept = clean_of(cut, [" ".join(item), "two words"])
+    assert len(texts) > len(one) and one != cut and len(cut) > len(kept) > 10
+    plain = lambda df: {r.doc_id: r.text for r in df.collect()}
+    got = docs
+    for (name, stage), want in zip(pipeline.STAGES[:-1], (texts, one, cut, kept), strict=True):
+        got = stage(spark, got, sf)
+        assert got.columns == docs.columns and plain(got) == want, name
+        assert got.where("quality_score != 'mine' or n_bytes['a'] != 1 or n_chars != length(coalesce(text, ''))").count() == 0
+        assert got.count() == len(want) + (name == "quality classifier")
+    path = bpe.tokenizer_path("byte_bpe_50k.json")
+    tokens = {d: bpe.library(path).encode(t or "", add_special_tokens=False).ids for d, t in kept.items()}
+    ran = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in pipeline.run(spark, sf).collect()}
+    assert ran == {d: (len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), hashlib.sha256((kept[d] or "").encode()).hexdigest()) for d, x in tokens.items()}
+
+
+def test_pipeline_keeps_what_the_classifier_accepts(spark):
+    import corpus_pipeline as pipeline
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    want = {r.doc_id for r in docs.collect() if model.score((r.text or "").encode()) >= quality.THRESHOLD}
+    got = pipeline.keep_good(spark, docs, sf)
+    assert {r.doc_id for r in got.select("doc_id").collect()} == want and 0 < len(want) < docs.count() and got.columns == docs.columns

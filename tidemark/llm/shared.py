@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import functools
 import hashlib
-import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,11 +25,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _local_folder() -> str:
+    path = tempfile.mkdtemp(prefix="tidemark-")
+    atexit.register(shutil.rmtree, path, True)
+    return path
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir; in local mode, where it may be unset, a folder
+    that goes with the process. What is written there on a cluster stays until that folder is cleared."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = os.environ.setdefault("TIDEMARK_TEST_SHARED", tempfile.mkdtemp(prefix="tidemark-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _local_folder()
     return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 

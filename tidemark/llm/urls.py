@@ -99,33 +99,37 @@ def verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) ->
     known = judged(classes.withColumn("url", F.concat(F.lit("x://"), "key")), rules)
     decided = known.groupBy("component").agg(F.max(F.col("own") == "allow").alias("allowed"), F.max(F.col("own") == "block").alias("blocked"))
     by_class = classes.join(decided, "component").where("blocked and not coalesce(allowed, false)").select("key")
-    out = own.withColumn("key", F.when(F.col("own").isNull(), _node(F.col("url"))))
-    blocked = out.join(by_class.withColumn("by_class", F.lit(True)), "key", "left")
-    return blocked.select("page_id", "host", "path", "rule", F.coalesce("own", F.when(F.col("by_class"), "block"), F.lit("allow")).alias("verdict"))
+    # pages with a rule of their own don't meet the classes
+    settled = own.where("own is not null").select("page_id", "host", "path", "rule", F.col("own").alias("verdict"))
+    asked = own.where("own is null").withColumn("key", _node(F.col("url"))).join(by_class.withColumn("by_class", F.lit(True)), "key", "left")
+    return settled.unionByName(asked.select("page_id", "host", "path", "rule", F.coalesce(F.when(F.col("by_class"), "block"), F.lit("allow")).alias("verdict")))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(table(spark, sf_dir, "pages"))
 
 
+_RULE = """CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+ WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+ WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+ WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule"""
 SQL = r"""
 WITH RECURSIVE p AS (SELECT page_id, coalesce(html, '') AS html, position('://' IN coalesce(url, '')) AS pos, coalesce(url, '') AS url FROM pages),
 q AS (SELECT page_id, html, CASE WHEN pos > 0 THEN substr(url, pos + 3) ELSE '' END AS rest FROM p),
 r AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
  regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') AS path, regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) AS query FROM q),
-ruled AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
- WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
- WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
- WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM r),
+ruled AS (SELECT *, RULE FROM r),
 tags AS (SELECT host || path || query AS source, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM r WHERE host || path <> ''),
 hrefs AS (SELECT source, CASE WHEN regexp_matches(tag, '(?is)^<link.*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
  WHEN regexp_matches(tag, '(?is)^<meta.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END AS href FROM tags),
-e AS (SELECT DISTINCT source, regexp_replace(regexp_replace(href, '#.*$', ''), '^[^:]*://', '') AS target FROM hrefs WHERE href LIKE '%://%'),
+ends AS (SELECT source, regexp_replace(regexp_replace(href, '#.*$', ''), '^[^:]*://', '') AS t FROM hrefs WHERE href LIKE '%://%'),
+e AS (SELECT DISTINCT source, translate(regexp_extract(t, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_replace(t, '^[^/?#]*', '') AS target FROM ends),
 pairs AS (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e),
 reach AS (SELECT a, b FROM pairs UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
-known AS (SELECT DISTINCT host || path || query AS key, rule FROM ruled WHERE rule IS NOT NULL),
+known AS (SELECT DISTINCT host || path || query AS key, rule FROM ruled WHERE rule IS NOT NULL
+ UNION SELECT key, RULE FROM (SELECT target AS key, regexp_extract(target, '^[^/?]*') AS host, regexp_extract(regexp_replace(target, '^[^/?]*', ''), '^[^?]*') AS path FROM e)),
 side AS (SELECT a, bool_or(rule IN ('example.net/en/', 'org/fr/')) AS allowed, bool_or(rule IN ('net/', 'example.com/de/')) AS blocked FROM reach JOIN known ON b = key GROUP BY 1)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
  WHEN blocked AND NOT coalesce(allowed, false) THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled LEFT JOIN side ON a = host || path || query
-"""
+""".replace("RULE", _RULE)
