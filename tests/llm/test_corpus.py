@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, jaccard, language, neighbours, quality, registry, sharding, suffixes, tokenfile, urls
-from tidemark.llm.shared import components
+from tidemark.llm.shared import components, materialise
 
 SF = "/root/testdata/sf0.001"
 WORDS = ["".join(random.Random(i).choice("abcdefgé") for _ in range(1 + i % 7)) for i in range(300)]
@@ -303,7 +303,7 @@ def test_segments_come_back_and_damage_shows(n):
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-@pytest.mark.parametrize("most", [0, bpe.BROADCAST_BYTES])
+@pytest.mark.parametrize("most", [0, 4000, bpe.HEAD_BYTES])
 def test_bpe_equals_the_library(spark, name, most):
     from tokenizers import Tokenizer
 
@@ -311,10 +311,13 @@ def test_bpe_equals_the_library(spark, name, most):
     t, draw = Tokenizer.from_file(path), random.Random(5)
     parts = [*" '\t\n s re've llTd12½Ⅷ éÉßΣς漢🎉.,!?\x85", "<|endoftext|>", "<|startoftext|>", "'s", " '", "don't", "  "]
     rows = corpus() + [(2000 + i, "".join(draw.choice(parts) for _ in range(draw.randint(0, 60)))) for i in range(200)]
-    got = {r.doc_id: list(r.ids) for r in bpe.encoded(frame(spark, rows), path, most).collect()}
+    docs = materialise(frame(spark, rows).repartition(6))
+    least, met = bpe.head(bpe.word_table(docs, path), most)[1], bpe.MOST_MET
+    assert (least == 1, 1 < least <= met, least > met) == (most > 4000, most == 4000, most == 0)
+    got = {r.doc_id: list(r.ids) for r in bpe.encoded(docs, path, most).collect()}
     assert got == {d: t.encode(x or "", add_special_tokens=False).ids for d, x in rows}
     if name.startswith("byte"):
-        trip = {r.doc_id: r.decoded_sha256 for r in bpe.round_trip(frame(spark, rows), path, most).collect()}
+        trip = {r.doc_id: r.decoded_sha256 for r in bpe.round_trip(docs, path, most).collect()}
         assert trip == {d: hashlib.sha256(t.decode(got[d], skip_special_tokens=False).encode()).hexdigest() for d in got}
 
 
@@ -329,10 +332,10 @@ def test_words_of_one_hash_and_new_characters(name):
     words = {h: p[0][a:z] for d in docs for p in d if isinstance(p, tuple) for a, z, h in zip(*(x.tolist() for x in p[1:]), strict=True)}
     h = pa.array(np.array(list(words), np.uint64).view(np.int64))
     last = [w if i % 5 else w + "?" for i, w in enumerate(words.values())]  # every fifth word shares its hash with another
-    batch = next(bpe._encoder(path)(iter([pa.RecordBatch.from_arrays([h, pa.array(words.values()), pa.array(last)], ["h", "word", "last"])])))
+    batch = next(bpe._encoder(path)(iter([pa.RecordBatch.from_arrays([h, pa.array(words.values()), pa.array(last), pa.array([1] * len(h), pa.int32())], ["h", "word", "last", "met"])])))
     table = bpe.Table(pa.chunked_array([batch.column(0)]), pa.chunked_array([batch.column(1)]), split.kind)
     assert len(table.shared) == -(-len(words) // 5)
-    assert [bpe.doc_ids(d, table, path).tolist() for d in docs] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [bpe.filled(*bpe.known(d, table, path), table).tolist() for d in docs] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_shards(spark):

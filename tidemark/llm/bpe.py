@@ -3,8 +3,10 @@
 1.  Split: Spark tasks cut each text into the tokenizer's words (numpy over code points, by the tokenizer's own pattern)
     and pass on each distinct word once, as a 64-bit hash and the word.
 2.  Encode: each distinct word of the corpus is encoded once, by the tokenizers library; the table is written.
-3.  Join: words find their ids by hash, in order of position. The table travels to the tasks while its measured size is
-    at most BROADCAST_BYTES; beyond that, chunks of documents meet just their own words' rows in a cogroup.
+3.  Join: words find their ids by hash, in order of position. The rows of the words that the most tasks met travel to
+    the tasks, at most HEAD_BYTES of them. What they leave out is joined by shuffle: texts are not moved, but the ids
+    found so far, with the places and hashes of the gaps; chunks of documents meet just their own missing words' rows
+    in a cogroup, which fills the gaps.
 4.  Decode: a join of the ids with the vocabulary's id-to-piece table, pieces put together in order.
 
 Words may be encoded by themselves because the pre-tokenizer never lets a merge cross them. The strings of added tokens
@@ -27,14 +29,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Prefixes, lean, materialise, mixed, small_batches, table
 
-#: Of the word table in the tasks' memory: 12 bytes a word and two or four an id; fewer than 2**32 ids.
-BROADCAST_BYTES = 192 << 20
-#: Text bytes of a chunk of documents where the table is too large for that, about.
+#: Of the words in every task's memory: 12 bytes a word and two or four an id.
+HEAD_BYTES = 32 << 20
+#: Words that more tasks met than this count alike when the head is chosen.
+MOST_MET = 1000
+#: Text bytes of a chunk of documents whose gaps are filled together, about.
 CHUNK_BYTES = 8 << 20
 #: Distinct words that a task remembers having passed on.
 REMEMBERED = 1 << 19
@@ -203,17 +209,18 @@ def _encoder(path: str) -> Callable:
         for b in batches:
             ids = [np.array(e.ids, kind).tobytes() for e in t.encode_batch(b.column(1).to_pylist(), add_special_tokens=False)]
             ids = [None if x != y else i for i, x, y in zip(ids, b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["h", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), b.column(3)], ["h", "ids", "met"])
 
     return encoded
 
 
 def word_table(docs: DataFrame, path: str) -> DataFrame:
-    """(h, ids binary) of every distinct word of docs' texts, written; ids is null where several words have one hash."""
+    """(h, ids binary, met) of every distinct word of docs' texts, written; ids is null where several words have one hash,
+    met is how often tasks passed the word on, at most MOST_MET."""
     small_batches(docs.sparkSession)
     words = docs.select("text").mapInArrow(lean(_distinct(path)), "h long, word string")
-    once = words.groupBy("h").agg(F.min("word").alias("word"), F.max("word").alias("last"))
-    return materialise(once.mapInArrow(lean(_encoder(path)), "h long, ids binary"))
+    once = words.groupBy("h").agg(F.min("word").alias("word"), F.max("word").alias("last"), F.least(F.count("*"), F.lit(MOST_MET)).cast("int").alias("met"))
+    return materialise(once.mapInArrow(lean(_encoder(path)), "h long, ids binary, met int"))
 
 
 class Table:
@@ -250,76 +257,139 @@ class Table:
             ends = np.cumsum(n)
             self.ids[first : first + ends[-1]] = data[np.repeat(starts[a : a + self.PART] - (ends - n), n) + np.arange(ends[-1])]
 
-    def of(self, h: np.ndarray) -> np.ndarray:
-        """The ids of words given by their hashes, end to end."""
-        if not len(h):
-            return np.zeros(0, np.uint32)
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words given by their hashes: where their ids start, how many there are, and whether the table has the word."""
+        if not len(self.h):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), np.zeros(len(h), bool)
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        if (self.h[at] != h).any():
-            raise ValueError("a word isn't in the table")
         a = self.offsets[at].astype(np.int64)
-        n = self.offsets[at + 1].astype(np.int64) - a
-        ends = np.cumsum(n)
-        return self.ids[np.repeat(a - ends + n, n) + np.arange(ends[-1])]
+        there = self.h[at] == h
+        return a, np.where(there, self.offsets[at + 1].astype(np.int64) - a, 0), there
+
+    def taken(self, a: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Slices of the ids that start at a and hold n, end to end."""
+        return self.ids[spread(a, n)]
+
+
+def spread(a: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n numbers from a on, for each a."""
+    ends = np.cumsum(n)
+    return np.repeat(a - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def doc_ids(doc: list, words: Table, path: str) -> np.ndarray:
-    parts = []
+def known(doc: list, words: Table, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A document's ids as far as words has them; the gaps' places among these ids, in order, and the gaps' word hashes."""
+    ids, at, missing, m = [np.zeros(0, words.ids.dtype)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
     for p in doc:
         if isinstance(p, int):
-            parts.append(np.array([p], np.uint32))
-        elif len(words.shared) and (odd := np.isin(p[3], words.shared)).any():
-            for i, (a, z) in enumerate(zip(p[1].tolist(), p[2].tolist(), strict=True)):
-                parts.append(np.array(library(path).encode(p[0][a:z], add_special_tokens=False).ids, np.uint32) if odd[i] else words.of(p[3][i : i + 1]))
+            ids.append(np.array([p], words.ids.dtype))
+            m += 1
+            continue
+        a, n, there = words.places(p[3])
+        if len(words.shared) and (odd := np.isin(p[3], words.shared)).any():
+            own = [library(path).encode(p[0][x:z], add_special_tokens=False).ids for x, z in zip(p[1][odd].tolist(), p[2][odd].tolist(), strict=True)]
+            size = n.copy()
+            size[odd] = [len(o) for o in own]
+            found = np.empty(size.sum(), words.ids.dtype)
+            mine = np.repeat(odd, size)
+            found[mine] = [i for o in own for i in o]
+            found[~mine] = words.taken(a[~odd], n[~odd])
+            n = size
         else:
-            parts.append(words.of(p[3]))
-    return np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.zeros(0, np.uint32)
-
+            found = words.taken(a, n)
+        if not there.all():
+            at.append(m + np.cumsum(n)[~there])
+            missing.append(p[3][~there])
+        ids.append(found)
+        m += len(found)
+    return np.concatenate(ids), np.concatenate(at), np.concatenate(missing)
+
+
+def filled(ids: np.ndarray, at: np.ndarray, missing: np.ndarray, words: Table) -> np.ndarray:
+    """ids with the gaps at those places filled with the missing words' ids."""
+    if not len(missing):
+        return ids
+    a, n, there = words.places(missing)
+    if not there.all():
+        raise ValueError("a word isn't in the table")
+    out = np.empty(len(ids) + n.sum(), ids.dtype)
+    gap = np.zeros(len(out), bool)
+    gap[spread(at + np.cumsum(n) - n, n)] = True
+    out[gap] = words.taken(a, n)
+    out[~gap] = ids
+    return out
 
-def travels(words: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> bool:
-    """Whether the word table is small enough to go to every task."""
-    size = words.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("b")).first()
-    return 12 * size.n + size.b <= broadcast_bytes
 
+def head(words: DataFrame, head_bytes: int = HEAD_BYTES) -> tuple[DataFrame, int]:
+    """The words that the most tasks met, as many as head_bytes hold, and the least met of them; words of one hash are always there."""
+    size = words.groupBy("met").agg(F.sum(F.lit(12) + F.coalesce(F.octet_length("ids"), F.lit(0))).alias("b")).collect()
+    least, total = MOST_MET + 1, 0
+    for met, b in sorted(size, reverse=True):
+        total += b
+        if total > head_bytes:
+            break
+        least = met
+    return words.where((F.col("met") >= least) | F.col("ids").isNull()).select("h", "ids"), least
 
-def encode_with(docs: DataFrame, words: DataFrame, path: str, made: Callable, schema: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """made(keys arrow array, iterator of id arrays) -> arrow batch, over docs (a key column and text)."""
-    spark = docs.sparkSession
-    key = docs.columns[0]
-    if travels(words, broadcast_bytes):
-        rows = words.toArrow()
-        held = spark.sparkContext.broadcast(Table(rows.column(0), rows.column(1), Splitter(path).kind))
-        del rows
 
-        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            split = Splitter(path)
-            for b in batches:
-                for a in range(0, b.num_rows, 1000):
-                    part = b.slice(a, 1000)
-                    yield made(part.column(0), (doc_ids(d, held.value, path) for d in _docs((x.as_py() for x in part.column(1)), split)))
+def tailed(words: DataFrame, least: int) -> bool:
+    """Whether words has rows outside its head."""
+    return not words.where((F.col("met") < least) & F.col("ids").isNotNull()).isEmpty()
 
-        return docs.mapInArrow(lean(joined), schema)
 
-    chunks = max(1, -(-docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b // CHUNK_BYTES))
-    cut = docs.withColumn("chunk", F.pmod(F.xxhash64(key, F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))), F.lit(chunks)))
+def encode_with(docs: DataFrame, words: DataFrame, path: str, made: Callable, schema: str, head_bytes: int = HEAD_BYTES) -> tuple[DataFrame, bool]:
+    """made(keys arrow array, iterator of id arrays) -> arrow batch, over docs (a key column and text); and whether docs kept their order."""
+    spark = docs.sparkSession
+    key = docs.columns[0]
+    first, least = head(words, head_bytes)
+    rows = first.toArrow()
+    held = spark.sparkContext.broadcast(Table(rows.column(0), rows.column(1), Splitter(path).kind))
+    del rows
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple]]]:
         split = Splitter(path)
         for b in batches:
-            all_ = list(_docs((x.as_py() for x in b.column(1)), split))
-            n = [sum(len(p[3]) for p in d if isinstance(p, tuple)) for d in all_]
-            chunk = np.repeat(b.column(0).to_numpy(), n)
-            if sum(n):
-                both = np.unique(np.stack((chunk.view(np.uint64), np.concatenate([p[3] for d in all_ for p in d if isinstance(p, tuple)]))), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in np.ascontiguousarray(both)], ["chunk", "h"])
+            yield b, (known(d, held.value, path) for d in _docs((x.as_py() for x in b.column(1)), split))
 
-    def met(left: pa.Table, right: pa.Table) -> pa.Table:
-        split = Splitter(path)
-        words = Table(right.column("h"), right.column("ids"), split.kind)
-        return pa.Table.from_batches([made(left.column(key).combine_chunks(), (doc_ids(d, words, path) for d in _docs((x.as_py() for x in left.column("text")), split)))])
+    if not tailed(words, least):
+
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b, docs_ in found(batches):
+                yield made(b.column(0), (filled(*d, held.value) for d in docs_))
+
+        return docs.mapInArrow(lean(joined), schema), True
+
+    def gapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        for b, docs_ in found(batches):
+            chunks, ids, at, missing, ends = [], [], [], [], [0]
+            for n, d in zip(pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist(), docs_, strict=True):
+                chunks.append(chunk)
+                ids.append(d[0].tobytes())
+                at.append(d[1].astype(np.uint32).tobytes())
+                missing.append(d[2])
+                ends.append(ends[-1] + len(d[2]))
+                size += n
+                if size >= CHUNK_BYTES:
+                    chunk, size = chunk + 1, 0
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(missing).view(np.int64) if missing else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), b.column(0), pa.array(ids, pa.binary()), pa.array(at, pa.binary()), lists], ["chunk", key, "known", "places", "missing"])
 
-    wanted = cut.select("chunk", "text").mapInArrow(asked, "chunk long, h long").distinct().join(words, "h")
-    return cut.groupBy("chunk").cogroup(wanted.select("chunk", "h", "ids").groupBy("chunk")).applyInArrow(met, schema)
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        words = Table(right.column("h"), right.column("ids"), Splitter(path).kind)
+        batches = []
+        for b in left.to_batches():
+            h, ends = b.column("missing").values.to_numpy().view(np.uint64), b.column("missing").offsets.to_numpy()
+            docs_ = (
+                filled(np.frombuffer(ids, words.ids.dtype), np.frombuffer(at, np.uint32).astype(np.int64), h[x:z], words)
+                for ids, at, x, z in zip(b.column("known").to_pylist(), b.column("places").to_pylist(), ends[:-1], ends[1:], strict=True)
+            )
+            batches.append(made(b.column(key), docs_))
+        return pa.Table.from_batches(batches)
+
+    gaps = materialise(docs.mapInArrow(lean(gapped), f"chunk long, `{key}` {docs.schema[key].dataType.simpleString()}, known binary, places binary, missing array<long>"))
+    wanted = gaps.select(F.col("chunk").alias("of"), F.explode("missing").alias("h")).distinct().join(words.where(F.col("met") < least).select("h", "ids"), "h")
+    return gaps.groupBy("chunk").cogroup(wanted.select("of", "h", "ids").groupBy("of")).applyInArrow(met, schema), False
 
 
 @functools.cache
@@ -370,16 +440,16 @@ def _ids(keys: pa.Array, all_ids: Iterator[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([keys, pa.array([x.astype(np.int32) for x in all_ids], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
 
-def encoded(docs: DataFrame, path: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def encoded(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES) -> DataFrame:
     """(doc_id, ids array<int>) for each row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    return encode_with(docs, word_table(docs, path), path, _ids, "doc_id long, ids array<int>", broadcast_bytes)
+    return encode_with(docs, word_table(docs, path), path, _ids, "doc_id long, ids array<int>", head_bytes)[0]
 
 
-def round_trip(docs: DataFrame, path: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    return encode_with(docs, word_table(docs, path), path, _digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", broadcast_bytes)
+    return encode_with(docs, word_table(docs, path), path, _digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", head_bytes)[0]
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -234,8 +234,8 @@ def write(docs: DataFrame, path: str) -> DataFrame:
     words = bpe.word_table(docs, path)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
     ordered = docs.repartitionByRange(max(1, -(-size // PARTITION_BYTES)), "doc_id").sortWithinPartitions("doc_id")
-    ids = bpe.encode_with(ordered, words, path, bpe._ids, "doc_id long, ids array<int>")
-    if not bpe.travels(words):  # chunks of documents came back in any order
+    ids, in_order = bpe.encode_with(ordered, words, path, bpe._ids, "doc_id long, ids array<int>")
+    if not in_order:  # chunks of documents came back in any order
         ids = materialise(ids).repartitionByRange(max(1, -(-size // PARTITION_BYTES)), "doc_id").sortWithinPartitions("doc_id")
     return materialise(ids.mapInArrow(_segments, "part int, segment int, n_ids long, data binary"))
 
