@@ -4,9 +4,9 @@
     and pass on each distinct word once, as a 64-bit hash and the word.
 2.  Encode: each distinct word of the corpus is encoded once, by the tokenizers library; the table is written.
 3.  Join: words find their ids by hash, in order of position. The rows of the words that the most tasks met travel to
-    the tasks, at most HEAD_BYTES of them. What they leave out is joined by shuffle: texts are not moved, but the ids
-    found so far, with the places and hashes of the gaps; chunks of documents meet just their own missing words' rows
-    in a cogroup, which fills the gaps.
+    the tasks, at most HEAD_BYTES of them. What they leave out is joined by shuffle: no text is shuffled: the ids
+    found so far are written with the places and hashes of the gaps, bucketed by chunks of consecutive documents, and
+    each chunk meets just its own missing words' rows in a cogroup, which fills the gaps.
 4.  Decode: a join of the ids with the vocabulary's id-to-piece table, pieces put together in order.
 
 Words may be encoded by themselves because the pre-tokenizer never lets a merge cross them. The strings of added tokens
@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Prefixes, lean, materialise, mixed, small_batches, table
+from .shared import Prefixes, lean, materialise, materialise_buckets, mixed, small_batches, table
 
 #: Of the words in every task's memory: 12 bytes a word and two or four an id.
 HEAD_BYTES = 32 << 20
@@ -42,6 +42,8 @@ HEAD_BYTES = 32 << 20
 MOST_MET = 1000
 #: Text bytes of a chunk of documents whose gaps are filled together, about.
 CHUNK_BYTES = 8 << 20
+#: Text bytes of a bucket of such chunks, about, and the most buckets.
+BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 20_000
 #: Distinct words that a task remembers having passed on.
 REMEMBERED = 1 << 19
 
@@ -218,8 +220,8 @@ def word_table(docs: DataFrame, path: str) -> DataFrame:
     """(h, ids binary, met) of every distinct word of docs' texts, written; ids is null where several words have one hash,
     met is how often tasks passed the word on, at most MOST_MET."""
     small_batches(docs.sparkSession)
-    words = docs.select("text").mapInArrow(lean(_distinct(path)), "h long, word string")
-    once = words.groupBy("h").agg(F.min("word").alias("word"), F.max("word").alias("last"), F.least(F.count("*"), F.lit(MOST_MET)).cast("int").alias("met"))
+    words = docs.select("text").mapInArrow(lean(_distinct(path)), "h long, word string")  # a task's words are distinct already
+    once = words.repartition("h").groupBy("h").agg(F.min("word").alias("word"), F.max("word").alias("last"), F.least(F.count("*"), F.lit(MOST_MET)).cast("int").alias("met"))
     return materialise(once.mapInArrow(lean(_encoder(path)), "h long, ids binary, met int"))
 
 
@@ -387,7 +389,9 @@ def encode_with(docs: DataFrame, words: DataFrame, path: str, made: Callable, sc
             batches.append(made(b.column(key), docs_))
         return pa.Table.from_batches(batches)
 
-    gaps = materialise(docs.mapInArrow(lean(gapped), f"chunk long, `{key}` {docs.schema[key].dataType.simpleString()}, known binary, places binary, missing array<long>"))
+    buckets = -(-docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b // BUCKET_BYTES)
+    gaps = docs.mapInArrow(lean(gapped), f"chunk long, `{key}` {docs.schema[key].dataType.simpleString()}, known binary, places binary, missing array<long>")
+    gaps = materialise_buckets(gaps, "chunk", min(max(buckets, 1), MOST_BUCKETS))
     wanted = gaps.select(F.col("chunk").alias("of"), F.explode("missing").alias("h")).distinct().join(words.where(F.col("met") < least).select("h", "ids"), "h")
     return gaps.groupBy("chunk").cogroup(wanted.select("of", "h", "ids").groupBy("of")).applyInArrow(met, schema), False
 

@@ -50,6 +50,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise_buckets(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """As materialise(), in buckets by key, so that what groups by it needs no shuffle of these rows; the catalog's entry is dropped at once."""
+    spark, path, name = df.sparkSession, shared_folder(df.sparkSession), f"tidemark_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    written = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return written
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most BATCH_ROWS rows: whole texts travel in them, and both sides of a worker's pipe hold several."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
