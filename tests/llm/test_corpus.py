@@ -338,6 +338,29 @@ def test_words_of_one_hash_and_new_characters(name):
     assert [bpe.filled(*bpe.known(d, table, path), table).tolist() for d in docs] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("limit", [1, 60, 1 << 20])
+def test_packed_words_merge_and_show_shared_hashes(monkeypatch, limit):
+    monkeypatch.setattr(bpe, "MERGED_BYTES", limit)
+    monkeypatch.setattr(bpe, "ENCODED_WORDS", 7)
+    short = lambda cp, a, z: np.array([z_ - a_ << 60 | int(cp[a_]) for a_, z_ in zip(a.tolist(), z.tolist(), strict=True)], np.uint64)
+    monkeypatch.setattr(bpe, "word_hashes", short)  # words of one length and first letter meet
+    draw, sent, rows = random.Random(3), [], []
+    for _ in range(9):
+        words = {(len(w), w[0]): w for w in ("".join(draw.choice("aé漢🎉") for _ in range(draw.randint(1, 3))) for _ in range(12))}
+        cp = [np.frombuffer(w.encode("utf-32-le"), np.uint32) for w in words.values()]
+        h = np.array([short(c, np.array([0]), np.array([len(c)]))[0] for c in cp], np.uint64)
+        order = np.argsort(h)
+        rows.append(bpe._packed(h[order], pa.array(words.values()).take(pa.array(order)), 5))
+        assert rows[-1].column(0).to_pylist() == sorted({int(k >> np.uint64(32)) * 5 >> 32 for k in h})
+        sent += words.values()
+    got = [r for b in bpe._merged(iter(rows)) for r in b.to_pylist()]
+    key = lambda w: len(w) << 60 | ord(w[0])
+    assert [r["h"] for r in got] == sorted({key(w) for w in sent})
+    for r in got:
+        mine = [w for w in sent if key(w) == r["h"]]
+        assert r["met"] == len(mine) and {r["word"], r["last"]} <= {*mine} and (r["word"] == r["last"]) == (len({*mine}) == 1)
+
+
 def test_shards(spark):
     rows = [(i, f"text {i % 50}") for i in range(3000)] + [(7, "text 7"), (None, None)]
     got = sharding.sharded(frame(spark, rows), cell_rows=40).collect()

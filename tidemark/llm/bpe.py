@@ -1,10 +1,10 @@
 """BPE encoding and decoding over a table of distinct words.
 
 1.  Split: Spark tasks cut each text into the tokenizer's words (numpy over code points, by the tokenizer's own pattern)
-    and pass on each distinct word once, as a 64-bit hash and the word.
+    and pass on each distinct word once, packed by ranges of a 64-bit hash.
 2.  Encode: each distinct word of the corpus is encoded once, by the tokenizers library; the table is written.
-3.  Join: words find their ids by hash, in order of position. The rows of the words that the most tasks met travel to
-    the tasks, at most HEAD_BYTES of them. What they leave out is joined by shuffle: no text is shuffled: the ids
+3.  Join: words find their ids by hash, in order of position. Of the words that several tasks met, the rows of those that
+    the most met travel to the tasks, at most HEAD_BYTES of them. All others are joined by shuffle: no text is shuffled: the ids
     found so far are written with the places and hashes of the gaps, bucketed by chunks of consecutive documents, and
     each chunk meets just its own missing words' rows in a cogroup, which fills the gaps.
 4.  Decode: a join of the ids with the vocabulary's id-to-piece table, pieces put together in order.
@@ -30,11 +30,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Prefixes, lean, materialise, materialise_buckets, mixed, small_batches, table
+from .shared import Prefixes, lean, materialise, materialise_buckets, mixed, small_batches, table, utf8
 
 #: Of the words in every task's memory: 12 bytes a word and two or four an id.
 HEAD_BYTES = 32 << 20
@@ -44,8 +45,10 @@ MOST_MET = 1000
 CHUNK_BYTES = 8 << 20
 #: Text bytes of a bucket of such chunks, about, and the most buckets.
 BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 20_000
-#: Distinct words that a task remembers having passed on.
+#: Distinct words that a task gathers before it passes them on.
 REMEMBERED = 1 << 19
+#: Text bytes for each partition of distinct words, about; packed bytes that such a partition merges at a time, and words it encodes at a time.
+WORDS_BYTES, MERGED_BYTES, ENCODED_WORDS = 16 << 20, 8 << 20, 5000
 
 
 def tokenizer_path(name: str) -> str:
@@ -153,8 +156,7 @@ class Splitter:
         if not self.spaced:
             kept = ~space[starts]
             starts, ends = starts[kept], ends[kept]
-        hashes = Prefixes(mixed(cp.astype(np.uint64) + np.uint64(0x9E37)))
-        return starts, ends, hashes.words(starts, ends, lambda a, z: cp[a:z].tobytes())
+        return starts, ends, word_hashes(cp, starts, ends)
 
 
 def _docs(texts: Iterator[str | None], split: Splitter) -> Iterator[list]:
@@ -170,11 +172,50 @@ def _docs(texts: Iterator[str | None], split: Splitter) -> Iterator[list]:
         yield out
 
 
-def _distinct(path: str) -> Callable:
+def word_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words given as slices of code points."""
+    return Prefixes(mixed(cp.astype(np.uint64) + np.uint64(0x9E37))).words(starts, ends, lambda a, z: cp[a:z].tobytes())
+
+
+def _packed(h: np.ndarray, words: pa.Array, buckets: int) -> pa.RecordBatch:
+    """(bucket, words) of words in the order of their hashes: a row a bucket, the lengths and the bytes of its words compressed.
+    Hashes aren't sent, since the words give them again."""
+    data, offsets = utf8(words)
+    of = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    cuts = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(h)) if len(h) else np.zeros(1, np.int64)
+    pack = zstandard.ZstdCompressor(level=3).compress
+    rows = []
+    for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        sizes = np.diff(offsets[a : z + 1]).astype("<u4")
+        # lengths by planes of bytes, of which all but the first are nearly always zeros
+        rows.append(pack((z - a).to_bytes(4, "little") + sizes.view(np.uint8).reshape(-1, 4).T.tobytes() + data[offsets[a] : offsets[z]].tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(of[cuts[:-1]].astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "words"])
+
+
+def _unpacked(rows: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """The hashes and words of packed rows."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    sizes, data = [np.zeros(1, np.int64)], []
+    for row in rows:
+        raw = open_(row)
+        n = int.from_bytes(raw[:4], "little")
+        sizes.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, 4).reshape(4, n).T).view("<u4").ravel())
+        data.append(raw[4 + 4 * n :])
+    data = b"".join(data)
+    offsets = np.cumsum(np.concatenate(sizes), dtype=np.int64)
+    places = np.zeros(len(data) + 1, np.int64)  # of bytes, among code points
+    np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80, out=places[1:])
+    cp = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
+    h = word_hashes(cp, places[offsets[:-1]], places[offsets[1:]])
+    return h, pa.LargeStringArray.from_buffers(len(h), pa.py_buffer(offsets), pa.py_buffer(data))
+
+
+def _distinct(path: str, buckets: int) -> Callable:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = Splitter(path), np.zeros(0, np.uint64)
+        split, seen, held = Splitter(path), np.zeros(0, np.uint64), []
 
-        def passed(parts: list, seen: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+        def keep(parts: list) -> None:
+            nonlocal seen
             h = np.concatenate([p[3] for p in parts])
             which = np.repeat(np.arange(len(parts)), [len(p[3]) for p in parts])
             s, e = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
@@ -183,9 +224,16 @@ def _distinct(path: str) -> Callable:
                 i = np.minimum(np.searchsorted(seen, new), len(seen) - 1)
                 fresh = seen[i] != new
                 new, at = new[fresh], at[fresh]
-            words = [parts[w][0][a:b] for w, a, b in zip(which[at].tolist(), s[at].tolist(), e[at].tolist(), strict=True)]
-            seen = np.union1d(seen, new) if len(seen) + len(new) <= REMEMBERED else new
-            return pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), pa.array(words, pa.string())], ["h", "word"]), seen
+            held.append((new, pa.array([parts[w][0][a:b] for w, a, b in zip(which[at].tolist(), s[at].tolist(), e[at].tolist(), strict=True)], pa.large_string())))
+            seen = np.union1d(seen, new)
+
+        def passed() -> pa.RecordBatch:
+            nonlocal seen, held
+            h = np.concatenate([x for x, _ in held])
+            order = np.argsort(h)
+            out = _packed(h[order], pa.concat_arrays([w for _, w in held]).take(pa.array(order)), buckets)
+            seen, held = seen[:0], []
+            return out
 
         for b in batches:
             parts, n = [], 0
@@ -195,16 +243,55 @@ def _distinct(path: str) -> Callable:
                         parts.append(p)
                         n += len(p[1])
                 if n > 400_000:
-                    out, seen = passed(parts, seen)
-                    yield out
+                    keep(parts)
                     parts, n = [], 0
             if parts:
-                out, seen = passed(parts, seen)
-                yield out
+                keep(parts)
+            if len(seen) > REMEMBERED:
+                yield passed()
+        if held:
+            yield passed()
 
     return found
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, word, last, met) of each hash in packed rows: a word, another one if several have this hash (else the same), and how often it came."""
+    h, words, met = np.zeros(0, np.uint64), pa.array([], pa.large_string()), np.zeros(0, np.int64)
+    other: dict[int, str] = {}
+    rows, size = [], 0
+
+    def merge() -> None:
+        nonlocal h, words, met
+        more, others = _unpacked(rows)
+        order = np.argsort(np.concatenate([h, more]), kind="stable")
+        h, words = np.concatenate([h, more])[order], pa.concat_arrays([words, others]).take(pa.array(order))
+        met = np.concatenate([met, np.ones(len(more), np.int64)])[order]
+        first = np.append(True, h[1:] != h[:-1])
+        for i in np.flatnonzero(~first[1:] & pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)).tolist():
+            a, z = words[i].as_py(), words[i + 1].as_py()
+            at = np.searchsorted(h, h[i + 1])
+            other[int(h[i + 1])] = z if z != words[int(at)].as_py() else a
+        first = np.flatnonzero(first)
+        h, words, met = h[first], words.take(pa.array(first)), np.add.reduceat(met, first)
+
+    for b in batches:
+        for row in b.column(1).to_pylist():
+            rows.append(row)
+            size += len(row)
+            if size > MERGED_BYTES:
+                merge()
+                rows, size = [], 0
+    if rows:
+        merge()
+    for a in range(0, len(h), ENCODED_WORDS):
+        part, some = h[a : a + ENCODED_WORDS], words[a : a + ENCODED_WORDS]
+        last = some
+        if other:
+            last = pa.array([other.get(k, w) for k, w in zip(part.tolist(), some.to_pylist(), strict=True)], pa.large_string())
+        yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), some, last, pa.array(np.minimum(met[a : a + ENCODED_WORDS], MOST_MET).astype(np.int32))], ["h", "word", "last", "met"])
+
+
 def _encoder(path: str) -> Callable:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, kind = library(path), Splitter(path).kind
@@ -216,13 +303,17 @@ def _encoder(path: str) -> Callable:
     return encoded
 
 
-def word_table(docs: DataFrame, path: str) -> DataFrame:
-    """(h, ids binary, met) of every distinct word of docs' texts, written; ids is null where several words have one hash,
-    met is how often tasks passed the word on, at most MOST_MET."""
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
+
+
+def word_table(docs: DataFrame, path: str, size: int | None = None) -> DataFrame:
+    """(h, ids binary, met) of every distinct word of docs' texts (of that many bytes), written; ids is null where several words
+    have one hash, met is how often tasks passed the word on, at most MOST_MET."""
     small_batches(docs.sparkSession)
-    words = docs.select("text").mapInArrow(lean(_distinct(path)), "h long, word string")  # a task's words are distinct already
-    once = words.repartition("h").groupBy("h").agg(F.min("word").alias("word"), F.max("word").alias("last"), F.least(F.count("*"), F.lit(MOST_MET)).cast("int").alias("met"))
-    return materialise(once.mapInArrow(lean(_encoder(path)), "h long, ids binary, met int"))
+    buckets = min(max(-(-(text_bytes(docs) if size is None else size) // WORDS_BYTES), 1), MOST_BUCKETS)
+    words = docs.select("text").mapInArrow(lean(_distinct(path, buckets)), "bucket int, words binary")  # a task's words are distinct already
+    return materialise(words.repartitionById(buckets, F.col("bucket")).mapInArrow(lean(lambda rows: _encoder(path)(_merged(rows))), "h long, ids binary, met int"))
 
 
 class Table:
@@ -334,16 +425,11 @@ def head(words: DataFrame, head_bytes: int = HEAD_BYTES) -> tuple[DataFrame, int
     return words.where((F.col("met") >= least) | F.col("ids").isNull()).select("h", "ids"), least
 
 
-def tailed(words: DataFrame, least: int) -> bool:
-    """Whether words has rows outside its head."""
-    return not words.where((F.col("met") < least) & F.col("ids").isNotNull()).isEmpty()
-
-
-def encode_with(docs: DataFrame, words: DataFrame, path: str, made: Callable, schema: str, head_bytes: int = HEAD_BYTES) -> tuple[DataFrame, bool]:
-    """made(keys arrow array, iterator of id arrays) -> arrow batch, over docs (a key column and text); and whether docs kept their order."""
+def encode_with(docs: DataFrame, words: DataFrame, path: str, made: Callable, schema: str, head_bytes: int = HEAD_BYTES, size: int | None = None) -> DataFrame:
+    """made(keys arrow array, iterator of id arrays) -> arrow batch, over docs (a key column and text of that many bytes), in any order."""
     spark = docs.sparkSession
     key = docs.columns[0]
-    first, least = head(words, head_bytes)
+    first, least = head(words.where("met > 1 or ids is null"), head_bytes)  # what one task met goes to that task's chunks alone
     rows = first.toArrow()
     held = spark.sparkContext.broadcast(Table(rows.column(0), rows.column(1), Splitter(path).kind))
     del rows
@@ -353,14 +439,6 @@ def encode_with(docs: DataFrame, words: DataFrame, path: str, made: Callable, sc
         for b in batches:
             yield b, (known(d, held.value, path) for d in _docs((x.as_py() for x in b.column(1)), split))
 
-    if not tailed(words, least):
-
-        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b, docs_ in found(batches):
-                yield made(b.column(0), (filled(*d, held.value) for d in docs_))
-
-        return docs.mapInArrow(lean(joined), schema), True
-
     def gapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, size = TaskContext.get().partitionId() << 32, 0
         for b, docs_ in found(batches):
@@ -389,11 +467,11 @@ def encode_with(docs: DataFrame, words: DataFrame, path: str, made: Callable, sc
             batches.append(made(b.column(key), docs_))
         return pa.Table.from_batches(batches)
 
-    buckets = -(-docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b // BUCKET_BYTES)
+    buckets = -(-(text_bytes(docs) if size is None else size) // BUCKET_BYTES)
     gaps = docs.mapInArrow(lean(gapped), f"chunk long, `{key}` {docs.schema[key].dataType.simpleString()}, known binary, places binary, missing array<long>")
     gaps = materialise_buckets(gaps, "chunk", min(max(buckets, 1), MOST_BUCKETS))
     wanted = gaps.select(F.col("chunk").alias("of"), F.explode("missing").alias("h")).distinct().join(words.where(F.col("met") < least).select("h", "ids"), "h")
-    return gaps.groupBy("chunk").cogroup(wanted.select("of", "h", "ids").groupBy("of")).applyInArrow(met, schema), False
+    return gaps.groupBy("chunk").cogroup(wanted.select("of", "h", "ids").groupBy("of")).applyInArrow(met, schema)
 
 
 @functools.cache
@@ -447,13 +525,15 @@ def _ids(keys: pa.Array, all_ids: Iterator[np.ndarray]) -> pa.RecordBatch:
 def encoded(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES) -> DataFrame:
     """(doc_id, ids array<int>) for each row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    return encode_with(docs, word_table(docs, path), path, _ids, "doc_id long, ids array<int>", head_bytes)[0]
+    size = text_bytes(docs)
+    return encode_with(docs, word_table(docs, path, size), path, _ids, "doc_id long, ids array<int>", head_bytes, size)
 
 
 def round_trip(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    return encode_with(docs, word_table(docs, path), path, _digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", head_bytes)[0]
+    size = text_bytes(docs)
+    return encode_with(docs, word_table(docs, path, size), path, _digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", head_bytes, size)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -231,12 +231,9 @@ def _segments(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write(docs: DataFrame, path: str) -> DataFrame:
     """The written segments (part, segment, n_ids, data) of docs (doc_id, text) under the tokenizer at path."""
     docs = docs.select("doc_id", "text")
-    words = bpe.word_table(docs, path)
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
-    ordered = docs.repartitionByRange(max(1, -(-size // PARTITION_BYTES)), "doc_id").sortWithinPartitions("doc_id")
-    ids, in_order = bpe.encode_with(ordered, words, path, bpe._ids, "doc_id long, ids array<int>")
-    if not in_order:  # chunks of documents came back in any order
-        ids = materialise(ids).repartitionByRange(max(1, -(-size // PARTITION_BYTES)), "doc_id").sortWithinPartitions("doc_id")
+    size = bpe.text_bytes(docs)
+    ids = bpe.encode_with(docs, bpe.word_table(docs, path, size), path, bpe._ids, "doc_id long, ids array<int>", size=size)
+    ids = materialise(ids).repartitionByRange(max(1, -(-size // PARTITION_BYTES)), "doc_id").sortWithinPartitions("doc_id")
     return materialise(ids.mapInArrow(_segments, "part int, segment int, n_ids long, data binary"))
 
 
