@@ -288,6 +288,17 @@ def test_token_files(spark):
         at += len(ids)
 
 
+def test_token_files_of_nulls_repeated_rows_and_clashing_columns(spark):
+    path = bpe.tokenizer_path("word_bpe_49k.json")
+    rows = [(3, "x y z", 0), (None, "a b", 1), (3, "x y z", 2), (1, None, 3), (2, "", 4), (None, None, 5)]
+    docs = spark.createDataFrame([(d, t, i, i, "q") for d, t, i in rows], "doc_id long, text string, part int, ids int, word string").repartition(3)
+    got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokenfile.index(tokenfile.write(docs, path)).collect()), key=lambda r: r[1:3])
+    assert [r[0] for r in got] == [None, None, 1, 2, 3, 3]
+    ids = lambda t: np.array([*bpe.library(path).encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+    assert sorted((r[0] is None, r[0] or 0, r[2], r[3]) for r in got) == sorted((d is None, d or 0, len(ids(t)), zlib.crc32(ids(t).tobytes())) for d, t, _ in rows)
+    assert [r[1] for r in got] == [sum(r[2] for r in got[:i]) for i in range(len(got))]
+
+
 @pytest.mark.parametrize("n", [0, 1, 4096, 4097, 9000])
 def test_segments_come_back_and_damage_shows(n):
     ids = np.random.default_rng(n).zipf(1.3, n) % 70000
