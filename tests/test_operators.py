@@ -181,12 +181,13 @@ def test_reports(spark):
 
 
 def test_source_rows_are_normalised(spark, tmp_path):
-    raw = spark.createDataFrame([("2020-01-02 00:00:00-05:00", 1.0, 5), ("2020-01-03 00:00:00-05:00", None, None), ("2020-01-06 00:00:00-05:00", 2.0, None)], "Date string, `Adj Close` double, Volume long")
+    """Open to volume alone is kept; a row without any price goes, whatever its volume."""
+    raw = spark.createDataFrame([("2020-01-02 00:00:00-05:00", 1.0, 9.0, 5), ("2020-01-03 00:00:00-05:00", None, 9.0, 7), ("2020-01-06 00:00:00-05:00", 2.0, 9.0, None)], "Date string, Close double, `Adj Close` double, Volume long")
     got = M.normalised(raw)
-    assert got.columns == ["date", "adj_close", "volume"]
+    assert got.columns == ["date", "close", "volume"]
     assert [tuple(r) for r in got.collect()] == [(dt.date(2020, 1, 2), 1.0, 5), (dt.date(2020, 1, 6), 2.0, 0)]
     raw.write.option("header", True).csv(str(tmp_path / "AAA"))
-    rows, report = M.universe(spark, {"AAA": str(tmp_path / "AAA"), "BBB": str(tmp_path / "BBB")}, "Date string, `Adj Close` double, Volume long")
+    rows, report = M.universe(spark, {"AAA": str(tmp_path / "AAA"), "BBB": str(tmp_path / "BBB")}, "Date string, Close double, `Adj Close` double, Volume long")
     assert rows.count() == 2 and {tuple(r) for r in report.collect()} == {("AAA", False), ("BBB", True)}
 
 

@@ -20,7 +20,9 @@ from .operators import indicators as I
 from .operators import prices as P
 from .operators import risk as K
 from .operators import signals as S
+from .sources import feed, store
 from .sources import market as M
+from .streaming import breaker
 from .streaming import quotes as Q
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -322,6 +324,103 @@ add("synthetic_bars", lambda s, d: M.synthetic_bars(s, TICKERS, "2018-01-01", "2
 add("synthetic_factors", lambda s, d: M.synthetic_factors(s, "2018-01-01", "2024-12-31"))
 
 
+# sources and sinks of their own
+def history(s: SparkSession, d: str) -> DataFrame:
+    """Bars through the history source, written once, a folder a ticker."""
+    path = M.scratch(s)
+    store.write_sorted(bars(s, d), path)
+    tickers = [r.ticker for r in s.read.parquet(path).select("ticker").distinct().orderBy("ticker").collect()]
+    return feed.history(s, path, [*tickers, "ATLANTIS"])
+
+
+add("history_source", lambda s, d: history(s, d).where("error is null and ticker != 'ASIA' and date >= date'1995-01-01'").drop("error"), f"{O.BARS} SELECT * FROM bars WHERE ticker != 'ASIA' AND date >= DATE '1995-01-01'", "open high low close")
+add("history_report", lambda s, d: feed.report(M.written(history(s, d))).withColumn("error", F.lit(None).cast("string")), f"{O.BARS} SELECT ticker, count(*) AS bars, false AS failed, CAST(NULL AS VARCHAR) AS error FROM bars GROUP BY 1 UNION ALL SELECT 'ATLANTIS', 0, true, NULL")
+
+
+def quote_feed(s: SparkSession, d: str) -> DataFrame:
+    """Valid quotes through the feed, whose second half is published after the stream has stopped; it goes on from its checkpoint."""
+    root, raw = M.scratch(s), M.raw_quotes(s, d)
+    for number, part in enumerate((raw.where("event_id % 2 = 0"), raw.where("event_id % 2 != 0")), 1):
+        feed.publish(part, f"{root}/feed", number)
+        stream = Q.valid(feed.quotes(s, f"{root}/feed"))
+        out = feed.drained(stream, f"{root}/rows", f"{root}/state")
+    return out.select("event_id", F.unix_micros("time").alias("time_us"), "symbol", "bid", "ask", "mid", "spread_bps")
+
+
+add("quote_feed", quote_feed, f"{O.QUOTES} SELECT event_id, epoch_us(time) AS time_us, symbol, bid, ask, mid, spread_bps FROM valid", "bid ask mid spread_bps")
+
+
+def quote_upsert(s: SparkSession, d: str) -> DataFrame:
+    """Valid quotes upserted by day in two overlapping batches, the second of them twice; the first writer of a key wins."""
+    path = M.scratch(s)
+    rows = quotes(s, d).select("time", "symbol", "mid", F.to_date("time").alias("day"))
+    late = rows.where("dayofmonth(day) > 10").withColumn("mid", F.col("mid") + 1)
+    for batch in (rows.where("dayofmonth(day) <= 20"), late, late):
+        store.merge(s, path, batch, ["time", "symbol"])
+    return s.read.parquet(path).select(F.unix_micros("time").alias("time_us"), "symbol", "mid")
+
+
+add("quote_upsert", quote_upsert, f"{O.QUOTES} SELECT epoch_us(time) AS time_us, symbol, min(mid) + CASE WHEN day(time) > 20 THEN 1 ELSE 0 END AS mid FROM valid GROUP BY time, symbol", "mid")
+
+
+def bars_window(s: SparkSession, d: str) -> DataFrame:
+    """The 20-day mean close of two tickers in one year, from bars laid out by ticker and date: its lookback is read, nothing before."""
+    path = M.scratch(s)
+    store.write_sorted(bars(s, d), path)
+    made = lambda rows: rows.select("date", "ticker", R.mean("close", 20).alias("sma_20"))
+    return store.windowed(s, path, "1996-01-01", "1996-12-31", 200, made, ["ASIA", "EUROPE"])
+
+
+add("bars_window", bars_window, f"{O.BARS} SELECT date, ticker, sma_20 FROM (SELECT date, ticker, {O.mean('close', 20)} AS sma_20 FROM bars) WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' AND ticker IN ('ASIA', 'EUROPE')", "sma_20")
+
+
+def risk_log(s: SparkSession, d: str) -> DataFrame:
+    """Events of the breaker and the position limits in one log, the limits' run repeated; counted by type and reason from 1993 on."""
+    log = store.Log(s, M.scratch(s), "timestamp timestamp, event_type string")
+    limits = K.position_limits(orders(s, d).join(ledger(s, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "date"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]), held(s, d), M.sectors(s)).where("limit_reason != 'OK'")
+    limits = limits.select(F.col("date").cast("timestamp").alias("timestamp"), F.lit("ORDER_REJECTED").alias("event_type"), F.create_map(F.lit("symbol"), "symbol", F.lit("reason"), "limit_reason").alias("details"))
+    for run, rows in (("breaker", K.risk_events(K.breaker(nav(s, d)))), ("limits", limits), ("limits", limits)):
+        log.append(rows, run)
+    return K.filtered(log.read(), since="1993-01-01").groupBy("event_type", F.coalesce(F.col("details")["reason"], F.lit("DRAWDOWN")).alias("reason")).agg(F.count("*").alias("n"), F.min(F.to_date("timestamp")).alias("first"))
+
+
+add("risk_log", risk_log, f"SELECT event_type, reason, count(*) AS n, min(date) AS first FROM (SELECT date, 'CIRCUIT_BREAKER_TRIGGERED' AS event_type, 'DRAWDOWN' AS reason FROM ({_SQL['breaker_latch']}) WHERE tripped UNION ALL SELECT CAST(l_shipdate AS DATE), 'ORDER_REJECTED', limit_reason FROM ({_SQL['position_limits']}) p JOIN lineitem USING (l_orderkey, l_linenumber, l_partkey, l_suppkey) WHERE limit_reason != 'OK') WHERE date >= DATE '1993-01-01' GROUP BY 1, 2")
+
+
+def quality_gate(s: SparkSession, d: str) -> DataFrame:
+    """What a gated write of the bars counts on its way."""
+    low, high = F.least("open", "close"), F.greatest("open", "close")
+    hard = {"no_close": F.col("close").isNull(), "negative": F.least("open", "high", "low", "close") < 0, "inconsistent": (F.col("high") < high) | (F.col("low") > low)}
+    soft = {"thin": F.col("volume") < 5 * config.MIN_DAILY_VOLUME, "flat": F.col("high") == F.col("low")}
+    seen = store.gated(bars(s, d), M.scratch(s), hard, soft)
+    return s.createDataFrame([(k, int(v)) for k, v in seen.items()], "measure string, n long")
+
+
+add("quality_gate", quality_gate, f"{O.BARS} SELECT 'rows' AS measure, count(*) AS n FROM bars UNION ALL SELECT 'thin', count(*) FILTER (volume < {5 * config.MIN_DAILY_VOLUME}) FROM bars UNION ALL SELECT 'flat', count(*) FILTER (high = low) FROM bars")
+
+
+def breaker_stream(s: SparkSession, d: str) -> DataFrame:
+    """NAVs, resets and orders of a portfolio for each event type, in files that cut times at random, answered in the order of time."""
+    root, raw = M.scratch(s), M.read(s, d, "events")
+    kind = F.when(F.col("event_id") % 97 == 0, "reset").when(F.col("event_id") % 7 == 0, "order").otherwise("nav")
+    rows = raw.select(F.col("event_type").alias("portfolio"), F.col("ts").cast("timestamp").alias("time"), F.col("event_id").alias("seq"), kind.alias("kind"), F.when(kind == "nav", 1e6 + F.col("value") * 500).alias("nav"))
+    end = rows.agg((F.max("time") + F.expr("interval 2 days")).alias("time")).select(F.lit("").alias("portfolio"), "time", F.lit(0).cast("long").alias("seq"), F.lit("nav").alias("kind"), F.lit(1.0).alias("nav"))
+    rows.repartition(2, "seq").write.parquet(f"{root}/in")
+    stream = s.readStream.schema(breaker.INPUT).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    span = "400 days"  # files hold rows of all times, so nothing is late
+    end.withColumn("time", F.col("time") + F.expr(f"interval {span}")).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    out = feed.drained(breaker.answered(stream, span), f"{root}/rows", f"{root}/state")
+    return out.where("portfolio != ''").select("portfolio", F.unix_micros("time").alias("time_us"), "seq", "kind", "drawdown", "halted", "allowed")
+
+
+add("breaker_stream", breaker_stream, f"""SELECT portfolio, time_us, seq, kind, (nv - peak) / peak AS drawdown, halted, CASE WHEN kind = 'order' THEN NOT halted END AS allowed FROM (
+ SELECT *, coalesce(bool_or(kind = 'nav' AND (nv - peak) / peak < -{config.DRAWDOWN_LIMIT}) OVER (PARTITION BY portfolio, era ORDER BY time_us, k, seq), false) AS halted FROM (
+ SELECT *, count(*) FILTER (kind = 'reset') OVER w AS era, last_value(nav IGNORE NULLS) OVER w AS nv, max(nav) OVER w AS peak FROM (
+ SELECT event_type AS portfolio, epoch_us(CAST(ts AS TIMESTAMP)) AS time_us, event_id AS seq, CASE WHEN event_id % 97 = 0 THEN 'reset' WHEN event_id % 7 = 0 THEN 'order' ELSE 'nav' END AS kind,
+ CASE WHEN event_id % 97 = 0 THEN 1 WHEN event_id % 7 = 0 THEN 2 ELSE 0 END AS k, CASE WHEN event_id % 97 = 0 OR event_id % 7 = 0 THEN NULL ELSE 1e6 + value * 500 END AS nav FROM events)
+ WINDOW w AS (PARTITION BY portfolio ORDER BY time_us, k, seq)))""", "drawdown")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

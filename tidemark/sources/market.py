@@ -99,24 +99,51 @@ def synthetic_factors(spark: SparkSession, first: str, last: str, seed: int = 42
     return days.select("date", (F.randn(seed) * 0.01 + 0.0003).alias("mkt_rf"), (F.randn(seed + 1) * 0.005).alias("smb"), (F.randn(seed + 2) * 0.005).alias("hml"), F.lit(0.0001).alias("rf"))
 
 
+#: Columns of a bar besides date and ticker.
+OHLCV = ("open", "high", "low", "close", "volume")
+
+
 def normalised(raw: DataFrame) -> DataFrame:
-    """Downloaded bars: lower-case column names, the time of day and zone of the date dropped, rows without any value dropped, volume 0 where it is null."""
+    """Downloaded bars: lower-case column names, open to volume alone beside date and ticker; the time of day and zone of the date dropped,
+    rows without any price dropped, volume 0 where it is null."""
     low = raw.toDF(*(c.strip().lower().replace(" ", "_") for c in raw.columns))
-    kept = low.withColumn("date", F.to_date(F.substring(F.col("date").cast("string"), 1, 10))).na.drop(how="all", subset=[c for c in low.columns if c not in ("date", "ticker", "__file")])
-    return kept.withColumn("volume", F.coalesce(F.col("volume").cast("long"), F.lit(0).cast("long")))
+    kept = low.select(F.to_date(F.substring(F.col("date").cast("string"), 1, 10)).alias("date"), *(c for c in ("ticker", *OHLCV) if c in low.columns))
+    prices = [c for c in OHLCV[:4] if c in kept.columns]
+    kept = kept.na.drop(how="all", subset=prices) if prices else kept
+    return kept.withColumn("volume", F.coalesce(F.col("volume").cast("long"), F.lit(0).cast("long"))) if "volume" in kept.columns else kept
 
 
 def universe(spark: SparkSession, paths: dict[str, str], schema: str) -> tuple[DataFrame, DataFrame]:
-    """(bars of all tickers, (ticker, failed)): a CSV folder a ticker; tickers without a row are failures, not errors. One scan."""
-    wanted = spark.createDataFrame([*paths.items()], "ticker string, path string")
+    """(bars of all tickers, (ticker, failed)): a CSV folder, or file, a ticker; tickers without a bar are failures, not errors. One scan.
+
+    A row's ticker is that of exactly its file's folder (or its file)."""
+    wanted = spark.createDataFrame([(t, _plain(_qualified(spark, p))) for t, p in paths.items()], "ticker string, path string")
     there = [p for p in paths.values() if _exists(spark, p)]
-    rows = spark.read.schema(schema).option("header", True).csv(there) if there else spark.createDataFrame([], schema)
-    at = F.input_file_name()
-    bars_ = normalised(rows.withColumn("__file", at)).join(F.broadcast(wanted), F.contains(F.col("__file"), F.col("path"))).drop("__file", "path") if there else normalised(rows.withColumn("ticker", F.lit("")))
+    if there:
+        rows = spark.read.schema(schema).option("header", True).csv(there)
+        # as a path: of a URI, where + is itself and %20 a space
+        file = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+        file = F.regexp_replace(file, "^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
+        rows = rows.withColumn("__file", file).withColumn("__folder", F.regexp_replace("__file", "/[^/]*$", ""))
+        named = rows.withColumn("__place", F.explode(F.array("__folder", "__file"))).join(wanted.withColumnRenamed("path", "__place"), "__place")
+    else:
+        named = spark.createDataFrame([], schema).withColumn("ticker", F.lit(""))
+    bars_ = normalised(named)
     found = bars_.groupBy("ticker").agg(F.count("*").alias("n"))
     return bars_, wanted.join(found, "ticker", "left").select("ticker", F.coalesce(F.col("n") == 0, F.lit(True)).alias("failed"))
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
+def _plain(uri: str) -> str:
+    """A qualified path with one slash after its scheme and none at its end."""
+    scheme, _, rest = uri.partition(":")
+    return f"{scheme}:/{rest.strip('/')}"
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)

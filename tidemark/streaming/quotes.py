@@ -15,7 +15,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import config
-from ..sources import market
+from ..sources import store
 
 #: Rows of one portfolio's batch that latch() sorts in memory (18 bytes each and their index); what is beyond goes to sorted files of the task.
 RUN_ROWS = 1 << 22
@@ -64,14 +64,13 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 def upserted(stream: DataFrame, path: str, state: str, key: tuple[str, ...] = ("time", "symbol"), every: str | None = "5 seconds") -> StreamingQuery:
-    """Starts a query that appends to a Parquet table what each batch has of new keys; every None: all that is there, then it ends.
+    """Starts a query that appends to a Parquet table by day what each batch has of new keys; every None: all that is there, then it ends.
 
-    A batch that is replayed after a failure finds its keys there already and appends nothing.
+    A batch reads the days that it touches, not the table. One that is replayed after a failure finds its keys there already and appends nothing.
     """
 
     def append(batch: DataFrame, _: int) -> None:
-        there = batch.sparkSession.read.schema(batch.schema).parquet(path) if market._exists(batch.sparkSession, path) else batch.limit(0)
-        market.upsert(there, batch, list(key)).write.mode("append").parquet(path)
+        store.merge(batch.sparkSession, path, batch.withColumn("day", F.to_date(key[0])), list(key))
 
     trigger = {"availableNow": True} if every is None else {"processingTime": every}
     return stream.writeStream.option("checkpointLocation", state).trigger(**trigger).foreachBatch(append).start()
