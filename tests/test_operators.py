@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import rolling as R
@@ -220,3 +221,105 @@ def test_quote_upsert_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.read.parquet(out).count() == 3
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_routing_equals_brute_force_over_every_gate(spark, seed):
+    """Weights and the whole quadratic form rebuilt for each order, in plain loops."""
+    import random
+
+    draw = random.Random(seed)
+    names, sectors = [f"S{i}" for i in range(12)], {f"S{i}": "West" if i < 8 else "East" for i in range(10)}
+    root = [[draw.gauss(0, 0.006) for _ in range(4)] for _ in names]
+    s = {(a, b): sum(x * y for x, y in zip(root[i], root[j], strict=True)) for i, a in enumerate(names) for j, b in enumerate(names)}
+    rows = []
+    for p in ("P", "Q", None):
+        for k in range(400):
+            rows.append((p, DAY + dt.timedelta(draw.randrange(90)), k, draw.choice([*names, "NEW"]), draw.choice(["BUY", "BUY", "SELL"]), draw.choice([10, 100, 300, 6000]), 100.0, draw.choice([None, 0.0, 1e5, 1e6]), draw.choice([None, 0.02, 0.01]), draw.choice([False, False, False, None, True])))
+    want, weights = {}, {}
+    for p, day, k, symbol, side, quantity, price, adv, sigma, halted in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        w = weights.setdefault(p, {})
+        d = quantity * price / 1e6
+        new = {**w, symbol: w.get(symbol, 0.0) + (d if side == "BUY" else -d)}
+        total = sum(new.values())
+        sigma_p = math.sqrt(max(0.0, sum(new[a] * new[b] * s[a, b] for a in new for b in new if (a, b) in s)))
+        mine = sectors.get(symbol, "Other")
+        if side == "BUY" and quantity * price > 5e5:
+            status = "ORDER_VALUE"
+        elif symbol == "NEW":
+            status = "NO_COVARIANCE"
+        elif new[symbol] < 0:
+            status = "SELL_EXCEEDS_HOLDING"
+        elif total > 0 and K.config.Z95 * sigma_p / total > 0.02:
+            status = "VAR_LIMIT"
+        elif halted:
+            status = "CIRCUIT_BREAKER"
+        elif w.get(symbol, 0.0) + d > 0.05:
+            status = "STOCK_LIMIT"
+        elif mine != "Other" and sum(x for t, x in w.items() if sectors.get(t, "Other") == mine) + d > 0.25:
+            status = "SECTOR_LIMIT"
+        else:
+            status = "FILLED"
+            move = 0.001 * quantity / 10000 if not adv else (sigma or 0.02) * math.sqrt(quantity / adv) * (1 if side == "BUY" else -1)
+            w[symbol] = w.get(symbol, 0.0) + quantity * price * (1 + move) / 1e6 * (1 if side == "BUY" else -1)
+        want[p, k] = status
+    orders = spark.createDataFrame(rows, "portfolio string, date date, l_orderkey long, symbol string, side string, quantity long, price double, adv double, sigma double, halted boolean").selectExpr("*", "1 AS l_linenumber", "1L AS l_partkey", "1L AS l_suppkey")
+    got = {(r.portfolio, r.l_orderkey): r.status for r in X.route(orders.repartition(7), [(a, b, c) for (a, b), c in s.items()], sectors).collect()}
+    assert got == want
+    assert len(set(want.values())) >= 7
+
+
+def test_forest_is_as_good_as_the_boosted_trees(spark):
+    import numpy as np
+
+    from tidemark.operators import models
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1500, 5))
+    y = np.digitize(x[:, 3] * x[:, 3], [0.9, 2.5])  # uneven classes
+    names = [f"f{j}" for j in range(5)]
+    rows = spark.createDataFrame([(i, *map(float, r), float(c)) for i, (r, c) in enumerate(zip(x, y, strict=True))], f"i int, {', '.join(f'{n} double' for n in names)}, label double")
+    train = models.balanced(rows.where("i < 1000"))
+    weights = {r.label: r.w for r in train.groupBy("label").agg(F.sum("weight").alias("w")).collect()}
+    assert len(weights) == 3 and all(w == pytest.approx(1000 / 3) for w in weights.values())
+    model = models.fitted(train, names)
+    p = np.array([[r.p_sell, r.p_neutral, r.p_buy] for r in models.predicted(model, rows.where("i >= 1000")).orderBy("i").collect()])
+    boosted, _ = S.boosted(x[:1000], y[:1000], x[1000:])
+    each = lambda q: np.mean([(q.argmax(1) == c)[y[1000:] == c].mean() for c in range(3)])  # noqa: E731  accuracy of classes, alike
+    assert np.allclose(p.sum(1), 1) and each(p) >= each(boosted)
+    assert max(models.importances(model, names), key=lambda f: f[1])[0] == "f3"
+
+
+def test_walk_forward_signals_are_a_table_that_is_taken_up_again(spark, tmp_path):
+    import random
+
+    from tidemark.operators import models
+
+    draw, rows = random.Random(2), []
+    for t in "AB":
+        close = 100.0
+        for i in range(400):
+            close *= 1 + draw.uniform(-0.02, 0.021)
+            rows.append((DAY + dt.timedelta(i), t, close, draw.random(), draw.random()))
+    bars = spark.createDataFrame(rows, "date date, ticker string, close double, cs_rank_returns double, rsi_14 double").withColumn("return", F.col("close") / F.lag("close").over(R.TICKER) - 1)
+    log = models.signal_log(spark, str(tmp_path / "signals"))
+    features = ["cs_rank_returns", "rsi_14"]
+    got = models.walk_forward(bars.select("date", "ticker", *features), bars, log, features=features, trees=3, depth=2)
+    n = got.count()
+    assert n == 2 * 63 * got.select("split").distinct().count() and got.where("abs(p_sell + p_neutral + p_buy - 1) > 1e-9 or signal_probability != p_neutral").count() == 0
+    at = {r.run: r.attempt for r in log.commits().collect()}
+    assert models.walk_forward(bars.select("date", "ticker", *features), bars, log, features=features).count() == n
+    assert {r.run: r.attempt for r in log.commits().collect()} == at
+    assert models.importances_of(log).groupBy("split").agg(F.sum("importance").alias("s")).where("abs(s - 1) > 1e-9 and s != 0").count() == 0
+    three = S.composite(bars, got)
+    assert three.count() == n and three.where("signal is null or abs(signal) > 1").count() == 0
+
+
+def test_look_ahead_names_the_feature_that_looks(spark):
+    from tidemark.operators.audit import look_ahead
+
+    rows = series(spark, [50 + 10 * math.sin(i) for i in range(60)]).unionByName(series(spark, [5.0 + i for i in range(60)], "B"))
+    made = lambda df: df.withColumn("past", F.lag("close").over(R.TICKER)).withColumn("future", F.lead("close", 2).over(R.TICKER)).withColumn("rank", F.percent_rank().over(R.TICKER_ALL.orderBy("close")) if hasattr(R, "TICKER_ALL") else F.avg("close").over(Window.partitionBy("ticker")))
+    got = {r.feature: (r.compared, r.changed) for r in look_ahead(rows, made, ["past", "future", "rank", "volume"]).collect()}
+    assert got["past"][1] == got["volume"][1] == 0 and got["rank"][1] == got["rank"][0] == 2 * (15 + 30 + 45)
+    assert got["future"][1] == 2 * 2 * 3

@@ -17,9 +17,11 @@ from .functions import rolling as R
 from .operators import backtest as B
 from .operators import execution as X
 from .operators import indicators as I
+from .operators import models as L
 from .operators import prices as P
 from .operators import risk as K
 from .operators import signals as S
+from .operators.audit import look_ahead
 from .sources import feed, store
 from .sources import market as M
 from .streaming import breaker
@@ -317,8 +319,24 @@ def modelled(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return M.written(I.matrix(c)), c
 
 
-add("ml_walk_forward", lambda s, d: S.walk_forward_ml(*modelled(s, d)))
-add("top_features", lambda s, d: S.top_features(S.importances(*modelled(s, d))))
+def ml_log(s: SparkSession, d: str) -> store.Log:
+    """The signal table of all splits, its models' importances beside it."""
+    log = L.signal_log(s, M.scratch(s))
+    L.walk_forward(*modelled(s, d), log, trees=20, depth=5)
+    return log
+
+
+def ml_composite(s: SparkSession, d: str) -> DataFrame:
+    """The composite with its third term, from the signal table."""
+    matrix, c = modelled(s, d)
+    log = L.signal_log(s, M.scratch(s))
+    return S.composite(matrix, L.walk_forward(matrix, c, log, trees=20, depth=5))
+
+
+add("ml_walk_forward", lambda s, d: L.signals_of(ml_log(s, d)))
+add("top_features", lambda s, d: S.top_features(L.importances_of(ml_log(s, d))))
+add("ml_composite", ml_composite)
+add("look_ahead", lambda s, d: look_ahead(clean(s, d), I.features, [c for c in I.PER_TICKER]))
 add("random_signals", lambda s, d: S.random_signals(clean(s, d)))
 add("synthetic_bars", lambda s, d: M.synthetic_bars(s, TICKERS, "2018-01-01", "2024-12-31"))
 add("synthetic_factors", lambda s, d: M.synthetic_factors(s, "2018-01-01", "2024-12-31"))

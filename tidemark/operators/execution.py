@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -79,59 +80,82 @@ def route(orders: DataFrame, cov: list[tuple[str, str, float]], sectors: dict[st
 
     orders: (portfolio, date, symbol, side, quantity, price, adv, sigma, halted, order keys); halted: the breaker stops the
     order. Weights move by the execution price; slippage is a tenth of the impact and isn't part of the price. An order's fate depends on the fills
-    before it, so a portfolio is one group; portfolios run in parallel. cov is the covariance of a few symbols.
+    before it: portfolios are dealt to tasks and sorted there, and a task holds the weights of the portfolio it is at and a batch
+    of its orders. A gate looks at one symbol's weight and covariances. cov is the covariance of the universe's symbols.
     """
-    s = {(a, b): c for a, b, c in cov}
-    names = sorted({a for a, _, _ in cov})
-    z, var_limit, stock, sector_limit = config.Z95, config.VAR_LIMIT, config.STOCK_LIMIT, config.SECTOR_LIMIT
-
-    def decided(weights: dict, r) -> str:
+    keys = ["date", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    made = ["portfolio", "l_orderkey", "l_linenumber", "symbol", "side", "quantity"]
+
+    def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        book, at = None, object()
+        for part in batches:
+            out = []
+            for r in part.itertuples(index=False):
+                if book is None or r.portfolio != at:
+                    book, at = Book(cov, sectors, value), r.portfolio
+                out.append(book.order(r))
+            yield part[made].assign(**{c: pd.Series([x[i] for x in out], dtype=object if c == "status" else float, index=part.index) for i, c in enumerate(("status", "fill_price", "commission", "slippage_bps"))})
+
+    sorted_ = orders.withColumn("halted", F.coalesce("halted", F.lit(False))).repartition("portfolio").sortWithinPartitions("portfolio", *keys)
+    return sorted_.select(*dict.fromkeys([*made, *keys, "price", "adv", "sigma", "halted"])).mapInPandas(routed, "portfolio string, l_orderkey long, l_linenumber int, symbol string, side string, quantity long, status string, fill_price double, commission double, slippage_bps double")
+
+
+class Book:
+    """A portfolio's weights, with the quadratic form of the covariance kept up to date fill by fill."""
+
+    def __init__(self, cov: list[tuple[str, str, float]], sectors: dict[str, str], value: float):
+        self.value, self.sectors = value, sectors
+        self.column: dict[str, dict[str, float]] = {}
+        for a, b, c in cov:
+            self.column.setdefault(b, {})[a] = c
+        self.weights: dict[str, float] = {}
+        self.by_sector: dict[str, float] = {}
+        self.total = self.form = 0.0
+        self.product: dict[str, float] = {}  # of the covariance and the weights
+
+    def decided(self, r) -> str:
         worth = r.quantity * r.price
-        d = worth / value
-        if r.side == "BUY" and worth > 0.5 * value:
+        d = worth / self.value
+        if r.side == "BUY" and worth > 0.5 * self.value:
             return "ORDER_VALUE"
-        if r.symbol not in names:
+        own = self.column.get(r.symbol)
+        if own is None:
             return "NO_COVARIANCE"
-        new = dict(weights)
-        new[r.symbol] = new.get(r.symbol, 0.0) + (d if r.side == "BUY" else -d)
-        if new[r.symbol] < 0:
+        moved = d if r.side == "BUY" else -d
+        held = self.weights.get(r.symbol, 0.0)
+        if held + moved < 0:
             return "SELL_EXCEEDS_HOLDING"
-        total = sum(new.values())
-        if total > 0:
-            form = sum(new.get(a, 0.0) * new.get(b, 0.0) * s.get((a, b), 0.0) for a in names for b in names)
-            if z * math.sqrt(max(form, 0.0)) / total > var_limit:
+        if self.total + moved > 0:
+            form = self.form + 2 * moved * self.product.get(r.symbol, 0.0) + moved * moved * own.get(r.symbol, 0.0)
+            if config.Z95 * math.sqrt(max(form, 0.0)) / (self.total + moved) > config.VAR_LIMIT:
                 return "VAR_LIMIT"
         if r.halted:
             return "CIRCUIT_BREAKER"
-        if weights.get(r.symbol, 0.0) + d > stock:
+        if held + d > config.STOCK_LIMIT:
             return "STOCK_LIMIT"
-        mine = sectors.get(r.symbol, "Other")
-        if mine != "Other" and sum(w for t, w in weights.items() if sectors.get(t, "Other") == mine) + d > sector_limit:
+        mine = self.sectors.get(r.symbol, "Other")
+        if mine != "Other" and self.by_sector.get(mine, 0.0) + d > config.SECTOR_LIMIT:
             return "SECTOR_LIMIT"
         return "FILLED"
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        weights: dict[str, float] = {}
-        part = part.assign(halted=part["halted"].eq(True)).sort_values(["date", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
-        status, prices, costs, slips = [], [], [], []
-        for r in part.itertuples():
-            what = decided(weights, r)
-            status.append(what)
-            if what != "FILLED":
-                for x in (prices, costs, slips):
-                    x.append(None)
-                continue
-            if not r.adv or math.isnan(r.adv) or r.adv <= 0:
-                move = 0.001 * r.quantity / 10000
-            else:
-                sigma = r.sigma if r.sigma and not math.isnan(r.sigma) and r.sigma > 0 else 0.02
-                move = sigma * math.sqrt(abs(r.quantity) / r.adv) * (1 if r.side == "BUY" else -1)
-            prices.append(r.price * (1 + move))
-            costs.append(config.COMMISSION * r.quantity)
-            slips.append(move * 10000 * SLIPPAGE)
-            d = r.quantity * prices[-1] / value
-            weights[r.symbol] = weights.get(r.symbol, 0.0) + (d if r.side == "BUY" else -d)
-        doubles = {k: pd.Series(x, index=part.index, dtype=float) for k, x in (("fill_price", prices), ("commission", costs), ("slippage_bps", slips))}
-        return part.assign(status=status, **doubles)[["portfolio", "l_orderkey", "l_linenumber", "symbol", "side", "quantity", "status", *doubles]]
-
-    return orders.groupBy("portfolio").applyInPandas(fold, "portfolio string, l_orderkey long, l_linenumber int, symbol string, side string, quantity long, status string, fill_price double, commission double, slippage_bps double")
+    def order(self, r) -> tuple:
+        """Its status, and of a fill the price, commission and slippage."""
+        what = self.decided(r)
+        if what != "FILLED":
+            return what, None, None, None
+        if not r.adv or math.isnan(r.adv) or r.adv <= 0:
+            move = 0.001 * r.quantity / 10000
+        else:
+            sigma = r.sigma if r.sigma and not math.isnan(r.sigma) and r.sigma > 0 else 0.02
+            move = sigma * math.sqrt(abs(r.quantity) / r.adv) * (1 if r.side == "BUY" else -1)
+        price = r.price * (1 + move)
+        d = r.quantity * price / self.value * (1 if r.side == "BUY" else -1)
+        own = self.column[r.symbol]
+        self.form += 2 * d * self.product.get(r.symbol, 0.0) + d * d * own.get(r.symbol, 0.0)
+        for a, c in own.items():
+            self.product[a] = self.product.get(a, 0.0) + d * c
+        self.weights[r.symbol] = self.weights.get(r.symbol, 0.0) + d
+        mine = self.sectors.get(r.symbol, "Other")
+        self.by_sector[mine] = self.by_sector.get(mine, 0.0) + d
+        self.total += d
+        return what, price, config.COMMISSION * r.quantity, move * 10000 * SLIPPAGE
