@@ -213,3 +213,28 @@ def test_breaker_stream_is_the_same_however_it_is_cut(spark, tmp_path, cut):
     stream = spark.readStream.schema(breaker.INPUT).option("maxFilesPerTrigger", 1).parquet(source)
     got = feed.drained(breaker.answered(stream, "5 minutes"), str(tmp_path / "out"), str(tmp_path / "state")).where("portfolio != '~'")
     assert {(r.portfolio, r.seq): (pytest.approx(r.drawdown), r.halted, r.allowed) for r in got.collect()} == want
+
+
+def test_ledger_loads_base64_csv_once(spark, tmp_path):
+    import base64
+
+    from tidemark.operators import books
+
+    text = "symbol,side,quantity,price,expected_price,market_impact_bps,commission,date,note\r\nA,BUY,10,11.0,10.0,5.0,0.05,2024-01-02,x\r\nB,SELL,5,9.0,10.0,,0.1,2024-01-03,y\n"
+    book = books.Ledger(spark, str(tmp_path / "ledger"))
+    encoded = base64.b64encode(text.encode()).decode()
+    assert book.pnl().first().num_trades == 0
+    assert book.load(encoded) and not book.load(encoded)
+    assert sorted(tuple(r)[:4] for r in book.fills().collect()) == [("A", "BUY", 10, 11.0), ("B", "SELL", 5, 9.0)]
+    got = book.pnl().first()
+    assert (got.num_trades, got.gross_pnl, got.total_volume) == (2, 15.0, 15) and got.total_commission == pytest.approx(0.15)
+    assert book.load("", "empty") and book.fills().count() == 2
+
+
+def test_walk_forward_text(spark):
+    from tidemark.operators import backtest, books
+
+    rows = spark.createDataFrame([(i // 50, DAY + dt.timedelta(i), 0.01 * (-1) ** i + 0.001) for i in range(100)], "split int, date date, ret double")
+    lines = [r.line for r in books.walk_forward_text(rows, backtest.sharpe(F.col("ret"))).orderBy("n").collect()]
+    assert lines[:2] == ["days 100, splits 2", "annual return 25.20%"] and len(lines) == 5
+    assert lines[3].startswith("split 1: 2024-01-01 to 2024-02-19, Sharpe ")

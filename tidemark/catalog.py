@@ -15,6 +15,7 @@ from . import config
 from . import oracle as O
 from .functions import rolling as R
 from .operators import backtest as B
+from .operators import books
 from .operators import execution as X
 from .operators import indicators as I
 from .operators import models as L
@@ -289,7 +290,8 @@ add("order_gate_summary", lambda s, d: K.var_gate(orders(s, d), *risked(s, d, 0.
 _SPLIT_SHARPE = f", c AS (SELECT split, date, n, position * ret AS gross, coalesce(abs(position - lag(position) OVER (PARTITION BY split, ticker ORDER BY date)) * ({config.SPREAD_BPS!r} / 1e4 * close + {config.COMMISSION!r}) / nullif(abs(position) * close, 0), 0) AS cost FROM t JOIN clean USING (date, ticker), nt), wd AS (SELECT split, date, sum(coalesce((gross - cost) / n, 0)) AS r FROM c GROUP BY 1, 2), ws AS (SELECT split, CASE WHEN stddev_samp(r) > 0 THEN (avg(r) - {config.RISK_FREE_DAILY!r}) / stddev_samp(r) * sqrt(252) ELSE 0 END AS s FROM wd GROUP BY 1) SELECT count(*) AS splits, avg(s) AS avg_split_sharpe FROM ws"
 add("walk_forward_sharpe", lambda s, d: B.split_sharpes(B.walk_forward(*traded(s, d), bps=config.SPREAD_BPS)), f"{O.SIGNAL}, {O.SPLITS.format(rows='sig', train=247)}, nt AS (SELECT count(DISTINCT ticker) AS n FROM sig), t AS (SELECT split, s.date, s.ticker, lag(signal) OVER (PARTITION BY split, s.ticker ORDER BY s.date) AS position FROM sig s JOIN ord USING (date) JOIN sp ON i >= test_start AND i < test_end) {_SPLIT_SHARPE}", "avg_split_sharpe")
 add("quality_stats", lambda s, d: P.quality_stats(P.quality_report(M.written(bars(s, d)))), f"SELECT count(*) AS tickers, avg(quality_score) AS mean_score, min(quality_score) AS min_score, max(quality_score) AS max_score, count(*) FILTER (missing_ratio_pass AND ohlc_passed) AS passed FROM ({_SQL['quality_report']})", "mean_score min_score max_score", 4)
-add("metrics_text", lambda s, d: B.text_lines(B.all_metrics(daily(s, d))))
+_TEXT = [("days", "printf('days %d', num_days)"), *((c, f"printf('{c} %.2f%%', {c} * 100)") for c in ("annual_return", "annual_volatility", "total_return", "max_drawdown", "hit_rate", "best_day", "worst_day")), *((c, f"printf('{c} %.3f', {c})") for c in ("sharpe", "sortino", "calmar", "profit_factor"))]
+add("metrics_text", lambda s, d: B.text_lines(B.all_metrics(daily(s, d))), f"SELECT CAST(unnest(range({len(_TEXT)})) AS INTEGER) AS n, unnest([{', '.join(t for _, t in _TEXT)}]) AS line FROM ({_SQL['all_metrics']})")
 add("quote_liveness", lambda s, d: Q.liveness(quotes(s, d), "2024-01-01 00:00:00").select("symbol", F.unix_micros("time").alias("time_us"), "active"), f"{O.QUOTES} SELECT symbol, epoch_us(time) AS time_us, epoch(TIMESTAMP '2024-01-01') - epoch(time) < 60 AS active FROM valid ORDER BY time DESC, event_id DESC LIMIT 1")
 add("gate_rate", lambda s, d: K.approval(K.var_gate(orders(s, d), *risked(s, d, 0.02))), f"SELECT count(*) AS orders, count(*) FILTER (approved) AS approved, count(*) FILTER (approved) / count(*) AS approval_rate FROM ({_SQL['var_gate']})", "approval_rate")
 add("breaker_events", lambda s, d: K.filtered(K.risk_events(K.breaker(nav(s, d))), "CIRCUIT_BREAKER_TRIGGERED").select(F.to_date("timestamp").alias("date"), "event_type"), f"SELECT date, 'CIRCUIT_BREAKER_TRIGGERED' AS event_type FROM ({_SQL['breaker_latch']}) WHERE tripped")
@@ -439,6 +441,68 @@ add("breaker_stream", breaker_stream, f"""SELECT portfolio, time_us, seq, kind,
  WINDOW w AS (PARTITION BY portfolio ORDER BY time_us, k, seq)))""", "drawdown")
 
 
+def price_fill(s: SparkSession, d: str) -> DataFrame:
+    """Clean bars of bars whose prices are missing on runs of one to six days: three are filled, the rest goes."""
+    gap = (F.dayofmonth("date") % 8 < 2) | (F.dayofmonth("date") > 24)
+    holed = bars(s, d).withColumns({c: F.when(~gap, F.col(c)) for c in ("open", "high", "low", "close")})
+    return P.clean(holed).select("date", "ticker", "open", "close", ret())
+
+
+_HOLED = f"""{O.BARS}, holed AS (SELECT date, ticker, volume, {", ".join(f"CASE WHEN NOT (day(date) % 8 < 2 OR day(date) > 24) THEN {c} END AS {c}" for c in ("open", "close"))} FROM bars),
+ filled AS (SELECT date, ticker, volume, {", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS {c}" for c in ("open", "close"))} FROM holed)"""
+add("price_fill", price_fill, f"{_HOLED} SELECT * FROM (SELECT date, ticker, open, close, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM filled WHERE close IS NOT NULL AND volume > 0) WHERE ret IS NOT NULL", "open close ret")
+
+
+def quote_bars_stream(s: SparkSession, d: str) -> DataFrame:
+    """Hourly bars of a stream with a watermark; a last tick long after the others closes every window and is in none that comes out."""
+    root, raw = M.scratch(s), M.raw_quotes(s, d)
+    end = raw.agg((F.max("time") + F.expr("interval 30 days")).alias("time")).select(F.lit(-1).cast("long").alias("event_id"), "time", F.lit("end").alias("symbol"), F.lit(1.0).alias("bid"), F.lit(1.0).alias("ask"))
+    for number, part in enumerate((raw, end, end.withColumn("time", F.col("time") + F.expr("interval 1 day"))), 1):
+        feed.publish(part, f"{root}/feed", number)
+        out = feed.drained(Q.bars(feed.quotes(s, f"{root}/feed"), delay="5 minutes"), f"{root}/rows", f"{root}/state")
+    return out.withColumn("time", F.unix_micros("time"))
+
+
+add("quote_bars_stream", lambda s, d: quote_bars_stream(s, d).where("symbol != 'end'"), _SQL["quote_bars_tumbling"], "open high low close")
+
+
+def ensemble_pipeline(s: SparkSession, d: str) -> DataFrame:
+    """The picks of the ensemble's run, from its sink, with the number of rows of the others."""
+    c = clean(s, d)
+    out = books.ensemble(M.scratch(s), M.written(I.matrix(c)), c)
+    counts = [out[name].agg(F.count("*").alias(name)) for name in ("composite", "ranked", "ic")]
+    return out["long_short"].join(counts[0]).join(counts[1]).join(counts[2]).select("date", "ticker", "position", "composite", "ranked", "ic")
+
+
+add("ensemble_pipeline", ensemble_pipeline, f"SELECT date, ticker, position, (SELECT count(*) FROM ({_SQL['composite_signal']})) AS composite, (SELECT count(*) FROM ({_SQL['ranked_signal']})) AS ranked, {len(S.HORIZONS)} AS ic FROM ({_SQL['long_short']})")
+
+
+def covariance_cached(s: SparkSession, d: str) -> DataFrame:
+    """The covariance, made once and then read, since the tables' files are the same."""
+    root, inputs = M.scratch(s), [f"{d}/{t}.parquet" for t in ("lineitem", "part", "supplier", "nation", "region")]
+    books.covariance(s, root, inputs, lambda: clean(s, d))
+    return books.covariance(s, root, inputs, lambda: clean(s, d).limit(0))
+
+
+add("covariance_cached", covariance_cached, _SQL["covariance"], "cov", 9)
+
+
+def ledger_log(s: SparkSession, d: str) -> DataFrame:
+    """P&L of a ledger to which the fills of each month were recorded, those of one month again."""
+    book = books.Ledger(s, M.scratch(s))
+    fills = ledger(s, d).select(*(c.split()[0] for c in books.FILLS.split(", ")))
+    for month in (*range(1, 13), 5):
+        book.record(fills.where(F.month("date") == month), f"month-{month:02d}")
+    return book.pnl()
+
+
+add("ledger_log", ledger_log, _SQL["ledger_pnl"], "gross_pnl total_impact_cost total_commission net_pnl", 3)
+add("walk_forward_text", lambda s, d: books.walk_forward_text(B.walk_forward(*traded(s, d)), B.sharpe(F.col("ret"))))
+add("ohlcv_json", lambda s, d: books.envelope(bars(s, d).select(F.col("ticker").alias("symbol"), F.col("date").cast("string").alias("time"), F.col("close").cast("int").alias("close"), "volume"), ["symbol"], ["time"], 30, days=30),
+    f"""{O.BARS}, n AS (SELECT ticker, strftime(date, '%Y-%m-%d') AS t, CAST(trunc(close) AS INTEGER) AS c, volume, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM bars)
+ SELECT ticker AS symbol, '{{"symbol":"' || ticker || '","days":30,"count":' || count(*) || ',"data":[' || string_agg('{{"time":"' || t || '","close":' || c || ',"volume":' || volume || '}}', ',' ORDER BY t) || ']}}' AS json FROM n WHERE k <= 30 GROUP BY ticker""")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
