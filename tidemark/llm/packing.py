@@ -1,7 +1,8 @@
 """Best-two-fit packing of documents' token ids into sequences of a fixed capacity.
 
 1.  Pieces: tasks encode each text and cut what is longer than the capacity; the pieces, with their ids, are a written table.
-    White space is never part of a token here, so runs of other characters are encoded by themselves, each once a worker.
+    White space is never part of a token here, so runs of other characters, and of those the words, are encoded by themselves
+    and remembered by the worker.
 2.  Plan: pieces of one length are interchangeable, so the packing needs only how many there are of each length, a number for each
     length up to the capacity. A sequence is filled greedily with the longest pieces that fit; then its smallest piece
     gives way to the two unpacked pieces that fill the expanded gap most tightly, if they fill it better. The same filling is
@@ -16,7 +17,11 @@ Extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import gc
+import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,34 +33,81 @@ from .shared import BATCH_ROWS, lean, materialise, small_batches, table, texts
 
 CAPACITY = 2048
 END_ID = 0
-#: Bytes of runs and their ids that a worker remembers, about, and what an entry takes besides.
-REMEMBERED, ENTRY = 96 << 20, 180
+#: Bytes that a worker remembers of runs and their ids, and of words and theirs, about, and what an entry takes besides.
+RUN_BYTES, WORD_BYTES, ENTRY = 64 << 20, 128 << 20, 180
+#: Rows that are encoded together.
+ENCODED_ROWS = 250
+#: Runs of printable ASCII and Latin letters that are single code points in either case, and the tokenizer's pattern for them in lower case.
+LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
 #: Cells of a length at least, and rows of a cell, about, beyond that.
 CELLS, CELL_ROWS = 1024, 20_000
 #: Bits of a piece's number within its length.
 NUMBER_BITS = 48
 
 
+class Ids(dict):
+    """The ids, as bytes of little-endian unsigned 32-bit integers, of strings that the tokenizer encodes by themselves; cleared when it is large."""
+
+    def __init__(self, most: int):
+        self.size, self.most = 0, most
+
+    def known(self, wanted: set) -> list:
+        """Those of the wanted strings that aren't here."""
+        if self.size > self.most:
+            self.clear()
+            self.size = 0
+        return [x for x in wanted if x not in self]
+
+    def learnt(self, more: dict) -> None:
+        self.update(more)
+        self.size += sum(map(len, more)) + sum(map(len, more.values())) + ENTRY * len(more)
+
+
 class Runs:
-    """The ids, as bytes of little-endian unsigned 32-bit integers, of runs of characters without white space."""
+    """Ids of runs of characters without white space. A plain run is put together from its words, of which case is dropped, and these
+    go to the library's model alone; any other run goes through the whole tokenizer."""
 
     def __init__(self, path: str):
-        self.encode = library(path).encode_batch
-        self.ids: dict[bytes, bytes] = {}
-        self.size = 0
+        self.library = library(path)
+        # fixed values: byte-level vocabularies write printable bytes as themselves and the others from 256 on
+        own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.spelling = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in own)}
+        self.runs, self.words = Ids(RUN_BYTES), Ids(WORD_BYTES)
+
+    def one(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        """Words are what the pre-tokenizer would pass on, but for the spelling of bytes."""
+        cut = self.library.model.tokenize
+        self.words.learnt({w: array("I", [t.id for t in cut(w if w.isascii() else w.encode().decode("latin-1").translate(self.spelling))]).tobytes() for w in words})
 
     def encoded(self, texts_: list[bytes]) -> list[bytes]:
         """The ids of each text."""
+        gc.disable()  # what is held here has no cycles, and a collection would go through all of it
+        try:
+            return self._encoded(texts_)
+        finally:
+            gc.enable()
+
+    def _encoded(self, texts_: list[bytes]) -> list[bytes]:
         parts = [t.split() for t in texts_]  # at ASCII white space alone
-        new = list(set().union(*parts).difference(self.ids))
-        if self.size > REMEMBERED:
-            self.ids, self.size, new = {}, 0, list(set().union(*parts))
-        for a in range(0, len(new), BATCH_ROWS):
-            some = new[a : a + BATCH_ROWS]
-            for run, e in zip(some, self.encode([r.decode() for r in some], add_special_tokens=False), strict=True):
-                self.ids[run] = ids = np.array(e.ids, "<u4").tobytes()
-                self.size += len(run) + len(ids) + ENTRY
-        return [b"".join(map(self.ids.__getitem__, p)) for p in parts]
+        single, plain, other = {}, {}, {}
+        for run in self.runs.known(set().union(*parts)):
+            s = run.decode()
+            if LETTERS.fullmatch(s):
+                single[run] = s.lower()
+            elif PLAIN.fullmatch(s) and "<|" not in s:
+                plain[run] = WORDS.findall(s.lower())
+            else:
+                other[run] = self.one(s)
+        new = self.words.known(set(single.values()).union(*plain.values()))
+        self.learn(new)
+        of = self.words.__getitem__
+        self.runs.learnt(other | {run: of(word) for run, word in single.items()} | {run: b"".join(map(of, words)) for run, words in plain.items()})
+        return [b"".join(map(self.runs.__getitem__, p)) for p in parts]
 
 
 @functools.cache
@@ -67,7 +119,7 @@ def runs(path: str) -> Runs:
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids), written: the ids of each row of docs (doc_id, text), end_id last, cut at multiples of capacity.
 
-    ids: little-endian unsigned 32-bit integers. path: a tokenizer that drops white space."""
+    ids: little-endian unsigned 32-bit integers. path: a tokenizer that drops white space and case and cuts words by the pattern of WORDS."""
     small_batches(docs.sparkSession)
     end = end_id.to_bytes(4, "little")
     docs = docs.select("doc_id", "text")
@@ -82,7 +134,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                 starts = np.array(at, np.int64)
                 return pa.RecordBatch.from_arrays([keys.take(pa.array(rows, pa.int64())), pa.array((starts // capacity).astype(np.int32)), pa.array(starts), pa.array(lengths), pa.array(ids, pa.binary())], ["doc_id", "piece", "start", "length", "ids"])
 
-            for row, whole in enumerate(found.encoded([t.tobytes() for t in texts(b.column(1))])):
+            slices = (found.encoded([t.tobytes() for t in texts(b.column(1).slice(a, ENCODED_ROWS))]) for a in range(0, b.num_rows, ENCODED_ROWS))
+            for row, whole in enumerate(chain.from_iterable(slices)):
                 whole += end
                 for k in range(0, len(whole), 4 * capacity):
                     rows.append(row)
