@@ -1,16 +1,18 @@
 """The audit, the vector codes and the packing against brute force and the library, with nulls, ties, repeated rows, long texts and clashing columns."""
 
 import itertools
+import math
 import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.compare import difference
-from tidemark.llm import audit, bpe, codes, packing, registry
+from tidemark.llm import audit, bpe, codes, packing, registry, sharding
 from tidemark.llm.shared import materialise
 
 SF = "/root/testdata/sf0.001"
@@ -215,3 +217,30 @@ def test_op13_crc32(spark):
         ids = np.array([*bpe.library(path).encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         own = sorted((r for r in got if r.doc_id == doc), key=lambda r: r.piece)
         assert [(r.piece, r.start, r.length, r.ids_crc32) for r in own] == [(k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(ids[k : k + 2048].tobytes())) for k in range(0, len(ids), 2048)]
+
+
+def shard(key, n):
+    """The descent in plain Python: at each level the child with the least draw."""
+
+    def draw(name, weight):
+        h = 42 if key is None else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+        u = ((xxhash.xxh64_intdigest(name.encode(), h) >> 11) + 0.5) / 2**53
+        return -math.log(u) / weight
+
+    region = min(sharding.tree(n), key=lambda r: draw(f"region {r[0][0]}", sum(map(len, r))) if len(sharding.tree(n)) > 1 else 0)
+    rack = min(region, key=lambda r: draw(f"rack {r[0]}", len(r))) if len(region) > 1 else region[0]
+    return min(rack, key=lambda s: draw(f"shard {s}", 1)) if len(rack) > 1 else rack[0]
+
+
+@pytest.mark.parametrize("cell_rows", [3, sharding.CELL_ROWS])
+def test_sharding(spark, cell_rows):
+    rows = [(i, f"text {i % 50}") for i in range(-40, 400)] + [(None, f"nameless {i}") for i in range(200)] + [(7, f"again {i}") for i in range(100)] + [(8, "same")] * 20 + [(None, None), (500, None), (501, ""), (502, "é" * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit(1).alias("shard"), F.lit(2).alias("cell")).repartition(5)
+    got = sharding.sharded(docs, 16, cell_rows).collect()
+    want = [(d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "key", shard(d, 16), shard(d, 17)) for d, t in rows]
+    key = lambda r: str(tuple(r))
+    assert sorted([(r.doc_id, r["size"], r.text_crc32, r.law, r.shard, r.grown_shard) for r in got], key=key) == sorted(want, key=key)
+    for s in range(16):
+        own = sorted(r.slot for r in got if r.shard == s)
+        assert own == list(range(len(own)))
+    assert all(r.grown_shard in (r.shard, 16) for r in got)

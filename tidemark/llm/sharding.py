@@ -6,8 +6,8 @@ child's weight moves keys only into it (if it grew) or out of it (if it shrank).
 RACKS x SHARDS leaves; each further shard opens a branch of its own, whose weight alone changes, so growing by
 one moves rows only into the new shard.
 
-Slots number a shard's rows without gaps: rows are dealt to many small cells within a shard, numbered there, and
-moved up by the counts of the cells before; no task sees a whole shard. Nulls: a null text has no bytes, size 1 and
+Slots number a shard's rows without gaps: rows are dealt to many small cells within a shard by id and text, numbered there, and
+moved up by the counts of the cells before; no task sees a whole shard, nor all rows of one id unless their texts are equal too. Nulls: a null text has no bytes, size 1 and
 crc32 0; a null id is a key like any other. Repeated rows get slots of their own. Extra columns are ignored.
 """
 
@@ -63,8 +63,9 @@ def sharded(docs: DataFrame, n: int = N_SHARDS, cell_rows: int = CELL_ROWS) -> D
     raw = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
     cells = max(1, -(-docs.count() // (n * cell_rows)))
     key = F.col("doc_id")
-    out = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), shard_of(key, n).alias("shard"), shard_of(key, n + 1).alias("grown_shard"), F.pmod(F.xxhash64(key, F.lit("cell")), F.lit(cells)).alias("cell"))
-    places = docs.select(shard_of(key, n).alias("shard"), F.pmod(F.xxhash64(key, F.lit("cell")), F.lit(cells)).alias("cell")).groupBy("shard", "cell").agg(F.count("*").alias("n"))
+    cell = F.pmod(F.xxhash64(key, raw), F.lit(cells)).alias("cell")  # with the text, so that rows of one id spread
+    out = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), shard_of(key, n).alias("shard"), shard_of(key, n + 1).alias("grown_shard"), cell)
+    places = docs.select(shard_of(key, n).alias("shard"), cell).groupBy("shard", "cell").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("cell")) - F.col("n")
     numbered = out.withColumn("at", F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size")) - 1)
     placed = numbered.join(places.select("shard", "cell", before.alias("before")), ["shard", "cell"])
