@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import rolling as R
+from ..functions.products import SUMS, pair_sums
 from ..sources.market import business_days
 
 PRICES = ("open", "high", "low", "close")
@@ -117,11 +118,10 @@ def universe_summary(clean_bars: DataFrame) -> DataFrame:
 
 def pairs(rows: DataFrame, value: str = "return") -> DataFrame:
     """(t1, t2, cov, corr, n) over the dates both have, t1 <= t2; null correlation without spread."""
-    a = rows.select("date", F.col("ticker").alias("t1"), F.col(value).alias("x"))
-    b = rows.select("date", F.col("ticker").alias("t2"), F.col(value).alias("y"))
-    out = a.join(b, "date").where("t1 <= t2 and x is not null and y is not null").groupBy("t1", "t2")
-    out = out.agg(F.count("*").alias("n"), F.covar_samp("x", "y").alias("cov"), F.covar_pop("x", "y").alias("c"), (F.stddev_pop("x") * F.stddev_pop("y")).alias("s"))
-    return out.withColumn("corr", F.when(F.col("s") > 0, F.col("c") / F.col("s"))).drop("c", "s")
+    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in SUMS)
+    spread = lambda s, ss: F.when(ss - s * s / n > ss * 1e-12, ss - s * s / n)  # noqa: E731 (what is left of equal values is rounding)
+    made = pair_sums(rows, value).withColumn("s", F.sqrt(spread(sx, sxx)) * F.sqrt(spread(sy, syy))).withColumn("c", F.when(F.col("s").isNull(), 0.0).otherwise(sxy - sx * sy / n))
+    return made.select("t1", "t2", n.cast("long").alias("n"), F.when(n > 1, F.col("c") / (n - 1)).alias("cov"), (F.col("c") / F.col("s")).alias("corr"))
 
 
 def average_pairwise(rows: DataFrame) -> DataFrame:
