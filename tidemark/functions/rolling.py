@@ -62,8 +62,8 @@ def lag(x: str, n: int = 1) -> Column:
 
 def average_rank(x: str, *by: str) -> Column:
     """Rank from 1 on, ties sharing their mean; null for null."""
-    w = Window.partitionBy(*by)
-    return F.when(F.col(x).isNotNull(), F.rank().over(w.orderBy(F.col(x).asc_nulls_last())) + (F.count(x).over(Window.partitionBy(*by, x)) - 1) / 2)
+    w = Window.partitionBy(*by).orderBy(F.col(x).asc_nulls_last())
+    return F.when(F.col(x).isNotNull(), F.rank().over(w) + (F.count(x).over(w.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2)
 
 
 def spread_rank(df: DataFrame, x: str, by: str, out: str, parts: int = 64) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
@@ -56,7 +56,7 @@ def validate(bars: DataFrame) -> DataFrame:
 
 def missing_bars(bars: DataFrame) -> DataFrame:
     """Expected business days of the whole range against the days that each ticker has."""
-    days = business_days(bars.agg(F.min("date").alias("first"), F.max("date").alias("last"))).agg(F.count("*").alias("expected_days"))
+    days = business_days(span(bars)).agg(F.count("*").alias("expected_days"))
     have = bars.where("close is not null").groupBy("ticker").agg(F.count("*").alias("actual_days"))
     out = have.join(F.broadcast(days)).withColumn("missing_days", F.col("expected_days") - F.col("actual_days"))
     return out.withColumn("missing_ratio", F.col("missing_days") / F.col("expected_days")).withColumn("passed", F.col("missing_ratio") <= config.MAX_MISSING_RATIO)
@@ -79,20 +79,36 @@ def ohlc_sanity(bars: DataFrame) -> DataFrame:
     return out.withColumn("errors", F.col("high_below_low") + F.col("close_outside")).withColumn("passed", F.col("errors") == 0)
 
 
+def span(bars: DataFrame) -> DataFrame:
+    """One row: the first and the last date."""
+    return bars.agg(F.min("date").alias("first"), F.max("date").alias("last"))
+
+
 def price_gaps(bars: DataFrame, most: int = config.MAX_GAP) -> DataFrame:
     """Runs of more than `most` missing business days, of consecutive calendar days (so weekends end a run)."""
-    days = business_days(bars.agg(F.min("date").alias("first"), F.max("date").alias("last")))
-    every = days.join(F.broadcast(bars.select("ticker").distinct()))
+    every = business_days(span(bars)).join(F.broadcast(bars.select("ticker").distinct()))
     absent = every.join(bars.where("close is not null").select("date", "ticker"), ["date", "ticker"], "left_anti")
     island = F.date_sub("date", F.row_number().over(R.TICKER))
     return absent.withColumn("island", island).groupBy("ticker", "island").agg(F.min("date").alias("gap_start"), F.max("date").alias("gap_end"), F.count("*").alias("days")).where(F.col("days") > most).drop("island")
 
 
 def quality_report(bars: DataFrame) -> DataFrame:
+    """Missing days, spikes, zero volume and impossible prices of each ticker with a close, in one pass over the bars; gaps beside them.
+
+    Spikes are those of the cleaned bars: a window keeps the close of the last bar that cleaning would keep.
+    """
     gaps = price_gaps(bars).groupBy("ticker").agg(F.count("*").alias("large_gaps"), F.max("days").alias("max_gap_days"))
-    out = missing_bars(bars).select("ticker", "missing_ratio", "missing_days", F.col("passed").alias("missing_ratio_pass"))
-    out = out.join(return_spikes(clean(bars)).drop("spike_dates"), "ticker", "left").join(zero_volume(bars).drop("first_dates"), "ticker").join(ohlc_sanity(bars).select("ticker", F.col("errors").alias("ohlc_errors"), F.col("passed").alias("ohlc_passed")), "ticker")
-    out = out.join(gaps, "ticker", "left").na.fill(0, ["large_gaps", "max_gap_days", "spike_count", "max_return", "min_return"])
+    days = business_days(span(bars)).agg(F.count("*").alias("expected_days"))
+    rows = bars.withColumn("filled", F.last_value("close", True).over(R.TICKER.rowsBetween(-3, 0))).withColumn("kept", F.when(F.col("volume") > 0, F.col("filled")))
+    rows = rows.withColumn("change", F.try_divide("kept", F.last_value("kept", True).over(R.TICKER.rowsBetween(Window.unboundedPreceding, -1))) - 1)
+    spike, zero = F.when(F.abs("change") > config.MAX_DAILY_RETURN, F.col("change")), F.col("volume") == 0
+    out = rows.groupBy("ticker").agg(
+        F.count("close").alias("actual"), F.count(spike).alias("spike_count"), F.coalesce(F.max(spike), F.lit(0.0)).alias("max_return"), F.coalesce(F.min(spike), F.lit(0.0)).alias("min_return"), F.count_if(zero).alias("zero_days"),
+        F.try_divide(F.count_if(zero), F.count("volume")).alias("zero_ratio"), (F.count_if(F.col("high") < F.col("low")) + F.count_if(F.col("close") < F.col("low")) + F.count_if(F.col("close") > F.col("high"))).alias("ohlc_errors"),
+    ).where("actual > 0")
+    out = out.join(F.broadcast(days)).withColumn("missing_days", F.col("expected_days") - F.col("actual")).withColumn("missing_ratio", F.col("missing_days") / F.col("expected_days"))  # days is one row
+    out = out.withColumns({"missing_ratio_pass": F.col("missing_ratio") <= config.MAX_MISSING_RATIO, "ohlc_passed": F.col("ohlc_errors") == 0}).drop("actual", "expected_days")
+    out = out.join(gaps, "ticker", "left").na.fill(0, ["large_gaps", "max_gap_days"])
     score = 100 - (F.col("missing_ratio") * 100 * 0.3 + F.col("spike_count") / 10 * 0.2 + F.col("zero_days") * 0.5 + F.col("ohlc_errors") * 5 + F.col("large_gaps") * 2)
     return out.withColumn("has_large_gap", F.col("large_gaps") > 0).withColumn("quality_score", score)
 
