@@ -136,12 +136,31 @@ def test_jaccard(spark):
         sets[doc] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     want = roots(links, sets)
-    for cell in (3, jaccard.CELL):
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked(frame(spark, rows), cell, 0 if cell == 3 else 1000).collect()}
+    for cell, listed in ((3, jaccard.LISTED), (jaccard.CELL, jaccard.LISTED), (3, 0), (jaccard.CELL, 12)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked(frame(spark, rows), cell, 0 if cell == 3 else 1000, listed).collect()}
         assert got == {d: (len(sets[d]), want[d]) for d in sets}
     assert want[902] == want[903] == 902
 
 
+def versions(words: int, seed: int = 9) -> list[tuple[int, str]]:
+    """Six versions of one text that link with nothing (1.4 to 3 % of the words changed in each), and near copies of two of them."""
+    draw = random.Random(seed)
+    text = [f"w{draw.randrange(10**6)}" for _ in range(words)]
+    change = lambda t, share: [f"v{draw.randrange(10**9)}" if draw.random() < share else w for w in t]
+    own = [change(text, 0.03 if i < 2 else 0.014 + 0.004 * i) for i in range(6)]
+    return [(i, " ".join(t)) for i, t in enumerate([*own, change(own[0], 0.004), change(own[5], 0.004)])]
+
+
+def test_jaccard_of_long_versions(spark):
+    rows = versions(4000)
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in ((d, t.split()) for d, t in rows)}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = roots(links, sets)
+    assert 1 < len(links) < 10 and len(set(want.values())) > 3
+    for listed in (jaccard.LISTED, 10**6):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked(frame(spark, rows), listed=listed).collect()} == {d: (len(sets[d]), want[d]) for d in sets}
+
+
 def thue_morse():
     """Two different words that meet under every polynomial hash modulo 2**64."""
     word = "a"

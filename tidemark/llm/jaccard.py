@@ -13,7 +13,9 @@ never meet. The nodes are joined like this:
     verified against one more member of that component, drawn by hash for each list. Rest: among the others, only members outside the list's
     largest component can still add anything; they meet the members of other components, in cells of bounded size,
     where pairs of too different lengths go, and those with fewer common prefix shingles than min(l, l') or than the
-    overlap they need leaves to the prefix that ends first; a pair counts only at its first common shingle. What is left is verified on the whole sets.
+    overlap they need leaves to the prefix that ends first. Members of few open prefix shingles bring them along, so that their
+    cell tells; a pair then counts only at its first common shingle. Pairs with a member of more than LISTED, whose list would be
+    repeated in a row for each of its shingles, are counted over all cells instead. What is left is verified on the whole sets.
 
 No list is ever turned into all its pairs: pairs within a component found by the star are skipped, so that large
 groups of near copies cost about a pair per member. The result has the components, which these links span.
@@ -47,6 +49,8 @@ SKETCH_BITS, SKETCH_PARTS = 22, 64
 CELL = 1024
 #: Members and common shingles that are counted at a time.
 BLOCK, WIDE = 512, 4096
+#: Open prefix shingles that travel with each row of a member; a member of more is counted pair by pair.
+LISTED = 256
 #: Ids that are broadcast at most (some 50 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -159,7 +163,10 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of the sorted cells (token, cell, query, doc_id, n, matches, component, rest, tokens)."""
+    """Candidate pairs (a, b, need) of the sorted cells (token, cell, query, doc_id, n, matches, component, rest, opens, tokens).
+
+    A pair of need 0 is a candidate; one of another need, which comes once for each common open shingle, if it comes so often.
+    """
     held, key = [], None
     for b in batches:
         at = np.flatnonzero(np.concatenate(([True], (np.diff(b.column(0).to_numpy()) != 0) | (np.diff(b.column(1).to_numpy()) != 0))))
@@ -178,7 +185,8 @@ def _pairs(cell: pa.Table) -> Iterator[pa.RecordBatch]:
     query = cell.column("query").to_numpy()
     if query.all() or not query.any():
         return
-    ids, n, demand, component, rest = (cell.column(c).to_numpy() for c in ("doc_id", "n", "matches", "component", "rest"))
+    ids, n, demand, component, rest, opens = (cell.column(c).to_numpy() for c in ("doc_id", "n", "matches", "component", "rest", "opens"))
+    listed = cell.column("tokens").is_valid().to_numpy()
     lists = cell.column("tokens").combine_chunks()
     lists = lists if isinstance(lists, pa.ListArray) else lists.chunk(0)
     token = cell.column("token")[0].as_py()
@@ -193,12 +201,16 @@ def _pairs(cell: pa.Table) -> Iterator[pa.RecordBatch]:
                 continue
             # of two prefixes, all that the one ending first shares with the other set lies in the other's prefix
             overlap = -(-PERCENT * (n[x].astype(np.int64) + n[y]) // (100 + PERCENT))
-            both, before = _common(own, theirs, (len(some), len(others)), token)
-            fits &= (both >= np.maximum(np.minimum(demand[x], demand[y]), overlap - np.maximum(spare[x], spare[y]))) & (before == 0)
+            need = np.maximum(np.minimum(demand[x], demand[y]), overlap - np.maximum(spare[x], spare[y]))
+            fits &= np.minimum(opens[x], opens[y]) >= need
+            told = listed[x] & listed[y]
+            if (fits & told).any():
+                both, before = _common(own, theirs, (len(some), len(others)), token)
+                fits &= ~told | ((both >= need) & (before == 0))
             i, j = np.nonzero(fits)
             if len(i):
                 a, b = ids[some[i]], ids[others[j]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.where(told, 0, need)[i, j], pa.int64())], ["a", "b", "need"])
 
 
 def _flat(lists: pa.ListArray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,7 +259,7 @@ def _placed(lists: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, sizes.where("parts > 1")
 
 
-def linked(docs: DataFrame, cell: int = CELL, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def linked(docs: DataFrame, cell: int = CELL, broadcast_ids: int = BROADCAST_IDS, listed: int = LISTED) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     small_batches(spark)
@@ -284,11 +296,12 @@ def linked(docs: DataFrame, cell: int = CELL, broadcast_ids: int = BROADCAST_IDS
     links = links.unionByName(materialise(_verified(second, packed, broadcast_ids)))
     placed, sizes = _placed(others, materialise(components(links)))
     open_ = materialise(placed.join(sizes.select("token", F.col("most.component").alias("main"), F.ceil(F.col("size") / cell).cast("int").alias("cells")), "token").withColumn("rest", F.col("component") != F.col("main")))
-    tokens = open_.groupBy("doc_id").agg(F.collect_list("token").alias("tokens"))
+    tokens = open_.groupBy("doc_id").agg(F.collect_list("token").alias("tokens")).select("doc_id", F.size("tokens").alias("opens"), F.when(F.size("tokens") <= listed, F.col("tokens")).alias("tokens"))
     member = open_.select("token", F.pmod(F.xxhash64("doc_id"), F.col("cells")).cast("int").alias("cell"), F.lit(False).alias("query"), "doc_id", "n", "matches", "component", "rest")
     asks = open_.where("rest").select("token", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(True).alias("query"), "doc_id", "n", "matches", "component", "rest")
-    cells = member.unionByName(asks).join(tokens, "doc_id").select("token", "cell", "query", "doc_id", "n", "matches", "component", "rest", "tokens")
-    rest = materialise(cells.repartition("token", "cell").sortWithinPartitions("token", "cell").mapInArrow(lean(_rest), "a long, b long").distinct())
+    cells = member.unionByName(asks).join(tokens, "doc_id").select("token", "cell", "query", "doc_id", "n", "matches", "component", "rest", "opens", "tokens")
+    found = cells.repartition("token", "cell").sortWithinPartitions("token", "cell").mapInArrow(lean(_rest), "a long, b long, need long")
+    rest = materialise(found.groupBy("a", "b", "need").agg(F.count("*").alias("common")).where("common >= need").select("a", "b"))
     more = materialise(_verified(rest, packed, broadcast_ids))
     final = materialise(components(links.unionByName(more)))
 
