@@ -107,6 +107,61 @@ def test_suffixes(spark):
     assert whole.where("doc_id = 900").first().text is None
 
 
+def test_runs_of_one_byte_leave_one_string_a_task(spark):
+    """300 runs of spaces of different lengths, and of two bytes in turn: grams can't split them, whole strings do."""
+    draw = random.Random(8)
+    rows = [(i, f"{i} {draw.choice(WORDS)}" + " " * (100 + i) + draw.choice(WORDS) + "-=" * (40 + i % 70) + str(i)) for i in range(300)]
+    for chunk in (1 << 24, 6000):
+        got = {r[0]: [tuple(r)[1:]] for r in suffixes.deduplicated(frame(spark, rows), False, chunk, 500).collect()}
+        assert got == removed(rows)
+    texts = [b" " * n for n in range(100, 400)] + [b"-=" * n for n in range(60, 200)]
+    data = suffixes._bucketed(3, np.zeros(len(texts), np.int64), np.arange(len(texts)), np.full(len(texts), 9), texts)
+    (out,) = [pa.Table.from_batches(suffixes._by_string(8)(iter(suffixes._rows(data).to_batches())))]
+    left = out.filter(pc.greater_equal(out.column("bucket"), 0))
+    strings = [p for c, d in zip(left.column("chunk").to_pylist(), left.column("data").to_pylist(), strict=True) for p in suffixes._opened(c, d)]
+    assert sorted(strings) == [(3, 0, 9, b" " * 100), (3, 300, 9, b"-=" * 50), (3, 300, 10, b"=-" * 50)]
+    rest = [suffixes.parted(x.as_py(), 3)[0][2].sum() for x in out.filter(pc.equal(out.column("bucket"), -1)).column("data")]
+    assert sum(rest) + 3 == sum(len(t) - 99 for t in texts)
+
+
+def test_long_pieces_by_string_in_parts(monkeypatch):
+    monkeypatch.setattr(suffixes, "PART", 150)
+    monkeypatch.setattr(suffixes, "HELD", 20)
+    draw = random.Random(5)
+    texts = [bytes(draw.choice(b"ab") for _ in range(30)) * 20, b"x" * 700, bytes(draw.choice(b"ab") for _ in range(450)), b"x" * 120]
+    data = suffixes._bucketed(0, np.zeros(4, np.int64), np.arange(4), np.zeros(4, np.int64), texts)
+    out = pa.Table.from_batches(suffixes._by_string(6)(iter(suffixes._rows(data).to_batches())))
+    gone = set()
+    for rows in (out.filter(pc.equal(out.column("bucket"), -1)), *(suffixes._decided(out.filter(pc.equal(out.column("bucket"), b))) for b in set(out.column("bucket").to_pylist()) - {-1})):
+        for x in rows.column("data"):
+            gone |= {(d, s + k) for d, s, n in zip(*(c.tolist() for c in suffixes.parted(x.as_py(), 3)[0]), strict=True) for k in range(n)}
+    seen, want = set(), set()
+    for d, t in enumerate(texts):
+        for s in range(len(t) - 99):
+            if t[s : s + 100] in seen:
+                want.add((d, s))
+            seen.add(t[s : s + 100])
+    assert gone == want
+
+
+@pytest.mark.parametrize("hot", [None, 7])
+def test_rows_of_one_id_are_cut_into_chunks(spark, hot):
+    texts = [t for _, t in corpus() if t is not None]
+    rows = [(hot, t) for t in texts[:-1]] + [(i, t[::-1]) for i, t in enumerate(texts[:20])]
+    docs = frame(spark, rows)
+    bounds, cuts = suffixes.chunk_bounds(docs, 20, 2000)
+    chunks = suffixes._chunk_of(pa.array([d for d, _ in rows], pa.int64()), pa.array([t for _, t in rows]), bounds, cuts)
+    copies = sum(len(t) for t in texts if t == texts[5])
+    assert np.bincount(chunks, [len(t) for _, t in rows]).max() < 8000 + copies
+    place = sorted(range(len(rows)), key=lambda i: (-(2**63) if rows[i][0] is None else rows[i][0], rows[i][1]))
+    assert (np.diff(chunks[place]) >= 0).all()
+    want = removed([(-(2**63) if d is None else d, t) for d, t in rows])
+    got = {}
+    for r in suffixes.deduplicated(docs, False, 2000, 300).collect():
+        got.setdefault(-(2**63) if r[0] is None else r[0], []).append(tuple(r)[1:])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_suffixes_compare_bytes_not_fingerprints(spark, monkeypatch):
     """With fingerprints of a few bits nearly everything collides, and nothing is removed wrongly."""
     draw = random.Random(3)

@@ -17,17 +17,20 @@ document) goes. Suffixes are ordered by their first LENGTH bytes, which is all t
 
 Chunks are ranges of doc_id of about equal size. A very common passage meets different text around it in every document,
 which would make its minimizers' buckets large: pieces of buckets above HOT_BYTES are cut anew by the grams outside such
-buckets, as often as that helps.
+buckets, ROUNDS times. What is left then has common grams only, such as runs of one byte: each task keeps of every string of
+LENGTH bytes the earliest start, and these strings go, each alone, to buckets by their own digest.
 
 Nulls: a null text is empty; texts under LENGTH bytes lose nothing. A null doc_id sorts first. Rows that share a doc_id are
-ordered by their text, in one chunk. Other columns are carried along; an empty table gives an empty result.
+ordered by their text; where they are more than a chunk, it is cut at the beginnings (CUT characters) of their texts. Rows
+that agree in doc_id and beginning stay in one chunk. Other columns are carried along; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +51,13 @@ GRAM = 16
 #: Text bytes of a chunk, about; buckets of pieces for each chunk.
 CHUNK_BYTES = 16 << 20
 BUCKETS = 4
-#: Bytes of pieces above which a bucket is cut anew, at most ROUNDS times.
+#: Bytes of pieces above which a bucket is cut anew: ROUNDS times by grams, then by whole strings.
 HOT_BYTES = 4 << 20
 ROUNDS = 3
+#: Strings of LENGTH bytes that a task holds at a time in the last of these cuts.
+HELD = 200_000
+#: Characters of a text that tell chunks of one doc_id.
+CUT = 256
 #: Text bytes that a task works on at a time.
 PART = 1 << 20
 MEASURES = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -199,11 +206,16 @@ def equal_starts(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     return order, np.flatnonzero(np.concatenate(([True], ~same))) if len(starts) else np.zeros(0, np.int64)
 
 
-def _chunk_of(ids: pa.Array, bounds: np.ndarray) -> np.ndarray:
-    return np.searchsorted(bounds, ids.fill_null(_FIRST).to_numpy(), "left")
+def _chunk_of(ids: pa.Array, texts: pa.Array, bounds: np.ndarray, cuts: dict[int, list[bytes]]) -> np.ndarray:
+    """How many bounds are smaller: each is an id's end or, as often as cuts has beginnings of its texts, one of those."""
+    ids = ids.fill_null(_FIRST).to_numpy()
+    chunks = np.searchsorted(bounds, ids, "left")
+    for i in np.flatnonzero(np.isin(ids, list(cuts))).tolist() if cuts else ():
+        chunks[i] += bisect_left(cuts[int(ids[i])], (texts[i].as_py() or "").encode())
+    return chunks
 
 
-def _sample_sets(bounds, bits: int) -> Callable:
+def _sample_sets(bounds, bits: int, cuts=None) -> Callable:
     """(bucket, chunk, many, names): fingerprints of sampled windows as sorted sets, those that a task met again apart."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +237,7 @@ def _sample_sets(bounds, bits: int) -> Callable:
             held.clear()
 
         for b in batches:
-            chunks = _chunk_of(b.column(0), bounds.value)
+            chunks = _chunk_of(b.column(0), b.column(1), bounds.value, cuts.value if cuts else {})
             data, offsets = utf8(b.column(1))
             for a, z in parts(offsets):
                 at, count = sampled(offsets[a : z + 1] - offsets[a])
@@ -260,7 +272,7 @@ def _kept_samples(sets: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array(own, pa.int64()), "bucket": pa.array([bucket] * len(own), pa.int64()), "names": pa.array(packed, pa.binary())})
 
 
-def _bundled(bounds) -> Callable:
+def _bundled(bounds, cuts=None) -> Callable:
     """Rows as compressed bundles, each of one chunk."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +288,7 @@ def _bundled(bounds) -> Callable:
             held.clear()
 
         for b in batches:
-            chunks = _chunk_of(b.column(0), bounds.value)
+            chunks = _chunk_of(b.column(0), b.column(1), bounds.value, cuts.value if cuts else {})
             for chunk in np.unique(chunks).tolist():
                 held.setdefault(chunk, []).append(b.take(pa.array(np.flatnonzero(chunks == chunk))))
             n += b.nbytes
@@ -390,25 +402,27 @@ def _cut_anew(hot, buckets: int) -> Callable:
     return made
 
 
-def _decided(rows: pa.Table) -> pa.Table:
-    """(chunk, data) of a bucket: the starts (document, start, count) whose strings start earlier elsewhere."""
-    give_back()  # of the bucket before
+def _opened(chunk: int, data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    (doc, start, sizes), raw = parted(data, 3)
+    at = 0
+    for d, s, n in zip(doc.tolist(), start.tolist(), sizes.tolist(), strict=True):
+        yield chunk, d, s, raw[at : at + n]
+        at += n
+
+
+def _later(found: Iterable[tuple[int, int, int, bytes]]) -> np.ndarray:
+    """Among pieces (chunk, document, start, bytes) the starts (chunk, document, start, count) whose strings start earlier in others."""
     place: dict[bytes, int] = {}
     best, gone = [], []
-    for chunk, data in sorted(zip(rows.column("chunk").to_pylist(), rows.column("data").to_pylist(), strict=True)):
-        (doc, start, sizes), raw = parted(data, 3)
-        at = 0
-        for d, s, n in zip(doc.tolist(), start.tolist(), sizes.tolist(), strict=True):
-            piece = raw[at : at + n]
-            at += n
-            own = place.setdefault(piece, len(place))
-            if own == len(best):
-                best.append((chunk, d, s))
-            elif best[own] > (chunk, d, s):
-                gone.append((*best[own], n - LENGTH + 1))
-                best[own] = (chunk, d, s)
-            else:
-                gone.append((chunk, d, s, n - LENGTH + 1))
+    for chunk, d, s, piece in found:
+        own = place.setdefault(piece, len(place))
+        if own == len(best):
+            best.append((chunk, d, s))
+        elif best[own] > (chunk, d, s):
+            gone.append((*best[own], len(piece) - LENGTH + 1))
+            best[own] = (chunk, d, s)
+        else:
+            gone.append((chunk, d, s, len(piece) - LENGTH + 1))
     text = np.frombuffer(b"".join(place), np.uint8)
     sizes = np.fromiter(map(len, place), np.int64, len(place))
     counts, at = sizes - LENGTH + 1, np.cumsum(sizes) - sizes
@@ -434,12 +448,76 @@ def _decided(rows: pa.Table) -> pa.Table:
     piece = np.searchsorted(at, again, "right") - 1
     first = np.flatnonzero(np.concatenate(([True], (np.diff(again) > 1) | (np.diff(piece) > 0)))) if len(again) else np.zeros(0, np.int64)
     n, piece, begin = np.diff(np.append(first, len(again))), piece[first], again[first]
-    found = np.concatenate((np.stack((chunk[piece], doc[piece], start[piece] + begin - at[piece], n), 1), np.array(gone, np.int64).reshape(-1, 4)))
+    return np.concatenate((np.stack((chunk[piece], doc[piece], start[piece] + begin - at[piece], n), 1), np.array(gone, np.int64).reshape(-1, 4)))
+
+
+def _decided(rows: pa.Table) -> pa.Table:
+    """(chunk, data) of a bucket: the starts (document, start, count) whose strings start earlier elsewhere."""
+    give_back()  # of the bucket before
+    found = _later(p for row in sorted(zip(rows.column("chunk").to_pylist(), rows.column("data").to_pylist(), strict=True)) for p in _opened(*row))
     found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
     own, first = np.unique(found[:, 0], return_index=True)
     return pa.table({"chunk": pa.array(own, pa.int64()), "data": pa.array([joined(list(x[:, 1:].T)) for x in np.split(found, first[1:])] if len(own) else [], pa.binary())})
 
 
+def _by_string(buckets: int) -> Callable:
+    """Each string of LENGTH bytes in the pieces alone, with its earliest start in the task, by its digest; under bucket -1 the other starts."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple[int, int, int]] = {}
+        gone: list[tuple[int, int, int]] = []
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            out = []
+            for chunk in sorted({p[0] for p in gone}):
+                doc, start = np.array([p[1:] for p in gone if p[0] == chunk], np.int64).T
+                out.append((-1, chunk, 0, joined([doc, start, np.ones(len(doc), np.int64)])))
+            own: dict[int, list[tuple[int, int, bytes]]] = {}
+            for string, (chunk, d, s) in held.items():
+                own.setdefault(chunk, []).append((d, s, string))
+            for chunk, rows in sorted(own.items()):
+                doc, start, texts = zip(*rows, strict=True)
+                digests = np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") for t in texts], np.uint64)
+                out += _bucketed(chunk, bucket_of(digests, buckets), np.array(doc, np.int64), np.array(start, np.int64), list(texts))
+            held.clear()
+            gone.clear()
+            yield from _rows(out).to_batches()
+
+        def kept(part: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+            later = _later(part)
+            known = (later[:, 1] << 32) + later[:, 2]
+            known = steps(known, later[:, 3])
+            chunk = part[0][0]
+            if len(later):
+                yield from _rows([(-1, chunk, 0, joined(list(later[:, 1:].T)))]).to_batches()
+            for _, d, s, piece in part:
+                n = len(piece) - LENGTH + 1
+                for k in np.flatnonzero(~np.isin((d << 32) + s + np.arange(n), known)).tolist():
+                    string, mine = piece[k : k + LENGTH], (chunk, d, s + k)
+                    first = held.setdefault(string, mine)
+                    if first != mine:
+                        held[string] = min(first, mine)
+                        gone.append(max(first, mine))
+            if len(held) + len(gone) > HELD:
+                yield from flushed()
+
+        for b in batches:
+            for chunk, data in zip(b.column("chunk").to_pylist(), b.column("data").to_pylist(), strict=True):
+                part, size = [], 0
+                for _, d, s, piece in _opened(chunk, data):
+                    for a in range(0, len(piece) - LENGTH + 1, PART):  # long pieces in parts that share LENGTH - 1 bytes
+                        part.append((chunk, d, s + a, piece[a : a + PART + LENGTH - 1]))
+                        size += len(part[-1][3])
+                        if size >= PART:
+                            yield from kept(part)
+                            part, size = [], 0
+                if part:
+                    yield from kept(part)
+        yield from flushed()
+
+    return made
+
+
 def spans(offsets: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs (document, first, past) that strings of LENGTH bytes at so many starts each cover."""
     begin = offsets[doc] + start
@@ -484,25 +562,41 @@ def _removed(fields: pa.Schema, whole: bool, measures: tuple[str, ...]) -> Calla
     return made
 
 
-def chunk_bounds(docs: DataFrame, chunks: int) -> np.ndarray:
-    """Fewer than chunks + 1 doc_ids that cut docs into ranges of about equal bytes: coarse parts first, then each part by itself."""
+def chunk_bounds(docs: DataFrame, chunks: int, chunk_bytes: int = CHUNK_BYTES) -> tuple[np.ndarray, dict[int, list[bytes]]]:
+    """About chunks bounds that cut docs into ranges of about equal bytes: doc_ids, coarse parts first, then each part by itself;
+    and of ids with more text than that the beginnings of texts to cut them at, each of which is a bound as well."""
     if chunks == 1:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), {}
     units = F.sequence(F.lit(0), F.coalesce((F.octet_length("text") / 4096).cast("int"), F.lit(0)))
-    weighted = materialise(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(units).alias("unit")).select("doc_id"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc_id"), "text")
+    weighted = materialise(keyed.select("doc_id", F.explode(units).alias("unit")).select("doc_id"))
     coarse = int(np.ceil(chunks**0.5))
     fine = -(-chunks // coarse)
     quantiles = lambda n: F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("q")
-    outer = np.unique(np.array(weighted.agg(quantiles(coarse)).first().q or [], np.int64)) if coarse > 1 else np.zeros(0, np.int64)
-    if fine == 1:
-        return outer
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_chunk_of(b.column(0), outer)), b.column(0)], ["part", "doc_id"])
-
-    inner = weighted.mapInArrow(part, "part long, doc_id long").groupBy("part").agg(quantiles(fine)).collect()
-    return np.unique(np.concatenate([outer, *(np.array(r.q, np.int64) for r in inner)]))
+    outer = np.array(weighted.agg(quantiles(coarse)).first().q or [] if coarse > 1 else [], np.int64)
+    found = [outer]
+    outer = np.unique(outer)
+    if fine > 1:
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(outer, b.column(0).to_numpy(), "left")), b.column(0)], ["part", "doc_id"])
+
+        inner = weighted.mapInArrow(part, "part long, doc_id long").groupBy("part").agg(quantiles(fine)).collect()
+        found += [np.array(r.q, np.int64) for r in inner]
+    bounds = np.unique(np.concatenate(found))
+    # an id at two bounds of one kind is more than a chunk
+    large = np.unique(np.concatenate([q[1:][q[1:] == q[:-1]] for q in found]))
+    if not len(large):
+        return bounds, {}
+    own = keyed.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in large.tolist()], "doc_id long")), "doc_id")
+    n = -(-own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b // chunk_bytes)
+    own = own.select("doc_id", F.coalesce(F.left("text", F.lit(CUT)), F.lit("")).alias("begin"), F.explode(units)).repartitionByRange(max(n, 1), "doc_id", "begin")
+    cuts: dict[int, set[bytes]] = {}
+    for r in own.groupBy(F.spark_partition_id()).agg(F.min(F.struct("doc_id", "begin")).alias("x")).collect():
+        cuts.setdefault(r.x.doc_id, set()).add(r.x.begin.encode())
+    bounds = np.sort(np.concatenate([bounds, *(np.full(len(c), i, np.int64) for i, c in cuts.items())]))
+    return bounds, {i: sorted(c) for i, c in cuts.items()}
 
 
 def deduplicated(docs: DataFrame, whole: bool = True, chunk_bytes: int = CHUNK_BYTES, hot_bytes: int = HOT_BYTES, measures: tuple[str, ...] = MEASURES) -> DataFrame:
@@ -514,29 +608,32 @@ def deduplicated(docs: DataFrame, whole: bool = True, chunk_bytes: int = CHUNK_B
     chunks = max(1, -(-size // chunk_bytes))
     bits = min(31, (chunks - 1).bit_length())
     buckets = min(40, (BUCKETS * chunks - 1).bit_length())
-    bounds = spark.sparkContext.broadcast(chunk_bounds(docs, chunks))
+    bounds, cuts = map(spark.sparkContext.broadcast, chunk_bounds(docs, chunks, chunk_bytes))
 
     only = docs.select("doc_id", "text")
-    sets = only.mapInArrow(lean(_sample_sets(bounds, bits)), "bucket long, chunk long, many boolean, names binary")
+    sets = only.mapInArrow(lean(_sample_sets(bounds, bits, cuts)), "bucket long, chunk long, many boolean, names binary")
     kept = sets.groupBy("bucket").applyInArrow(_kept_samples, "chunk long, bucket long, names binary")
-    bundled = only.mapInArrow(lean(_bundled(bounds)), "chunk long, rows binary")
+    bundled = only.mapInArrow(lean(_bundled(bounds, cuts)), "chunk long, rows binary")
     schema = "bucket long, chunk long, size long, data binary"
     split = materialise(bundled.groupBy("chunk").cogroup(kept.groupBy("chunk")).applyInArrow(_split(bits, buckets), schema))
     before, settled, open_, hot = split.where("bucket = -1").select("chunk", "data"), [], split.where("bucket >= 0"), []
-    for _ in range(ROUNDS):
+    for k in range(ROUNDS + 1):
         found = [r.bucket for r in open_.groupBy("bucket").agg(F.sum("size").alias("size")).where(F.col("size") > hot_bytes).select("bucket").collect()]
         if not found:
             break
         hot.append(np.array(found, np.int64))
         known = spark.createDataFrame([(x,) for x in found], "bucket long")
         settled.append(open_.join(F.broadcast(known), "bucket", "left_anti"))
-        open_ = materialise(open_.join(F.broadcast(known), "bucket", "left_semi").select("bucket", "chunk", "size", "data").mapInArrow(lean(_cut_anew(hot[:], buckets)), schema))
+        open_ = materialise(open_.join(F.broadcast(known), "bucket", "left_semi").select("bucket", "chunk", "size", "data").mapInArrow(lean(_cut_anew(hot[:], buckets) if k < ROUNDS else _by_string(buckets)), schema))
+    else:
+        before = before.unionByName(open_.where("bucket = -1").select("chunk", "data"))
+        open_ = open_.where("bucket >= 0")
     decided = before
     for each in [*settled, open_]:
         decided = decided.unionByName(each.groupBy("bucket").applyInArrow(_decided, "chunk long, data binary"))
     fields = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in docs.schema])
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if whole or f.name == "doc_id"] + [f"`{n}` {t}" for n, t in zip(measures, ("long", "long", "long", "string"), strict=True)])
-    bundles = docs.mapInArrow(lean(_bundled(bounds)), "chunk long, rows binary") if whole else bundled
+    bundles = docs.mapInArrow(lean(_bundled(bounds, cuts)), "chunk long, rows binary") if whole else bundled
     return bundles.groupBy("chunk").cogroup(decided.groupBy("chunk")).applyInArrow(_removed(fields, whole, measures), schema)
 
 
