@@ -446,6 +446,32 @@ def test_packed_words_merge_and_show_shared_hashes(monkeypatch, limit):
         assert r["met"] == len(mine) and {r["word"], r["last"]} <= {*mine} and (r["word"] == r["last"]) == (len({*mine}) == 1)
 
 
+@pytest.mark.parametrize(("remembered", "compared"), [(1 << 19, 1 << 20), (3, 5)])
+def test_words_of_one_hash_in_one_task_are_told_apart(spark, monkeypatch, remembered, compared):
+    monkeypatch.setattr(bpe, "REMEMBERED", remembered)
+    monkeypatch.setattr(bpe, "COMPARED", compared)
+    short = lambda cp, a, z: np.array([ord(chr(int(cp[i])).lower()) << 40 for i in a.tolist()], np.uint64)
+    monkeypatch.setattr(bpe, "word_hashes", short)  # words of one first letter meet
+    path = bpe.tokenizer_path("word_bpe_49k.json")
+    texts = [["one own one éa", None, "", "two"], ["one one", "éa éb éa " * 3, "x"], ["two ten two", "own", "x x", "漢"]]
+    rows = [r for b in bpe._distinct(path, 3)(iter([pa.RecordBatch.from_pydict({"text": pa.array(t)}) for t in texts])) for r in [b]]
+    got = {r["word"][0]: r["word"] != r["last"] for b in bpe._merged(iter(rows)) for r in b.to_pylist()}
+    assert got == {"o": True, "é": True, "t": True, "x": False, "漢": False}
+    table = next(bpe._encoder(path)(bpe._merged(iter(rows))))
+    words = bpe.Table(pa.chunked_array([table.column(0)]), pa.chunked_array([table.column(1)]), bpe.Splitter(path).kind)
+    flat = [t for b in texts for t in b]
+    want = [bpe.library(path).encode(t or "", add_special_tokens=False).ids for t in flat]
+    assert [bpe.filled(*bpe.known(d, words, path), words).tolist() for d in bpe._docs(iter(flat), bpe.Splitter(path))] == want
+
+
+def test_added_tokens_cut_long_texts():
+    split = bpe.Splitter(bpe.tokenizer_path("word_bpe_49k.json"))
+    a, z = split.added["<|startoftext|>"], split.added["<|endoftext|>"]
+    assert list(split.pieces("x<|endoftext|><|startoftext|>y<|end")) == ["x", z, "", a, "y<|end"]
+    assert list(split.pieces("")) == [""] and list(split.pieces("<|endoftext|>")) == ["", z, ""]
+    assert list(split.pieces("ab<|endoftext|>" * 200_000)) == ["ab", z] * 200_000 + [""]
+
+
 def test_shards(spark):
     rows = [(i, f"text {i % 50}") for i in range(3000)] + [(7, "text 7"), (None, None)]
     got = sharding.sharded(frame(spark, rows), cell_rows=40).collect()

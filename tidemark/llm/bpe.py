@@ -23,6 +23,7 @@ import functools
 import hashlib
 import json
 import os
+import re
 import sys
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -47,6 +48,8 @@ CHUNK_BYTES = 8 << 20
 BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 20_000
 #: Distinct words that a task gathers before it passes them on.
 REMEMBERED = 1 << 19
+#: Code points of words that are compared at a time.
+COMPARED = 1 << 20
 #: Text bytes for each partition of distinct words, about; packed bytes that such a partition merges at a time, and words it encodes at a time.
 WORDS_BYTES, MERGED_BYTES, ENCODED_WORDS = 16 << 20, 8 << 20, 5000
 
@@ -101,19 +104,19 @@ class Splitter:
         self.spaced = spec["pre_tokenizer"]["type"] == "ByteLevel"
         self.path = path
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.any_added = re.compile("|".join(map(re.escape, self.added)))
         #: Of ids in word tables.
         self.kind = np.dtype("<u2" if max(max(spec["model"]["vocab"].values()), *self.added.values()) < 1 << 16 else "<u4")
 
     def pieces(self, text: str) -> Iterator[str | int]:
         """The text between added tokens, and those tokens' ids."""
-        while self.added:
-            at, token = min(((text.find(t), t) for t in self.added), key=lambda x: (x[0] < 0, x[0]))
-            if at < 0:
-                break
-            yield text[:at]
-            yield self.added[token]
-            text = text[at + len(token) :]
-        yield text
+        at = 0
+        if any(t in text for t in self.added):
+            for found in self.any_added.finditer(text):
+                yield text[at : found.start()]
+                yield self.added[found.group()]
+                at = found.end()
+        yield text[at:]
 
     def normal(self, text: str) -> str:
         if self.spaced or not text:
@@ -210,29 +213,59 @@ def _unpacked(rows: list[bytes]) -> tuple[np.ndarray, pa.Array]:
     return h, pa.LargeStringArray.from_buffers(len(h), pa.py_buffer(offsets), pa.py_buffer(data))
 
 
+def _odd(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Which of these slices differ from the slice of the number that like gives; about COMPARED code points at a time."""
+    sizes = ends - starts
+    odd = sizes != sizes[like]
+    same = np.flatnonzero(~odd & (starts != starts[like]))
+    block = np.cumsum(sizes[same]) // COMPARED
+    for some in np.split(same, np.flatnonzero(np.diff(block)) + 1) if len(same) else ():
+        n = sizes[some]
+        differ = cp[spread(starts[some], n)] != cp[spread(starts[like[some]], n)]
+        odd[some] = np.logical_or.reduceat(differ, np.cumsum(n) - n)
+    return odd
+
+
 def _distinct(path: str, buckets: int) -> Callable:
+    """(bucket, words) of a task's distinct words. Hashes only find what may be equal: words are compared themselves, and all words of one hash are passed on."""
+
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen, held = Splitter(path), np.zeros(0, np.uint64), []
+        split, seen, place, held = Splitter(path), np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+        odd: set[tuple[int, str]] = set()  # words beside the held ones of their hashes
 
         def keep(parts: list) -> None:
-            nonlocal seen
+            nonlocal seen, place
             h = np.concatenate([p[3] for p in parts])
             which = np.repeat(np.arange(len(parts)), [len(p[3]) for p in parts])
             s, e = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
-            new, at = np.unique(h, return_index=True)
+            new, at, like = np.unique(h, return_index=True, return_inverse=True)
+            words = pa.array([parts[w][0][a:b] for w, a, b in zip(which[at].tolist(), s[at].tolist(), e[at].tolist(), strict=True)], pa.large_string())
+            cp = np.frombuffer("".join([p[0] for p in parts]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            base = np.cumsum([0, *(len(p[0]) for p in parts)])[which]
+            for i in np.flatnonzero(_odd(cp, s + base, e + base, at[like])).tolist():
+                odd.add((int(h[i]), parts[which[i]][0][s[i] : e[i]]))
+            fresh = np.ones(len(new), bool)
             if len(seen):
                 i = np.minimum(np.searchsorted(seen, new), len(seen) - 1)
                 fresh = seen[i] != new
-                new, at = new[fresh], at[fresh]
-            held.append((new, pa.array([parts[w][0][a:b] for w, a, b in zip(which[at].tolist(), s[at].tolist(), e[at].tolist(), strict=True)], pa.large_string())))
-            seen = np.union1d(seen, new)
+                known, mine = pa.chunked_array([w for _, w in held]).take(pa.array(place[i[~fresh]])), words.filter(pa.array(~fresh))
+                for k in np.flatnonzero(pc.not_equal(known, mine).to_numpy()).tolist():
+                    odd.add((int(new[~fresh][k]), mine[k].as_py()))
+            new, n = new[fresh], len(seen)
+            held.append((new, words.filter(pa.array(fresh))))
+            seen, place = np.concatenate([seen, new]), np.concatenate([place, n + np.arange(len(new))])
+            order = np.argsort(seen, kind="stable")
+            seen, place = seen[order], place[order]
 
         def passed() -> pa.RecordBatch:
-            nonlocal seen, held
+            nonlocal seen, place, held
+            if odd:
+                held.append((np.array([k for k, _ in odd], np.uint64), pa.array([w for _, w in odd], pa.large_string())))
             h = np.concatenate([x for x, _ in held])
             order = np.argsort(h)
             out = _packed(h[order], pa.concat_arrays([w for _, w in held]).take(pa.array(order)), buckets)
-            seen, held = seen[:0], []
+            seen, place, held = seen[:0], place[:0], []
+            odd.clear()
             return out
 
         for b in batches:
@@ -247,7 +280,7 @@ def _distinct(path: str, buckets: int) -> Callable:
                     parts, n = [], 0
             if parts:
                 keep(parts)
-            if len(seen) > REMEMBERED:
+            if len(seen) + len(odd) > REMEMBERED:
                 yield passed()
         if held:
             yield passed()
