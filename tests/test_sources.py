@@ -238,3 +238,14 @@ def test_walk_forward_text(spark):
     lines = [r.line for r in books.walk_forward_text(rows, backtest.sharpe(F.col("ret"))).orderBy("n").collect()]
     assert lines[:2] == ["days 100, splits 2", "annual return 25.20%"] and len(lines) == 5
     assert lines[3].startswith("split 1: 2024-01-01 to 2024-02-19, Sharpe ")
+
+
+def test_ledger_log_joins_its_fills_once(spark, monkeypatch):
+    from tests import compare
+    from tidemark import catalog
+    from tidemark.operators import books
+
+    plans, record = [], books.Ledger.record
+    monkeypatch.setattr(books.Ledger, "record", lambda self, fills, run: plans.append(fills._jdf.queryExecution().optimizedPlan().toString()) or record(self, fills, run))
+    assert not compare.difference(spark, catalog.queries()["ledger_log"], catalog.oracle_sql()["ledger_log"], "/root/testdata/sf0.001")
+    assert len(plans) == 13 and not any("Join" in p for p in plans)  # a run that joins would broadcast the dimensions again

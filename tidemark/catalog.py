@@ -489,10 +489,12 @@ add("covariance_cached", covariance_cached, _SQL["covariance"], "cov", 9)
 
 def ledger_log(s: SparkSession, d: str) -> DataFrame:
     """P&L of a ledger to which the fills of each month were recorded, those of one month again."""
-    book = books.Ledger(s, M.scratch(s))
-    fills = ledger(s, d).select(*(c.split()[0] for c in books.FILLS.split(", ")))
+    book, path = books.Ledger(s, M.scratch(s)), M.scratch(s)
+    fills = ledger(s, d).select(*(c.split()[0] for c in books.FILLS.split(", ")), F.month("date").alias("month"))
+    M.write_parquet(fills, path, "month")  # joined once: each run would broadcast the dimensions anew
+    fills = s.read.schema(fills.schema).parquet(path)
     for month in (*range(1, 13), 5):
-        book.record(fills.where(F.month("date") == month), f"month-{month:02d}")
+        book.record(fills.where(F.col("month") == month).drop("month"), f"month-{month:02d}")
     return book.pnl()
 
 
