@@ -215,6 +215,58 @@ def test_breaker_stream_is_the_same_however_it_is_cut(spark, tmp_path, cut):
     assert {(r.portfolio, r.seq): (pytest.approx(r.drawdown), r.halted, r.allowed) for r in got.collect()} == want
 
 
+class _State:
+    """A value or a map of a stateful processor, in memory."""
+
+    def __init__(self):
+        self.value, self.map = None, {}
+        self.exists, self.get = lambda: self.value is not None, lambda: self.value
+        self.update, self.keys = lambda v: setattr(self, "value", v), lambda: iter(list(self.map))
+        self.updateValue, self.getValue, self.removeKey = self.map.__setitem__, self.map.__getitem__, self.map.__delitem__
+
+
+def test_breaker_holds_a_bounded_part_of_what_waits():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+
+    n, draw = 200_000, np.random.default_rng(3)
+    nav = 1000 * np.exp(np.cumsum(draw.normal(0, 0.01, n)))
+    kind = np.where(np.arange(n) % 97 == 0, "reset", np.where(np.arange(n) % 7 == 0, "order", "nav"))
+    rows = pd.DataFrame({"portfolio": "A", "time": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(n) // 3, unit="s"), "seq": np.arange(n), "kind": kind, "nav": np.where(kind == "nav", nav, np.nan)})
+    mixed = rows.sample(frac=1, random_state=1)
+    states, timers = {}, []
+    made = lambda name, *_: states.setdefault(name, _State())
+    unit = breaker.Breaker(0.05, 10_000, 1000)
+    unit.init(SimpleNamespace(getMapState=made, getValueState=made, getListState=made, registerTimer=timers.append))
+    assert list(unit.handleInputRows(("A",), (mixed[i : i + 5000] for i in range(0, n, 5000)), None)) == []
+    got, most, last = [], 0, int(rows.time.max().timestamp() * 1000)
+    for passed in (last // 2 + int(rows.time.min().timestamp() * 1000) // 2, last + 1):
+        tracemalloc.start()
+        kept = 0  # the parts that this test keeps
+        for part in unit.handleExpiredTimer(("A",), SimpleNamespace(getCurrentWatermarkInMs=lambda p=passed: p), None):
+            assert len(part) <= 1000 and int(part.time.max().timestamp() * 1000) <= passed
+            most = max(most, tracemalloc.get_traced_memory()[1] - kept)
+            got.append(part.copy())
+            kept = tracemalloc.get_traced_memory()[0]
+            tracemalloc.reset_peak()
+        tracemalloc.stop()
+    got = pd.concat(got)
+    assert not states["waiting"].map and timers
+    peak, halted, value, want = 0.0, False, 0.0, []
+    for r in rows.assign(place=rows.kind.map(breaker.KINDS.index)).sort_values(["time", "place", "seq"]).itertuples():
+        if r.kind == "nav":
+            value, peak = r.nav, max(peak, r.nav)
+            halted = halted or (value - peak) / peak < -0.05
+        halted = halted and r.kind != "reset"
+        want.append((r.seq, (value - peak) / peak if peak else None, halted, not halted if r.kind == "order" else None))
+    down = [None if x != x else x for x in got.drawdown.tolist()]
+    assert list(zip(got.seq.tolist(), down, got.halted.tolist(), got.allowed.tolist(), strict=True)) == want
+    assert most < 5 << 20  # 100,000 rows as Python tuples take some 20 MB
+
+
 def test_ledger_loads_base64_csv_once(spark, tmp_path):
     import base64
 
