@@ -373,6 +373,21 @@ def test_token_files_of_nulls_repeated_rows_and_clashing_columns(spark):
     assert [r[1] for r in got] == [sum(r[2] for r in got[:i]) for i in range(len(got))]
 
 
+def test_token_files_are_encoded_by_runs_where_the_tokenizer_allows(spark, monkeypatch):
+    from tidemark.llm import packing
+
+    word, byte = bpe.tokenizer_path("word_bpe_49k.json"), bpe.tokenizer_path("byte_bpe_50k.json")
+    assert packing.by_runs(word) and not packing.by_runs(byte)
+    docs = frame(spark, corpus())
+    ids = lambda: {r.doc_id: bytes(r.ids) for r in tokenfile.encoded(docs, word, bpe.text_bytes(docs)).collect()}
+    want = ids()
+    monkeypatch.setattr(packing, "by_runs", lambda path: False)
+    assert ids() == want
+    monkeypatch.undo()
+    monkeypatch.setattr(bpe, "word_table", None)  # no table of words is made
+    assert ids() == want
+
+
 @pytest.mark.parametrize("n", [0, 1, 4096, 4097, 9000])
 def test_segments_come_back_and_damage_shows(n):
     ids = np.random.default_rng(n).zipf(1.3, n) % 70000

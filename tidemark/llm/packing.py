@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import gc
+import json
 import re
 from array import array
 from collections.abc import Iterator
@@ -41,6 +42,7 @@ ENCODED_ROWS = 250
 LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+SPEC_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Cells of a length at least, and rows of a cell, about, beyond that.
 CELLS, CELL_ROWS = 1024, 20_000
 #: Bits of a piece's number within its length.
@@ -110,6 +112,17 @@ class Runs:
         return [b"".join(map(self.runs.__getitem__, p)) for p in parts]
 
 
+def by_runs(path: str) -> bool:
+    """Whether the tokenizer is one that Runs can stand for: it drops white space and case and cuts words by the pattern of WORDS."""
+    with open(path) as f:
+        spec = json.load(f)
+    cuts = spec["pre_tokenizer"] or {}
+    pattern = [p["pattern"]["Regex"] for p in cuts.get("pretokenizers", []) if p["type"] == "Split" and p["behavior"] == "Removed" and p["invert"]]
+    kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])], [p["type"] for p in cuts.get("pretokenizers", [])]
+    whole = all(not t["normalized"] and "<|" in t["content"] and not any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
+    return whole and kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and pattern == [SPEC_WORDS]
+
+
 @functools.cache
 def runs(path: str) -> Runs:
     """One a worker process."""

@@ -29,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe
-from .shared import materialise, table
+from . import bpe, packing
+from .shared import lean, materialise, table
 
 MAGIC = b"TMK1"
 BLOCK = 4096
@@ -39,6 +39,8 @@ SEGMENT = 4_000_000
 #: Text bytes of a partition, about.
 PARTITION_BYTES = 16 << 20
 END_ID = 1
+#: Ids above those of any text, which is less than 2 GiB: documents stay whole.
+WHOLE = 1 << 29
 TABLE = 4096
 CONTEXTS = 512
 STEP = 12
@@ -52,36 +54,44 @@ _WORD = np.uint64(32)
 class Lanes:
     """The models and coder states of n blocks; words: of each lane the words to decode, or none to encode."""
 
-    def __init__(self, n: int, nibbles: int, capacity: int, words: np.ndarray | None = None):
+    def __init__(self, n: int, nibbles: int, block: int, words: np.ndarray | None = None):
         self.n, self.nibbles = n, nibbles
         kind = np.uint16 if nibbles <= 4 else np.uint32
-        self.seen = [np.zeros((n, TABLE), kind) for _ in range(2)]
-        self.sure = [np.zeros((n, TABLE), np.uint8) for _ in range(2)]
-        self.rate = [np.full((n, 16), 2048, np.int32) for _ in range(2)] + [np.full(n, 2048, np.int32)]
+        # tables of all lanes lie end to end: one number finds an entry
+        self.seen = [np.zeros(n * TABLE, kind) for _ in range(2)]
+        self.sure = [np.zeros(n * TABLE, np.uint8) for _ in range(2)]
+        self.rate = [np.full(n * 16, 2048, np.int32) for _ in range(2)] + [np.full(n, 2048, np.int32)]
         self.weight = [np.full(n, w, np.int32) for w in (26000, 20000, 8000)]
-        self.counts = [np.ones((n, min(16**k, CONTEXTS), 16), np.uint16) for k in range(nibbles)]
+        # counts up to and with each nibble
+        kind = np.uint16 if 16 + STEP * block < 1 << 16 else np.uint32
+        self.contexts = [min(16**k, CONTEXTS) for k in range(nibbles)]
+        self.sums = [np.tile(np.arange(1, 17, dtype=kind), (n * c, 1)) for c in self.contexts]
+        self.columns = [list(s.view(np.uint64).T) for s in self.sums]
+        self.more = (np.arange(16) >= np.arange(16)[:, None]).astype(kind) * kind(STEP)
         self.last = np.zeros((2, n), np.int64)
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
         self.at = np.zeros(n, np.int64)
         self.decoding = words is not None
-        self.words = words if self.decoding else np.zeros((n, capacity), np.uint32)
+        self.words = words if self.decoding else np.zeros((n, block * 3 + 4), np.uint32)
         if self.decoding:
             self.code = (words[:, 0].astype(np.uint64) << _WORD) | words[:, 1]
             self.at += 2
 
     def _settle(self, who: np.ndarray) -> None:
         """Moves a word out of, or into, those lanes whose range has become short."""
-        short = who[self.range[who] <= _LOW]
+        short = who[self.range.take(who) <= _LOW]
         if not len(short):
             return
-        low, r = self.low[short], self.range[short]
-        split = (low >> _WORD) != ((low + (r - np.uint64(1))) >> _WORD)
-        r[split] = (~low[split] & _LOW) + np.uint64(1)
+        low, r, at = self.low.take(short), self.range.take(short), self.at.take(short)
+        top = low >> _WORD
+        split = top != ((low + (r - np.uint64(1))) >> _WORD)
+        if split.any():
+            r[split] = (~low[split] & _LOW) + np.uint64(1)
         if self.decoding:
-            self.code[short] = (self.code[short] << _WORD) | self.words[short, self.at[short]]
+            self.code[short] = (self.code.take(short) << _WORD) | self.words[short, at]
         else:
-            self.words[short, self.at[short]] = (low >> _WORD).astype(np.uint32)
-        self.at[short] += 1
+            self.words[short, at] = top
+        self.at[short] = at + 1
         self.low[short] = low << _WORD
         self.range[short] = r << _WORD
 
@@ -96,19 +106,23 @@ class Lanes:
         self._settle(np.arange(k))
         return bit
 
-    def _nibble(self, who: np.ndarray, counts: np.ndarray, context: np.ndarray, nibble: np.ndarray | None) -> np.ndarray:
-        sums = np.cumsum(counts[who, context], axis=1, dtype=np.uint32)
+    def _nibble(self, who: np.ndarray, j: int, context: np.ndarray, nibble: np.ndarray | None) -> np.ndarray:
+        at = who * self.contexts[j] + context
+        sums = self.sums[j].take(at, 0)
         total = sums[:, -1].astype(np.uint64)
-        low, r = self.low[who], self.range[who] // total
+        low, r = self.low.take(who), self.range.take(who) // total
         if self.decoding:
-            value = np.minimum((self.code[who] - low) // r, total - np.uint64(1))
-            nibble = (sums <= value[:, None]).sum(1)
-        rows = np.arange(len(who))
-        top = sums[rows, nibble]
-        below = np.where(nibble > 0, sums[rows, nibble - 1], 0).astype(np.uint64)
+            value = np.minimum((self.code.take(who) - low) // r, total - np.uint64(1))
+            passed = np.bitwise_count((sums <= value.astype(sums.dtype)[:, None]).view(np.uint64))
+            nibble = (passed[:, 0] + passed[:, 1]).astype(np.int64)
+        place = np.arange(0, 16 * len(who), 16) + nibble
+        top = sums.take(place)
+        below = np.where(nibble > 0, sums.take(place - 1), 0).astype(np.uint64)
         self.low[who] = low + r * below
         self.range[who] = r * (top - below)
-        counts[who, context, nibble] += np.uint16(STEP)
+        grown = (sums + self.more.take(nibble, 0)).view(np.uint64)
+        for c in range(grown.shape[1]):  # by columns, since numpy is slow to put many short rows
+            self.columns[j][c][at] = grown[:, c]
         self._settle(who)
         return nibble
 
@@ -116,16 +130,17 @@ class Lanes:
         """Codes the next id of the first k lanes."""
         rows, who = np.arange(k), slice(0, k)
         one, two = self.last[0, :k], self.last[1, :k]
-        slots = [(one * 0x9E3779B1 + two * 0x85EBCA6B >> 7) & (TABLE - 1), (one * 0x9E3779B1 >> 5) & (TABLE - 1)]
-        seen = [t[rows, s].astype(np.int64) for t, s in zip(self.seen, slots, strict=True)]
-        sure = [t[rows, s].astype(np.int64) for t, s in zip(self.sure, slots, strict=True)]
+        first, lane = rows * TABLE, rows * 16
+        slots = [first + ((one * 0x9E3779B1 + two * 0x85EBCA6B >> 7) & (TABLE - 1)), first + ((one * 0x9E3779B1 >> 5) & (TABLE - 1))]
+        seen = [t.take(s).astype(np.int64) for t, s in zip(self.seen, slots, strict=True)]
+        sure = [t.take(s).astype(np.int64) for t, s in zip(self.sure, slots, strict=True)]
         agree = seen[0] == seen[1]
         guess = np.where(sure[0] > 0, seen[0], seen[1])
-        place = [sure[0] * 2 + agree, sure[1] * 2 + agree]
-        rates = [self.rate[0][rows, place[0]], self.rate[1][rows, place[1]], self.rate[2][:k]]
-        inputs = [_STRETCH[x] for x in rates]
+        place = [lane + sure[0] * 2 + agree, lane + sure[1] * 2 + agree]
+        rates = [self.rate[0].take(place[0]), self.rate[1].take(place[1]), self.rate[2][:k]]
+        inputs = [_STRETCH.take(x) for x in rates]
         dot = sum(w[:k] * x for w, x in zip(self.weight, inputs, strict=True)) >> 16
-        p = _SQUASH[np.clip(dot, -2047, 2047) + 2048]
+        p = _SQUASH.take(np.maximum(np.minimum(dot, 2047), -2047) + 2048)
         hit = self._bit(who, k, p, None if self.decoding else ids == guess)
         out = guess if self.decoding else ids
         wrong = np.flatnonzero(~hit)
@@ -134,20 +149,20 @@ class Lanes:
             prefix = np.zeros(len(wrong), np.int64)
             for j in range(self.nibbles):
                 given = None if self.decoding else (value >> (4 * (self.nibbles - 1 - j))) & 15
-                prefix = prefix * 16 + self._nibble(wrong, self.counts[j], prefix % CONTEXTS, given)
+                prefix = prefix * 16 + self._nibble(wrong, j, prefix % CONTEXTS, given)
             if self.decoding:
                 out = guess.copy()
                 out[wrong] = prefix
         aim = np.where(hit, 4095, 0)
         error = aim - p
         for w, x in zip(self.weight, inputs, strict=True):
-            w[:k] = np.clip(w[:k] + (x * error >> 10), -200_000, 200_000)
+            w[:k] = np.maximum(np.minimum(w[:k] + (x * error >> 10), 200_000), -200_000)
         for i in range(2):
-            self.rate[i][rows, place[i]] = rates[i] + ((aim - rates[i]) >> 5)
+            self.rate[i][place[i]] = rates[i] + ((aim - rates[i]) >> 5)
             same = seen[i] == out
             weak = ~same & (sure[i] <= 1)
-            self.seen[i][rows, slots[i]] = np.where(weak, out, seen[i])
-            self.sure[i][rows, slots[i]] = np.where(same, np.minimum(sure[i] + 1, 7), np.where(weak, 1, sure[i] >> 1))
+            self.seen[i][slots[i]] = np.where(weak, out, seen[i])
+            self.sure[i][slots[i]] = np.where(same, np.minimum(sure[i] + 1, 7), np.where(weak, 1, sure[i] >> 1))
         self.rate[2][:k] = rates[2] + ((aim - rates[2]) >> 5)
         self.last[1, :k] = one
         self.last[0, :k] = out
@@ -162,14 +177,14 @@ def pack(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, block: i
     """A segment of documents whose ids stand end to end."""
     n = -(-len(ids) // block)
     nibbles = _nibbles(ids)
-    lanes = Lanes(n, nibbles, block * 3 + 4)
-    padded = np.zeros(n * block, np.int64)
+    lanes = Lanes(n, nibbles, block)
+    padded = np.zeros(n * block, np.uint32)
     padded[: len(ids)] = ids
     grid = padded.reshape(n, block)
     last = len(ids) - (n - 1) * block
     for t in range(block if n > 1 else last):
         k = n if t < last else n - 1
-        lanes.step(k, grid[:k, t])
+        lanes.step(k, grid[:k, t].astype(np.int64))
     for word in ((lanes.low >> _WORD), (lanes.low & _LOW)):
         lanes.words[np.arange(n), lanes.at] = word.astype(np.uint32)
         lanes.at += 1
@@ -195,16 +210,16 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     for i, size in enumerate(heads[1].tolist()):
         words[i, :size] = np.frombuffer(data, "<u4", size, at)
         at += 4 * size
-    grid = np.zeros((n, block), np.int64)
+    grid = np.zeros((n, block), np.uint32)
     if n:
-        lanes, last = Lanes(n, nibbles, 0, words), int(heads[0, -1])
+        lanes, last = Lanes(n, nibbles, block, words), int(heads[0, -1])
         for t in range(block if n > 1 else last):
             k = n if t < last else n - 1
             grid[:k, t] = lanes.step(k, None)
         for i in range(n):
             if zlib.crc32(grid[i, : heads[0, i]].astype("<u4").tobytes()) != heads[2, i]:
                 raise ValueError(f"block {i} is damaged")
-    ids = grid.reshape(-1)[: int(heads[0].sum())].astype(np.uint32)
+    ids = grid.reshape(-1)[: int(heads[0].sum())]
     return [None if k == -(1 << 63) else k for k in keys.tolist()], counts, ids
 
 
@@ -217,9 +232,8 @@ def _segments(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], ["part", "segment", "n_ids", "data"])
 
     for b in rows:
-        values, offsets = b.column(1).values.to_numpy(), b.column(1).offsets.to_numpy()
-        for i, doc in enumerate(b.column(0).to_pylist()):
-            held.append((doc, np.append(values[offsets[i] : offsets[i + 1]], END_ID)))
+        for doc, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            held.append((doc, np.frombuffer(ids, "<u4")))
             n += len(held[-1][1])
             if n >= SEGMENT:
                 yield closed()
@@ -228,13 +242,24 @@ def _segments(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield closed()
 
 
+def _ended(keys: pa.Array, all_ids: Iterator[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([keys, pa.array([np.append(x, END_ID).astype("<u4").tobytes() for x in all_ids], pa.binary())], ["doc_id", "ids"])
+
+
+def encoded(docs: DataFrame, path: str, size: int) -> DataFrame:
+    """(doc_id, ids), written: each row's ids with the end id, as little-endian unsigned 32-bit integers. Where the tokenizer is of the
+    kind that packing cuts into runs, no table of words is made and nothing is joined."""
+    if packing.by_runs(path):
+        return packing.pieces(docs, path, WHOLE, END_ID).select("doc_id", "ids")
+    return materialise(bpe.encode_with(docs, bpe.word_table(docs, path, size), path, _ended, "doc_id long, ids binary", size=size))
+
+
 def write(docs: DataFrame, path: str) -> DataFrame:
     """The written segments (part, segment, n_ids, data) of docs (doc_id, text) under the tokenizer at path."""
     docs = docs.select("doc_id", "text")
     size = bpe.text_bytes(docs)
-    ids = bpe.encode_with(docs, bpe.word_table(docs, path, size), path, bpe._ids, "doc_id long, ids array<int>", size=size)
-    ids = materialise(ids).repartitionByRange(max(1, -(-size // PARTITION_BYTES)), "doc_id").sortWithinPartitions("doc_id")
-    return materialise(ids.mapInArrow(_segments, "part int, segment int, n_ids long, data binary"))
+    ids = encoded(docs, path, size).repartitionByRange(max(1, -(-size // PARTITION_BYTES)), "doc_id").sortWithinPartitions("doc_id")
+    return materialise(ids.mapInArrow(lean(_segments), "part int, segment int, n_ids long, data binary"))
 
 
 def read(segments: DataFrame) -> DataFrame:
@@ -250,7 +275,7 @@ def read(segments: DataFrame) -> DataFrame:
                 same = lambda c: pa.array([b.column(c)[r].as_py()] * len(docs), pa.int32())  # noqa: E731,B023
                 yield pa.RecordBatch.from_arrays([same(0), same(1), pa.array(docs, pa.int64()), pa.array(starts), pa.array(counts.astype(np.int64)), pa.array(sums, pa.int64())], ["part", "segment", "doc_id", "offset", "n_tokens", "ids_crc32"])
 
-    return segments.select("part", "segment", "data").mapInArrow(documents, "part int, segment int, doc_id long, offset long, n_tokens long, ids_crc32 long")
+    return segments.select("part", "segment", "data").mapInArrow(lean(documents), "part int, segment int, doc_id long, offset long, n_tokens long, ids_crc32 long")
 
 
 def index(segments: DataFrame) -> DataFrame:
