@@ -323,3 +323,25 @@ def test_look_ahead_names_the_feature_that_looks(spark):
     got = {r.feature: (r.compared, r.changed) for r in look_ahead(rows, made, ["past", "future", "rank", "volume"]).collect()}
     assert got["past"][1] == got["volume"][1] == 0 and got["rank"][1] == got["rank"][0] == 2 * (15 + 30 + 45)
     assert got["future"][1] == 2 * 2 * 3
+
+
+def test_walk_forward_adds_few_jobs_to_those_of_its_forests(spark, tmp_path):
+    from tidemark.operators import models
+
+    def jobs(what):
+        sc, group = spark.sparkContext, f"jobs-{dt.datetime.now().timestamp()}"
+        sc.setJobGroup(group, group)
+        try:
+            return what(), len(sc.statusTracker().getJobIdsForGroup(group))
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+
+    rows = spark.createDataFrame([(i, float(i % 4 == 0)) for i in range(20)], "i int, label double")
+    got, n = jobs(lambda: models.balanced(rows, counts={0.0: 15, 1.0: 5}))  # counts that are known aren't taken again
+    assert n == 0 and sorted(got.collect()) == sorted(models.balanced(rows).collect())
+    log = models.signal_log(spark, str(tmp_path / "signals"))
+    for k in range(3):
+        new, n = jobs(lambda k=k: log.append(spark.range(1).select(F.lit("f").alias("feature"), F.lit(0.5 * k).alias("importance")), f"importance-{k}"))
+        assert new and n <= 3  # two to know the log's schemas, one that writes
+    assert log.commits().where("at > current_timestamp() - interval 1 hour and at <= current_timestamp()").count() == 3
+    assert models.importances_of(log).agg(F.sum("importance")).first()[0] == 1.5

@@ -24,9 +24,10 @@ AT_ONCE = 4
 SIGNALS = "date date, ticker string, split int, p_sell double, p_neutral double, p_buy double, signal_probability double, signal int"
 
 
-def balanced(train: DataFrame, label: str = "label") -> DataFrame:
-    """train with `weight`: all rows over the number of classes times those of the row's class."""
-    counts = {r[0]: r.n for r in train.groupBy(label).agg(F.count("*").alias("n")).collect()}  # a row a class
+def balanced(train: DataFrame, label: str = "label", counts: dict[float, int] | None = None) -> DataFrame:
+    """train with `weight`: all rows over the number of classes times those of the row's class. counts: rows by class, if they are known."""
+    if counts is None:
+        counts = {r[0]: r.n for r in train.groupBy(label).agg(F.count("*").alias("n")).collect()}  # a row a class
     total = sum(counts.values())
     weight = F.coalesce(*(F.when(F.col(label) == c, F.lit(total / (len(counts) * n))) for c, n in counts.items())) if counts else F.lit(1.0)
     return train.withColumn("weight", weight)
@@ -60,19 +61,20 @@ def walk_forward(matrix: DataFrame, clean_bars: DataFrame, log: Log, purge: int
     dated = written(signals.in_splits(rows, signals.purged_splits(rows, purge)))
     done = {r.run for r in log.commits().select("run").collect()}
 
+    counts: dict[int, dict[float, int]] = {}
+    for r in dated.where("part = 'train'").groupBy("split", "label").agg(F.count("*").alias("n")).collect():  # a row a split and class
+        counts.setdefault(r.split, {})[r.label] = r.n
+
     def fit(split: int) -> None:
         own = dated.where(F.col("split") == split)
-        train = balanced(own.where("part = 'train'"))
-        if train.limit(LEAST_ROWS).count() < LEAST_ROWS:
-            return
-        model = fitted(train, features, trees, depth)
+        model = fitted(balanced(own.where("part = 'train'"), counts=counts[split]), features, trees, depth)
         p = F.col("p_neutral")
         out = predicted(model, own.where("part = 'test'").select("date", "ticker", "split", *features))
-        named = spark.createDataFrame(importances(model, features), "feature string, importance double").withColumn("split", F.lit(split))
+        named = spark.createDataFrame(importances(model, features), "feature string, importance double").coalesce(1).withColumn("split", F.lit(split))
         log.append(named, f"importance-{split}")
         log.append(out.select("date", "ticker", "split", "p_sell", "p_neutral", "p_buy", p.alias("signal_probability"), signals.bucket(p).cast("int").alias("signal")), f"split-{split}")
 
-    splits = [r.split for r in dated.select("split").distinct().orderBy("split").collect() if f"split-{r.split}" not in done]
+    splits = [k for k in sorted(counts) if sum(counts[k].values()) >= LEAST_ROWS and f"split-{k}" not in done]
     with ThreadPoolExecutor(AT_ONCE) as pool:
         list(pool.map(fit, splits))
     return signals_of(log)

@@ -7,6 +7,7 @@ import json
 import re
 import uuid
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -111,8 +112,8 @@ class Log:
     def schema(self) -> StructType:
         """All columns of all commits. There are as many schemas as the table has had, however many runs."""
         out = self.base
-        for r in self.commits().select("schema").distinct().orderBy("schema").collect():
-            out = self.widened(out, StructType.fromJson(json.loads(r.schema)))
+        for schema in sorted(r.schema for r in self.commits().select("schema").distinct().collect()):
+            out = self.widened(out, StructType.fromJson(json.loads(schema)))
         return out
 
     @classmethod
@@ -147,7 +148,7 @@ class Log:
         fs, at = _fs(self.spark, record)
         _, aside = _fs(self.spark, f"{self.path}/pending/{what['attempt']}")
         out = fs.create(aside, True)
-        out.write(bytearray(json.dumps(what | {"at": self.spark.range(1).select(F.current_timestamp().cast("string")).first()[0]}).encode()))
+        out.write(bytearray(json.dumps(what | {"at": datetime.now(UTC).isoformat()}).encode()))
         out.close()
         fs.mkdirs(at.getParent())
         if fs.exists(at) or not fs.rename(aside, at):
