@@ -650,3 +650,23 @@ def test_pipeline_keeps_what_the_classifier_accepts(spark):
     want = {r.doc_id for r in docs.collect() if model.score((r.text or "").encode()) >= quality.THRESHOLD}
     got = pipeline.keep_good(spark, docs, sf)
     assert {r.doc_id for r in got.select("doc_id").collect()} == want and 0 < len(want) < docs.count() and got.columns == docs.columns
+
+
+def test_token_segments_leave_no_small_rest(monkeypatch):
+    import types
+
+    import pyarrow as pa
+
+    from tidemark.llm import tokenfile as T
+
+    monkeypatch.setattr(T, "SEGMENT", 100)
+    monkeypatch.setattr(T, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 7)))
+    for sizes in ([], [3], [41] * 10, [250], [100, 100, 1], [99, 300, 5, 5]):
+        ids = [np.arange(n, dtype="<u4") * 31 % 49_000 for n in sizes]
+        rows = [pa.RecordBatch.from_arrays([pa.array(range(i, i + len(x)), pa.int64()), pa.array([y.tobytes() for y in x], pa.binary())], ["doc_id", "ids"]) for i in range(0, len(ids), 3) for x in [ids[i : i + 3]]]
+        got = [b.to_pylist()[0] for b in T._segments(iter(rows))]
+        assert [(r["part"], r["segment"]) for r in got] == [(7, k) for k in range(len(got))]
+        assert all(r["n_ids"] >= 100 for r in got) or len(got) == 1
+        back = [T.unpack(r["data"]) for r in got]
+        assert [d for b in back for d in b[0]] == list(range(len(sizes))) and [int(c) for b in back for c in b[1]] == sizes
+        assert np.array_equal(np.concatenate([b[2] for b in back] or [np.zeros(0)]), np.concatenate(ids or [np.zeros(0)]))

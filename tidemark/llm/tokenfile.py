@@ -34,7 +34,7 @@ from .shared import lean, materialise, table
 
 MAGIC = b"TMK1"
 BLOCK = 4096
-#: Ids after which a segment is closed.
+#: Ids after which a segment is full; the last of a partition also takes what is left after it, less than as many again.
 SEGMENT = 4_000_000
 #: Text bytes of a partition, about.
 PARTITION_BYTES = 16 << 20
@@ -47,6 +47,8 @@ STEP = 12
 
 _SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-(x - 2048) / 256))))) for x in range(4096)], np.int32)
 _STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)], np.int32)
+#: How sure an entry is next, by how sure it was, first where its id was wrong, then where it was right; a wrong one at 0 or 1 gives way.
+_SURE = np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7])
 _LOW = np.uint64(0xFFFFFFFF)
 _WORD = np.uint64(32)
 
@@ -56,17 +58,15 @@ class Lanes:
 
     def __init__(self, n: int, nibbles: int, block: int, words: np.ndarray | None = None):
         self.n, self.nibbles = n, nibbles
-        kind = np.uint16 if nibbles <= 4 else np.uint32
-        # tables of all lanes lie end to end: one number finds an entry
-        self.seen = [np.zeros(n * TABLE, kind) for _ in range(2)]
-        self.sure = [np.zeros(n * TABLE, np.uint8) for _ in range(2)]
+        # tables of all lanes lie end to end: one number finds an entry, the id seen and in the low 3 bits how sure it is
+        self.seen = [np.zeros(n * TABLE, np.uint32 if nibbles <= 4 else np.uint64) for _ in range(2)]
         self.rate = [np.full(n * 16, 2048, np.int32) for _ in range(2)] + [np.full(n, 2048, np.int32)]
         self.weight = [np.full(n, w, np.int32) for w in (26000, 20000, 8000)]
         # counts up to and with each nibble
         kind = np.uint16 if 16 + STEP * block < 1 << 16 else np.uint32
         self.contexts = [min(16**k, CONTEXTS) for k in range(nibbles)]
         self.sums = [np.tile(np.arange(1, 17, dtype=kind), (n * c, 1)) for c in self.contexts]
-        self.columns = [list(s.view(np.uint64).T) for s in self.sums]
+        self.columns = [list(s.view(np.complex128).T) for s in self.sums]
         self.more = (np.arange(16) >= np.arange(16)[:, None]).astype(kind) * kind(STEP)
         self.last = np.zeros((2, n), np.int64)
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
@@ -77,9 +77,8 @@ class Lanes:
             self.code = (words[:, 0].astype(np.uint64) << _WORD) | words[:, 1]
             self.at += 2
 
-    def _settle(self, who: np.ndarray) -> None:
-        """Moves a word out of, or into, those lanes whose range has become short."""
-        short = who[self.range.take(who) <= _LOW]
+    def _settle(self, short: np.ndarray) -> None:
+        """Moves a word out of, or into, lanes whose range has become short."""
         if not len(short):
             return
         low, r, at = self.low.take(short), self.range.take(short), self.at.take(short)
@@ -95,15 +94,15 @@ class Lanes:
         self.low[short] = low << _WORD
         self.range[short] = r << _WORD
 
-    def _bit(self, who: slice, k: int, p: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
+    def _bit(self, who: slice, p: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
         """Codes a bit that is 1 with probability p of 4096."""
         low, r = self.low[who], self.range[who]
         part = (r >> np.uint64(12)) * p.astype(np.uint64)
         if self.decoding:
             bit = self.code[who] - low < part
         self.low[who] = np.where(bit, low, low + part)
-        self.range[who] = np.where(bit, part, r - part)
-        self._settle(np.arange(k))
+        self.range[who] = left = np.where(bit, part, r - part)
+        self._settle(np.flatnonzero(left <= _LOW))
         return bit
 
     def _nibble(self, who: np.ndarray, j: int, context: np.ndarray, nibble: np.ndarray | None) -> np.ndarray:
@@ -119,11 +118,11 @@ class Lanes:
         top = sums.take(place)
         below = np.where(nibble > 0, sums.take(place - 1), 0).astype(np.uint64)
         self.low[who] = low + r * below
-        self.range[who] = r * (top - below)
-        grown = (sums + self.more.take(nibble, 0)).view(np.uint64)
-        for c in range(grown.shape[1]):  # by columns, since numpy is slow to put many short rows
+        self.range[who] = left = r * (top - below)
+        grown = (sums + self.more.take(nibble, 0)).view(np.complex128)
+        for c in range(grown.shape[1]):  # by columns of 16 bytes, since numpy is slow to put many short rows
             self.columns[j][c][at] = grown[:, c]
-        self._settle(who)
+        self._settle(who[left <= _LOW])
         return nibble
 
     def step(self, k: int, ids: np.ndarray | None) -> np.ndarray:
@@ -132,8 +131,8 @@ class Lanes:
         one, two = self.last[0, :k], self.last[1, :k]
         first, lane = rows * TABLE, rows * 16
         slots = [first + ((one * 0x9E3779B1 + two * 0x85EBCA6B >> 7) & (TABLE - 1)), first + ((one * 0x9E3779B1 >> 5) & (TABLE - 1))]
-        seen = [t.take(s).astype(np.int64) for t, s in zip(self.seen, slots, strict=True)]
-        sure = [t.take(s).astype(np.int64) for t, s in zip(self.sure, slots, strict=True)]
+        entries = [t.take(s).astype(np.int64) for t, s in zip(self.seen, slots, strict=True)]
+        seen, sure = [e >> 3 for e in entries], [e & 7 for e in entries]
         agree = seen[0] == seen[1]
         guess = np.where(sure[0] > 0, seen[0], seen[1])
         place = [lane + sure[0] * 2 + agree, lane + sure[1] * 2 + agree]
@@ -141,7 +140,7 @@ class Lanes:
         inputs = [_STRETCH.take(x) for x in rates]
         dot = sum(w[:k] * x for w, x in zip(self.weight, inputs, strict=True)) >> 16
         p = _SQUASH.take(np.maximum(np.minimum(dot, 2047), -2047) + 2048)
-        hit = self._bit(who, k, p, None if self.decoding else ids == guess)
+        hit = self._bit(who, p, None if self.decoding else ids == guess)
         out = guess if self.decoding else ids
         wrong = np.flatnonzero(~hit)
         if len(wrong):
@@ -153,16 +152,14 @@ class Lanes:
             if self.decoding:
                 out = guess.copy()
                 out[wrong] = prefix
-        aim = np.where(hit, 4095, 0)
+        aim = hit * np.int32(4095)
         error = aim - p
         for w, x in zip(self.weight, inputs, strict=True):
             w[:k] = np.maximum(np.minimum(w[:k] + (x * error >> 10), 200_000), -200_000)
         for i in range(2):
             self.rate[i][place[i]] = rates[i] + ((aim - rates[i]) >> 5)
-            same = seen[i] == out
-            weak = ~same & (sure[i] <= 1)
-            self.seen[i][slots[i]] = np.where(weak, out, seen[i])
-            self.sure[i][slots[i]] = np.where(same, np.minimum(sure[i] + 1, 7), np.where(weak, 1, sure[i] >> 1))
+            state = (seen[i] == out) * 8 + sure[i]
+            self.seen[i][slots[i]] = np.where(state <= 1, out, seen[i]) << 3 | _SURE.take(state)
         self.rate[2][:k] = rates[2] + ((aim - rates[2]) >> 5)
         self.last[1, :k] = one
         self.last[0, :k] = out
@@ -224,9 +221,9 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 def _segments(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, number, held, n = TaskContext.get().partitionId(), 0, [], 0
+    part, number, full, held, n = TaskContext.get().partitionId(), 0, [], [], 0
 
-    def closed() -> pa.RecordBatch:
+    def closed(held: list[tuple[int | None, np.ndarray]]) -> pa.RecordBatch:
         ids = np.concatenate([h[1] for h in held])
         data = pack([h[0] for h in held], [len(h[1]) for h in held], ids)
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], ["part", "segment", "n_ids", "data"])
@@ -236,10 +233,13 @@ def _segments(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append((doc, np.frombuffer(ids, "<u4")))
             n += len(held[-1][1])
             if n >= SEGMENT:
-                yield closed()
-                number, held, n = number + 1, [], 0
-    if held:
-        yield closed()
+                if full:
+                    yield closed(full)
+                    number += 1
+                full, held, n = held, [], 0
+    # what is left goes with the segment before it: a step of the coder costs about as much for a few lanes as for many
+    if full or held:
+        yield closed(full + held)
 
 
 def _ended(keys: pa.Array, all_ids: Iterator[np.ndarray]) -> pa.RecordBatch:
