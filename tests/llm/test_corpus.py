@@ -670,3 +670,45 @@ def test_token_segments_leave_no_small_rest(monkeypatch):
         back = [T.unpack(r["data"]) for r in got]
         assert [d for b in back for d in b[0]] == list(range(len(sizes))) and [int(c) for b in back for c in b[1]] == sizes
         assert np.array_equal(np.concatenate([b[2] for b in back] or [np.zeros(0)]), np.concatenate(ids or [np.zeros(0)]))
+
+
+def test_token_segments_of_texts_beat_the_entropy_of_single_ids():
+    import pyarrow.parquet as pq
+
+    from tidemark.llm import packing, tokenfile as T
+
+    found = packing.Runs(bpe.tokenizer_path("word_bpe_49k.json"))
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    ids = np.frombuffer(b"".join(found.encoded([(x or "").encode() for x in texts])), "<u4")
+    counts = np.bincount(ids)
+    share = counts[counts > 0] / len(ids)
+    data = T.pack([1], [len(ids)], ids)
+    assert len(data) * 8 / len(ids) < -(share * np.log2(share)).sum()
+    assert np.array_equal(T.unpack(data)[2], ids)
+
+
+def test_token_segments_of_odd_ids():
+    from tidemark.llm import tokenfile as T
+
+    r = np.random.default_rng(1)
+    rare = np.where(r.random(50_000) < 0.0005, r.integers(0, 1 << 32, 50_000), 3)
+    for ids in ([(1 << 32) - 1], np.full(5000, 7), r.integers(0, 1 << 32, 20_000), r.permutation(300_000), rare, np.arange(30_001) % 3 * 49_000):
+        ids = np.asarray(ids, "<u4")
+        order0 = T.Shares.of(ids)[0]
+        assert order0.shares.sum() == 1 << order0.bits and order0.shares.min() > 0
+        docs, counts, back = T.unpack(T.pack([1, 2], [len(ids), 0], ids, 1024))
+        assert np.array_equal(back, ids) and counts.tolist() == [len(ids), 0]
+
+
+def test_plain_texts_are_encoded_by_words_and_equal_the_library():
+    from tidemark.llm import packing
+
+    path = bpe.tokenizer_path("word_bpe_49k.json")
+    found, library, draw = packing.Runs(path), bpe.library(path), random.Random(3)
+    parts = [*" \t\n\r\x0b\x0c s re've llTd12éÉßĳŉſ.,!?'", "'s", "'S", " '", "''s", "don't", "I'll", "'RE", "<|", "<|endoftext|>", "\x1c", "\x85", "\xa0", "½", "Σς", "İ", "漢", "🎉", "́", "K", "ﬁ"]
+    texts = ["".join(draw.choice(parts if n % 2 else parts[:45]) for _ in range(draw.randint(0, 40))) for n in range(4000)]
+    for text in texts:
+        assert np.frombuffer(found.encoded([text.encode()])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    plain = packing.Runs(path)
+    plain.encoded([b"Plain words, said twice: plain words."] * 2)
+    assert set(plain.words) == {"plain", "words", ",", "said", "twice", ":", "."} and not plain.runs

@@ -1,8 +1,8 @@
 """Best-two-fit packing of documents' token ids into sequences of a fixed capacity.
 
 1.  Pieces: tasks encode each text and cut what is longer than the capacity; the pieces, with their ids, are a written table.
-    White space is never part of a token here, so runs of other characters, and of those the words, are encoded by themselves
-    and remembered by the worker.
+    White space is never part of a token here, so words, or where a text has characters that aren't plain the runs between white space,
+    are encoded by themselves and remembered by the worker.
 2.  Plan: pieces of one length are interchangeable, so the packing needs only how many there are of each length, a number for each
     length up to the capacity. A sequence is filled greedily with the longest pieces that fit; then its smallest piece
     gives way to the two unpacked pieces that fill the expanded gap most tightly, if they fill it better. The same filling is
@@ -21,7 +21,7 @@ import gc
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -38,10 +38,9 @@ END_ID = 0
 RUN_BYTES, WORD_BYTES, ENTRY = 64 << 20, 128 << 20, 180
 #: Rows that are encoded together.
 ENCODED_ROWS = 250
-#: Runs of printable ASCII and Latin letters that are single code points in either case, and the tokenizer's pattern for them in lower case.
-LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
-PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+#: ASCII white space, printable ASCII and Latin letters that are single code points in either case, and the tokenizer's pattern for them in lower case.
+PLAIN = re.compile(r"[!-~\t-\r \u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
+WORDS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^a-z0-9\u00df-\u00f6\u00f8-\u017f\t-\r ]+")
 SPEC_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Cells of a length at least, and rows of a cell, about, beyond that.
 CELLS, CELL_ROWS = 1024, 20_000
@@ -50,66 +49,64 @@ NUMBER_BITS = 48
 
 
 class Ids(dict):
-    """The ids, as bytes of little-endian unsigned 32-bit integers, of strings that the tokenizer encodes by themselves; cleared when it is large."""
+    """The ids, as bytes of little-endian unsigned 32-bit integers, of strings that the tokenizer encodes by themselves; each is made when it is
+    first asked for."""
 
-    def __init__(self, most: int):
-        self.size, self.most = 0, most
+    def __init__(self, made: Callable[[str | bytes], bytes], most: int):
+        self.made, self.size, self.most = made, 0, most
 
-    def known(self, wanted: set) -> list:
-        """Those of the wanted strings that aren't here."""
+    def __missing__(self, key: str | bytes) -> bytes:
+        ids = self[key] = self.made(key)
+        self.size += len(key) + len(ids) + ENTRY
+        return ids
+
+    def bounded(self) -> None:
+        """Cleared when it is large."""
         if self.size > self.most:
             self.clear()
             self.size = 0
-        return [x for x in wanted if x not in self]
-
-    def learnt(self, more: dict) -> None:
-        self.update(more)
-        self.size += sum(map(len, more)) + sum(map(len, more.values())) + ENTRY * len(more)
 
 
 class Runs:
-    """Ids of runs of characters without white space. A plain run is put together from its words, of which case is dropped, and these
-    go to the library's model alone; any other run goes through the whole tokenizer."""
+    """Ids of texts. A plain text is put together from its words, of which case is dropped, and these go to the library's model alone.
+    Other texts are cut into runs of characters without white space; a run that isn't plain itself goes through the whole tokenizer."""
 
     def __init__(self, path: str):
         self.library = library(path)
+        self.cut = self.library.model.tokenize
         # fixed values: byte-level vocabularies write printable bytes as themselves and the others from 256 on
         own = {*range(33, 127), *range(161, 173), *range(174, 256)}
         self.spelling = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in own)}
-        self.runs, self.words = Ids(RUN_BYTES), Ids(WORD_BYTES)
+        self.runs, self.words = Ids(self.one, RUN_BYTES), Ids(self.word, WORD_BYTES)
+
+    def word(self, word: str) -> bytes:
+        """A word is what the pre-tokenizer would pass on, but for the spelling of bytes."""
+        return array("I", [t.id for t in self.cut(word if word.isascii() else word.encode().decode("latin-1").translate(self.spelling))]).tobytes()
 
-    def one(self, text: str) -> bytes:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+    def plain(self, text: str) -> bytes | None:
+        """None if the text isn't plain."""
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.words.__getitem__, WORDS.findall(text.lower())))
+        return None
 
-    def learn(self, words: list[str]) -> None:
-        """Words are what the pre-tokenizer would pass on, but for the spelling of bytes."""
-        cut = self.library.model.tokenize
-        self.words.learnt({w: array("I", [t.id for t in cut(w if w.isascii() else w.encode().decode("latin-1").translate(self.spelling))]).tobytes() for w in words})
+    def one(self, run: bytes) -> bytes:
+        text = run.decode()
+        ids = self.plain(text)
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes() if ids is None else ids
 
     def encoded(self, texts_: list[bytes]) -> list[bytes]:
         """The ids of each text."""
         gc.disable()  # what is held here has no cycles, and a collection would go through all of it
         try:
-            return self._encoded(texts_)
+            return [self._encoded(t) for t in texts_]
         finally:
             gc.enable()
 
-    def _encoded(self, texts_: list[bytes]) -> list[bytes]:
-        parts = [t.split() for t in texts_]  # at ASCII white space alone
-        single, plain, other = {}, {}, {}
-        for run in self.runs.known(set().union(*parts)):
-            s = run.decode()
-            if LETTERS.fullmatch(s):
-                single[run] = s.lower()
-            elif PLAIN.fullmatch(s) and "<|" not in s:
-                plain[run] = WORDS.findall(s.lower())
-            else:
-                other[run] = self.one(s)
-        new = self.words.known(set(single.values()).union(*plain.values()))
-        self.learn(new)
-        of = self.words.__getitem__
-        self.runs.learnt(other | {run: of(word) for run, word in single.items()} | {run: b"".join(map(of, words)) for run, words in plain.items()})
-        return [b"".join(map(self.runs.__getitem__, p)) for p in parts]
+    def _encoded(self, text: bytes) -> bytes:
+        self.runs.bounded()
+        self.words.bounded()
+        ids = self.plain(text.decode())
+        return b"".join(map(self.runs.__getitem__, text.split())) if ids is None else ids  # at ASCII white space alone
 
 
 def by_runs(path: str) -> bool:
