@@ -76,12 +76,13 @@ class Runs:
         self.cut = self.library.model.tokenize
         # fixed values: byte-level vocabularies write printable bytes as themselves and the others from 256 on
         own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        self.spelling = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in own)}
+        others = iter(range(256, 512))
+        self.spelling = [chr(b if b in own else next(others)) for b in range(256)]
         self.runs, self.words = Ids(self.one, RUN_BYTES), Ids(self.word, WORD_BYTES)
 
     def word(self, word: str) -> bytes:
         """A word is what the pre-tokenizer would pass on, but for the spelling of bytes."""
-        return array("I", [t.id for t in self.cut(word if word.isascii() else word.encode().decode("latin-1").translate(self.spelling))]).tobytes()
+        return array("I", [t.id for t in self.cut(word if word.isascii() else "".join([self.spelling[b] for b in word.encode()]))]).tobytes()
 
     def plain(self, text: str) -> bytes | None:
         """None if the text isn't plain."""

@@ -50,6 +50,8 @@ TABLE_BITS = 12
 SHARE_BITS = 20
 #: Ids below this are counted in an array.
 COUNTED = 1 << 22
+#: Ids that are counted or looked up together, and steps that are turned from blocks to lanes together.
+PIECE, TURNED = 1 << 18, 64
 
 _SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-(x - 2048) / 256))))) for x in range(4096)], np.int32)
 _STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)], np.int32)
@@ -79,11 +81,17 @@ class Shares:
     def of(cls, ids: np.ndarray) -> tuple[Shares, np.ndarray]:
         """Shares of the ids, and each id's place."""
         if len(ids) and int(ids.max()) < COUNTED:
-            counts = np.bincount(ids)
+            # by pieces, as numpy widens what it counts or looks up
+            pieces = [slice(a, a + PIECE) for a in range(0, len(ids), PIECE)]
+            counts, places = np.zeros(int(ids.max()) + 1, np.int64), np.empty(len(ids), np.uint32)
+            for piece in pieces:
+                counts += np.bincount(ids[piece], minlength=len(counts))
             there = np.flatnonzero(counts)
             to = np.zeros(len(counts), np.uint32)
             to[there] = np.arange(len(there))
-            return cls(there, counts[there]), to.take(ids)
+            for piece in pieces:
+                places[piece] = to.take(ids[piece])
+            return cls(there, counts[there]), places
         there, places, counts = np.unique(ids, return_inverse=True, return_counts=True)
         return cls(there.astype(np.int64), counts), places.astype(np.uint32)
 
@@ -102,8 +110,8 @@ class Shares:
         if self.bits > SHARE_BITS:
             return (np.searchsorted(self.below, points.astype(np.int64), "right") - 1).astype(np.uint32)
         if self.wheres is None:
-            self.wheres = np.repeat(np.arange(len(self.ids), dtype=np.uint32), self.shares)
-        return self.wheres.take(points.view(np.int64))
+            self.wheres = np.repeat(np.arange(len(self.ids), dtype=np.uint16 if len(self.ids) <= 1 << 16 else np.uint32), self.shares)
+        return self.wheres.take(points.view(np.int64)).astype(np.uint32)
 
 
 class Lanes:
@@ -160,13 +168,13 @@ class Lanes:
     def _settle(self) -> None:
         """Moves a word out of, or into, lanes whose range has become short."""
         short = self.range <= _LOW
-        low = self.low << _WORD
-        if self.decoding:
-            low |= self.flat.take(self.at, mode="clip")
-        else:
+        shift = short * _WORD
+        if not self.decoding:
             self.flat[self.at] = self.low >> _WORD  # where none is due the next one takes its place
-        np.copyto(self.low, low, where=short)
-        np.copyto(self.range, self.range << _WORD, where=short)
+        self.low <<= shift
+        self.range <<= shift
+        if self.decoding:
+            self.low |= self.flat.take(self.at, mode="clip") * short
         self.at += short
 
     def _code(self, p: np.ndarray, guess: np.ndarray, ids: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +209,7 @@ class Lanes:
         slots = (self.hash >> _SHIFT) + self.first
         entries = self.seen.take(slots)
         seen, sure = entries >> _THREE, entries & _SEVEN
-        guess = np.where(sure[0], seen[0], seen[1])
+        guess = np.where(sure[0] > 0, seen[0], seen[1])
         places = self.places + sure
         places += (seen[0] == seen[1]) * 8
         rates, weight = self.rates, self.weight
@@ -241,14 +249,15 @@ def pack(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, block: i
     n = -(-len(ids) // block)
     order0, places = Shares.of(ids)
     lanes = Lanes(n, order0, block)
-    grid = np.zeros(n * block, np.uint32)
-    grid[: len(ids)] = places
-    grid = np.ascontiguousarray(grid.reshape(n, block).T)
+    places.resize(n * block, refcheck=False)
+    grid = places.reshape(n, block)
     last = len(ids) - (n - 1) * block
     for t in range(block if n > 1 else last):
+        if t % TURNED == 0:
+            turned = np.ascontiguousarray(grid[:, t : t + TURNED].T)
         if t == last:
             lanes.end(n - 1)
-        lanes.step(grid[t, : lanes.n])
+        lanes.step(turned[t % TURNED, : lanes.n])
     lanes.end(0)
     sizes = np.full(n, block, np.uint32)
     if n:
@@ -277,14 +286,18 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     for i, size in enumerate(heads[1].tolist()):
         words[i, :size] = np.frombuffer(data, "<u4", size, at)
         at += 4 * size
-    grid = np.zeros((block if n else 0, n), np.uint32)
+    grid = np.zeros((n, block), np.uint32)
     if n:
-        lanes, last = Lanes(n, order0, block, words), int(heads[0, -1])
-        for t in range(block if n > 1 else last):
+        lanes, last, values = Lanes(n, order0, block, words), int(heads[0, -1]), order0.ids.astype(np.uint32)
+        steps, turned = block if n > 1 else last, np.zeros((TURNED, n), np.uint32)
+        for t in range(steps):
             if t == last:
                 lanes.end(n - 1)
-            grid[t, : lanes.n] = lanes.step()
-    ids = order0.ids.astype(np.uint32).take(grid.T.reshape(-1)[: int(heads[0].sum())]) if n else np.zeros(0, np.uint32)
+            turned[t % TURNED, : lanes.n] = lanes.step()
+            if (t + 1) % TURNED == 0 or t + 1 == steps:
+                a = t - t % TURNED
+                grid[:, a : t + 1] = values.take(turned[: t + 1 - a]).T
+    ids = grid.reshape(-1)[: int(heads[0].sum())]
     for i in range(n):
         if zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) != heads[2, i]:
             raise ValueError(f"block {i} is damaged")
