@@ -144,6 +144,61 @@ def test_long_pieces_by_string_in_parts(monkeypatch):
     assert gone == want
 
 
+def test_where_all_text_repeats_no_bucket_is_cut_anew(spark, monkeypatch):
+    """Three versions of each text, none a copy: buckets are large by many minimizers, which are no cause to cut their pieces."""
+    draw = random.Random(4)
+    texts = ["".join(draw.choice(string.ascii_letters) for _ in range(3000)) for _ in range(40)]
+    rows = [(100 * v + i, t[: 900 + 50 * v] + str(v) + t[900 + 50 * v :]) for v in range(3) for i, t in enumerate(texts)]
+
+    def never(*_):
+        raise AssertionError("cut anew")
+
+    for name in ("_cut_anew", "_by_string"):
+        monkeypatch.setattr(suffixes, name, never)
+    got = {r[0]: [tuple(r)[1:]] for r in suffixes.deduplicated(frame(spark, rows), False, 60_000, 20_000).collect()}
+    assert got == removed(rows)
+
+
+def test_parts_of_a_bucket_are_sorted_in_turns(monkeypatch):
+    draw = random.Random(9)
+    strings = [bytes(draw.choice(b"abc") for _ in range(draw.randint(100, 140))) for _ in range(60)]
+    texts = [t for t in strings for _ in range(draw.randint(1, 3))]
+    part = np.array([zlib.crc32(t) % 16 for t in texts])
+    rows = pa.concat_tables([suffixes._rows(suffixes._bucketed(c, part[c::2], np.arange(len(texts))[c::2], np.zeros(len(texts), np.int64)[c::2], texts[c::2])) for c in range(2)])
+    assert sum(len(t) for t in texts[::2]) > rows.column("size")[0].as_py() == np.bincount(part[::2], [len(t) for t in texts[::2]]).max()
+    seen = []
+    later = suffixes._later
+    monkeypatch.setattr(suffixes, "_later", lambda found: seen.append(sum(len(p[3]) for p in found)) or later(found))
+    want = suffixes._decided(rows).to_pylist()
+    assert len(seen) == 1
+    monkeypatch.setattr(suffixes, "HOT_BYTES", 1500)
+    got = suffixes._decided(rows).to_pylist()
+    assert len(seen) > 5 and sum(seen[1:]) == seen[0] and max(seen[1:]) <= max(1500, np.bincount(part, [len(t) for t in texts]).max())
+    starts = lambda found: {(r["chunk"], d, s + k) for r in found for d, s, n in zip(*(c.tolist() for c in suffixes.parted(r["data"], 3)[0]), strict=True) for k in range(n)}
+    assert starts(got) == starts(want) != set()
+
+
+def test_copies_of_whole_texts_send_no_pieces(spark):
+    draw = random.Random(6)
+    texts = ["".join(draw.choice(string.ascii_letters) for _ in range(n)) for n in (99, 100, 700, 2000, 2000, 2000)]
+    rows = [(10 * k + i, t) for k in range(6) for i, t in enumerate(texts)] + [(99, None)] * 2
+    for chunk in (1 << 24, 3000):
+        got = {}
+        for r in suffixes.deduplicated(frame(spark, rows), False, chunk).collect():
+            got.setdefault(r[0], []).append(tuple(r)[1:])
+        assert got == removed(rows)
+    bounds = type("B", (), {"value": np.array([9], np.int64)})
+    batch = pa.RecordBatch.from_pylist([{"doc_id": d, "text": t} for d, t in [*rows[12:18], *rows[:6], *rows[6:12]]])  # a later chunk's rows may be read first
+    sets = pa.Table.from_batches(suffixes._sample_sets(bounds, 0)(iter([batch])))
+    kept = pa.concat_tables([suffixes._kept_samples(sets.filter(pc.equal(sets.column("bucket"), b))) for b in (0, -1)])
+    bundles = pa.Table.from_batches(suffixes._bundled(bounds)(iter([batch])))
+    split = [suffixes._split(0, 2)(*(t.filter(pc.equal(t.column("chunk"), c)) for t in (bundles, kept))) for c in (0, 1)]
+    assert len(set(split[0].column("bucket").to_pylist()) - {-1}) > 1
+    ((bucket, data),) = zip(split[1].column("bucket").to_pylist(), split[1].column("data").to_pylist(), strict=True)
+    assert bucket == -1
+    assert sorted(zip(*(c.tolist() for c in suffixes.parted(data, 3)[0]), strict=True)) == [(i, 0, len(texts[i % 6]) - 99) for i in range(12) if i % 6]
+
+
 @pytest.mark.parametrize("hot", [None, 7])
 def test_rows_of_one_id_are_cut_into_chunks(spark, hot):
     texts = [t for _, t in corpus() if t is not None]

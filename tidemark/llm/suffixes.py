@@ -15,10 +15,14 @@ document) goes. Suffixes are ordered by their first LENGTH bytes, which is all t
     LENGTH bytes of neighbours are compared as bytes, and of equal ones the earliest start stays. Before that, suffixes
     whose fingerprint of LENGTH bytes has no equal in the bucket are discarded as in the first step.
 
-Chunks are ranges of doc_id of about equal size. A very common passage meets different text around it in every document,
-which would make its minimizers' buckets large: pieces of buckets above HOT_BYTES are cut anew by the grams outside such
-buckets, ROUNDS times. What is left then has common grams only, such as runs of one byte: each task keeps of every string of
-LENGTH bytes the earliest start, and these strings go, each alone, to buckets by their own digest.
+Chunks are ranges of doc_id of about equal size. A text of LENGTH bytes or more that equals an earlier one as a whole goes as a whole:
+copies are told by sha256 and sampled or split only where a task can't know them yet. Where most of the text repeats otherwise, a bucket
+holds many minimizers: its pieces lie in 2**FINE parts by further bits of the minimizer's hash, which are sorted one after another.
+
+A very common passage meets different text around it in every document, which would make its minimizers' parts large: pieces
+of buckets with a part above HOT_BYTES are cut anew by the grams outside such buckets, ROUNDS times. What is left then has
+common grams only, such as runs of one byte: each task keeps of every string of LENGTH bytes the earliest start, and these
+strings go, each alone, to buckets by their own digest.
 
 Nulls: a null text is empty; texts under LENGTH bytes lose nothing. A null doc_id sorts first. Rows that share a doc_id are
 ordered by their text; where they are more than a chunk, it is cut at the beginnings (CUT characters) of their texts. Rows
@@ -51,7 +55,9 @@ GRAM = 16
 #: Text bytes of a chunk, about; buckets of pieces for each chunk.
 CHUNK_BYTES = 16 << 20
 BUCKETS = 4
-#: Bytes of pieces above which a bucket is cut anew: ROUNDS times by grams, then by whole strings.
+#: Parts of a bucket, as a power of two: where all text repeats, a bucket holds 13 MB of pieces, as they overlap.
+FINE = 4
+#: Bytes of pieces of a part above which a bucket is cut anew: ROUNDS times by grams, then by whole strings; also what is sorted at a time.
 HOT_BYTES = 4 << 20
 ROUNDS = 3
 #: Strings of LENGTH bytes that a task holds at a time in the last of these cuts.
@@ -61,6 +67,7 @@ CUT = 256
 #: Text bytes that a task works on at a time.
 PART = 1 << 20
 MEASURES = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+_SETS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("many", pa.bool_()), ("names", pa.binary())])
 _FIRST = -(1 << 63)
 _TOP = np.uint64(1 << 63)
 
@@ -215,14 +222,40 @@ def _chunk_of(ids: pa.Array, texts: pa.Array, bounds: np.ndarray, cuts: dict[int
     return chunks
 
 
+def _digests(data: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
+    """The sha256 of each text that has a string of LENGTH bytes."""
+    edges = offsets.tolist()
+    return [hashlib.sha256(data[a:z]).digest() if z - a >= LENGTH else None for a, z in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _only(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts of some documents, end to end."""
+    if len(docs) == len(offsets) - 1:
+        return data, offsets
+    begin, past = offsets[docs], offsets[docs + 1]
+    texts = [data[a:z] for a, z in zip(begin.tolist(), past.tolist(), strict=True)]
+    return np.concatenate(texts) if texts else data[:0], np.concatenate(([0], np.cumsum(past - begin)))
+
+
 def _sample_sets(bounds, bits: int, cuts=None) -> Callable:
-    """(bucket, chunk, many, names): fingerprints of sampled windows as sorted sets, those that a task met again apart."""
+    """(bucket, chunk, many, names): fingerprints of sampled windows as sorted sets, those that a task met again apart; digests of
+    whole texts under buckets below 0. A text that the task has sampled in this chunk or an earlier one isn't sampled again."""
+    wide = max(0, bits - 4)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
+        least: dict[bytes, int] = {}
+        met: set[tuple[int, bytes]] = set()
         n = 0
 
         def flushed() -> Iterator[pa.RecordBatch]:
+            whole: dict[tuple[int, int], list[bytes]] = {}
+            for chunk, digest in met:
+                whole.setdefault((-1 - (int.from_bytes(digest[:4], "little") >> (32 - wide)), chunk), []).append(digest)
+            if whole:
+                yield pa.RecordBatch.from_pylist([{"bucket": b, "chunk": c, "many": False, "names": b"".join(x)} for (b, c), x in sorted(whole.items())], _SETS)
+            least.clear()
+            met.clear()
             for chunk, own in sorted(held.items()):
                 names, times = np.unique(np.concatenate(own), return_counts=True)
                 cut = np.searchsorted(names >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64))
@@ -233,12 +266,23 @@ def _sample_sets(bounds, bits: int, cuts=None) -> Callable:
                         if len(some):
                             rows.append((bucket, chunk, many, squeezed(some)))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["bucket", "chunk", "many", "names"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SETS.types, strict=True)], schema=_SETS)
             held.clear()
 
         for b in batches:
             chunks = _chunk_of(b.column(0), b.column(1), bounds.value, cuts.value if cuts else {})
             data, offsets = utf8(b.column(1))
+            fresh = []
+            for i, (chunk, digest) in enumerate(zip(chunks.tolist(), _digests(data, offsets), strict=True)):
+                if digest is not None:
+                    met.add((chunk, digest))
+                    if least.get(digest, chunk + 1) <= chunk:
+                        continue
+                    least[digest] = chunk
+                fresh.append(i)
+            fresh = np.array(fresh, np.int64)
+            data, offsets = _only(data, offsets, fresh)
+            chunks = chunks[fresh]
             for a, z in parts(offsets):
                 at, count = sampled(offsets[a : z + 1] - offsets[a])
                 names = Prefixes.of_bytes(data[offsets[a] : offsets[z]]).slices(at, at + WINDOW) >> np.uint64(32 - bits)
@@ -254,8 +298,22 @@ def _sample_sets(bounds, bits: int, cuts=None) -> Callable:
     return made
 
 
+def _copies(sets: pa.Table) -> pa.Table:
+    """Of each chunk the digests of its texts that an earlier chunk has."""
+    least: dict[bytes, int] = {}
+    own: dict[int, list[bytes]] = {}
+    for chunk, names in sorted(zip(sets.column("chunk").to_pylist(), sets.column("names").to_pylist(), strict=True)):
+        for digest in (names[i : i + 32] for i in range(0, len(names), 32)):
+            if least.setdefault(digest, chunk) < chunk:
+                own.setdefault(chunk, []).append(digest)
+    bucket = sets.column("bucket")[0].as_py()
+    return pa.table({"chunk": pa.array(own, pa.int64()), "bucket": pa.array([bucket] * len(own), pa.int64()), "names": pa.array([b"".join(sorted(set(x))) for x in own.values()], pa.binary())})
+
+
 def _kept_samples(sets: pa.Table) -> pa.Table:
-    """Of each chunk the fingerprints of its samples that any chunk has again."""
+    """Of each chunk the fingerprints of its samples that any chunk has again; under buckets below 0 its copies."""
+    if sets.column("bucket")[0].as_py() < 0:
+        return _copies(sets)
     lists = [expanded(x.as_py(), np.uint32) for x in sets.column("names")]
     sizes = [len(p) for p in lists]
     names, chunk, many = np.concatenate(lists), np.repeat(sets.column("chunk").to_numpy(), sizes), np.repeat(sets.column("many").to_numpy(), sizes)
@@ -322,14 +380,15 @@ def _rows(found: list[tuple]) -> pa.Table:
     return pa.table({"bucket": pa.array(bucket, pa.int64()), "chunk": pa.array(chunk, pa.int64()), "size": pa.array(size, pa.int64()), "data": pa.array(data, pa.binary())})
 
 
-def _bucketed(chunk: int, bucket: np.ndarray, doc: np.ndarray, start: np.ndarray, texts: list[bytes]) -> list[tuple]:
-    """A row (bucket, chunk, size, data) for the pieces of each bucket."""
-    order = np.argsort(bucket, kind="stable")
-    bucket, doc, start = bucket[order], doc[order], start[order]
+def _bucketed(chunk: int, part: np.ndarray, doc: np.ndarray, start: np.ndarray, texts: list[bytes]) -> list[tuple]:
+    """A row (bucket, chunk, size, data) for the pieces of each bucket, given their parts; its size is that of its largest part."""
+    order = np.argsort(part, kind="stable")
+    part, doc, start = part[order], doc[order], start[order]
+    bucket, part = part >> FINE, part & ((1 << FINE) - 1)
     sizes = np.array([len(x) for x in texts], np.int64)[order]
     edges = [*np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist(), len(order)] if len(order) else [0]
     order = order.tolist()
-    return [(int(bucket[a]), chunk, int(sizes[a:z].sum()), joined([doc[a:z], start[a:z], sizes[a:z]], b"".join([texts[i] for i in order[a:z]]))) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+    return [(int(bucket[a]), chunk, int(np.bincount(part[a:z], sizes[a:z]).max()), joined([doc[a:z], start[a:z], sizes[a:z], part[a:z]], b"".join([texts[i] for i in order[a:z]]))) for a, z in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def _split(bits: int, buckets: int) -> Callable:
@@ -337,14 +396,24 @@ def _split(bits: int, buckets: int) -> Callable:
 
     def made(left: pa.Table, right: pa.Table) -> pa.Table:
         give_back()  # of the chunk before
-        if not left.num_rows or not right.num_rows:
+        if not left.num_rows:
             return _rows([])
-        kept = np.concatenate([np.uint64(r["bucket"]) << np.uint64(32) | expanded(r["names"], np.uint32).astype(np.uint64) for r in sorted(right.to_pylist(), key=lambda r: r["bucket"])])
+        kept = [np.uint64(r["bucket"]) << np.uint64(32) | expanded(r["names"], np.uint32).astype(np.uint64) for r in sorted(right.to_pylist(), key=lambda r: r["bucket"]) if r["bucket"] >= 0]
+        kept = np.concatenate(kept) if kept else np.zeros(0, np.uint64)
         chunk = left.column("chunk")[0].as_py()
         data, offsets = _column(_unbundled(left))
+        known = {r["names"][i : i + 32] for r in right.to_pylist() if r["bucket"] < 0 for i in range(0, len(r["names"]), 32)}
+        copy = np.zeros(len(offsets) - 1, bool)
+        for i, digest in enumerate(_digests(data, offsets)):
+            if digest is not None:
+                copy[i] = digest in known
+                known.add(digest)
+        own, whole = np.flatnonzero(~copy), np.flatnonzero(copy)
+        again = [np.stack((whole, np.zeros(len(whole), np.int64), np.diff(offsets)[whole] - LENGTH + 1))]
+        data, offsets = _only(data, offsets, own)
         seen: set[bytes] = set()
-        new, again = [], []
-        for a, z in parts(offsets):
+        new = []
+        for a, z in parts(offsets) if len(kept) else ():
             text, cut = data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a]
             at, _ = sampled(cut)
             if not len(at):
@@ -367,12 +436,10 @@ def _split(bits: int, buckets: int) -> Callable:
                     seen.add(piece)
                     fresh[i] = True
                     texts.append(piece)
-            place, where = doc[run] + a, begin - cut[doc[run]]
-            new.append((bucket_of(low, buckets)[fresh], place[fresh], where[fresh], texts))
+            place, where = own[doc[run] + a], begin - cut[doc[run]]
+            new.append((bucket_of(low, buckets + FINE)[fresh], place[fresh], where[fresh], texts))
             again.append(np.stack((place, where, count))[:, ~fresh])
-        if not new:
-            return _rows([])
-        out = _bucketed(chunk, *(np.concatenate([x[k] for x in new]) for k in range(3)), [t for x in new for t in x[3]])
+        out = _bucketed(chunk, *(np.concatenate([x[k] for x in new]) for k in range(3)), [t for x in new for t in x[3]]) if new else []
         return _rows([*out, (-1, chunk, 0, joined(list(np.concatenate(again, 1))))])
 
     return made
@@ -384,7 +451,7 @@ def _cut_anew(hot, buckets: int) -> Callable:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, packed in zip(b.column("chunk").to_pylist(), b.column("data"), strict=True):
-                (doc, start, sizes), raw = parted(packed.as_py(), 3)
+                (doc, start, sizes, _), raw = parted(packed.as_py(), 4)
                 at = np.cumsum(sizes) - sizes
                 grams = steps(at, sizes - GRAM + 1)
                 h = Prefixes.of_bytes(np.frombuffer(raw, np.uint8)).slices(grams, grams + GRAM)
@@ -397,19 +464,23 @@ def _cut_anew(hot, buckets: int) -> Callable:
                 ends[np.append(run[1:] != run[:-1], True)] = sizes - LENGTH + 1
                 begin = (at[run] + first).tolist()
                 texts = [raw[s : s + n + LENGTH - 1] for s, n in zip(begin, (ends - first).tolist(), strict=True)]
-                yield from _rows(_bucketed(chunk, bucket_of(low, buckets), doc[run], start[run] + first, texts)).to_batches()
+                yield from _rows(_bucketed(chunk, bucket_of(low, buckets + FINE), doc[run], start[run] + first, texts)).to_batches()
 
     return made
 
 
-def _opened(chunk: int, data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
-    (doc, start, sizes), raw = parted(data, 3)
+def _opened_parts(chunk: int, data: bytes) -> Iterator[tuple[int, tuple[int, int, int, bytes]]]:
+    (doc, start, sizes, part), raw = parted(data, 4)
     at = 0
-    for d, s, n in zip(doc.tolist(), start.tolist(), sizes.tolist(), strict=True):
-        yield chunk, d, s, raw[at : at + n]
+    for d, s, n, p in zip(doc.tolist(), start.tolist(), sizes.tolist(), part.tolist(), strict=True):
+        yield p, (chunk, d, s, raw[at : at + n])
         at += n
 
 
+def _opened(chunk: int, data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    return (piece for _, piece in _opened_parts(chunk, data))
+
+
 def _later(found: Iterable[tuple[int, int, int, bytes]]) -> np.ndarray:
     """Among pieces (chunk, document, start, bytes) the starts (chunk, document, start, count) whose strings start earlier in others."""
     place: dict[bytes, int] = {}
@@ -454,10 +525,25 @@ def _later(found: Iterable[tuple[int, int, int, bytes]]) -> np.ndarray:
 def _decided(rows: pa.Table) -> pa.Table:
     """(chunk, data) of a bucket: the starts (document, start, count) whose strings start earlier elsewhere."""
     give_back()  # of the bucket before
-    found = _later(p for row in sorted(zip(rows.column("chunk").to_pylist(), rows.column("data").to_pylist(), strict=True)) for p in _opened(*row))
+    own: list[list[tuple[int, int, int, bytes]]] = [[] for _ in range(1 << FINE)]
+    for row in sorted(zip(rows.column("chunk").to_pylist(), rows.column("data").to_pylist(), strict=True)):
+        for part, piece in _opened_parts(*row):
+            own[part].append(piece)
+    turns, size = [[]], 0
+    for part in own:
+        n = sum(len(piece[3]) for piece in part)
+        if n and size and size + n > HOT_BYTES:
+            turns.append([])
+            size = 0
+        turns[-1] += part
+        size += n
+    found = []
+    while turns:
+        found.append(_later(turns.pop()))
+    found = np.concatenate(found)
     found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
-    own, first = np.unique(found[:, 0], return_index=True)
-    return pa.table({"chunk": pa.array(own, pa.int64()), "data": pa.array([joined(list(x[:, 1:].T)) for x in np.split(found, first[1:])] if len(own) else [], pa.binary())})
+    chunks, first = np.unique(found[:, 0], return_index=True)
+    return pa.table({"chunk": pa.array(chunks, pa.int64()), "data": pa.array([joined(list(x[:, 1:].T)) for x in np.split(found, first[1:])] if len(chunks) else [], pa.binary())})
 
 
 def _by_string(buckets: int) -> Callable:
@@ -478,7 +564,7 @@ def _by_string(buckets: int) -> Callable:
             for chunk, rows in sorted(own.items()):
                 doc, start, texts = zip(*rows, strict=True)
                 digests = np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") for t in texts], np.uint64)
-                out += _bucketed(chunk, bucket_of(digests, buckets), np.array(doc, np.int64), np.array(start, np.int64), list(texts))
+                out += _bucketed(chunk, bucket_of(digests, buckets + FINE), np.array(doc, np.int64), np.array(start, np.int64), list(texts))
             held.clear()
             gone.clear()
             yield from _rows(out).to_batches()
