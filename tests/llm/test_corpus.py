@@ -159,6 +159,20 @@ def test_where_all_text_repeats_no_bucket_is_cut_anew(spark, monkeypatch):
     assert got == removed(rows)
 
 
+def test_lines_of_one_pattern_are_cut_by_what_differs(spark, monkeypatch):
+    """All grams of the pattern are common, more than three rounds could find one by one; those of the numbers in it aren't."""
+    draw = random.Random(12)
+    pattern = "worker {:06d} has accepted a connection from a client and opened a new session for user number {:06d}, whose last visit was to the storage node in another region; "
+    rows = [(i, "".join(pattern.format(draw.randrange(10**6), draw.randrange(10**6)) for _ in range(8))) for i in range(60)]
+
+    def never(*_):
+        raise AssertionError("cut into strings")
+
+    monkeypatch.setattr(suffixes, "_by_string", never)
+    got = {r[0]: [tuple(r)[1:]] for r in suffixes.deduplicated(frame(spark, rows), False, 8000, 8000).collect()}
+    assert got == removed(rows)
+
+
 def test_parts_of_a_bucket_are_sorted_in_turns(monkeypatch):
     draw = random.Random(9)
     strings = [bytes(draw.choice(b"abc") for _ in range(draw.randint(100, 140))) for _ in range(60)]

@@ -20,9 +20,10 @@ copies are told by sha256 and sampled or split only where a task can't know them
 holds many minimizers: its pieces lie in 2**FINE parts by further bits of the minimizer's hash, which are sorted one after another.
 
 A very common passage meets different text around it in every document, which would make its minimizers' parts large: pieces
-of buckets with a part above HOT_BYTES are cut anew by the grams outside such buckets, ROUNDS times. What is left then has
-common grams only, such as runs of one byte: each task keeps of every string of LENGTH bytes the earliest start, and these
-strings go, each alone, to buckets by their own digest.
+of buckets with a part above HOT_BYTES are cut anew, ROUNDS times: the grams of all these pieces are counted, in cells by their
+hash, and those of common cells give a minimizer only where there is no other. What is left then has common grams only, such as
+runs of one byte: each task keeps of every string of LENGTH bytes the earliest start, and these strings go, each alone, to
+buckets by their own digest.
 
 Nulls: a null text is empty; texts under LENGTH bytes lose nothing. A null doc_id sorts first. Rows that share a doc_id are
 ordered by their text; where they are more than a chunk, it is cut at the beginnings (CUT characters) of their texts. Rows
@@ -60,6 +61,8 @@ FINE = 4
 #: Bytes of pieces of a part above which a bucket is cut anew: ROUNDS times by grams, then by whole strings; also what is sorted at a time.
 HOT_BYTES = 4 << 20
 ROUNDS = 3
+#: Cells of grams that are counted together.
+CELLS = 1 << 14
 #: Strings of LENGTH bytes that a task holds at a time in the last of these cuts.
 HELD = 200_000
 #: Characters of a text that tell chunks of one doc_id.
@@ -445,21 +448,75 @@ def _split(bits: int, buckets: int) -> Callable:
     return made
 
 
-def _cut_anew(hot, buckets: int) -> Callable:
-    """Pieces of hot buckets by the minimizers among their grams outside such buckets, if there are any."""
+def _grams(sizes: np.ndarray, raw: bytes, turn: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the grams of pieces end to end, of another order in each turn, and their cells of 2**bits."""
+    grams = steps(np.cumsum(sizes) - sizes, sizes - GRAM + 1)
+    h = Prefixes.of_bytes(np.frombuffer(raw, np.uint8)).slices(grams, grams + GRAM)
+    for _ in range(turn):
+        h = mixed(h + np.uint64(1))
+    return h, bucket_of(h, bits)
+
+
+def _gram_counts(turn: int, bits: int) -> Callable:
+    """(range, data): how many grams of the pieces lie in each cell, by ranges of CELLS."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.int64)
+        held, n = [], 0
+        for b in batches:
+            for packed in b.column("data"):
+                (_, _, sizes, _), raw = parted(packed.as_py(), 4)
+                held.append(_grams(sizes, raw, turn, bits)[1])
+                n += len(held[-1])
+                if n > 4 * PART:
+                    np.add.at(counts, np.concatenate(held), 1)
+                    held, n = [], 0
+        if held:
+            np.add.at(counts, np.concatenate(held), 1)
+        some = np.flatnonzero(counts)
+        if len(some):
+            ranges, first = np.unique(some // CELLS, return_index=True)
+            data = [joined([x, counts[x]]) for x in np.split(some, first[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int64()), pa.array(data, pa.binary())], ["range", "data"])
+
+    return made
+
+
+def _common(limit: int) -> Callable:
+    """The cells of a range with more than limit grams."""
+
+    def made(rows: pa.Table) -> pa.Table:
+        low, counts = rows.column("range")[0].as_py() * CELLS, np.zeros(CELLS, np.int64)
+        for packed in rows.column("data"):
+            cells, n = parted(packed.as_py(), 2)[0]
+            counts[cells - low] += n
+        found = np.flatnonzero(counts > limit) + low
+        return pa.table({"cells": pa.array([squeezed(found.astype(np.uint32))] if len(found) else [], pa.binary())})
+
+    return made
+
+
+def common_grams(hot: DataFrame, turn: int, hot_bytes: int) -> tuple[int, np.ndarray]:
+    """The cells (of 2**bits) whose grams would fill a quarter of a part's bytes each, if they were minimizers."""
+    limit = max(1, hot_bytes // (4 * LENGTH))
+    size = hot.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("b")).first().b
+    bits = min(24, max(12, (32 * size // limit).bit_length()))  # an eighth of the limit in a cell on average, or less
+    rows = hot.select("data").mapInArrow(lean(_gram_counts(turn, bits)), "range long, data binary").groupBy("range").applyInArrow(_common(limit), "cells binary").collect()
+    return bits, np.sort(np.concatenate([np.zeros(0, np.uint32), *(expanded(r.cells, np.uint32) for r in rows)]))
+
+
+def _cut_anew(turn: int, bits: int, common, buckets: int) -> Callable:
+    """Pieces by the minimizers among their grams outside the common cells, if there are any."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lift = np.zeros(1 << bits, bool)
+        lift[common.value] = True
         for b in batches:
             for chunk, packed in zip(b.column("chunk").to_pylist(), b.column("data"), strict=True):
                 (doc, start, sizes, _), raw = parted(packed.as_py(), 4)
                 at = np.cumsum(sizes) - sizes
-                grams = steps(at, sizes - GRAM + 1)
-                h = Prefixes.of_bytes(np.frombuffer(raw, np.uint8)).slices(grams, grams + GRAM)
-                lifted = np.zeros(len(h), bool)
-                for known in hot:  # each round's buckets are of another hash
-                    lifted |= np.isin(bucket_of(h, buckets), known)
-                    h = mixed(h + np.uint64(1))
-                run, first, low = pieces(np.where(lifted, h | _TOP, h & ~_TOP), sizes - LENGTH + 1)
+                h, cells = _grams(sizes, raw, turn, bits)
+                run, first, low = pieces(np.where(lift[cells], h | _TOP, h & ~_TOP), sizes - LENGTH + 1)
                 ends = np.append(first[1:], 0)
                 ends[np.append(run[1:] != run[:-1], True)] = sizes - LENGTH + 1
                 begin = (at[run] + first).tolist()
@@ -702,15 +759,20 @@ def deduplicated(docs: DataFrame, whole: bool = True, chunk_bytes: int = CHUNK_B
     bundled = only.mapInArrow(lean(_bundled(bounds, cuts)), "chunk long, rows binary")
     schema = "bucket long, chunk long, size long, data binary"
     split = materialise(bundled.groupBy("chunk").cogroup(kept.groupBy("chunk")).applyInArrow(_split(bits, buckets), schema))
-    before, settled, open_, hot = split.where("bucket = -1").select("chunk", "data"), [], split.where("bucket >= 0"), []
+    before, settled, open_ = split.where("bucket = -1").select("chunk", "data"), [], split.where("bucket >= 0")
     for k in range(ROUNDS + 1):
         found = [r.bucket for r in open_.groupBy("bucket").agg(F.sum("size").alias("size")).where(F.col("size") > hot_bytes).select("bucket").collect()]
         if not found:
             break
-        hot.append(np.array(found, np.int64))
         known = spark.createDataFrame([(x,) for x in found], "bucket long")
         settled.append(open_.join(F.broadcast(known), "bucket", "left_anti"))
-        open_ = materialise(open_.join(F.broadcast(known), "bucket", "left_semi").select("bucket", "chunk", "size", "data").mapInArrow(lean(_cut_anew(hot[:], buckets) if k < ROUNDS else _by_string(buckets)), schema))
+        hot = open_.join(F.broadcast(known), "bucket", "left_semi").select("bucket", "chunk", "size", "data")
+        if k < ROUNDS:
+            bits, common = common_grams(hot, k + 1, hot_bytes)
+            cut = _cut_anew(k + 1, bits, spark.sparkContext.broadcast(common), buckets)
+        else:
+            cut = _by_string(buckets)
+        open_ = materialise(hot.mapInArrow(lean(cut), schema))
     else:
         before = before.unionByName(open_.where("bucket = -1").select("chunk", "data"))
         open_ = open_.where("bucket >= 0")
