@@ -213,6 +213,24 @@ def test_copies_of_whole_texts_send_no_pieces(spark):
     assert sorted(zip(*(c.tolist() for c in suffixes.parted(data, 3)[0]), strict=True)) == [(i, 0, len(texts[i % 6]) - 99) for i in range(12) if i % 6]
 
 
+def test_many_pieces_by_string_are_looked_up_together(monkeypatch):
+    """A part's starts are looked up at once, not the whole part for each of its pieces."""
+    draw = random.Random(7)
+    texts = [bytes([draw.choice(b"xy")]) + b" " * draw.randint(110, 300) for _ in range(400)]
+    data = suffixes._bucketed(0, np.zeros(400, np.int64), np.arange(400), np.zeros(400, np.int64), texts)
+    calls, plain = [], np.isin
+    monkeypatch.setattr(np, "isin", lambda *a, **k: calls.append(a) or plain(*a, **k))
+    out = pa.Table.from_batches(suffixes._by_string(6)(iter(suffixes._rows(data).to_batches())))
+    assert len(calls) == 1
+    kept = out.filter(pc.greater_equal(out.column("bucket"), 0))
+    strings = sorted(p for c, d in zip(kept.column("chunk").to_pylist(), kept.column("data").to_pylist(), strict=True) for p in suffixes._opened(c, d))
+    first = {}
+    for i, t in enumerate(texts):
+        for k in range(len(t) - 99):
+            first.setdefault(t[k : k + 100], (0, i, k))
+    assert strings == sorted((*place, string) for string, place in first.items())
+
+
 @pytest.mark.parametrize("hot", [None, 7])
 def test_rows_of_one_id_are_cut_into_chunks(spark, hot):
     texts = [t for _, t in corpus() if t is not None]

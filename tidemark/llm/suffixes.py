@@ -632,19 +632,21 @@ def _by_string(buckets: int) -> Callable:
 
         def kept(part: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
             later = _later(part)
-            known = (later[:, 1] << 32) + later[:, 2]
-            known = steps(known, later[:, 3])
+            begin = np.array([(d << 32) + s for _, d, s, _ in part], np.int64)
+            counts = np.array([len(p[3]) - LENGTH + 1 for p in part], np.int64)
+            starts = steps(begin, counts)
+            left = np.flatnonzero(~np.isin(starts, steps((later[:, 1] << 32) + later[:, 2], later[:, 3])))
+            of = np.repeat(np.arange(len(part)), counts)[left]
             chunk = part[0][0]
             if len(later):
                 yield from _rows([(-1, chunk, 0, joined(list(later[:, 1:].T)))]).to_batches()
-            for _, d, s, piece in part:
-                n = len(piece) - LENGTH + 1
-                for k in np.flatnonzero(~np.isin((d << 32) + s + np.arange(n), known)).tolist():
-                    string, mine = piece[k : k + LENGTH], (chunk, d, s + k)
-                    first = held.setdefault(string, mine)
-                    if first != mine:
-                        held[string] = min(first, mine)
-                        gone.append(max(first, mine))
+            for i, k in zip(of.tolist(), (starts[left] - begin[of]).tolist(), strict=True):
+                _, d, s, piece = part[i]
+                string, mine = piece[k : k + LENGTH], (chunk, d, s + k)
+                first = held.setdefault(string, mine)
+                if first != mine:
+                    held[string] = min(first, mine)
+                    gone.append(max(first, mine))
             if len(held) + len(gone) > HELD:
                 yield from flushed()
 
